@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,26 +115,54 @@ def company_entities(links: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def clean(feeds: Feeds, prefix: str = GREEN_TRANSPORT, stage: Stage = lazy) -> Star:
+class CleanStar(Star):
+    """The star of one class, each table built from the feeds on first use."""
+
+    def __init__(self, feeds: Feeds, prefix: str, stage: Stage):
+        self._feeds, self._prefix, self._stage = feeds, prefix, stage
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return self._stage(select_patents(self._feeds, self._prefix), "chosen_patents")
+
+    @cached_property
+    def _inventor_links(self) -> DataFrame:
+        return only_known(self._feeds.inventor, self.chosen, "patent_id")
+
+    @cached_property
+    def _owner_links(self) -> DataFrame:
+        return only_known(self._feeds.assignee, self.chosen, "patent_id")
+
+    @cached_property
+    def _places(self) -> DataFrame:
+        return locations_by_id(self._feeds.location)
+
+    @cached_property
+    def patents(self) -> DataFrame:
+        return self._stage(attach_abstracts(self.chosen, self._feeds.abstract), "patents")
+
+    @cached_property
+    def inventors(self) -> DataFrame:
+        return self._stage(inventor_entities(self._inventor_links, self._places), "inventors")
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return self._stage(company_entities(self._owner_links, self._places), "companies")
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        owners = self._owner_links.withColumnRenamed("assignee_id", "company_id")
+        return self._stage(bridge(self._inventor_links, owners), "relations")
+
+
+def clean(feeds: Feeds, prefix: str = GREEN_TRANSPORT, stage: Stage = lazy) -> CleanStar:
     """Select the class and normalise it to patents, inventors, companies and relations.
 
     With the default stage nothing is written and the plans stay lazy. A writing stage
     (``session.table_stage``) stores the chosen patents once; all link tables are then cut by
     reading those ids back.
     """
-    chosen = stage(select_patents(feeds, prefix), "chosen_patents")
-    inventor_links = only_known(feeds.inventor, chosen, "patent_id")
-    owner_links = only_known(feeds.assignee, chosen, "patent_id")
-    places = locations_by_id(feeds.location)
-    relations = bridge(
-        inventor_links, owner_links.withColumnRenamed("assignee_id", "company_id")
-    )
-    return Star(
-        patents=stage(attach_abstracts(chosen, feeds.abstract), "patents"),
-        inventors=stage(inventor_entities(inventor_links, places), "inventors"),
-        companies=stage(company_entities(owner_links, places), "companies"),
-        relations=stage(relations, "relations"),
-    )
+    return CleanStar(feeds, prefix, stage)
 
 
 def filter_funnel(feeds: Feeds, prefix: str = GREEN_TRANSPORT) -> DataFrame:

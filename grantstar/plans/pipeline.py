@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 
 from grantstar.plans import analytics
@@ -18,14 +16,6 @@ from grantstar.sources.feeds import check_sources, convert_feeds, feed_paths
 from grantstar.sources.tables import read_star
 
 
-@dataclass(frozen=True)
-class Checked:
-    """A stored star and its stored quality report."""
-
-    star: Star
-    report: DataFrame
-
-
 def results(star: Star) -> dict[str, DataFrame]:
     """The eight result tables by file name."""
     return {
@@ -42,26 +32,24 @@ def results(star: Star) -> dict[str, DataFrame]:
 
 def build_star(
     feeds: Feeds, folder: str, prefix: str = GREEN_TRANSPORT, cluster: bool = False
-) -> Checked:
-    """Clean and check the feeds, storing each stage under its own folder.
+) -> tuple[Star, DataFrame]:
+    """Clean and check the feeds, storing each stage under its own folder; star and report.
 
     No folder is read and written at once, so a failed run can be repeated from its inputs.
     """
     spark = feeds.patent.sparkSession
     cleaned = clean(feeds, prefix, table_stage(spark, f"{folder}/clean"))
-    star, report = quality_check(cleaned, table_stage(spark, f"{folder}/assessed"))
-    write_star(star, f"{folder}/star", cluster)
-    report.coalesce(1).write.mode("overwrite").parquet(f"{folder}/quality_report")
-    stored = spark.read.schema(report.schema).parquet(f"{folder}/quality_report")
-    return Checked(read_star(spark, f"{folder}/star"), stored)
+    checked = quality_check(cleaned, table_stage(spark, f"{folder}/assessed"))
+    write_star(checked, f"{folder}/star", cluster)
+    return read_star(spark, f"{folder}/star"), checked.report
 
 
-def write_results(checked: Checked, cpc: DataFrame, folder: str) -> None:
+def write_results(star: Star, report: DataFrame, cpc: DataFrame, folder: str) -> None:
     """Result CSVs, the summary CSV and the JSON report."""
-    for name, df in results(checked.star).items():
+    for name, df in results(star).items():
         write_result_csv(df, f"{folder}/{name}")
-    write_result_csv(summary_metrics(checked.star, checked.report), f"{folder}/pipeline_summary")
-    write_json(report_json(checked.star, cpc, checked.report), f"{folder}/report")
+    write_result_csv(summary_metrics(star, report), f"{folder}/pipeline_summary")
+    write_json(report_json(star, cpc, report), f"{folder}/report")
 
 
 def run_pipeline(
@@ -77,6 +65,6 @@ def run_pipeline(
         detail = "; ".join(f"{r.feed}: {r.missing_columns or 'no such path'}" for r in broken)
         raise ValueError(f"raw feeds do not meet their contract: {detail}")
     feeds = convert_feeds(spark, paths, f"{out_folder}/raw", **options)
-    checked = build_star(feeds, f"{out_folder}/tables", prefix)
-    write_results(checked, feeds.cpc, f"{out_folder}/output")
-    return verify_tables(checked.star)
+    star, report = build_star(feeds, f"{out_folder}/tables", prefix)
+    write_results(star, report, feeds.cpc, f"{out_folder}/output")
+    return verify_tables(star)

@@ -7,7 +7,7 @@ need to know about it. Both the report and the repaired table are read off that
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +36,6 @@ INVENTOR_GEOCODES = (GeocodeRule("UG", "Amuru", "JP"), GeocodeRule("CM", "Somalo
 COMPANY_GEOCODES = (GeocodeRule("UG", "Amuru", "JP"),)
 
 
-@dataclass(frozen=True)
-class Assessed:
-    """The four tables with duplicates merged, nothing dropped yet, and the flags of the checks."""
-
-    patents: DataFrame
-    inventors: DataFrame
-    companies: DataFrame
-    relations: DataFrame
-
-
 def _valid_year() -> Column:
     return F.coalesce(F.col("year").between(FIRST_YEAR, LAST_YEAR), F.lit(False))
 
@@ -92,7 +82,8 @@ def repair_geocodes(flagged: DataFrame, rules: tuple[GeocodeRule, ...]) -> DataF
     The wrong city is also cleared on rows that have the right country already, but only when the
     table holds at least one wrong pair of that rule. Which rules apply is one small subquery.
     """
-    applied = flagged.agg(F.collect_set("geocode_rule")).scalar()
+    hits = flagged.where(F.col("geocode_rule").isNotNull())
+    applied = hits.agg(F.collect_set("geocode_rule")).scalar()
     country, city = F.col("country"), F.col("city")
     for number, rule in enumerate(rules, 1):
         wrong = F.col("geocode_rule") == number
@@ -150,14 +141,6 @@ def assess_relations(
     )
 
 
-def assess(star: Star, stage: Stage = lazy) -> Assessed:
-    patents = stage(assess_patents(star.patents), "assessed_patents")
-    inventors = stage(assess_inventors(star.inventors), "assessed_inventors")
-    companies = stage(assess_companies(star.companies), "assessed_companies")
-    relations = assess_relations(star.relations, patents, inventors, companies)
-    return Assessed(patents, inventors, companies, stage(relations, "assessed_relations"))
-
-
 def repaired_patents(assessed: DataFrame) -> DataFrame:
     kept = assessed.where(_has_title() & _valid_year())
     abstract = F.coalesce("abstract", F.lit("")).alias("abstract")
@@ -181,15 +164,6 @@ def repaired_relations(assessed: DataFrame) -> DataFrame:
     return kept.select("patent_id", "inventor_id", company)
 
 
-def repaired(assessed: Assessed) -> Star:
-    return Star(
-        patents=repaired_patents(assessed.patents),
-        inventors=repaired_inventors(assessed.inventors),
-        companies=repaired_companies(assessed.companies),
-        relations=repaired_relations(assessed.relations),
-    )
-
-
 _REPORT = ["check_id", "table", "check", "found", "fixed", "action"]
 
 # What a check does with what it finds. Only a report leaves the rows as they are.
@@ -283,25 +257,75 @@ def relation_checks(assessed: DataFrame) -> DataFrame:
     return _report_rows(assessed, "relations", checks)
 
 
-def quality_report(assessed: Assessed) -> DataFrame:
-    """(check_id, table, check, found, fixed, action), checks 1 to 17.
+def star_null_summary(star: Star) -> DataFrame:
+    """Check 18: nulls per column of each repaired table."""
+    return reduce(DataFrame.unionByName, (null_summary(df, name) for name, df in star.items()))
+
+
+class CheckedStar(Star):
+    """The repaired star, and the report of checks 1 to 17.
 
-    What a check fixes is counted once: found minus fixed is what remains.
+    ``assessed_*`` hold the tables with duplicates merged, nothing dropped yet, and the flags of
+    the checks. They are what a writing stage stores: the repaired tables and the report are
+    filters, projections and counts over them.
     """
-    return (
-        patent_checks(assessed.patents)
-        .unionByName(inventor_checks(assessed.inventors))
-        .unionByName(company_checks(assessed.companies))
-        .unionByName(relation_checks(assessed.relations))
-    )
 
+    def __init__(self, star: Star, stage: Stage):
+        self._star, self._stage = star, stage
 
-def star_null_summary(star: Star) -> DataFrame:
-    """Check 18: nulls per column of each repaired table."""
-    return reduce(DataFrame.unionByName, (null_summary(df, name) for name, df in star.items()))
+    @cached_property
+    def assessed_patents(self) -> DataFrame:
+        return self._stage(assess_patents(self._star.patents), "assessed_patents")
+
+    @cached_property
+    def assessed_inventors(self) -> DataFrame:
+        return self._stage(assess_inventors(self._star.inventors), "assessed_inventors")
+
+    @cached_property
+    def assessed_companies(self) -> DataFrame:
+        return self._stage(assess_companies(self._star.companies), "assessed_companies")
+
+    @cached_property
+    def assessed_relations(self) -> DataFrame:
+        assessed = assess_relations(
+            self._star.relations,
+            self.assessed_patents,
+            self.assessed_inventors,
+            self.assessed_companies,
+        )
+        return self._stage(assessed, "assessed_relations")
+
+    @cached_property
+    def patents(self) -> DataFrame:
+        return repaired_patents(self.assessed_patents)
+
+    @cached_property
+    def inventors(self) -> DataFrame:
+        return repaired_inventors(self.assessed_inventors)
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return repaired_companies(self.assessed_companies)
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return repaired_relations(self.assessed_relations)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """(check_id, table, check, found, fixed, action).
+
+        What a check fixes is counted once: found minus fixed is what remains.
+        """
+        rows = (
+            patent_checks(self.assessed_patents)
+            .unionByName(inventor_checks(self.assessed_inventors))
+            .unionByName(company_checks(self.assessed_companies))
+            .unionByName(relation_checks(self.assessed_relations))
+        )
+        return self._stage(rows, "quality_report")
 
 
-def quality_check(star: Star, stage: Stage = lazy) -> tuple[Star, DataFrame]:
-    """The repaired star and the report. The input tables are left as they are."""
-    assessed = assess(star, stage)
-    return repaired(assessed), quality_report(assessed)
+def quality_check(star: Star, stage: Stage = lazy) -> CheckedStar:
+    """Check and repair a star. The input tables are left as they are."""
+    return CheckedStar(star, stage)

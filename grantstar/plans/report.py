@@ -58,14 +58,15 @@ def summary_metrics(
 
 def _ranked_array(top: DataFrame) -> Column:
     """A top-k list as an array of structs with rank 1..k. The list arrives in rank order."""
-    listed = top.agg(F.collect_list(F.struct(*top.columns))).scalar()
+    columns = top.columns
+    rows = top.agg(F.collect_list(F.struct(*columns)).alias("rows"))
     numbered = F.transform(
-        listed,
-        lambda item, i: F.struct(
-            (i + 1).alias("rank"), *(item.getField(c).alias(c) for c in top.columns)
+        "rows",
+        lambda row, i: F.struct(
+            (i + 1).alias("rank"), *(row.getField(c).alias(c) for c in columns)
         ),
     )
-    return numbered
+    return rows.select(numbered).scalar()
 
 
 def _geocode_errors(report: DataFrame) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -103,10 +103,23 @@ def lazy(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-@dataclass(frozen=True)
-class Feeds:
+class Tables:
+    """Named frames as attributes. Subclasses may build each one when it is first asked for, so a
+    query that needs one table does not pay for planning the others."""
+
+    NAMES: tuple[str, ...] = ()
+
+    def __init__(self, **frames: DataFrame):
+        self.__dict__.update(frames)
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, getattr(self, name)) for name in self.NAMES]
+
+
+class Feeds(Tables):
     """The six raw feeds, all columns text."""
 
+    NAMES = tuple(CONTRACT_BY_NAME)
     patent: DataFrame
     abstract: DataFrame
     inventor: DataFrame
@@ -114,25 +127,16 @@ class Feeds:
     location: DataFrame
     cpc: DataFrame
 
-    def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
-
 
-@dataclass(frozen=True)
-class Star:
+class Star(Tables):
     """The four queried tables. Ids are unique in each entity table after the quality stage."""
 
+    NAMES = tuple(STAR_SCHEMAS)
     patents: DataFrame
     inventors: DataFrame
     companies: DataFrame
     relations: DataFrame
 
-    def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
-
-    def map(self, fn: Stage) -> "Star":
-        return Star(*(fn(df, name) for name, df in self.items()))
-
     def create_views(self) -> None:
         """Offer the four tables to ``spark.sql`` under their own names."""
         for name, df in self.items():

@@ -7,6 +7,8 @@ some values are blanked by rules on their keys, to give the filters and repairs
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ class BenchmarkTables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        table = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        self.__dict__[name] = table
+        return table
 
 
 def _text(name: str) -> Column:
@@ -47,54 +51,80 @@ def _place_id(name: str) -> Column:
     return F.concat(F.lit("n"), _text(name))
 
 
-def stand_in_feeds(spark: SparkSession, folder: str) -> Feeds:
-    """The six raw feeds, all text."""
-    t = BenchmarkTables(spark, folder)
-    held_back = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0)
-    draft = F.col("o_orderpriority") == "4-NOT SPECIFIED"
-    patent = t.orders.select(
-        _text("o_orderkey").alias("patent_id"),
-        _order_title().alias("patent_title"),
-        _blank_every("o_orderkey", 101, F.col("o_orderdate").cast("date").cast("string")).alias(
-            "patent_date"
-        ),
-        F.when(draft, F.lit("design")).otherwise(F.lit("utility")).alias("patent_type"),
-        F.when(held_back, F.lit("1")).otherwise(F.lit(" 0")).alias("withdrawn"),
-    )
-    abstract = t.documents.select(
-        _text("doc_id").alias("patent_id"), F.col("text").alias("patent_abstract")
-    )
-    inventor = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        _text("l_orderkey").alias("patent_id"),
-        _text("s_suppkey").alias("inventor_id"),
-        F.substring("s_name", 1, 8).alias("disambig_inventor_name_first"),
-        _blank_every("s_suppkey", 10, F.substring("s_name", 9, 20)).alias(
-            "disambig_inventor_name_last"
-        ),
-        _place_id("s_nationkey").alias("location_id"),
-    )
-    owned = t.orders.where(F.col("o_orderpriority") != "5-LOW")
-    assignee = owned.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        _text("o_orderkey").alias("patent_id"),
-        _text("c_custkey").alias("assignee_id"),
-        _blank_every("c_custkey", 3, F.col("c_name")).alias("disambig_assignee_organization"),
-        _blank_every("c_custkey", 6, F.col("c_mktsegment")).alias(
-            "disambig_assignee_individual_name_first"
-        ),
-        F.lit(None).cast("string").alias("disambig_assignee_individual_name_last"),
-        _text("c_nationkey").alias("assignee_type"),
-        _place_id("c_nationkey").alias("location_id"),
-    )
-    location = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        _place_id("n_nationkey").alias("location_id"),
-        F.when(F.col("n_nationkey") != 0, F.col("n_name")).alias("disambig_country"),
-        F.col("r_name").alias("disambig_city"),
-        F.concat(F.lit("S"), _text("r_regionkey")).alias("disambig_state"),
-    )
-    cpc = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        _text("l_orderkey").alias("patent_id"), F.col("p_brand").alias("cpc_group")
-    )
-    return Feeds(patent, abstract, inventor, assignee, location, cpc)
+class StandInFeeds(Feeds):
+    """The six raw feeds over the benchmark tables, all text."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._tables = BenchmarkTables(spark, folder)
+
+    @cached_property
+    def patent(self) -> DataFrame:
+        held_back = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0)
+        draft = F.col("o_orderpriority") == "4-NOT SPECIFIED"
+        date = F.col("o_orderdate").cast("date").cast("string")
+        return self._tables.orders.select(
+            _text("o_orderkey").alias("patent_id"),
+            _order_title().alias("patent_title"),
+            _blank_every("o_orderkey", 101, date).alias("patent_date"),
+            F.when(draft, F.lit("design")).otherwise(F.lit("utility")).alias("patent_type"),
+            F.when(held_back, F.lit("1")).otherwise(F.lit(" 0")).alias("withdrawn"),
+        )
+
+    @cached_property
+    def abstract(self) -> DataFrame:
+        return self._tables.documents.select(
+            _text("doc_id").alias("patent_id"), F.col("text").alias("patent_abstract")
+        )
+
+    @cached_property
+    def inventor(self) -> DataFrame:
+        t = self._tables
+        links = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        return links.select(
+            _text("l_orderkey").alias("patent_id"),
+            _text("s_suppkey").alias("inventor_id"),
+            F.substring("s_name", 1, 8).alias("disambig_inventor_name_first"),
+            _blank_every("s_suppkey", 10, F.substring("s_name", 9, 20)).alias(
+                "disambig_inventor_name_last"
+            ),
+            _place_id("s_nationkey").alias("location_id"),
+        )
+
+    @cached_property
+    def assignee(self) -> DataFrame:
+        t = self._tables
+        owned = t.orders.where(F.col("o_orderpriority") != "5-LOW")
+        links = owned.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        return links.select(
+            _text("o_orderkey").alias("patent_id"),
+            _text("c_custkey").alias("assignee_id"),
+            _blank_every("c_custkey", 3, F.col("c_name")).alias("disambig_assignee_organization"),
+            _blank_every("c_custkey", 6, F.col("c_mktsegment")).alias(
+                "disambig_assignee_individual_name_first"
+            ),
+            F.lit(None).cast("string").alias("disambig_assignee_individual_name_last"),
+            _text("c_nationkey").alias("assignee_type"),
+            _place_id("c_nationkey").alias("location_id"),
+        )
+
+    @cached_property
+    def location(self) -> DataFrame:
+        t = self._tables
+        places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        return places.select(
+            _place_id("n_nationkey").alias("location_id"),
+            F.when(F.col("n_nationkey") != 0, F.col("n_name")).alias("disambig_country"),
+            F.col("r_name").alias("disambig_city"),
+            F.concat(F.lit("S"), _text("r_regionkey")).alias("disambig_state"),
+        )
+
+    @cached_property
+    def cpc(self) -> DataFrame:
+        t = self._tables
+        codes = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        return codes.select(
+            _text("l_orderkey").alias("patent_id"), F.col("p_brand").alias("cpc_group")
+        )
 
 
 def _by_nation(nation: str, first: str, second: str, third: str, rest: Column) -> Column:
@@ -122,57 +152,79 @@ def _placed(df: DataFrame, nations: DataFrame, key: str) -> DataFrame:
     )
 
 
-def dirty_star(spark: SparkSession, folder: str) -> Star:
+def _twice(df: DataFrame, balance: str) -> DataFrame:
+    """Repeat the rows with a negative balance under another name."""
+    second = df.where(F.col(balance) < 0).withColumn("name", F.lit("~copy"))
+    return df.unionByName(second)
+
+
+class DirtyStar(Star):
     """A star as no cleaning has touched it: repeated ids, blanks, wrong places and orphans.
 
     Orders without a priority, suppliers of nation 5 and customers in machinery are missing from
     the entity tables while line items still refer to them. Urgent orders and entities with a
     negative balance appear twice.
     """
-    t = BenchmarkTables(spark, folder)
-    orders = t.orders.where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
-    year = F.year("o_orderdate") + F.when(F.col("o_totalprice") > 450000, 100).otherwise(0)
-    texts = t.documents.select("doc_id", "text")
-    first = orders.join(texts, F.col("o_orderkey") == F.col("doc_id"), "left").select(
-        _text("o_orderkey").alias("patent_id"),
-        _order_title().alias("title"),
-        F.col("text").alias("abstract"),
-        _blank_every("o_orderkey", 101, F.col("o_orderdate").cast("date")).alias("filing_date"),
-        year.alias("year"),
-    )
-    again = orders.where(F.col("o_orderpriority") == "1-URGENT").select(
-        _text("o_orderkey").alias("patent_id"),
-        F.lit("Zweitschrift").alias("title"),
-        F.lit(None).cast("string").alias("abstract"),
-        F.col("o_orderdate").cast("date").alias("filing_date"),
-        F.year("o_orderdate").alias("year"),
-    )
 
-    def twice(df: DataFrame, balance: str) -> DataFrame:
-        second = df.where(F.col(balance) < 0).withColumn("name", F.lit("~copy"))
-        return df.unionByName(second)
-
-    suppliers = _placed(t.supplier.where(F.col("s_nationkey") != 5), t.nation, "s_nationkey")
-    suppliers = suppliers.withColumn("name", _blank_every("s_suppkey", 10, F.col("s_name")))
-    inventors = twice(suppliers, "s_acctbal").select(
-        _text("s_suppkey").alias("inventor_id"), "name", "country", "city", "state"
-    )
-    customers = t.customer.where(F.col("c_mktsegment") != "MACHINERY")
-    customers = _placed(customers, t.nation, "c_nationkey").withColumn(
-        "name", _blank_every("c_custkey", 6, F.col("c_name"), F.lit(" "))
-    )
-    companies = twice(customers, "c_acctbal").select(
-        _text("c_custkey").alias("company_id"),
-        "name",
-        F.col("c_nationkey").alias("assignee_type"),
-        "country",
-        "city",
-        "state",
-    )
-    owner = F.when(F.col("o_orderpriority") != "5-LOW", _text("o_custkey"))
-    links = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _text("l_orderkey").alias("patent_id"),
-        _text("l_suppkey").alias("inventor_id"),
-        owner.alias("company_id"),
-    )
-    return Star(first.unionByName(again), inventors, companies, links.distinct())
+    def __init__(self, spark: SparkSession, folder: str):
+        self._tables = BenchmarkTables(spark, folder)
+
+    @cached_property
+    def patents(self) -> DataFrame:
+        t = self._tables
+        orders = t.orders.where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
+        misread = F.when(F.col("o_totalprice") > 450000, 100).otherwise(0)
+        texts = t.documents.select("doc_id", "text")
+        first = orders.join(texts, F.col("o_orderkey") == F.col("doc_id"), "left").select(
+            _text("o_orderkey").alias("patent_id"),
+            _order_title().alias("title"),
+            F.col("text").alias("abstract"),
+            _blank_every("o_orderkey", 101, F.col("o_orderdate").cast("date")).alias("filing_date"),
+            (F.year("o_orderdate") + misread).alias("year"),
+        )
+        again = orders.where(F.col("o_orderpriority") == "1-URGENT").select(
+            _text("o_orderkey").alias("patent_id"),
+            F.lit("Zweitschrift").alias("title"),
+            F.lit(None).cast("string").alias("abstract"),
+            F.col("o_orderdate").cast("date").alias("filing_date"),
+            F.year("o_orderdate").alias("year"),
+        )
+        return first.unionByName(again)
+
+    @cached_property
+    def inventors(self) -> DataFrame:
+        t = self._tables
+        listed = t.supplier.where(F.col("s_nationkey") != 5)
+        named = _placed(listed, t.nation, "s_nationkey").withColumn(
+            "name", _blank_every("s_suppkey", 10, F.col("s_name"))
+        )
+        return _twice(named, "s_acctbal").select(
+            _text("s_suppkey").alias("inventor_id"), "name", "country", "city", "state"
+        )
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        t = self._tables
+        listed = t.customer.where(F.col("c_mktsegment") != "MACHINERY")
+        named = _placed(listed, t.nation, "c_nationkey").withColumn(
+            "name", _blank_every("c_custkey", 6, F.col("c_name"), F.lit(" "))
+        )
+        return _twice(named, "c_acctbal").select(
+            _text("c_custkey").alias("company_id"),
+            "name",
+            F.col("c_nationkey").alias("assignee_type"),
+            "country",
+            "city",
+            "state",
+        )
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        t = self._tables
+        owner = F.when(F.col("o_orderpriority") != "5-LOW", _text("o_custkey"))
+        links = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return links.select(
+            _text("l_orderkey").alias("patent_id"),
+            _text("l_suppkey").alias("inventor_id"),
+            owner.alias("company_id"),
+        ).distinct()

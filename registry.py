@@ -9,21 +9,15 @@ from pyspark.sql import functions as F
 
 from grantstar.operators.keyed import duplicate_rows, keep_first
 from grantstar.operators.linking import bridge
-from grantstar.operators.ranking import top_k
 from grantstar.plans import analytics as a
 from grantstar.plans import clean as c
 from grantstar.plans import profile as p
 from grantstar.plans import quality as q
 from grantstar.plans.report import report_json, summary_metrics
-from grantstar.schemas import Feeds, Star
+from grantstar.schemas import Stage
 from grantstar.session import table_stage, tune
 from grantstar.sources.feeds import check_feeds
-from grantstar.sources.stand_in import (
-    CLASS_PREFIX,
-    SUBCLASS_PREFIXES,
-    dirty_star,
-    stand_in_feeds,
-)
+from grantstar.sources.stand_in import CLASS_PREFIX, SUBCLASS_PREFIXES, DirtyStar, StandInFeeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,31 +47,37 @@ def _as_text_dates(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("string") for n in dates}) if dates else df
 
 
-def _cleaned(spark: SparkSession, folder: str) -> Star:
-    return c.clean(stand_in_feeds(spark, folder), CLASS_PREFIX)
+def _cleaned(spark: SparkSession, folder: str) -> c.CleanStar:
+    return c.clean(StandInFeeds(spark, folder), CLASS_PREFIX)
+
 
+_STARS: dict[tuple[str, str], q.CheckedStar] = {}
 
-def _checked(spark: SparkSession, folder: str) -> Star:
-    return q.quality_check(_cleaned(spark, folder))[0]
 
+def _checked(spark: SparkSession, folder: str) -> q.CheckedStar:
+    """The checked star of a folder. Its stages are written to the shared folder when a query
+    first needs them, and all queries of the application read those tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STARS:
+        stage = table_stage(spark)
+        cleaned = c.CleanStar(StandInFeeds(spark, folder), CLASS_PREFIX, _only(stage, "chosen"))
+        _STARS[key] = q.quality_check(cleaned, stage)
+    return _STARS[key]
 
-def _dirty(spark: SparkSession, folder: str) -> Star:
-    return dirty_star(spark, folder)
 
+def _only(stage: Stage, start: str) -> Stage:
+    """Writes the frames whose name starts so, and leaves the others lazy."""
+    return lambda df, name: stage(df, name) if name.startswith(start) else df
 
-def _stored(spark: SparkSession, folder: str) -> tuple[Feeds, Star, DataFrame]:
-    """For results with many sections: the checked star is written once and read by all."""
-    feeds = stand_in_feeds(spark, folder)
-    stage = table_stage(spark)
-    star, report = q.quality_check(c.clean(feeds, CLASS_PREFIX), stage)
-    return feeds, star.map(stage), stage(report, "quality_report")
+
+def _checked_dirty(spark: SparkSession, folder: str) -> q.CheckedStar:
+    return q.quality_check(DirtyStar(spark, folder))
 
 
 over_star = _register(_checked)
 over_clean = _register(_cleaned)
-over_dirty = _register(_dirty)
-over_feeds = _register(stand_in_feeds)
-over_stored = _register(_stored)
+over_dirty = _register(_checked_dirty)
+over_feeds = _register(StandInFeeds)
 
 # --- analytics over the checked star -----------------------------------------------------------
 over_star("top_inventors", a.top_inventors)
@@ -158,27 +158,32 @@ over_clean("most_common_inventor_countries", lambda s: p.most_common_countries(s
 over_clean("most_common_company_countries", lambda s: p.most_common_countries(s.companies))
 
 # --- checks and repairs ------------------------------------------------------------------------
-over_dirty("quality_report", lambda s: q.quality_check(s)[1])
-over_dirty("null_summary", lambda s: q.star_null_summary(q.quality_check(s)[0]))
-over_dirty("repaired_patents", lambda s: q.quality_check(s)[0].patents)
-over_dirty("repair_geocodes", lambda s: q.quality_check(s)[0].inventors)
-over_dirty("repair_company_geocodes", lambda s: q.quality_check(s)[0].companies)
-over_dirty("cascade_empty_names", lambda s: q.quality_check(s)[0].relations)
+over_dirty("quality_report", lambda s: s.report)
+over_dirty("null_summary", q.star_null_summary)
+over_dirty("repaired_patents", lambda s: s.patents)
+over_dirty("repair_geocodes", lambda s: s.inventors)
+over_dirty("repair_company_geocodes", lambda s: s.companies)
+over_dirty("cascade_empty_names", lambda s: s.relations)
 over_dirty(
-    "orphan_relations", lambda s: q.relation_checks(q.assess(s).relations).where("found > 0")
+    "orphan_relations", lambda s: q.relation_checks(s.assessed_relations).where("found > 0")
 )
-over_dirty("duplicate_patent_rows", lambda s: duplicate_rows(s.patents, "patent_id"))
+_register(DirtyStar)("duplicate_patent_rows", lambda s: duplicate_rows(s.patents, "patent_id"))
 
 # --- reports -----------------------------------------------------------------------------------
-over_stored("summary_metrics", lambda x: summary_metrics(x[1], x[2], GROWTH))
-over_stored(
-    "report_json",
-    lambda x: report_json(
-        x[1],
-        x[0].cpc,
-        x[2],
+over_star("summary_metrics", lambda s: summary_metrics(s, s.report, GROWTH))
+
+
+def _report(spark: SparkSession, folder: str) -> DataFrame:
+    star = _checked(tune(spark), folder)
+    nested = report_json(
+        star,
+        StandInFeeds(spark, folder).cpc,
+        star.report,
         {prefix: "brand" for prefix in SUBCLASS_PREFIXES},
         GROWTH,
         generated="1970-01-01 00:00:00",
-    ).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report")),
-)
+    )
+    return nested.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
+
+
+QUERIES["report_json"] = _report
