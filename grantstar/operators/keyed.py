@@ -27,14 +27,13 @@ def keep_first(
 
     Spark has no file order, so "first" is spelled out. The rows meet in an aggregate, which
     combines on the map side: a key with any number of copies sends one row per map task, where a
-    ``row_number`` window would sort them all in one task. ``carry`` columns (long texts) come from
-    the same first row, but in an aggregate of their own, so that a query without them never reads
-    them. ``copies`` names a column that gets the number of rows the key had.
+    ``row_number`` window would sort them all in one task. ``carry`` columns (long texts) are the
+    last sort keys. They sit in an aggregate of their own, so that a query without them never
+    reads them. ``copies`` names a column that gets the number of rows the key had.
     """
     aggs = [F.min(nulls_last(*order)).alias("_first")]
     if carry:
-        rank = nulls_last(*order, *carry)
-        aggs.append(F.min_by(F.struct(*carry), rank).alias("_carry"))
+        aggs.append(F.min(nulls_last(*order, *carry)).alias("_carry"))
     if copies:
         aggs.append(F.count(F.lit(1)).alias(copies))
     kept = df.groupBy(key).agg(*aggs)

@@ -23,6 +23,6 @@ def patents_per_prefix(cpc: DataFrame, prefixes: Sequence[str]) -> DataFrame:
         "patent_id", F.explode(F.filter(table, lambda p: code.startswith(p))).alias("prefix")
     )
     counts = hits.groupBy("prefix").agg(F.countDistinct("patent_id").alias("patent_count"))
-    every = cpc.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    every = cpc.sparkSession.range(1).select(F.explode(table).alias("prefix"))
     found = every.join(counts, "prefix", "left")
     return found.select("prefix", F.coalesce("patent_count", F.lit(0)).alias("patent_count"))

@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 class FeedContract:
     """What one delimited raw feed must offer.
 
-    ``multiline`` says whether a quoted value may hold a newline. Such files cannot be split, so
-    feeds that carry only ids and codes are read line by line, in parallel.
+    ``multiline`` says whether a quoted value may hold a newline, which only free text does.
     """
 
     name: str

@@ -21,21 +21,30 @@ PANDAS_NULL_TOKENS = (
 _CONTRACT_REPORT = "feed string, exists boolean, missing_columns string, ok boolean"
 
 
-def _reader(spark: SparkSession, contract: FeedContract, multiline: bool | None, mode: str):
+def _reader(spark: SparkSession, multiline: bool, mode: str = "PERMISSIVE"):
     """Tab-separated text with doubled-quote escapes. Without a schema and without inference Spark
     takes the column names from the header line and reads all columns as text, so feeds may hold
     more columns than the contract, in any order."""
-    whole_values = contract.multiline if multiline is None else multiline
     return (
         spark.read.option("sep", "\t")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", whole_values)
+        .option("multiLine", multiline)
         .option("mode", mode)
     )
 
 
+def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether any value may run over a line end: some line then holds an odd number of quotes.
+
+    A file read with ``multiLine`` goes through one task as a whole. This look at the plain lines
+    is split like any text scan, and lets all files without such values be split as well.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_feed(
     spark: SparkSession,
     path: str | list[str],
@@ -48,10 +57,13 @@ def read_feed(
 
     ``path`` may be a file, a folder of part files or a list of paths; all must have the same
     header. Empty fields are null; ``null_tokens`` adds more texts that count as missing.
-    ``multiline`` overrides the contract, ``mode`` is Spark's treatment of malformed rows.
+    ``multiline`` says whether values hold line ends; by default the feeds with free text are
+    looked through for such values. ``mode`` is Spark's treatment of malformed rows.
     """
     contract = CONTRACT_BY_NAME[name]
-    raw = _reader(spark, contract, multiline, mode).csv(path)
+    if multiline is None:
+        multiline = contract.multiline and spans_lines(spark, path)
+    raw = _reader(spark, multiline, mode).csv(path)
     if not null_tokens:
         return raw.select(*contract.columns)
     tokens = list(null_tokens)
@@ -60,10 +72,10 @@ def read_feed(
     )
 
 
-def header_of(spark: SparkSession, path: str, name: str) -> list[str] | None:
-    """The column names of a feed, or null where the path does not exist."""
+def header_of(spark: SparkSession, path: str) -> list[str] | None:
+    """The column names of a feed, or None where the path does not exist."""
     try:
-        return _reader(spark, CONTRACT_BY_NAME[name], None, "PERMISSIVE").csv(path).columns
+        return _reader(spark, multiline=False).csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -83,7 +95,7 @@ def feed_paths(folder: str) -> dict[str, str]:
 def check_sources(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(feed, exists, missing_columns, ok), read off the header lines alone."""
     rows = [
-        _verdict(c, header_of(spark, paths[c.name], c.name) if c.name in paths else None)
+        _verdict(c, header_of(spark, paths[c.name]) if c.name in paths else None)
         for c in CONTRACTS
     ]
     return spark.createDataFrame(rows, _CONTRACT_REPORT)
@@ -115,8 +127,7 @@ def convert_feeds(
 ) -> Feeds:
     """Write the feeds as parquet and read them back.
 
-    A file with quoted newlines is read by one task; after this step every later scan is split,
-    pruned to the columns it needs and filtered at the source.
+    After this step every scan is split, pruned to the columns it needs and filtered at the source.
     """
     for contract in CONTRACTS:
         feed = read_feed(spark, paths[contract.name], contract.name, **options)

@@ -1,0 +1,112 @@
+import pytest
+
+from conftest import tuples
+from grantstar.schemas import CONTRACTS
+from grantstar.sources.feeds import (
+    PANDAS_NULL_TOKENS,
+    check_feeds,
+    check_sources,
+    convert_feeds,
+    feed_paths,
+    read_feed,
+    spans_lines,
+)
+
+
+def write(path, *lines):
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return str(path)
+
+
+PATENT_HEADER = "patent_id\tpatent_type\tpatent_date\tpatent_title\twipo_kind\twithdrawn"
+
+
+def test_columns_are_found_by_name_and_pruned(spark, tmp_path):
+    path = write(tmp_path / "p.tsv", PATENT_HEADER, "D1\tutility\t2020-01-02\tA title\tB2\t0")
+    feed = read_feed(spark, path, "patent")
+    assert feed.columns == ["patent_id", "patent_title", "patent_date", "patent_type", "withdrawn"]
+    assert tuples(feed) == [("D1", "A title", "2020-01-02", "utility", "0")]
+
+
+def test_quoted_tabs_newlines_and_quotes_stay_in_one_value(spark, tmp_path):
+    path = write(
+        tmp_path / "a.tsv",
+        "patent_id\tpatent_abstract",
+        '1\t"first line',
+        'second ""line""\twith tab"',
+        "2\tplain",
+    )
+    assert spans_lines(spark, path)
+    rows = dict(tuples(read_feed(spark, path, "abstract")))
+    assert rows == {"1": 'first line\nsecond "line"\twith tab', "2": "plain"}
+
+
+def test_balanced_quotes_leave_the_file_splittable(spark, tmp_path):
+    path = write(tmp_path / "a.tsv", "patent_id\tpatent_abstract", '1\t"a ""b"" c"', "2\td")
+    assert not spans_lines(spark, path)
+    rows = dict(tuples(read_feed(spark, path, "abstract")))
+    assert rows == {"1": 'a "b" c', "2": "d"}
+
+
+def test_null_text_is_kept_unless_asked_for(spark, tmp_path):
+    header = "location_id\tdisambig_country\tdisambig_city\tdisambig_state"
+    path = write(tmp_path / "l.tsv", header, "n1\tNA\tWindhoek\t", "n2\tUS\tNull\tNY")
+    kept = tuples(read_feed(spark, path, "location"))
+    assert kept == [("n1", "NA", "Windhoek", None), ("n2", "US", "Null", "NY")]
+    nulled = tuples(read_feed(spark, path, "location", null_tokens=PANDAS_NULL_TOKENS))
+    assert nulled == [("n1", None, "Windhoek", None), ("n2", "US", "Null", "NY")]
+    other = read_feed(spark, path, "location", null_tokens=["Null", "NY"])
+    assert tuples(other)[1] == ("n2", "US", None, None)
+
+
+def test_ids_stay_text(spark, tmp_path):
+    path = write(tmp_path / "c.tsv", "patent_id\tcpc_group", "D345393\tY02T10/70", "0042\tY02T90/14")
+    assert tuples(read_feed(spark, path, "cpc")) == [("D345393", "Y02T10/70"), ("0042", "Y02T90/14")]
+
+
+def test_a_folder_of_parts_is_one_feed(spark, tmp_path):
+    folder = tmp_path / "cpc"
+    folder.mkdir()
+    write(folder / "1.tsv", "patent_id\tcpc_group", "1\tA")
+    write(folder / "2.tsv", "patent_id\tcpc_group", "2\tB")
+    assert sorted(tuples(read_feed(spark, str(folder), "cpc"))) == [("1", "A"), ("2", "B")]
+
+
+def test_contract_check_names_what_is_missing(spark, tmp_path):
+    for contract in CONTRACTS:
+        columns = [c for c in contract.columns if c not in ("cpc_group", "disambig_city")]
+        if contract.name != "assignee":
+            write(tmp_path / contract.file, "\t".join(columns))
+    result = {r.feed: tuple(r)[1:] for r in check_sources(spark, feed_paths(str(tmp_path))).collect()}
+    assert result["patent"] == (True, "", True)
+    assert result["assignee"] == (False, "", False)
+    assert result["cpc"] == (True, "cpc_group", False)
+    assert result["location"] == (True, "disambig_city", False)
+
+
+def test_loaded_feeds_are_checked_and_counted(spark, feeds):
+    result = {r.feed: r for r in check_feeds(feeds(cpc=[("1", "A"), ("2", "B")])).collect()}
+    assert result["cpc"].ok and result["cpc"].rows == 2
+    broken = feeds()
+    broken.patent = broken.patent.drop("withdrawn")
+    verdict = {r.feed: r for r in check_feeds(broken).collect()}["patent"]
+    assert not verdict.ok and verdict.missing_columns == "withdrawn"
+
+
+def test_conversion_keeps_all_rows(spark, tmp_path):
+    for contract in CONTRACTS:
+        write(
+            tmp_path / contract.file,
+            "\t".join(contract.columns),
+            "\t".join("1" for _ in contract.columns),
+            "\t".join("2" for _ in contract.columns),
+        )
+    stored = convert_feeds(spark, feed_paths(str(tmp_path)), str(tmp_path / "parquet"), rows_per_file=1)
+    for name, df in stored.items():
+        assert df.count() == 2, name
+    assert len(stored.cpc.inputFiles()) == 2
+
+
+def test_missing_path_is_an_error_when_read(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_feed(spark, str(tmp_path / "none.tsv"), "cpc")
