@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 def nulls_last(*names: str) -> Column:
     """A struct that compares column by column in ascending order with nulls after values."""
-    parts = []
-    for name in names:
-        parts += [F.col(name).isNull().alias(f"{name}_missing"), F.col(name)]
-    return F.struct(*parts)
+    return F.expr(f"struct({', '.join(f'`{n}` is null as `{n}_missing`, `{n}`' for n in names)})")
 
 
 def keep_first(
@@ -37,11 +34,8 @@ def keep_first(
     if copies:
         aggs.append(F.count(F.lit(1)).alias(copies))
     kept = df.groupBy(key).agg(*aggs)
-    columns = [F.col(key)] + [F.col(f"_first.{c}").alias(c) for c in order if c != key]
-    columns += [F.col(f"_carry.{c}").alias(c) for c in carry]
-    if copies:
-        columns.append(F.col(copies))
-    return kept.select(*columns)
+    columns = [key] + [f"_first.`{c}`" for c in order if c != key] + [f"_carry.`{c}`" for c in carry]
+    return kept.select(*columns, *([copies] if copies else []))
 
 
 def duplicate_rows(df: DataFrame, key: str) -> DataFrame:

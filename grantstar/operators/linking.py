@@ -23,17 +23,17 @@ def null_unknown(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return joined.withColumn(key, F.when(F.col("_known"), F.col(key))).select(*df.columns)
 
 
-def bridge(inventor_links: DataFrame, owner_links: DataFrame) -> DataFrame:
+def bridge(patents: DataFrame, inventor_links: DataFrame, owner_links: DataFrame) -> DataFrame:
     """(patent, inventor) left-joined to (patent, company): one row per combination.
 
-    A left outer join can split a hot patent on its left side only. Here the patents that have no
-    owner get one explicit row with a null company first, so the large join is an inner one and
-    may be split on either side.
+    A left outer join can split a hot patent on its left side only. Here the ``patents`` that have
+    no owner get one explicit row with a null company first, so the large join is an inner one and
+    may be split on either side. ``patents`` must hold every patent id of the inventor links.
     """
     inventors = inventor_links.select("patent_id", "inventor_id").distinct()
     owners = owner_links.select("patent_id", "company_id").distinct()
-    patents = inventor_links.select("patent_id").distinct()
-    unowned = only_unknown(patents, owner_links.select("patent_id").distinct(), "patent_id")
+    owned = owner_links.select("patent_id").distinct()
+    unowned = only_unknown(patents.select("patent_id").distinct(), owned, "patent_id")
     no_company = F.lit(None).cast("string").alias("company_id")
     owners = owners.unionByName(unowned.select("patent_id", no_company))
     return inventors.join(owners, "patent_id").select("patent_id", "inventor_id", "company_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,27 +14,32 @@ def count_if(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
-def to_rows(row: DataFrame, entries: list[tuple[Column, ...]], names: list[str]) -> DataFrame:
-    """Turn one aggregate row into one row per entry."""
-    structs = [F.struct(*(c.alias(n) for c, n in zip(entry, names))) for entry in entries]
-    return row.select(F.inline(F.array(*structs)))
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def to_rows(row: DataFrame, entries: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
+    """Turn one aggregate row into one row per entry; entries are SQL expressions over the row."""
+    structs = [
+        "named_struct(" + ", ".join(f"{sql_text(n)}, {e}" for n, e in zip(names, entry)) + ")"
+        for entry in entries
+    ]
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def null_summary(df: DataFrame, table: str, expected_below: float = 70.0) -> DataFrame:
     """(table, column, nulls, pct, expected) for the columns that hold nulls."""
-    counts = [count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
-    entries = [
-        (F.lit(table), F.lit(c), F.col(f"n{i}"), F.col("rows")) for i, c in enumerate(df.columns)
-    ]
+    counts = [f"count_if(`{c}` is null) as n{i}" for i, c in enumerate(df.columns)]
+    row = df.selectExpr("count(1) as rows", *counts)
+    entries = [(sql_text(table), sql_text(c), f"n{i}", "rows") for i, c in enumerate(df.columns)]
     nulls = to_rows(row, entries, ["table", "column", "nulls", "rows"]).where("nulls > 0")
-    exact = F.lit(100).cast("double") * F.col("nulls") / F.col("rows")
     return nulls.select(
         "table",
         "column",
         "nulls",
         percent(F.col("nulls"), F.col("rows"), 1).alias("pct"),
-        (exact < expected_below).alias("expected"),
+        (100 * F.col("nulls") < expected_below * F.col("rows")).alias("expected"),
     )
 
 

@@ -166,18 +166,27 @@ def companies_in_country(star: Star, country: str) -> DataFrame:
 
 
 def suspicious_geocodes(star: Star, country: str, k: int = 10) -> DataFrame:
-    """Patents and inventors behind the companies of one country, the first k links."""
-    here = star.companies.where(F.col("country") == country).select(
-        "company_id", F.col("name").alias("company"), "country", "city"
-    )
+    """Patents and inventors behind the companies of one country, the first k links.
+
+    The k links are found on ids alone; titles and names are looked up for those k only.
+    """
+    here = star.companies.where(F.col("country") == country)
+    links = star.relations.where(F.col("company_id").isNotNull())
+    for entities, key in (
+        (here, "company_id"),
+        (star.patents, "patent_id"),
+        (star.inventors, "inventor_id"),
+    ):
+        links = only_known(links, entities, key)
+    order = ["company_id", "patent_id", "inventor_id"]
+    first = F.broadcast(links.orderBy(*order).limit(k))
+    owners = here.select("company_id", F.col("name").alias("company"), "country", "city")
     people = star.inventors.select(
         "inventor_id", F.col("name").alias("inventor"), F.col("country").alias("inv_country")
     )
-    links = star.relations.join(here, "company_id")
-    rows = links.join(star.patents.select("patent_id", "title", "year"), "patent_id")
-    rows = rows.join(people, "inventor_id")
-    first = rows.orderBy("company_id", "patent_id", "inventor_id").limit(k)
-    return first.select("company", "country", "city", "title", "year", "inventor", "inv_country")
+    rows = star.patents.select("patent_id", "title", "year").join(first, "patent_id")
+    rows = rows.join(owners, "company_id").join(people, "inventor_id").orderBy(*order).limit(k)
+    return rows.select("company", "country", "city", "title", "year", "inventor", "inv_country")
 
 
 # --- years -------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from grantstar.functions.text import full_name, resolve_name, strip, to_date, to_int
 from grantstar.operators.keyed import keep_first
 from grantstar.operators.linking import bridge, only_known
-from grantstar.operators.profiling import count_if, to_rows
+from grantstar.operators.profiling import count_if, sql_text, to_rows
 from grantstar.schemas import Feeds, Stage, Star, lazy
+from grantstar.session import concurrently
 
 # Fixed value: the parent class whose patents the pipeline selects.
 GREEN_TRANSPORT = "Y02T"
@@ -152,7 +153,13 @@ class CleanStar(Star):
     @cached_property
     def relations(self) -> DataFrame:
         owners = self._owner_links.withColumnRenamed("assignee_id", "company_id")
-        return self._stage(bridge(self._inventor_links, owners), "relations")
+        return self._stage(bridge(self.chosen, self._inventor_links, owners), "relations")
+
+    def build(self) -> "CleanStar":
+        """Run a writing stage for all tables now: the chosen patents, then the rest at once."""
+        _ = self.chosen
+        concurrently(*(partial(getattr, self, name) for name in self.NAMES))
+        return self
 
 
 def clean(feeds: Feeds, prefix: str = GREEN_TRANSPORT, stage: Stage = lazy) -> CleanStar:
@@ -185,5 +192,5 @@ def filter_funnel(feeds: Feeds, prefix: str = GREEN_TRANSPORT) -> DataFrame:
     entries = []
     for number, (name, _) in enumerate(steps):
         before = steps[max(number - 1, 0)][0]
-        entries.append((F.lit(number), F.lit(name), F.col(name), F.col(before) - F.col(name)))
+        entries.append((str(number), sql_text(name), name, f"{before} - {name}"))
     return to_rows(row, entries, ["step_no", "step", "rows", "removed"])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from grantstar.plans import analytics
 from grantstar.plans.clean import GREEN_TRANSPORT, clean
 from grantstar.plans.profile import verify_tables
-from grantstar.plans.quality import quality_check
+from grantstar.plans.quality import CheckedStar, quality_check
 from grantstar.plans.report import report_json, summary_metrics
 from grantstar.schemas import Feeds, Star
-from grantstar.session import table_stage
+from grantstar.session import concurrently, table_stage
 from grantstar.sinks.tables import write_json, write_result_csv, write_star
 from grantstar.sources.feeds import check_sources, convert_feeds, feed_paths
 from grantstar.sources.tables import read_star
@@ -30,26 +32,47 @@ def results(star: Star) -> dict[str, DataFrame]:
     }
 
 
+def checked_star(feeds: Feeds, prefix: str, folder: str | None = None) -> CheckedStar:
+    """Clean and check the feeds, storing what more than one later step reads.
+
+    Those are the chosen patents, by which all link feeds are cut, and the assessed tables, from
+    which both the repaired star and the report come. The clean tables between them have one
+    reader each and are not stored.
+    """
+    stage = table_stage(feeds.patent.sparkSession, folder, _STORED)
+    return quality_check(clean(feeds, prefix, stage), stage)
+
+
+_STORED = (
+    "chosen_patents",
+    "assessed_patents",
+    "assessed_inventors",
+    "assessed_companies",
+    "assessed_relations",
+    "quality_report",
+)
+
+
 def build_star(
     feeds: Feeds, folder: str, prefix: str = GREEN_TRANSPORT, cluster: bool = False
 ) -> tuple[Star, DataFrame]:
-    """Clean and check the feeds, storing each stage under its own folder; star and report.
+    """The stored star and the stored quality report.
 
     No folder is read and written at once, so a failed run can be repeated from its inputs.
     """
-    spark = feeds.patent.sparkSession
-    cleaned = clean(feeds, prefix, table_stage(spark, f"{folder}/clean"))
-    checked = quality_check(cleaned, table_stage(spark, f"{folder}/assessed"))
-    write_star(checked, f"{folder}/star", cluster)
-    return read_star(spark, f"{folder}/star"), checked.report
+    checked = checked_star(feeds, prefix, f"{folder}/stages")
+    _ = checked.assessed_relations
+    concurrently(lambda: write_star(checked, f"{folder}/star", cluster), lambda: checked.report)
+    return read_star(feeds.patent.sparkSession, f"{folder}/star"), checked.report
 
 
 def write_results(star: Star, report: DataFrame, cpc: DataFrame, folder: str) -> None:
     """Result CSVs, the summary CSV and the JSON report."""
-    for name, df in results(star).items():
-        write_result_csv(df, f"{folder}/{name}")
-    write_result_csv(summary_metrics(star, report), f"{folder}/pipeline_summary")
-    write_json(report_json(star, cpc, report), f"{folder}/report")
+    tables = results(star) | {"pipeline_summary": summary_metrics(star, report)}
+    concurrently(
+        *(partial(write_result_csv, df, f"{folder}/{name}") for name, df in tables.items()),
+        partial(write_json, report_json(star, cpc, report), f"{folder}/report"),
+    )
 
 
 def run_pipeline(

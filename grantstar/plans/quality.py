@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from grantstar.functions.text import blank_to_null, to_int
 from grantstar.operators.keyed import keep_first
-from grantstar.operators.profiling import count_if, null_summary, to_rows
+from grantstar.operators.profiling import count_if, null_summary, sql_text, to_rows
 from grantstar.schemas import Stage, Star, lazy
+from grantstar.session import concurrently
 
 # The range of valid grant years.
 FIRST_YEAR = 1976
@@ -180,9 +181,9 @@ def _report_rows(
     row = assessed.agg(*(F.coalesce(c, F.lit(0)).alias(check_id) for check_id, _, c, _ in checks))
     entries = []
     for check_id, text, _, action in checks:
-        found = F.col(check_id)
-        fixed = F.lit(0).cast("long") if action == _ONLY_REPORT else found
-        entries.append((F.lit(check_id), F.lit(table), F.lit(text), found, fixed, F.lit(action)))
+        fixed = "0L" if action == _ONLY_REPORT else check_id
+        texts = [sql_text(t) for t in (check_id, table, text, action)]
+        entries.append((*texts[:3], check_id, fixed, texts[3]))
     return to_rows(row, entries, _REPORT)
 
 
@@ -287,13 +288,13 @@ class CheckedStar(Star):
 
     @cached_property
     def assessed_relations(self) -> DataFrame:
-        assessed = assess_relations(
-            self._star.relations,
-            self.assessed_patents,
-            self.assessed_inventors,
-            self.assessed_companies,
+        links = self._star.relations
+        entities = concurrently(
+            lambda: self.assessed_patents,
+            lambda: self.assessed_inventors,
+            lambda: self.assessed_companies,
         )
-        return self._stage(assessed, "assessed_relations")
+        return self._stage(assess_relations(links, *entities), "assessed_relations")
 
     @cached_property
     def patents(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantstar.operators.profiling import missing_share, to_rows
+from grantstar.operators.profiling import missing_share, sql_text, to_rows
 from grantstar.plans.analytics import (
     SUBCATEGORIES,
     country_share,
@@ -29,30 +29,39 @@ def summary_metrics(
 ) -> DataFrame:
     """(metric, value): sixteen headline values, all as text."""
 
-    def leader(df: DataFrame, column: str) -> Column:
-        return df.select(column).scalar()
+    def leader(df: DataFrame, column: str, name: str) -> Column:
+        return df.select(column).scalar().alias(name)
 
     inventor, company = top_inventors(star, 1), top_companies(star, 1)
-    row = dataset_kpis(star, growth)
-    metrics = [
-        ("Total green transport patents", F.col("total_patents")),
-        ("Year range (from)", F.col("first_year")),
-        ("Year range (to)", F.col("last_year")),
-        ("Unique inventors", F.col("total_inventors")),
-        ("Unique companies", F.col("total_companies")),
-        ("Unassigned patents", F.col("unassigned_patents")),
-        ("Peak filing year", F.col("peak_year")),
-        ("Peak year patent count", F.col("peak_patents")),
-        (f"Growth {growth[0]}-{growth[1]} (%)", F.col("growth_pct")),
-        ("Top inventor", leader(inventor, "name")),
-        ("Top inventor patents", leader(inventor, "patent_count")),
-        ("Top company", leader(company, "name")),
-        ("Top company patents", leader(company, "patent_count")),
-        ("Top country (inventor)", leader(country_share(star, "inventor", 1), "country")),
-        ("Top country (company)", leader(country_share(star, "company", 1), "country")),
-        ("Geocoding errors fixed", _sum_of(report, "Q09", "Q12")),
-    ]
-    entries = [(F.lit(name), value.cast("string")) for name, value in metrics]
+    row = dataset_kpis(star, growth).select(
+        "*",
+        leader(inventor, "name", "top_inventor"),
+        leader(inventor, "patent_count", "top_inventor_patents"),
+        leader(company, "name", "top_company"),
+        leader(company, "patent_count", "top_company_patents"),
+        leader(country_share(star, "inventor", 1), "country", "top_inventor_country"),
+        leader(country_share(star, "company", 1), "country", "top_company_country"),
+        _sum_of(report, "Q09", "Q12").alias("geocodes_fixed"),
+    )
+    metrics = {
+        "Total green transport patents": "total_patents",
+        "Year range (from)": "first_year",
+        "Year range (to)": "last_year",
+        "Unique inventors": "total_inventors",
+        "Unique companies": "total_companies",
+        "Unassigned patents": "unassigned_patents",
+        "Peak filing year": "peak_year",
+        "Peak year patent count": "peak_patents",
+        f"Growth {growth[0]}-{growth[1]} (%)": "growth_pct",
+        "Top inventor": "top_inventor",
+        "Top inventor patents": "top_inventor_patents",
+        "Top company": "top_company",
+        "Top company patents": "top_company_patents",
+        "Top country (inventor)": "top_inventor_country",
+        "Top country (company)": "top_company_country",
+        "Geocoding errors fixed": "geocodes_fixed",
+    }
+    entries = [(sql_text(name), f"cast({column} as string)") for name, column in metrics.items()]
     return to_rows(row, entries, ["metric", "value"])
 
 
@@ -111,12 +120,14 @@ def report_json(
     """
     names = SUBCATEGORIES if subcategories is None else subcategories
     breakdown = subcategory_breakdown(cpc, tuple(names))
-    counts = breakdown.agg(F.map_from_entries(F.collect_list(F.struct("*")))).scalar()
+    counts = breakdown.agg(F.map_from_entries(F.collect_list(F.struct("*"))).alias("counts"))
     now = F.lit(generated) if generated else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-    sections = F.struct(
-        *(counts.getItem(prefix).alias(f"{prefix}_{label}") for prefix, label in names.items()),
-        F.lit("patents may appear in multiple subcategories").alias("note"),
-    )
+    sections = counts.select(
+        F.struct(
+            *(F.col("counts")[prefix].alias(f"{prefix}_{label}") for prefix, label in names.items()),
+            F.lit("patents may appear in multiple subcategories").alias("note"),
+        )
+    ).scalar()
     inventor_gap = missing_share(star.inventors, "country", "inventors").select("missing_pct")
     company_gap = missing_share(star.companies, "country", "companies").select("missing_pct")
     dataset = F.struct(

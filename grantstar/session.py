@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Container
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from grantstar.schemas import Stage
@@ -18,6 +22,10 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Fixed when a session starts. The call-site record of every column expression costs more than
+# planning does for plans built from many expressions.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply ``RUNTIME_CONF`` to a session that somebody else has built."""
@@ -31,7 +39,7 @@ def build_session(app: str = "grantstar", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in RUNTIME_CONF.items():
+    for key, value in (RUNTIME_CONF | START_CONF).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -44,17 +52,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="grantstar-")
 
 
-def table_stage(spark: SparkSession, folder: str | None = None) -> Stage:
+def table_stage(
+    spark: SparkSession, folder: str | None = None, names: Container[str] | None = None
+) -> Stage:
     """A stage that writes each frame as parquet and reads it back.
 
     This cuts the lineage at a table that outlives lost executors, and lets several consumers
-    read one result in place of computing it once each.
+    read one result in place of computing it once each. With ``names`` only those frames are
+    written and the others stay lazy: a frame with one consumer is better not stored.
     """
     root = folder or f"{shared_folder(spark)}/grantstar-{uuid.uuid4().hex}"
 
     def stage(df: DataFrame, name: str) -> DataFrame:
+        if names is not None and name not in names:
+            return df
         path = f"{root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     return stage
+
+
+T = TypeVar("T")
+
+
+def concurrently(*tasks: Callable[[], T]) -> list[T]:
+    """Run independent Spark actions side by side, so that the tail of one job leaves no idle cores.
+
+    The threads carry the caller's job group. The first error is raised after all have ended.
+    """
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        running = [pool.submit(inherit(task)) for task in tasks]
+    return [job.result() for job in running]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 
 from grantstar.schemas import Star
+from grantstar.session import concurrently
 
 # The columns the queries filter or join on.
 CLUSTER_KEYS = {
@@ -27,11 +30,14 @@ def write_star(star: Star, folder: str, cluster: bool = False) -> None:
     ``cluster`` range-partitions each table on its keys first, so that file statistics let a scan
     skip files: the counterpart of building indexes after a load.
     """
-    for name, df in star.items():
+
+    def write(name: str, df: DataFrame) -> None:
         if cluster:
             df = df.repartitionByRange(*CLUSTER_KEYS[name]).sortWithinPartitions(*CLUSTER_KEYS[name])
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
+    concurrently(*(partial(write, name, df) for name, df in star.items()))
+
 
 def write_star_csv(star: Star, folder: str) -> None:
     """CSV with header under ``folder/<table>``, one part file per partition."""

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantstar.schemas import CONTRACT_BY_NAME, CONTRACTS, FeedContract, Feeds
+from grantstar.session import concurrently
 
 # The texts pandas reads as missing by default. Not applied unless asked for, since
 # they include a country code (NA) and surnames (Null, None).
@@ -129,10 +130,13 @@ def convert_feeds(
 
     After this step every scan is split, pruned to the columns it needs and filtered at the source.
     """
-    for contract in CONTRACTS:
-        feed = read_feed(spark, paths[contract.name], contract.name, **options)
+
+    def convert(name: str) -> None:
+        feed = read_feed(spark, paths[name], name, **options)
         writer = feed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-        writer.parquet(f"{folder}/{contract.name}")
+        writer.parquet(f"{folder}/{name}")
+
+    concurrently(*(partial(convert, contract.name) for contract in CONTRACTS))
     return read_converted(spark, folder)
 
 

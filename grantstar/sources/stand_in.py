@@ -127,6 +127,26 @@ class StandInFeeds(Feeds):
         )
 
 
+class TravellingFeeds(StandInFeeds):
+    """Feeds where suppliers work wherever their customers live, so inventors change country."""
+
+    @cached_property
+    def inventor(self) -> DataFrame:
+        t = self._tables
+        links = (
+            t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        )
+        return links.select(
+            _text("l_orderkey").alias("patent_id"),
+            _text("s_suppkey").alias("inventor_id"),
+            F.lit("Supplier").alias("disambig_inventor_name_first"),
+            F.col("s_name").alias("disambig_inventor_name_last"),
+            _place_id("c_nationkey").alias("location_id"),
+        )
+
+
 def _by_nation(nation: str, first: str, second: str, third: str, rest: Column) -> Column:
     """Fixed texts for nations 1 to 3, the given column for all others."""
     key = F.col(nation)

@@ -439,6 +439,32 @@ union all (select 'Top country (company)', country from company_countries order
 union all select 'Geocoding errors fixed', cast((select count(*) from clean_inventors where (country = 'UG' and city = 'Amuru') or (country = 'CM' and city = 'Somalomo')) + (select count(*) from clean_companies where country = 'UG' and city = 'Amuru') as varchar)""",
 )
 
+_star(
+    "company_portfolio",
+    """select c.company_id, c.name, count(distinct r.patent_id) patents, min(p.yr) first_patent, max(p.yr) latest_patent
+from companies c join relations r on c.company_id = r.company_id join patents p on r.patent_id = p.patent_id
+group by c.company_id, c.name""",
+)
+_star(
+    "company_market_share",
+    """select company_id, name, n patent_count, round(cast(100 as double) * n / sum(n) over (), 2) pct_share
+from company_counts""",
+)
+_star(
+    "listed_country_companies",
+    "select * from companies where country in ('NATION_3', 'NATION_7', 'NATION_15')",
+)
+ORACLES["ascii_texts"] = (
+    r"select doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') title from documents"
+)
+ORACLES["inventor_mobility"] = _over(
+    _FEEDS,
+    """select cast(l_suppkey as varchar) inventor_id, count(distinct l.country) countries
+from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+join raw_location l on l.location_id = concat('n', cast(c_nationkey as varchar))
+group by l_suppkey having count(distinct l.country) > 1""",
+)
+
 ORACLES["check_sources"] = _over(
     _FEEDS,
     """select 'patent' feed, true as "exists", '' missing_columns, true ok, count(*) as rows from raw_patent

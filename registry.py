@@ -11,13 +11,21 @@ from grantstar.operators.keyed import duplicate_rows, keep_first
 from grantstar.operators.linking import bridge
 from grantstar.plans import analytics as a
 from grantstar.plans import clean as c
+from grantstar.plans import notes as n
 from grantstar.plans import profile as p
 from grantstar.plans import quality as q
+from grantstar.plans.pipeline import checked_star
 from grantstar.plans.report import report_json, summary_metrics
-from grantstar.schemas import Stage
-from grantstar.session import table_stage, tune
+from grantstar.session import tune
 from grantstar.sources.feeds import check_feeds
-from grantstar.sources.stand_in import CLASS_PREFIX, SUBCLASS_PREFIXES, DirtyStar, StandInFeeds
+from grantstar.sources.stand_in import (
+    CLASS_PREFIX,
+    SUBCLASS_PREFIXES,
+    BenchmarkTables,
+    DirtyStar,
+    StandInFeeds,
+    TravellingFeeds,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,17 +67,10 @@ def _checked(spark: SparkSession, folder: str) -> q.CheckedStar:
     first needs them, and all queries of the application read those tables."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STARS:
-        stage = table_stage(spark)
-        cleaned = c.CleanStar(StandInFeeds(spark, folder), CLASS_PREFIX, _only(stage, "chosen"))
-        _STARS[key] = q.quality_check(cleaned, stage)
+        _STARS[key] = checked_star(StandInFeeds(spark, folder), CLASS_PREFIX)
     return _STARS[key]
 
 
-def _only(stage: Stage, start: str) -> Stage:
-    """Writes the frames whose name starts so, and leaves the others lazy."""
-    return lambda df, name: stage(df, name) if name.startswith(start) else df
-
-
 def _checked_dirty(spark: SparkSession, folder: str) -> q.CheckedStar:
     return q.quality_check(DirtyStar(spark, folder))
 
@@ -122,6 +123,19 @@ over_star(
 )
 over_star("verify_tables", p.verify_tables)
 
+# --- described in notes only -------------------------------------------------------------------
+over_star("company_portfolio", n.company_portfolio)
+over_star("company_market_share", n.company_market_share)
+over_star(
+    "listed_country_companies",
+    lambda s: n.with_listed_country(s.companies, ["NATION_3", "NATION_7", "NATION_15"]),
+)
+_register(BenchmarkTables)(
+    "ascii_texts",
+    lambda t: n.with_ascii_titles(t.documents.select("doc_id", F.col("text").alias("title"))),
+)
+_register(TravellingFeeds)("inventor_mobility", n.inventor_mobility)
+
 # --- raw feeds and cleaning --------------------------------------------------------------------
 over_feeds("check_sources", check_feeds)
 over_feeds("subcategory_breakdown", lambda f: a.subcategory_breakdown(f.cpc, SUBCLASS_PREFIXES))
@@ -138,7 +152,9 @@ over_feeds(
 )
 over_feeds(
     "bridge",
-    lambda f: bridge(f.inventor, f.assignee.withColumnRenamed("assignee_id", "company_id")),
+    lambda f: bridge(
+        f.patent, f.inventor, f.assignee.withColumnRenamed("assignee_id", "company_id")
+    ),
 )
 over_feeds(
     "dedup_keep_first",

@@ -80,6 +80,7 @@ def test_no_query_pairs_rows_without_a_key(stored):
         a.inventor_rankings(stored, None),
         a.dataset_kpis(stored),
         a.search_patents(stored),
+        a.suspicious_geocodes(stored, "NATION_5"),
     ):
         assert not re.search("NestedLoopJoin|CartesianProduct", plan(df))
 
