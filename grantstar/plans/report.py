@@ -108,7 +108,7 @@ def report_json(
     report: DataFrame,
     subcategories: dict[str, str] | None = None,
     growth: tuple[int, int] = (2010, 2020),
-    title: str = "Green Transport Patent Intelligence Report",
+    title: str = "Green transport patent report",
     focus: str = "CPC Y02T — Climate Change Mitigation in Transportation",
     generated: str | None = None,
     k: int = 10,

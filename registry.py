@@ -50,7 +50,7 @@ def _register(kind):
 
 
 def _as_text_dates(df: DataFrame) -> DataFrame:
-    """Dates as yyyy-MM-dd text, the type they have in the reference's own tables."""
+    """Dates as yyyy-MM-dd text, so that both engines print them alike."""
     dates = [n for n, t in df.dtypes if t == "date"]
     return df.withColumns({n: F.col(n).cast("string") for n in dates}) if dates else df
 

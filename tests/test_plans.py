@@ -4,9 +4,10 @@ import re
 
 import pytest
 
+from grantstar.operators.linking import bridge
 from grantstar.plans import analytics as a
 from grantstar.plans.clean import clean
-from grantstar.plans.quality import quality_check
+from grantstar.plans.quality import assess_relations, quality_check, repaired_relations
 from grantstar.sinks.tables import write_star
 from grantstar.sources.stand_in import CLASS_PREFIX, SUBCLASS_PREFIXES, StandInFeeds
 from grantstar.sources.tables import read_star
@@ -115,3 +116,63 @@ def test_keeping_the_first_row_combines_before_the_shuffle(feeds):
 def test_no_python_in_any_plan(lazy_star, feeds):
     for df in (*dict(lazy_star.items()).values(), lazy_star.report, a.inventor_rankings(lazy_star)):
         assert not re.search("PythonUDF|BatchEvalPython|ArrowEvalPython|MapInPandas", plan(df))
+
+
+SKEW_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+}
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Thresholds at which a few thousand rows of one key count as skewed, at 16 partitions."""
+    conf = {**SKEW_CONF, "spark.sql.shuffle.partitions": "16"}
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def spread(df, first: str):
+    """The frame over several map tasks: a skewed partition is split along map outputs."""
+    return df.repartition(8, first)
+
+
+def test_a_hot_patent_is_split_in_the_bridge(spark, small_partitions):
+    people = spark.range(4000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('p', id)) patent_id", "concat('i', id) inventor_id"
+    )
+    owners = spark.range(60).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('p', id)) patent_id", "concat('c', id) company_id"
+    )
+    rows = bridge(people, spread(people, "inventor_id"), spread(owners, "company_id"))
+    got = rows.groupBy((rows.patent_id == "hot").alias("hot")).count()
+    expected = people.join(owners, "patent_id", "left")
+    expected = expected.groupBy((expected.patent_id == "hot").alias("hot")).count()
+    assert dict(got.collect()) == dict(expected.collect())
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_inventor_is_split_in_the_checks(spark, small_partitions):
+    links = spark.range(6000).selectExpr(
+        "concat('p', id) patent_id",
+        "if(id % 3 = 0, 'hot', concat('i', id % 500)) inventor_id",
+        "if(id % 2 = 0, null, concat('c', id % 40)) company_id",
+    )
+    links = spread(links, "patent_id")
+    patents = links.selectExpr("patent_id", "'T' title", "2020 year")
+    inventors = links.selectExpr("inventor_id", "'N' name").distinct()
+    companies = links.where("company_id is not null").selectExpr("company_id", "'N' name").distinct()
+    checked = repaired_relations(assess_relations(links, patents, inventors, companies))
+    totals = checked.selectExpr("count(*)", "count(company_id)", "count_if(inventor_id = 'hot')")
+    assert tuple(totals.first()) == (6000, 3000, 2000)
+    executed = checked.groupBy("patent_id").count()
+    executed.collect()
+    text = executed._jdf.queryExecution().executedPlan().toString()
+    # The hot inventor, and the half of all links that share a null company.
+    assert text.split("Initial Plan")[0].count("skew=true") == 2
