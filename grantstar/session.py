@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Container
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -59,16 +60,23 @@ def table_stage(
 
     This cuts the lineage at a table that outlives lost executors, and lets several consumers
     read one result in place of computing it once each. With ``names`` only those frames are
-    written and the others stay lazy: a frame with one consumer is better not stored.
+    written and the others stay lazy: a frame with one consumer is better not stored. A name is
+    written once per stage, also when several threads ask for it.
     """
     root = folder or f"{shared_folder(spark)}/grantstar-{uuid.uuid4().hex}"
 
+    stored: dict[str, DataFrame] = {}
+    locks: dict[str, Lock] = {}
+
     def stage(df: DataFrame, name: str) -> DataFrame:
         if names is not None and name not in names:
             return df
-        path = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        with locks.setdefault(name, Lock()):
+            if name not in stored:
+                path = f"{root}/{name}"
+                df.write.mode("overwrite").parquet(path)
+                stored[name] = spark.read.schema(df.schema).parquet(path)
+            return stored[name]
 
     return stage
 

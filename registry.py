@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,17 @@ def _cleaned(spark: SparkSession, folder: str) -> c.CleanStar:
 
 
 _STARS: dict[tuple[str, str], q.CheckedStar] = {}
+_LOCK = Lock()
 
 
 def _checked(spark: SparkSession, folder: str) -> q.CheckedStar:
     """The checked star of a folder. Its stages are written to the shared folder when a query
     first needs them, and all queries of the application read those tables."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _STARS:
-        _STARS[key] = checked_star(StandInFeeds(spark, folder), CLASS_PREFIX)
-    return _STARS[key]
+    with _LOCK:
+        if key not in _STARS:
+            _STARS[key] = checked_star(StandInFeeds(spark, folder), CLASS_PREFIX)
+        return _STARS[key]
 
 
 def _checked_dirty(spark: SparkSession, folder: str) -> q.CheckedStar:
