@@ -315,7 +315,7 @@ def patent_detail_join(star: Star, k: int | None = 20) -> DataFrame:
     patents = star.patents.where(F.col("year").isNotNull())
     relations = star.relations
     if k is not None:
-        linked = only_known(relations, star.inventors, "inventor_id")
+        linked = only_known(relations, star.inventors, "inventor_id").select("patent_id").distinct()
         heads = only_known(patents.select("patent_id", "year"), linked, "patent_id")
         heads = heads.orderBy(F.desc("year"), "patent_id").limit(k)
         patents = patents.join(F.broadcast(heads.select("patent_id")), "patent_id", "left_semi")

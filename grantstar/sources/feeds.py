@@ -74,12 +74,14 @@ def read_feed(
 
 
 def header_of(spark: SparkSession, path: str) -> list[str] | None:
-    """The column names of a feed, or None where the path does not exist."""
+    """The column names of a feed, none for a folder without files, None without such a path."""
     try:
         return _reader(spark, multiline=False).csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return []
         raise
 
 

@@ -29,5 +29,17 @@ def test_entry(spark):
     assert df.columns == ["name", "country", "patent_count"] and df.count() == 20
 
 
+def test_known_sizes_of_the_stand_in(spark):
+    sizes = {r.table: r.rows for r in queries()["verify_tables"](spark, SF).collect()}
+    assert sizes == {"patents": 871, "inventors": 10, "companies": 124, "relations": 3102}
+    assert queries()["unassigned_patents"](spark, SF).first()[0] > 0
+
+
+def test_star_queries_share_one_stored_star(spark):
+    """A second query reads tables in the shared folder and no benchmark table."""
+    files = queries()["top_companies"](spark, SF).inputFiles()
+    assert files and all("assessed_" in f and SF not in f for f in files)
+
+
 def test_report_json(spark):
     assert queries()["report_json"](spark, SF).count() == 1

@@ -84,6 +84,16 @@ def test_contract_check_names_what_is_missing(spark, tmp_path):
     assert result["location"] == (True, "disambig_city", False)
 
 
+def test_empty_files_and_folders_lack_every_column(spark, tmp_path):
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "file.tsv").write_text("")
+    paths = {"cpc": str(tmp_path / "folder"), "abstract": str(tmp_path / "file.tsv")}
+    result = {r.feed: tuple(r)[1:] for r in check_sources(spark, paths).collect()}
+    assert result["cpc"] == (True, "patent_id,cpc_group", False)
+    assert result["abstract"] == (True, "patent_id,patent_abstract", False)
+    assert result["patent"] == (False, "", False)
+
+
 def test_loaded_feeds_are_checked_and_counted(spark, feeds):
     result = {r.feed: r for r in check_feeds(feeds(cpc=[("1", "A"), ("2", "B")])).collect()}
     assert result["cpc"].ok and result["cpc"].rows == 2
