@@ -1,9 +1,9 @@
-"""Time the pipeline and the headline queries; prints one JSON line.
+"""Time the build of the star and the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the tables, BENCH_CPUS (default 8) the threads.
-``pipeline`` goes from the raw tables to the stored, checked star. The other entries are queries on the
+``build_star`` goes from the raw tables to the stored, checked star. The other entries are queries on the
 stored star or straight on the feeds, with all rows fetched or passed to the noop sink. Each entry is
-the best of three runs (of two for the pipeline), ``value`` their sum; ``cold_pipeline`` is the first
+the best of three runs (of two for the star), ``value`` their sum; ``cold_build_star`` is the first
 run in the new JVM.
 """
 
@@ -56,7 +56,7 @@ def main() -> None:
         return result
 
     feeds = StandInFeeds(spark, folder)
-    star, report = timed("pipeline", lambda: build_star(feeds, f"{out}/tables", CLASS_PREFIX), 2)
+    star, report = timed("build_star", lambda: build_star(feeds, f"{out}/tables", CLASS_PREFIX), 2)
 
     fetched = {
         "top_inventors": lambda: a.top_inventors(star),
@@ -96,11 +96,11 @@ def main() -> None:
         timed(name, lambda build=build: build().write.format("noop").mode("overwrite").save())
 
     line = {
-        "metric": "pipeline_and_queries_total",
+        "metric": "star_and_queries_total",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "cold_pipeline": round(first["pipeline"], 3),
+        "cold_build_star": round(first["build_star"], 3),
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(line))

@@ -46,7 +46,8 @@ def to_date(c: Column) -> Column:
 
 
 def to_int(c: Column) -> Column:
-    return c.try_cast("int")
+    """A whole number, or null where the text is none; "2.0" is 2, as a float column prints it."""
+    return c.try_cast("double").try_cast("int")
 
 
 def contains_ignoring_case(c: Column, term: str) -> Column:

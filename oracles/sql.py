@@ -439,6 +439,61 @@ union all (select 'Top country (company)', country from company_countries order
 union all select 'Geocoding errors fixed', cast((select count(*) from clean_inventors where (country = 'UG' and city = 'Amuru') or (country = 'CM' and city = 'Somalomo')) + (select count(*) from clean_companies where country = 'UG' and city = 'Amuru') as varchar)""",
 )
 
+
+
+def _ranked(rows: str, fields: str) -> str:
+    """A short list of structs in rank order."""
+    return f"(select list(struct_pack(rank := rn, {fields}) order by rn) from ({rows}))"
+
+
+_TOP10 = "select *, row_number() over (order by n desc, {0}) rn from {1} order by n desc, {0} limit 10"
+_TOP10_SHARES = (
+    "select *, row_number() over (order by patent_count desc, country) rn from {0} "
+    "order by patent_count desc, country limit 10"
+)
+_SHARE_FIELDS = "country := country, patent_count := patent_count, pct_share := pct_share"
+
+
+def _wrong(table: str, country: str, city: str) -> str:
+    source = {"inventors": "clean_inventors", "companies": "clean_companies"}[table]
+    return (
+        f"struct_pack(\"table\" := '{table}', wrong_country := '{country}', wrong_city := '{city}', corrected_to := 'JP', "
+        f"fixed := (select count(*) from {source} where country = '{country}' and city = '{city}'))"
+    )
+
+
+_WRONG = [("inventors", "UG", "Amuru"), ("inventors", "CM", "Somalomo"), ("companies", "UG", "Amuru")]
+_star(
+    "report_json",
+    f"""select cast(to_json(struct_pack(
+  report_title := 'Green transport patent report',
+  focus := 'CPC Y02T — Climate Change Mitigation in Transportation',
+  generated := '1970-01-01 00:00:00',
+  dataset := struct_pack(
+    total_patents := total_patents, year_range := struct_pack("from" := first_year, "to" := last_year),
+    total_inventors := total_inventors, total_companies := total_companies,
+    unassigned_patents := unassigned_patents,
+    peak_year := struct_pack("year" := peak_year, patent_count := peak_patents),
+    growth_1996_to_2000_pct := growth_pct),
+  subcategories := struct_pack(
+    {", ".join(f'"{p}_brand" := (select count(distinct patent_id) from raw_cpc where cpc_group like {chr(39)}{p}%{chr(39)})' for p in _PREFIXES)},
+    note := 'patents may appear in multiple subcategories'),
+  top_inventors := {_ranked(_TOP10.format("inventor_id", "inventor_counts"), "name := name, country := country, city := city, patent_count := n")},
+  top_companies := {_ranked(_TOP10.format("company_id", "company_counts"), "name := name, country := country, patent_count := n")},
+  top_countries_by_inventor := {_ranked(_TOP10_SHARES.format("inventor_shares"), _SHARE_FIELDS)},
+  top_countries_by_company := {_ranked(_TOP10_SHARES.format("company_shares"), _SHARE_FIELDS)},
+  data_quality := struct_pack(
+    geocoding_errors_fixed := 0,
+    errors := [{", ".join(_wrong(*w) for w in _WRONG)}],
+    missing_inventor_country_pct := (select round(cast(100 as double) * (count(*) - count(country)) / count(*), 1) from inventors),
+    missing_company_country_pct := (select round(cast(100 as double) * (count(*) - count(country)) / count(*), 1) from companies),
+    duplicate_records := (select count(*) - count(distinct patent_id) from clean_patents),
+    orphaned_relations :=
+      (select count(*) from clean_relations where patent_id not in (select patent_id from patents))
+      + (select count(*) from clean_relations where patent_id in (select patent_id from patents)
+         and company_id is not null and company_id not in (select company_id from companies))))) as varchar) report
+from kpis""",
+)
 _star(
     "company_portfolio",
     """select c.company_id, c.name, count(distinct r.patent_id) patents, min(p.yr) first_patent, max(p.yr) latest_patent

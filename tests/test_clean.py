@@ -92,6 +92,7 @@ def test_companies_need_a_name(feeds):
     companies = {r.company_id: r for r in clean(f).companies.collect()}
     assert {k: r.name for k, r in companies.items()} == {"x": "Later Named", "y": "Org", "p": "Ann Lee"}
     assert companies["y"].assignee_type == 3 and companies["p"].assignee_type is None
+    assert companies["x"].assignee_type == 2
 
 
 def test_bridge_fans_out_and_keeps_unowned_patents(feeds):

@@ -53,7 +53,9 @@ def test_bad_dates_become_null(spark, raw, expected):
 
 def test_bad_numbers_become_null(spark):
     assert value(spark, text.to_int(F.lit("2020"))) == 2020
-    assert value(spark, text.to_int(F.lit("x"))) is None
+    assert value(spark, text.to_int(F.lit("2.0"))) == 2
+    for bad in ("x", "", "NaN", "1e20"):
+        assert value(spark, text.to_int(F.lit(bad))) is None
 
 
 @pytest.mark.parametrize(

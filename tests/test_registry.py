@@ -6,7 +6,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"report_json"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
