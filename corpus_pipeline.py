@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from grantstar.llm.bloom_dedup import drop_exact_copies
 from grantstar.llm.common import read_table, stored
 from grantstar.llm.curriculum import mix_documents
+from grantstar.llm.sentencepiece_codec import codec_digests
+from grantstar.llm.simhash_index import drop_near_copies
+from grantstar.llm.toxic_crf import drop_toxic
 from grantstar.session import tune
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field, trained on the labels, scores as toxic go."""
+    tune(spark)
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of each group of equal texts the document with the largest doc_id stays."""
     tune(spark)
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    tune(spark)
+    return drop_near_copies(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's schedule takes it, in training order."""
     tune(spark)
     return mix_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing sources to target weights", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, with digests of ids, decoded text and byte spans."""
+    tune(spark)
+    return codec_digests(docs, PIECES, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", encoding),
+]
 
-#: The chain has stages that SQL cannot express; it is tested against brute force.
+#: SQL cannot express the first, third and last stage; the chain is tested against brute force.
 ORACLE_SQL = None
 
 

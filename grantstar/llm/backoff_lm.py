@@ -1,17 +1,19 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model spells words byte by byte: n-grams of up to six symbols inside a word, its beginning and end
-included, are counted over the training corpus and smoothed by absolute discounting. Histories become
-states, seen continuations arcs, backing off failure arcs. One pass over a text from left to right carries the
-state and adds up log-probabilities. The automaton has a bounded size; counts of whole words do not, so they
-stay a table.
+Words are counted over the training corpus, and word n-grams up to three words among the frequent ones. Counts
+are smoothed by absolute discounting. Histories become states, kept n-grams arcs with a weight, and backing off
+failure arcs; one pass over a text from left to right carries the state and adds up log-probabilities. All words
+that training never saw are one event, which gets what the discount sets free.
+
+The automaton has a bounded size and travels with the tasks. The counts of all words do not: they stay a
+table, joined for the rare words only.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log10
 
 import numpy as np
@@ -21,20 +23,19 @@ from pyspark.sql import types as T
 
 from grantstar.llm.common import stored
 
-ORDER = 6
+ORDER = 3
 DISCOUNT = 0.75
-#: n-grams of three and more symbols are kept if they make up at least this share of all positions, so no
-#: order has more than 1 / KEEP_SHARE of them.
-KEEP_SHARE = 1e-6
+#: Words that make up at least this share of all tokens are part of n-grams: no more than 1 / WORD_SHARE.
+WORD_SHARE = 1e-4
+#: n-grams of two and three words are kept from this share of all tokens on: no more than 1 / GRAM_SHARE of
+#: each order.
+GRAM_SHARE = 1e-6
 #: The most frequent words whose counts travel with the tasks; the others are joined.
 HEAD_WORDS = 250_000
-#: Words whose scores a task remembers.
-REMEMBERED_WORDS = 400_000
 
-#: Symbols: bytes as 1 to 256, then the end of a word, its beginning, and the end of the text.
-WORD_END, WORD_BEGIN, TEXT_END = 257, 258, 259
-SYMBOLS = 258  # those that can follow: bytes and both ends
-_BITS = 9
+#: Number of the end of a text among the words of n-grams; a word that is in none has number 0.
+TEXT_END, OTHER = 1, 0
+_BITS = 20
 
 
 def held_out(doc_id) -> F.Column:
@@ -42,6 +43,10 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def _training(docs: DataFrame) -> DataFrame:
+    return docs.where(~held_out(F.col("doc_id"))).select("text")
+
+
 def _tokens(text: str | None) -> list[bytes]:
     """Words, A-Z in lower case, parted by ASCII white space."""
     return (text or "").encode("utf-8", "replace").lower().split()
@@ -72,187 +77,168 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield out(counts)
 
-    train = docs.where(~held_out(F.col("doc_id"))).select("text")
-    return train.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def spelled(word: bytes) -> list[int]:
-    return [WORD_BEGIN, *(b + 1 for b in word), WORD_END]
-
-
-def packed_grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams that end at a symbol after the beginning of a word, packed into one integer each (nine bits a
-    symbol), with their counts."""
-    lengths = np.array([len(w) + 2 for w in words])
-    symbols = np.zeros(lengths.sum(), np.int64)
-    ends = np.cumsum(lengths)
-    inner = np.ones(len(symbols), bool)
-    inner[ends - 1] = inner[ends - lengths] = False
-    symbols[inner] = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1
-    symbols[ends - 1], symbols[ends - lengths] = WORD_END, WORD_BEGIN
-    place = np.arange(len(symbols)) - np.repeat(ends - lengths, lengths)
-    weight = np.repeat(counts, lengths)
-    grams, weights, packed = [], [], symbols.copy()
-    for order in range(1, ORDER + 1):
-        at = np.flatnonzero(place >= max(1, order - 1))
-        if order > 1:
-            packed[order - 1 :] |= symbols[: len(symbols) - order + 1] << (_BITS * (order - 1))
-        grams.append(packed[at])
-        weights.append(weight[at])
-    unique, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    return unique, np.bincount(inverse, np.concatenate(weights).astype(float), len(unique)).astype(np.int64)
-
-
-def gram_counts(counts: DataFrame) -> DataFrame:
-    """gram (packed), n: n-grams of all words, each as often as its word occurs."""
+    return _training(docs).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def packed_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of two and three word numbers with their counts, packed into one integer each; those with
+    another word are left out. A text is an array of numbers, its end the last."""
+    lengths = np.array([len(t) for t in texts])
+    numbers = np.concatenate(texts).astype(np.int64)
+    place = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grams, packed, whole = [], numbers, numbers != OTHER
+    for order in range(2, ORDER + 1):
+        older = np.concatenate([np.zeros(order - 1, np.int64), numbers[: len(numbers) - order + 1]])
+        packed = packed | older << _BITS * (order - 1)
+        whole = whole & (older != OTHER) & (place >= order - 1)
+        grams.append(packed[whole])
+    return np.unique(np.concatenate(grams), return_counts=True)
+
+
+def gram_counts(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
+    """gram (packed), n: n-grams of the training documents among the words of ``numbers``."""
     schema = T.StructType([T.StructField("gram", T.LongType(), False), T.StructField("n", T.LongType(), False)])
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            if words:
-                grams, n = packed_grams(words, batch.column(1).to_numpy())
+            get = numbers.get
+            texts = [
+                np.array([*(get(w, OTHER) for w in _tokens(text.as_py())), TEXT_END], np.int64)
+                for text in batch.column(0)
+            ]
+            if texts:
+                grams, n = packed_grams(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
 
-    return counts.select("word", "n").mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
+    return _training(docs).mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Automaton:
-    """States are numbered; arcs are found by state and symbol. All weights are log10."""
+    """States are numbered, 0 having no history; an arc is found by state and word number. Weights are log10."""
 
-    arcs: dict[int, int]
-    weights: list[float]
-    targets: list[int]
-    failure: list[int]
-    backoff: list[float]
-    start: int
-    unseen: float = log10(1 / SYMBOLS)  # of a symbol that never occurred, at the root
+    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
+    failure: list[int] = field(default_factory=lambda: [0])
+    backoff: list[float] = field(default_factory=lambda: [0.0])
 
     @classmethod
-    def from_grams(cls, grams: np.ndarray, counts: np.ndarray, texts: int) -> Automaton:
-        """``grams`` (packed, closed under leaving out symbols at either end) with counts, and the number
-        of texts, each of which ends once after a beginning of a word."""
-        mask = (1 << _BITS) - 1
-        n = dict(zip(grams.tolist(), counts.tolist()))
-        words = n.get(WORD_END, 0)
-        if texts:
-            n[TEXT_END] = n[WORD_BEGIN << _BITS | TEXT_END] = texts
-        total = sum(v for k, v in n.items() if k <= mask)
-        seen: dict[int, list[int]] = {}
-        for gram in n:
-            seen.setdefault(gram >> _BITS, []).append(gram & mask)
+    def from_counts(cls, words: dict[int, int], tokens: int, grams: dict[int, int]) -> Automaton:
+        """``words``: counts by number, of ``tokens`` in all; ``grams``: kept n-grams (packed) with counts, none
+        without the shorter ones it is made of."""
+        mask, out, free = (1 << _BITS) - 1, cls(), {}
+        follow: dict[int, list[int]] = {}
+        for gram in grams:
+            follow.setdefault(gram >> _BITS, []).append(gram & mask)
         states = {0: 0}
-        for gram in sorted(n):
-            if gram & mask not in (WORD_END, TEXT_END) and gram in seen:
-                states[gram] = len(states)
-        if WORD_BEGIN not in states:
-            states[WORD_BEGIN] = len(states)
+        for history in sorted(h for h in follow if h & mask != TEXT_END):
+            states[history] = len(states)
+            out.failure.append(0)
+            out.backoff.append(0.0)
+        chance = {w: (n - DISCOUNT) / tokens for w, n in words.items()}
 
         def shorter(history: int) -> int:
-            """The longest proper suffix of a history."""
-            symbols = max(1, -(-history.bit_length() // _BITS))
-            return history & ((1 << _BITS * (symbols - 1)) - 1)
-
-        def state_of(history: int) -> int:
-            while history not in states:
-                history = shorter(history)
-            return states[history]
-
-        out = cls({}, [], [], [0] * len(states), [0.0] * len(states), states[WORD_BEGIN])
-        chance: dict[int, dict[int, float]] = {}
-
-        def probability(history: int, symbol: int) -> float:
-            known = chance.get(history, {})
-            if symbol in known:
-                return known[symbol]
+            """Without its oldest word; histories have one or two."""
+            return history & mask if history > mask else 0
+
+        def after(gram: int) -> int:
+            """The state of the longest end of an n-gram that is a history."""
+            gram &= (1 << _BITS * (ORDER - 1)) - 1
+            while gram not in states:
+                gram = shorter(gram)
+            return states[gram]
+
+        # One word before two: shorter histories are smaller numbers.
+        for history, state in sorted(states.items()):
             if not history:
-                return free[0] / SYMBOLS
-            return free.get(history, 1.0) * probability(shorter(history), symbol)
-
-        free: dict[int, float] = {0: 1.0}
-        # Shorter histories first: they are smaller numbers with fewer symbols.
-        for history in sorted(states, key=lambda h: (-(-h.bit_length() // _BITS), h)):
-            of = total if not history else words + texts if history == WORD_BEGIN else n.get(history, 0)
-            follow = sorted(s for s in seen.get(history, []) if s != WORD_BEGIN)
-            free[history] = (1 - sum(n[history << _BITS | s] - DISCOUNT for s in follow) / of) if of else 1.0
-            state = states[history]
-            if history:
-                out.failure[state], out.backoff[state] = state_of(shorter(history)), log10(free[history])
-            row = {}
-            for symbol in follow:
-                lower = probability(shorter(history), symbol) if history else 1 / SYMBOLS
-                row[symbol] = (n[history << _BITS | symbol] - DISCOUNT) / of + free[history] * lower
-            chance[history] = row
-            for symbol, p in row.items():
-                ends = symbol in (WORD_END, TEXT_END)
-                to = out.start if ends else state_of(_cut(history << _BITS | symbol))
-                out.arcs[state << _BITS | symbol] = len(out.weights)
-                out.weights.append(log10(p))
-                out.targets.append(to)
-        out.unseen = log10(free[0] / SYMBOLS)
+                for word, p in chance.items():
+                    out.arcs[word] = log10(p), after(word) if word != TEXT_END else 0
+                continue
+            of = grams.get(history) or words[history]
+            own = follow[history]
+            free[history] = 1 - sum(grams[history << _BITS | w] - DISCOUNT for w in own) / of
+            out.failure[state], out.backoff[state] = after(shorter(history)), log10(free[history])
+            for word in own:
+                lower = shorter(history)
+                rest = chance.get(lower << _BITS | word) if lower else chance[word]
+                if rest is None:
+                    rest = free.get(lower, 1.0) * chance[word]
+                p = (grams[history << _BITS | word] - DISCOUNT) / of + free[history] * rest
+                chance[history << _BITS | word] = p
+                to = 0 if word == TEXT_END else after(history << _BITS | word)
+                out.arcs[state << _BITS | word] = log10(p), to
         return out
 
-    def walk(self, state: int, symbols: list[int]) -> tuple[int, float]:
-        """The state and the log-probability after reading ``symbols`` in ``state``."""
+    def step(self, state: int, word: int) -> tuple[float, int]:
+        """Weight and next state for a numbered word, along failure arcs to the first state that has it."""
         total = 0.0
-        for symbol in symbols:
-            arc = self.arcs.get(state << _BITS | symbol)
-            while arc is None and state:
-                total += self.backoff[state]
-                state = self.failure[state]
-                arc = self.arcs.get(state << _BITS | symbol)
-            if arc is None:
-                total += self.unseen
-                state = self.start if symbol in (WORD_END, TEXT_END) else 0
-            else:
-                total += self.weights[arc]
-                state = self.targets[arc]
-        return state, total
-
+        while (arc := self.arcs.get(state << _BITS | word)) is None:
+            total += self.backoff[state]
+            state = self.failure[state]
+        return total + arc[0], arc[1]
 
-def _cut(history: int) -> int:
-    """The last ORDER - 1 symbols."""
-    return history & ((1 << _BITS * (ORDER - 1)) - 1)
+    def to_root(self, state: int) -> float:
+        """The weight of all failure arcs from a state to the one without history."""
+        total = 0.0
+        while state:
+            total += self.backoff[state]
+            state = self.failure[state]
+        return total
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What the training documents give: the table of word counts and its totals, and the automaton."""
+    """What the training documents give: the table of word counts, its totals, and the automaton."""
 
     counts: DataFrame
     texts: int
     tokens: int
     kinds: int
+    numbers: dict[bytes, int]
     automaton: Automaton
 
-    def base(self, n: int) -> float:
-        """log10 of the smoothed share of a token that occurs ``n`` times in training."""
-        return log10((n + 0.1) / (self.tokens + 0.1 * (self.kinds + 1)))
+    def base(self, n):
+        """Smoothed share of a token that occurs ``n`` times in training (a number or a column)."""
+        return (n + 0.1) / (self.tokens + 0.1 * (self.kinds + 1))
+
+    @property
+    def unseen(self) -> float:
+        """Share of all words that training never saw: what the discount takes from the others."""
+        return DISCOUNT * self.kinds / self.tokens if self.tokens else 1.0
 
 
 def learn(docs: DataFrame) -> Corpus:
-    """The driver gets totals and the kept n-grams: at most ORDER / KEEP_SHARE of them."""
+    """The driver gets totals, the frequent words (at most 1 / WORD_SHARE) and the kept n-grams (at most
+    2 / GRAM_SHARE); all training text is counted."""
     counts = stored(word_counts(docs), "words")
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    texts = docs.where(~held_out(F.col("doc_id"))).count()
-    grams = stored(gram_counts(counts), "grams")
-    short = F.col("gram") < 1 << 2 * _BITS
-    positions = grams.where(F.col("gram") < 1 << _BITS).agg(F.sum("n")).first()[0] or 0
-    kept = grams.where(short | (F.col("n") >= max(2, KEEP_SHARE * positions))).toPandas()
-    automaton = Automaton.from_grams(kept["gram"].to_numpy(), kept["n"].to_numpy(), texts)
-    return Corpus(counts, texts, words + texts, kinds + (texts > 0), automaton)
+    texts = _training(docs).count()
+    tokens = words + texts
+    frequent = counts.where(F.col("n") >= max(2.0, WORD_SHARE * tokens)).orderBy("word").toPandas()
+    numbers = {bytes(w): k for k, w in enumerate(frequent["word"], TEXT_END + 1)}
+    by_number = dict(zip(numbers.values(), frequent["n"].tolist()))
+    if texts:
+        by_number[TEXT_END] = texts
+    grams = gram_counts(docs, numbers).where(F.col("n") >= max(2.0, GRAM_SHARE * tokens)).toPandas()
+    kept = dict(zip(grams["gram"].tolist(), grams["n"].tolist()))
+    automaton = Automaton.from_counts(by_number, tokens, kept)
+    return Corpus(counts, texts, tokens, kinds + (texts > 0), numbers, automaton)
 
 
 def _scored(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """A row for each row of ``docs``: totals over the end and the frequent words, the model's score, and
-    the other words with their numbers."""
-    head = corpus.counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    frequent = {bytes(w): corpus.base(n) for w, n in head.select("word", "n").toPandas().itertuples(index=False)}
-    # The end of a text is a token like the words.
-    end, ends_known, automaton = corpus.base(corpus.texts), int(corpus.texts > 0), corpus.automaton
+    """A row for each row of ``docs``: totals over the end and the frequent words, and the other words
+    with their numbers."""
+    head = corpus.counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "n").toPandas()
+    # log10 shares: of the base, of the model without history.
+    shares = {
+        bytes(w): (log10(corpus.base(n)), log10((n - DISCOUNT) / corpus.tokens))
+        for w, n in head.itertuples(index=False)
+    }
+    ends = corpus.texts > 0
+    end_base = log10(corpus.base(corpus.texts)) if corpus.tokens else 0.0
+    end_unseen = log10(corpus.unseen)
+    automaton, numbers = corpus.automaton, corpus.numbers
     tail = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("times", T.LongType(), False)])
     schema = T.StructType(
         [
@@ -260,18 +246,39 @@ def _scored(docs: DataFrame, corpus: Corpus) -> DataFrame:
             T.StructField("text_key", T.LongType()),
             T.StructField("n_tokens", T.LongType(), False),
             T.StructField("head_known", T.LongType(), False),
+            T.StructField("head_base", T.DoubleType(), False),
             T.StructField("head_score", T.DoubleType(), False),
-            T.StructField("score", T.DoubleType(), False),
             T.StructField("tail", T.ArrayType(tail, False), False),
         ]
     )
 
+    def score(words: list[bytes]) -> tuple[int, float, float, Counter]:
+        known, base, total, state, rare = 0, 0.0, 0.0, 0, Counter()
+        for word in words:
+            both = shares.get(word)
+            if both is None:
+                rare[word] += 1
+                if state:
+                    total += automaton.to_root(state)
+                    state = 0
+                continue
+            known += 1
+            base += both[0]
+            number = numbers.get(word)
+            if number is None:
+                total += both[1]
+                if state:
+                    total += automaton.to_root(state)
+                    state = 0
+            else:
+                weight, state = automaton.step(state, number)
+                total += weight
+        total += automaton.step(state, TEXT_END)[0] if ends else end_unseen
+        return known + ends, base + end_base, total, rare
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        scores: dict[bytes, float] = {}
-        walk, start = automaton.walk, automaton.start
-        last = walk(start, [TEXT_END])[1]
         tail_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -279,19 +286,8 @@ def _scored(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 columns: list[list] = [[], [], [], [], []]
                 for text in part.column(2).to_pylist():
                     words = _tokens(text)
-                    known, base, score, rare = ends_known, end, last, Counter()
-                    for word in words:
-                        if (s := scores.get(word)) is None:
-                            s = scores[word] = walk(start, spelled(word))[1]
-                        score += s
-                        if (b := frequent.get(word)) is None:
-                            rare[word] += 1
-                        else:
-                            base += b
-                            known += 1
-                    if len(scores) > REMEMBERED_WORDS:
-                        scores.clear()
-                    row = len(words) + 1, known, base, score, [{"word": w, "times": n} for w, n in rare.items()]
+                    known, base, total, rare = score(words)
+                    row = len(words) + 1, known, base, total, [{"word": w, "times": n} for w, n in rare.items()]
                     for column, value in zip(columns, row):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -312,10 +308,11 @@ def scored(docs: DataFrame, corpus: Corpus | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model is learnt from the documents that are not held out, unless ``corpus`` is given. base_score
-    adds up smoothed shares of whole tokens, score the automaton's log10 probabilities. A null or empty text
-    is the end of a text only. A null doc_id is not held out. Rows that agree in id and text get the same
-    scores. Without training documents every token is unknown and the model is even. An empty table gives
-    no rows. Only doc_id and text are looked at.
+    adds up smoothed shares of single tokens, score the automaton's log10 probabilities over the words of the
+    training documents, the end, and one event for all unseen words. A null or empty text is an end only.
+    A null doc_id is not held out. Rows that agree in id and text get the same scores. Without training
+    documents every token is unseen, with probability one. An empty table gives no rows. Only doc_id and
+    text are looked at.
 
     Words too rare to travel with the tasks are joined with the table of counts. None of them is frequent, so
     no key of that join is hot.
@@ -325,18 +322,20 @@ def scored(docs: DataFrame, corpus: Corpus | None = None) -> DataFrame:
     rare = rows.select("doc_id", "text_key", F.explode("tail").alias("t")).select("doc_id", "text_key", "t.*")
     met = rare.join(corpus.counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
-    share = (n + 0.1) / F.lit(corpus.tokens + 0.1 * (corpus.kinds + 1))
+    share = F.when(n > 0, (n - DISCOUNT) / max(1, corpus.tokens)).otherwise(corpus.unseen)
     sums = met.groupBy("doc_id", "text_key").agg(
+        F.sum(F.col("times") * F.log10(corpus.base(n) if corpus.tokens else F.lit(1.0))).alias("rare_base"),
         F.sum(F.col("times") * F.log10(share)).alias("rare_score"),
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
     # Rows that agree in the key have the same rare words: the sums are shared evenly.
     copies = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
-    of = sums.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "rare_score", "rare_known")
+    of = sums.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     key = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("text_key").eqNullSafe(F.col("of_key"))
     each = copies.join(of, key).select(
         "of_id",
         "of_key",
+        (F.col("rare_base") / F.col("rows")).alias("rare_base"),
         (F.col("rare_score") / F.col("rows")).alias("rare_score"),
         (F.col("rare_known") / F.col("rows")).cast("long").alias("rare_known"),
     )
@@ -347,6 +346,6 @@ def scored(docs: DataFrame, corpus: Corpus | None = None) -> DataFrame:
         "n_tokens",
         (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(corpus.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("head_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

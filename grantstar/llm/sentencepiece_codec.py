@@ -231,8 +231,9 @@ def decode_documents(coded: DataFrame, model_path: str) -> DataFrame:
     return map_slices(coded.select("doc_id", "ids"), make, schema)
 
 
-def codec_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256.
+def codec_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, and ids
+    if asked for.
 
     What ``encode_documents`` and ``decode_documents`` give, digested inside the task: ids as little-endian
     unsigned 32-bit integers, the decoded text in UTF-8, spans as pairs of little-endian 64-bit integers.
@@ -247,6 +248,8 @@ def codec_digests(docs: DataFrame, model_path: str) -> DataFrame:
             T.StructField("spans_sha256", T.StringType(), False),
         ]
     )
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType(), False), False)
 
     def make():
         codec = Codec(model)
@@ -255,15 +258,12 @@ def codec_digests(docs: DataFrame, model_path: str) -> DataFrame:
             return hashlib.sha256(data).hexdigest()
 
         def work(columns):
-            out = [columns[0], [], [], [], []]
+            out = [columns[0], *([] for _ in schema.fields[1:])]
             for ids, spans in codec.encode([t or "" for t in columns[1]]):
-                row = (
-                    len(ids),
-                    digest(np.array(ids, "<u4").tobytes()),
-                    digest(codec.decode(ids).encode()),
-                    digest(spans.astype("<i8").tobytes()),
-                )
-                for column, value in zip(out[1:], row):
+                raw = np.array(ids, "<u4")
+                text = codec.decode(ids)
+                row = len(ids), digest(raw.tobytes()), digest(text.encode()), digest(spans.astype("<i8").tobytes())
+                for column, value in zip(out[1:], (*row, raw)):
                     column.append(value)
             return out
 

@@ -327,10 +327,9 @@ def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, every: DataFrame) -> DataFrame:
-    """``docs`` without the rows scored toxic, all columns as they are. The model learns from ``every``
-    document that has a label."""
-    model = train(every, labels)
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows scored toxic, all columns as they are; the same cases as ``toxicity``."""
+    model = train(docs, labels)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
