@@ -127,21 +127,21 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Same choice as ``exact_copies``. Rows that the filter clears are never shuffled. If several rows agree
     in id and text, any one of them stays.
     """
-    mark, digest = "exact_copies_maybe", "exact_copies_digest"
+    mark, digest = "__exact_maybe", "__exact_digest"
     keys = stored(docs.select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
     seen = repeat_filter(keys, "digest", keys.count())
     rows, groups = _keepers(seen.tests(keys, "digest", "maybe").where("maybe").select("doc_id", "digest"))
     one_of = rows.join(groups, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     keep = one_of.select(
         F.col("digest").alias(digest),
-        F.col("keep_id").alias("exact_copies_keep"),
-        F.col("copies").alias("exact_copies_rows"),
+        F.col("keep_id").alias("__exact_keep"),
+        F.col("copies").alias("__exact_rows"),
     )
     keep = stored(keep, "keep")
     tested = seen.tests(docs.withColumn(digest, text_digest(F.col("text"))), digest, mark)
     passed = tested.where(~F.col(mark)).select(docs.columns)
-    same = [digest], F.col("doc_id").eqNullSafe(F.col("exact_copies_keep"))
+    same = [digest], F.col("doc_id").eqNullSafe(F.col("__exact_keep"))
     chosen = tested.where(F.col(mark)).join(keep, same[0]).where(same[1])
-    once = chosen.where("exact_copies_rows = 1").select(docs.columns)
-    tied = chosen.where("exact_copies_rows > 1").dropDuplicates([digest]).select(docs.columns)
+    once = chosen.where("__exact_rows = 1").select(docs.columns)
+    tied = chosen.where("__exact_rows > 1").dropDuplicates([digest]).select(docs.columns)
     return passed.unionByName(once).unionByName(tied)

@@ -191,16 +191,16 @@ def mix_documents(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES) ->
     """
     keys = stored(mixed_keys(docs, schedules), "mix")
     marks = training_order(keys, schedules).select(
-        F.col("doc_id").alias("mix_id"),
-        F.col("source").alias("mix_source"),
-        F.col("size").alias("mix_size"),
-        F.col("position").alias("mix_position"),
-        F.col("copy").alias("mix_copy"),
+        F.col("doc_id").alias("__mix_id"),
+        F.col("source").alias("__mix_source"),
+        F.col("size").alias("__mix_size"),
+        F.col("position").alias("__mix_position"),
+        F.col("copy").alias("__mix_copy"),
     )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("mix_id"))
-        & F.col("source").eqNullSafe(F.col("mix_source"))
-        & (F.col("mix_words") == F.col("mix_size"))
+        F.col("doc_id").eqNullSafe(F.col("__mix_id"))
+        & F.col("source").eqNullSafe(F.col("__mix_source"))
+        & (F.col("__mix_words") == F.col("__mix_size"))
     )
-    placed = docs.withColumn("mix_words", _size()).join(marks, same)
-    return placed.orderBy("mix_position", "mix_id", "mix_copy").select(docs.columns)
+    placed = docs.withColumn("__mix_words", _size()).join(marks, same)
+    return placed.orderBy("__mix_position", "__mix_id", "__mix_copy").select(docs.columns)

@@ -102,13 +102,13 @@ def _first_shared(differing: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, first)), bits + 1)
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, list_length: int = LIST_LENGTH) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints of ``prints`` (fingerprint) as all pairs that differ
     in at most four bits would.
 
     Pairs under short posting lists are all there. A fingerprint under any longer list (many near copies
     of one text) is dense: dense ones are linked through the ball index. So no list emits more than
-    ``LIST_LENGTH`` / 2 pairs for each member, and no link is lost: a pair whose first shared set has a long
+    ``list_length`` / 2 pairs for each member, and no link is lost: a pair whose first shared set has a long
     list is a pair of dense fingerprints.
     """
     value = F.col("fingerprint")
@@ -122,7 +122,7 @@ def links(prints: DataFrame) -> DataFrame:
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS
     two = lists.where("n = 2").where(near(F.col("a"), F.col("b"))).select("a", "b")
     more = stored(posts.join(lists.where("n > 2").select("post", "n"), "post"), "members")
-    short = more.where(F.col("n") <= LIST_LENGTH)
+    short = more.where(F.col("n") <= list_length)
     left = short.select("post", F.col("fingerprint").alias("a"))
     right = short.select(F.col("post").alias("of"), F.col("fingerprint").alias("b"))
     differing = F.col("a").bitwiseXOR(F.col("b"))
@@ -134,7 +134,7 @@ def links(prints: DataFrame) -> DataFrame:
         & (_first_shared(differing) == number)
         & near(F.col("a"), F.col("b")),
     ).select("a", "b")
-    dense = more.where(F.col("n") > LIST_LENGTH).select("fingerprint").distinct()
+    dense = more.where(F.col("n") > list_length).select("fingerprint").distinct()
     return two.union(pairs).union(ball_links(stored(dense, "dense")))
 
 
@@ -191,11 +191,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     first = found.groupBy("component_id", "doc_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("n"))
     stays = first.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = stays.select(
-        F.col("doc_id").alias("near_copies_id"), F.col("text_key").alias("near_copies_key"), F.col("n").alias("near_copies_n")
+        F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"), F.col("n").alias("__near_n")
     )
     stays = stored(stays, "stays")
-    same = F.col("doc_id").eqNullSafe(F.col("near_copies_id")) & F.xxhash64("text").eqNullSafe(F.col("near_copies_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("__near_id")) & F.xxhash64("text").eqNullSafe(F.col("__near_key"))
     chosen = docs.join(stays, same)
-    alone = chosen.where("near_copies_n = 1").select(docs.columns)
-    tied = chosen.where("near_copies_n > 1").dropDuplicates(["near_copies_id", "near_copies_key"])
+    alone = chosen.where("__near_n = 1").select(docs.columns)
+    tied = chosen.where("__near_n > 1").dropDuplicates(["__near_id", "__near_key"])
     return alone.unionByName(tied.select(docs.columns))

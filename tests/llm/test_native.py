@@ -1,0 +1,234 @@
+"""Exact dedup, curriculum and line rules: small cases against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from grantstar.llm import bloom_dedup
+from grantstar.llm.bloom_dedup import drop_exact_copies, exact_copies, repeat_filter
+from grantstar.llm.common import ascii_lower
+from grantstar.llm.curriculum import SCHEDULES, integral, inverted, mix_documents, mixed, training_order
+from grantstar.llm.line_quality import LineLimits, line_quality
+
+from .conftest import EDGES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_ascii_lower_leaves_other_letters(spark):
+    df = spark.createDataFrame([("ÀÉ ABC",), ("ABC",), (None,)], "t string")
+    assert [r[0] for r in df.select(ascii_lower(F.col("t"))).collect()] == ["ÀÉ abc", "abc", None]
+
+
+def expected_copies(rows):
+    groups = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        groups[lowered(text)].append(doc_id)
+    out = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        seen = Counter()
+        for i in ids:
+            seen[i] += 1
+            kept = i == keep and seen[i] == 1
+            out.append((i, keep, len(ids), kept, hashlib.sha256(text.encode()).hexdigest()))
+    return Counter(out)
+
+
+def test_exact_copies_of_edge_cases(edges):
+    assert Counter(map(tuple, exact_copies(edges).collect())) == expected_copies(EDGES)
+
+
+def test_exact_copies_of_a_hot_group(documents):
+    rows = [(i, "copy" if i % 3 == 0 else f"text {i // 2}") for i in range(3000)]
+    assert Counter(map(tuple, exact_copies(documents(rows)).collect())) == expected_copies(rows)
+
+
+def test_empty_tables_give_no_rows(empty):
+    for operator in (exact_copies, drop_exact_copies, mixed, mix_documents, line_quality):
+        assert operator(empty).collect() == []
+
+
+def test_dropped_rows_follow_the_same_choice(edges):
+    kept = drop_exact_copies(edges)
+    assert kept.columns == edges.columns
+    wanted = [(i, k) for (i, k, _, kept_, _), n in expected_copies(EDGES).items() for _ in range(n) if kept_]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(
+        (i is None, i or 0) for i, _ in wanted
+    )
+
+
+@pytest.mark.parametrize("bound", [bloom_dedup.BROADCAST_BYTES, 0])
+def test_the_filter_misses_no_repeat_and_clears_most_others(spark, monkeypatch, bound):
+    monkeypatch.setattr(bloom_dedup, "BROADCAST_BYTES", bound)
+    df = spark.createDataFrame([(f"d{i if i < 4000 else i - 4000}".encode(),) for i in range(4100)], "digest binary")
+    tested = repeat_filter(df, "digest", 4100).tests(df, "digest", "maybe")
+    flags = {bytes(r.digest): r.maybe for r in tested.collect()}
+    assert all(flags[f"d{i}".encode()] for i in range(100))
+    assert sum(flags.values()) < 100 + 200
+    assert tested.count() == 4100
+
+
+def test_no_task_of_the_main_path_leaves_the_jvm(edges):
+    for operator in (exact_copies, mixed, line_quality):
+        plan = operator(edges)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- curriculum --------------------------------------------------------------------------------
+
+
+def test_schedules_integrate_to_their_weights():
+    assert [integral(s) for s in SCHEDULES] == [5, 2, 1]
+
+
+def test_inversion_gives_back_the_time(spark):
+    for schedule in (*SCHEDULES, ((0.0, 0.0), (0.25, 4.0), (1.0, 0.0))):
+        whole = integral(schedule)
+
+        def reached(t, schedule=schedule, whole=whole):
+            total = 0.0
+            for (a, v), (b, w) in zip(schedule, schedule[1:]):
+                x = min(max(t - a, 0), b - a)
+                total += v * x + (w - v) / (b - a) * x * x / 2
+            return total / whole
+
+        times = [k / 20 for k in range(21)]
+        df = spark.createDataFrame([(t, reached(t)) for t in times], "t double, share double")
+        for row in df.select("t", inverted(schedule, F.col("share")).alias("back")).collect():
+            assert row.back == pytest.approx(row.t, abs=1e-6)
+
+
+def fixed_targets(sizes, weights=(5, 2, 1), most=3):
+    """Shares by weight; those above the limit are held there and the excess dealt again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    held = set()
+    while True:
+        free = [s for s in names if s not in held]
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in held)
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return share | {s: most * sizes[s] for s in held}
+        held |= over
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_and_taken_words(documents, seed):
+    r = random.Random(seed)
+    sources = ["hot"] * 6 + ["a", "b", "cc", None, "z"]
+    rows = [(i, "w " * r.randint(0, 60), r.choice(sources)) for i in range(900)]
+    rows.append((900, "one", "tiny"))
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(WORD.findall(text))
+    targets = fixed_targets(sizes)
+    mix = mixed(documents(rows)).collect()
+    taken = Counter()
+    for row in mix:
+        assert row.size == len(WORD.findall(rows[row.doc_id][1]))
+        assert row.source_size == sizes[row.source]
+        assert row.target == pytest.approx(targets[row.source])
+        assert row.taken <= 3 * row.size and row.taken == row.copies * row.size
+        taken[row.source] += row.taken
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= 60
+    again = mixed(documents(rows[::-1])).collect()
+    assert sorted((x.doc_id, x.taken, x.position) for x in mix if x.copies) == sorted(
+        (x.doc_id, x.taken, x.position) for x in again if x.copies
+    )
+
+
+def test_training_order_follows_the_schedules(documents):
+    rows = [(i, "w " * 20, "abc"[i % 3]) for i in range(3000)]
+    order = training_order(mixed(documents(rows)))
+    early, late = (order.where(c).groupBy("source").count().collect() for c in ("position < 0.2", "position > 0.8"))
+    early, late = dict(map(tuple, early)), dict(map(tuple, late))
+    assert early["a"] > 1.5 * late["a"] and late["c"] > 1.5 * early["c"]
+
+
+def test_mixed_documents_repeat_as_taken_in_order(documents):
+    rows = [(i, f"{i} " + "w " * (i % 7), "ab"[i % 5 == 0]) for i in range(400)]
+    docs = documents(rows, clashing=True)
+    copies = {r.doc_id: r.copies for r in mixed(docs).collect() if r.copies}
+    out = mix_documents(docs)
+    assert out.columns == docs.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter(copies)
+
+
+def test_edge_cases_of_mixing(edges):
+    rows = mixed(edges).collect()
+    assert len(rows) == len(EDGES)
+    assert {r.size for r in rows if r.doc_id in (1, 2, 3)} == {0}
+    mix_documents(edges).collect()
+
+
+# --- line rules --------------------------------------------------------------------------------
+
+
+def measured(text):
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = Counter(windows)
+    covered = {j for i, x in enumerate(windows) if times[x] > 1 for j in range(i, i + 3)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text or "")),
+        len(lines) - len(set(lines)),
+        len(covered),
+        failed,
+    )
+
+
+def test_measures_of_single_texts(documents):
+    r = random.Random(1)
+    texts = ["a b c a b c", "a a a a", "#x *y\n\n#x *y\r\n", None, "", "one\x0btwo\x0cthree four", "€ & ünï"]
+    texts += [" ".join(r.choice("abcde") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    texts += ["\n".join(r.choice(["x y", "z", " ", "x  y"]) for _ in range(20)) for _ in range(20)]
+    rows = line_quality(documents(list(enumerate(texts)))).collect()
+    for row in rows:
+        got = (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed)
+        assert got == measured(texts[row.doc_id]), texts[row.doc_id]
+
+
+def test_frequent_lines_of_a_host_are_removed(documents):
+    common = "Sign up   for our newsletter today\n"
+
+    def body(i, n=80):
+        return " ".join(f"w{i}x{k}" for k in range(n))
+
+    rows = [(i, body(i) + "\n" + common, "a") for i in range(40)]
+    rows += [(i, body(i), "a") for i in range(40, 60)]
+    rows += [(i, body(i) + "\n" + common, "b") for i in (60,)]
+    rows += [(i, body(i) + "\n" + common, "b") for i in range(61, 64)]
+    rows += [(70, body(70, 10) + "\n" + common * 20, "a")]
+    rows += [(71, body(70, 10) + "\n" + common.upper() * 20, "b")]
+    got = {r.doc_id: r for r in line_quality(documents(rows), LineLimits(share=0.3, least=20)).collect()}
+    assert {got[i].removed_words for i in range(40)} == {6} and all(got[i].kept for i in range(60))
+    assert got[61].removed_words == 0
+    assert got[70].removed_words == 120 and not got[70].kept
+
+
+def test_exact_copies_do_not_make_a_line_frequent(documents):
+    text = "\n".join(" ".join(f"w{i}{k}" for k in range(20)) for i in range(5))
+    rows = [(i, text, "a") for i in range(50)] + [(i, f"other {i} " + text.replace("\n", f" {i}\n"), "a") for i in range(50, 60)]
+    assert all(r.kept and not r.removed_words for r in line_quality(documents(rows)).collect() if r.doc_id < 50)
+
+
+def test_edge_cases_of_line_rules(edges):
+    rows = line_quality(edges).collect()
+    assert len(rows) == len(EDGES)
+    assert [r.kept for r in rows if r.doc_id == 4] == [True]
+    assert not any(r.kept for r in rows if r.doc_id in (1, 2, 3))
