@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantstar.operators.linking import only_known
-
 
 def patents_per_key(relations: DataFrame, key: str) -> DataFrame:
     """(key, patent_count) over the bridge.
@@ -18,18 +16,6 @@ def patents_per_key(relations: DataFrame, key: str) -> DataFrame:
     return linked.groupBy(key).agg(F.countDistinct("patent_id").alias("patent_count"))
 
 
-def entity_counts(
-    entities: DataFrame, relations: DataFrame, key: str, narrow: bool = False
-) -> DataFrame:
-    """The entities that have patents, with ``patent_count``. Entity ids are unique.
-
-    ``narrow`` is for a selective entity filter: the bridge is cut to those ids before counting.
-    """
-    if narrow:
-        relations = only_known(relations, entities, key)
-    return entities.join(patents_per_key(relations, key), key)
-
-
 def patents_per_attribute(
     entities: DataFrame, relations: DataFrame, key: str, attribute: str
 ) -> DataFrame:

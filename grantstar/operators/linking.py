@@ -16,13 +16,6 @@ def only_unknown(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return df.join(known.select(key), key, "left_anti")
 
 
-def null_unknown(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Every row, the key replaced by null where it is not a known id. ``known`` has unique ids."""
-    flag = known.select(key, F.lit(True).alias("_known"))
-    joined = df.join(flag, key, "left")
-    return joined.withColumn(key, F.when(F.col("_known"), F.col(key))).select(*df.columns)
-
-
 def bridge(patents: DataFrame, inventor_links: DataFrame, owner_links: DataFrame) -> DataFrame:
     """(patent, inventor) left-joined to (patent, company): one row per combination.
 

@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(df: DataFrame, k: int, *tie_break: str, by: str = "patent_count") -> DataFrame:
-    """The k rows with the largest ``by``; ties are cut by the given columns, nulls last."""
+def top_k(df: DataFrame, k: int | None, *tie_break: str, by: str = "patent_count") -> DataFrame:
+    """The k rows with the largest ``by``; ties are cut by the given columns, nulls last. ``k=None``
+    sorts all rows."""
     order = [F.desc_nulls_last(by)] + [F.asc_nulls_last(c) for c in tie_break]
-    return df.orderBy(*order).limit(k)
+    ordered = df.orderBy(*order)
+    return ordered if k is None else ordered.limit(k)
+
+
+#: A list that is cut to at most so many rows of ids may be broadcast.
+HINTED_ROWS = 10_000
+
+
+def short_list(df: DataFrame, k: int) -> DataFrame:
+    """``df``, which is cut to k rows, with a broadcast hint if k is small; else the planner decides."""
+    return F.broadcast(df) if k <= HINTED_ROWS else df
 
 
 def rank_head(head: DataFrame) -> DataFrame:

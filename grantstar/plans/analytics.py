@@ -12,16 +12,11 @@ from pyspark.sql import functions as F
 
 from grantstar.functions.ratios import growth_percent, percent, ratio
 from grantstar.functions.text import contains_ignoring_case, has_text, truncate
-from grantstar.operators.counting import (
-    entity_counts,
-    patents_per_attribute,
-    row_count,
-    total,
-    value_counts,
-)
+from grantstar.operators.counting import row_count, total, value_counts
 from grantstar.operators.linking import only_known
 from grantstar.operators.prefixes import patents_per_prefix
-from grantstar.operators.ranking import rank_all, rank_head, top_k, with_position
+from grantstar.operators.ranking import rank_all, rank_head, short_list, top_k, with_position
+from grantstar.plans.counts import per_country, per_entity
 from grantstar.plans.quality import FIRST_YEAR, LAST_YEAR
 from grantstar.schemas import Star
 
@@ -44,20 +39,31 @@ SUBCATEGORIES = {
 # --- inventors and companies -------------------------------------------------------------------
 
 
-def top_inventors(star: Star, k: int = 20, countries: Sequence[str] | None = None) -> DataFrame:
-    """(name, country, city, patent_count) of the k most prolific inventors."""
+def inventor_counts(star: Star, countries: Sequence[str] | None = None) -> DataFrame:
+    """The named inventors that have patents, with ``patent_count``."""
     inventors = star.inventors.where(has_text(F.col("name")))
     if countries:
         inventors = inventors.where(F.col("country").isin(list(countries)))
-    counts = entity_counts(inventors, star.relations, "inventor_id", narrow=bool(countries))
-    return top_k(counts, k, "inventor_id").select("name", "country", "city", "patent_count")
+    return inventors.join(per_entity(star, "inventor"), "inventor_id")
 
 
-def top_companies(star: Star, k: int = 20) -> DataFrame:
-    """(name, country, patent_count) of the k companies with most patents."""
+def company_counts(star: Star) -> DataFrame:
+    """The named companies that have patents, with ``patent_count``."""
     companies = star.companies.where(has_text(F.col("name")))
-    counts = entity_counts(companies, star.relations, "company_id")
-    return top_k(counts, k, "company_id").select("name", "country", "patent_count")
+    return companies.join(per_entity(star, "company"), "company_id")
+
+
+def top_inventors(
+    star: Star, k: int | None = 20, countries: Sequence[str] | None = None
+) -> DataFrame:
+    """(name, country, city, patent_count) of the k most prolific inventors; ``k=None`` lists all."""
+    counts = inventor_counts(star, countries)
+    return top_k(counts, k, "inventor_id").select("name", "country", "city", "patent_count")
+
+
+def top_companies(star: Star, k: int | None = 20) -> DataFrame:
+    """(name, country, patent_count) of the k companies with most patents; ``k=None`` lists all."""
+    return top_k(company_counts(star), k, "company_id").select("name", "country", "patent_count")
 
 
 def inventor_rankings(star: Star, k: int | None = 50) -> DataFrame:
@@ -66,8 +72,7 @@ def inventor_rankings(star: Star, k: int | None = 50) -> DataFrame:
     Ranks and shares refer to all inventors, also when only the first k are returned. ``k=None``
     ranks every inventor.
     """
-    inventors = star.inventors.where(has_text(F.col("name")))
-    counts = entity_counts(inventors, star.relations, "inventor_id")
+    counts = inventor_counts(star)
     ranked = rank_all(counts) if k is None else rank_head(top_k(counts, k, "inventor_id"))
     share = percent(F.col("patent_count"), total(counts, "patent_count"), 4)
     return ranked.select(
@@ -82,7 +87,7 @@ def inventor_rankings(star: Star, k: int | None = 50) -> DataFrame:
 
 
 def above_average_companies(
-    star: Star, k: int = 30, digits: int = 2, named_only: bool = True
+    star: Star, k: int | None = 30, digits: int = 2, named_only: bool = True
 ) -> DataFrame:
     """Companies with more patents than the mean over all companies that have any.
 
@@ -91,7 +96,7 @@ def above_average_companies(
     companies = star.companies
     if named_only:
         companies = companies.where(F.col("name").isNotNull())
-    counts = entity_counts(companies, star.relations, "company_id")
+    counts = companies.join(per_entity(star, "company"), "company_id")
     mean = counts.agg(F.avg("patent_count")).scalar()
     above = counts.where(F.col("patent_count") > mean)
     return top_k(above, k, "company_id").select(
@@ -119,18 +124,13 @@ def top_company_countries(star: Star, k: int = 20) -> DataFrame:
 
 # --- countries ---------------------------------------------------------------------------------
 
-_SIDES = {"inventor": ("inventors", "inventor_id"), "company": ("companies", "company_id")}
-
-
-def country_share(star: Star, side: str, k: int = 30) -> DataFrame:
+def country_share(star: Star, side: str, k: int | None = 30) -> DataFrame:
     """(country, patent_count, pct_share) by where inventors live or companies sit.
 
     A patent counts once in each of its countries, so the whole is the sum over all countries,
     taken before the cut to k.
     """
-    table, key = _SIDES[side]
-    located = getattr(star, table).where(has_text(F.col("country")))
-    counts = patents_per_attribute(located, star.relations, key, "country")
+    counts = per_country(star, side)
     share = percent(F.col("patent_count"), total(counts, "patent_count"), 2)
     return top_k(counts, k, "country").select("country", "patent_count", share.alias("pct_share"))
 
@@ -165,8 +165,8 @@ def companies_in_country(star: Star, country: str) -> DataFrame:
     return here.select("company_id", "name", "country", "city", "state")
 
 
-def suspicious_geocodes(star: Star, country: str, k: int = 10) -> DataFrame:
-    """Patents and inventors behind the companies of one country, the first k links.
+def suspicious_geocodes(star: Star, country: str, k: int | None = 10) -> DataFrame:
+    """Patents and inventors behind the companies of one country, the first k links or all of them.
 
     The k links are found on ids alone; titles and names are looked up for those k only.
     """
@@ -179,13 +179,14 @@ def suspicious_geocodes(star: Star, country: str, k: int = 10) -> DataFrame:
     ):
         links = only_known(links, entities, key)
     order = ["company_id", "patent_id", "inventor_id"]
-    first = F.broadcast(links.orderBy(*order).limit(k))
+    first = links if k is None else short_list(links.orderBy(*order).limit(k), k)
     owners = here.select("company_id", F.col("name").alias("company"), "country", "city")
     people = star.inventors.select(
         "inventor_id", F.col("name").alias("inventor"), F.col("country").alias("inv_country")
     )
     rows = star.patents.select("patent_id", "title", "year").join(first, "patent_id")
-    rows = rows.join(owners, "company_id").join(people, "inventor_id").orderBy(*order).limit(k)
+    rows = rows.join(owners, "company_id").join(people, "inventor_id").orderBy(*order)
+    rows = rows if k is None else rows.limit(k)
     return rows.select("company", "country", "city", "title", "year", "inventor", "inv_country")
 
 
@@ -214,9 +215,14 @@ def yearly_trends(
     return trend.orderBy("year")
 
 
-def milestone_trends(star: Star, years: Sequence[int] = MILESTONE_YEARS) -> DataFrame:
-    """The trend rows of selected years; totals include the years between."""
-    return yearly_trends(star).where(F.col("year").isin(list(years))).orderBy("year")
+def milestone_trends(
+    star: Star,
+    years: Sequence[int] = MILESTONE_YEARS,
+    lo: int = FIRST_YEAR,
+    hi: int = LAST_YEAR,
+) -> DataFrame:
+    """The trend rows of selected years; totals include the years between, from ``lo`` on."""
+    return yearly_trends(star, lo, hi).where(F.col("year").isin(list(years))).orderBy("year")
 
 
 def _peak(in_range=None):
@@ -250,7 +256,7 @@ def period_growth(star: Star, first: int = 2010, last: int = 2020) -> DataFrame:
 def cutoff_totals(
     star: Star, cutoffs: Sequence[int] = (2000, 2010, 2020), lo: int = 1990, hi: int = LAST_YEAR
 ) -> DataFrame:
-    """One row: patents from ``lo`` up to each cut-off, and the peak year of the whole range."""
+    """One row: patents from ``lo`` up to each cut-off, and the peak year up to ``hi``."""
     shown = F.col("year").between(lo, hi)
     sums = [
         F.coalesce(
@@ -258,7 +264,7 @@ def cutoff_totals(
         ).alias(f"patents_by_{c}")
         for c in cutoffs
     ]
-    return _patents_per_year(star, FIRST_YEAR, LAST_YEAR).agg(
+    return _patents_per_year(star, min(lo, FIRST_YEAR), hi).agg(
         *sums, _peak().alias("peak_year"), F.max("patent_count").alias("peak_patents")
     )
 
@@ -272,10 +278,15 @@ def unassigned_patents(star: Star) -> DataFrame:
     return unowned.agg(F.countDistinct("patent_id").alias("unassigned_patents"))
 
 
-def dataset_kpis(star: Star, growth: tuple[int, int] = (2010, 2020)) -> DataFrame:
-    """One row of totals. Everything about patents comes from one pass over their years."""
+def dataset_kpis(
+    star: Star,
+    growth: tuple[int, int] = (2010, 2020),
+    years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR),
+) -> DataFrame:
+    """One row of totals. Everything about patents comes from one pass over their years; the peak is
+    sought within ``years``."""
     per_year = star.patents.groupBy("year").agg(F.count(F.lit(1)).alias("patent_count"))
-    in_range = F.col("year").between(FIRST_YEAR, LAST_YEAR)
+    in_range = F.col("year").between(*years)
     first, last = growth
     row = per_year.agg(
         F.coalesce(F.sum("patent_count"), F.lit(0)).alias("total_patents"),
@@ -309,17 +320,12 @@ def subcategory_breakdown(cpc: DataFrame, prefixes: Sequence[str] = tuple(SUBCAT
 def patent_detail_join(star: Star, k: int | None = 20) -> DataFrame:
     """Patents with their inventors and companies, newest first; ``k=None`` gives every row.
 
-    Each linked patent yields a row, so the first k linked patents hold the first k rows. Only
-    their ids and years are sorted; the wide join then handles at most k patents.
+    In a checked star every link has its inventor, so each linked patent yields a row and the first k
+    linked patents hold the first k links. Only ids and years are sorted; the wide columns are looked
+    up for at most k links.
     """
     patents = star.patents.where(F.col("year").isNotNull())
-    relations = star.relations
-    if k is not None:
-        linked = only_known(relations, star.inventors, "inventor_id").select("patent_id").distinct()
-        heads = only_known(patents.select("patent_id", "year"), linked, "patent_id")
-        heads = heads.orderBy(F.desc("year"), "patent_id").limit(k)
-        patents = patents.join(F.broadcast(heads.select("patent_id")), "patent_id", "left_semi")
-        relations = relations.join(F.broadcast(heads.select("patent_id")), "patent_id", "left_semi")
+    links = star.relations
     inventors = star.inventors.select(
         "inventor_id",
         F.col("name").alias("inventor_name"),
@@ -331,16 +337,20 @@ def patent_detail_join(star: Star, k: int | None = 20) -> DataFrame:
         F.col("name").alias("company_name"),
         F.col("country").alias("company_country"),
     )
-    rows = (
-        patents.select("patent_id", "title", "year", "filing_date")
-        .join(relations, "patent_id")
-        .join(inventors, "inventor_id")
-        .join(companies, "company_id", "left")
-    )
+    order = [F.desc("year"), "patent_id", "inventor_id", F.asc_nulls_last("company_id")]
+    if k is not None:
+        years = patents.select("patent_id", "year")
+        heads = only_known(years, links, "patent_id").orderBy(F.desc("year"), "patent_id").limit(k)
+        links = links.join(short_list(heads, k), "patent_id").orderBy(*order).limit(k).drop("year")
+        links = short_list(links, k)
+        # An outer join cannot broadcast the side it keeps: the few owners are looked up first.
+        companies = short_list(companies.join(links.select("company_id"), "company_id", "left_semi"), k)
+    rows = patents.select("patent_id", "title", "year", "filing_date").join(links, "patent_id")
+    if k is not None:
+        rows = short_list(rows, k)
+    rows = rows.join(inventors, "inventor_id").join(companies, "company_id", "left")
     if k is not None:
-        rows = rows.orderBy(
-            F.desc("year"), "patent_id", "inventor_id", F.asc_nulls_last("company_id")
-        ).limit(k)
+        rows = rows.orderBy(*order)
     return rows.select(
         "patent_id",
         "title",
@@ -377,32 +387,32 @@ def search_patents(
 ) -> DataFrame:
     """Patents whose title holds the term, one row per owner, newest first.
 
-    Each match yields at least one row, so the first k matches hold the first k rows: the links
-    are filtered by at most k ids in place of being shuffled.
+    Patent ids are unique and each match yields at least one row, so the first k matches hold the first k
+    rows: they are found on ids and years, links and titles are looked up for at most k ids.
     """
-    matches = star.patents.where(F.col("year").between(year_from, year_to))
+    found = star.patents.where(F.col("year").between(year_from, year_to))
     if term:
-        matches = matches.where(contains_ignoring_case(F.col("title"), term))
-    matches = matches.select("patent_id", "title", "year", "filing_date")
+        found = found.where(contains_ignoring_case(F.col("title"), term))
+    heads = found.select("patent_id", "year")
     links = star.relations.select("patent_id", "company_id")
     if k is not None:
-        newest_first = [F.desc("year"), F.asc("patent_id")]
-        matches = matches.distinct().orderBy(*newest_first).limit(k)
-        heads = F.broadcast(matches.select("patent_id"))
-        links = links.join(heads, "patent_id", "left_semi")
+        heads = heads.orderBy(F.desc("year"), "patent_id").limit(k)
+        links = links.join(short_list(heads.select("patent_id"), k), "patent_id", "left_semi")
     owners = star.companies.select(
         "company_id", F.col("name").alias("company"), F.col("country").alias("company_country")
     )
     # Distinct before the owner lookup: a patent repeats each owner once per inventor.
     owned = links.distinct().join(owners, "company_id", "left")
-    rows = matches.join(owned, "patent_id", "left").select(
+    owned = owned.select("patent_id", "company", "company_country").distinct()
+    rows = heads.join(owned, "patent_id", "left")
+    order = [F.desc("year"), "patent_id", F.asc_nulls_last("company"), F.asc_nulls_last("company_country")]
+    if k is not None:
+        rows = short_list(rows.orderBy(*order).limit(k), k)
+    texts = found.select("patent_id", "title", "filing_date")
+    rows = texts.join(rows, "patent_id").select(
         "patent_id", "title", "year", "filing_date", "company", "company_country"
     )
-    rows = rows.distinct()
-    if k is None:
-        return rows
-    ties = [F.asc_nulls_last("company"), F.asc_nulls_last("company_country")]
-    return rows.orderBy(*newest_first, *ties).limit(k)
+    return rows if k is None else rows.orderBy(*order)
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:

@@ -108,8 +108,9 @@ def named_owners(links: DataFrame) -> DataFrame:
 
 
 def company_entities(links: DataFrame, places: DataFrame) -> DataFrame:
-    """One row per company that has a name: the first named link by patent id."""
-    named = named_owners(links).where(F.col("name").isNotNull())
+    """One row per company that has an id and a name: the first named link by patent id."""
+    identified = F.col("company_id").isNotNull()
+    named = named_owners(links).where(identified & F.col("name").isNotNull())
     first = keep_first(named, "company_id", ["patent_id", "name", "assignee_type", "location_id"])
     return first.join(places, "location_id", "left").select(
         "company_id", "name", "assignee_type", "country", "city", "state"

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from grantstar.functions.ratios import percent
 from grantstar.functions.text import drop_non_ascii
-from grantstar.operators.counting import entity_counts, total
+from grantstar.operators.counting import total
+from grantstar.plans.counts import per_entity
 from grantstar.schemas import Feeds, Star
 
 
@@ -33,7 +34,7 @@ def company_portfolio(star: Star) -> DataFrame:
 
 def company_market_share(star: Star) -> DataFrame:
     """(company_id, name, patent_count, pct_share): each company's part of all company counts."""
-    counts = entity_counts(star.companies, star.relations, "company_id")
+    counts = star.companies.join(per_entity(star, "company"), "company_id")
     share = percent(F.col("patent_count"), total(counts, "patent_count"), 2)
     return counts.select("company_id", "name", "patent_count", share.alias("pct_share"))
 

@@ -6,6 +6,7 @@ need to know about it. Both the report and the repaired table are read off that
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -18,7 +19,7 @@ from grantstar.operators.profiling import count_if, null_summary, sql_text, to_r
 from grantstar.schemas import Stage, Star, lazy
 from grantstar.session import concurrently
 
-# The range of valid grant years.
+# The range of valid grant years, unless a caller names another one.
 FIRST_YEAR = 1976
 LAST_YEAR = 2025
 
@@ -37,8 +38,12 @@ INVENTOR_GEOCODES = (GeocodeRule("UG", "Amuru", "JP"), GeocodeRule("CM", "Somalo
 COMPANY_GEOCODES = (GeocodeRule("UG", "Amuru", "JP"),)
 
 
-def _valid_year() -> Column:
-    return F.coalesce(F.col("year").between(FIRST_YEAR, LAST_YEAR), F.lit(False))
+Years = tuple[int, int]
+VALID_YEARS: Years = (FIRST_YEAR, LAST_YEAR)
+
+
+def _valid_year(years: Years) -> Column:
+    return F.coalesce(F.col("year").between(*years), F.lit(False))
 
 
 def _has_title() -> Column:
@@ -94,36 +99,40 @@ def repair_geocodes(flagged: DataFrame, rules: tuple[GeocodeRule, ...]) -> DataF
     return flagged.withColumns({"country": country, "city": city})
 
 
-def assess_inventors(inventors: DataFrame) -> DataFrame:
+def _merged(tidy: DataFrame, key: str, order: list[str], unique: bool) -> DataFrame:
+    """One row per key with ``copies``. Nothing needs to be merged where the key is unique already."""
+    if unique:
+        return tidy.select(key, *order, F.lit(1).cast("long").alias("copies"))
+    return keep_first(tidy, key, order, copies="copies")
+
+
+def assess_inventors(inventors: DataFrame, unique: bool = False) -> DataFrame:
     tidy = inventors.withColumn("name", blank_to_null(F.col("name")))
-    merged = keep_first(
-        tidy, "inventor_id", ["name", "country", "city", "state"], copies="copies"
-    )
+    merged = _merged(tidy, "inventor_id", ["name", "country", "city", "state"], unique)
     return flag_geocodes(merged, INVENTOR_GEOCODES)
 
 
-def assess_companies(companies: DataFrame) -> DataFrame:
+def assess_companies(companies: DataFrame, unique: bool = False) -> DataFrame:
     tidy = companies.withColumn("name", blank_to_null(F.col("name"))).withColumn(
         "assignee_type", to_int(F.col("assignee_type"))
     )
-    merged = keep_first(
-        tidy,
-        "company_id",
-        ["name", "assignee_type", "country", "city", "state"],
-        copies="copies",
-    )
-    return flag_geocodes(merged, COMPANY_GEOCODES)
+    order = ["name", "assignee_type", "country", "city", "state"]
+    return flag_geocodes(_merged(tidy, "company_id", order, unique), COMPANY_GEOCODES)
 
 
 def assess_relations(
-    relations: DataFrame, patents: DataFrame, inventors: DataFrame, companies: DataFrame
+    relations: DataFrame,
+    patents: DataFrame,
+    inventors: DataFrame,
+    companies: DataFrame,
+    years: Years = VALID_YEARS,
 ) -> DataFrame:
     """Relations with the state of their three ends, taken from the other assessed tables.
 
     ``inventor_named`` and ``company_named`` are null for an unknown id and false for an entity
     that goes because it has no name.
     """
-    valid = patents.where(_has_title() & _valid_year())
+    valid = patents.where(_has_title() & _valid_year(years))
     known_patents = valid.select("patent_id", F.lit(True).alias("patent_known"))
     known_inventors = inventors.select("inventor_id", _has_name().alias("inventor_named"))
     known_companies = companies.select("company_id", _has_name().alias("company_named"))
@@ -142,8 +151,8 @@ def assess_relations(
     )
 
 
-def repaired_patents(assessed: DataFrame) -> DataFrame:
-    kept = assessed.where(_has_title() & _valid_year())
+def repaired_patents(assessed: DataFrame, years: Years = VALID_YEARS) -> DataFrame:
+    kept = assessed.where(_has_title() & _valid_year(years))
     abstract = F.coalesce("abstract", F.lit("")).alias("abstract")
     return kept.select("patent_id", "title", abstract, "filing_date", "year")
 
@@ -187,14 +196,14 @@ def _report_rows(
     return to_rows(row, entries, _REPORT)
 
 
-def patent_checks(assessed: DataFrame) -> DataFrame:
+def patent_checks(assessed: DataFrame, years: Years = VALID_YEARS) -> DataFrame:
     titled = _has_title()
-    kept = titled & _valid_year()
+    kept = titled & _valid_year(years)
     checks = [
         ("Q01", "duplicate patent_id", F.sum(F.col("copies") - 1), _MERGE),
         ("Q02", "empty title", count_if(~titled), _DROP),
         ("Q03", "empty abstract", count_if(titled & F.col("abstract").isNull()), _ONLY_REPORT),
-        ("Q04", "missing or invalid year", count_if(titled & ~_valid_year()), _DROP),
+        ("Q04", "missing or invalid year", count_if(titled & ~_valid_year(years)), _DROP),
         (
             "Q05",
             "missing filing date",
@@ -268,11 +277,14 @@ class CheckedStar(Star):
 
     ``assessed_*`` hold the tables with duplicates merged, nothing dropped yet, and the flags of
     the checks. They are what a writing stage stores: the repaired tables and the report are
-    filters, projections and counts over them.
+    filters, projections and counts over them. Tables named in ``unique`` hold each id once.
     """
 
-    def __init__(self, star: Star, stage: Stage):
-        self._star, self._stage = star, stage
+    def __init__(
+        self, star: Star, stage: Stage, years: Years = VALID_YEARS, unique: Collection[str] = ()
+    ):
+        self._star, self._stage, self._unique = star, stage, frozenset(unique)
+        self.years = years
 
     @cached_property
     def assessed_patents(self) -> DataFrame:
@@ -280,11 +292,15 @@ class CheckedStar(Star):
 
     @cached_property
     def assessed_inventors(self) -> DataFrame:
-        return self._stage(assess_inventors(self._star.inventors), "assessed_inventors")
+        return self._stage(
+            assess_inventors(self._star.inventors, "inventors" in self._unique), "assessed_inventors"
+        )
 
     @cached_property
     def assessed_companies(self) -> DataFrame:
-        return self._stage(assess_companies(self._star.companies), "assessed_companies")
+        return self._stage(
+            assess_companies(self._star.companies, "companies" in self._unique), "assessed_companies"
+        )
 
     @cached_property
     def assessed_relations(self) -> DataFrame:
@@ -294,11 +310,11 @@ class CheckedStar(Star):
             lambda: self.assessed_inventors,
             lambda: self.assessed_companies,
         )
-        return self._stage(assess_relations(links, *entities), "assessed_relations")
+        return self._stage(assess_relations(links, *entities, self.years), "assessed_relations")
 
     @cached_property
     def patents(self) -> DataFrame:
-        return repaired_patents(self.assessed_patents)
+        return repaired_patents(self.assessed_patents, self.years)
 
     @cached_property
     def inventors(self) -> DataFrame:
@@ -319,7 +335,7 @@ class CheckedStar(Star):
         What a check fixes is counted once: found minus fixed is what remains.
         """
         rows = (
-            patent_checks(self.assessed_patents)
+            patent_checks(self.assessed_patents, self.years)
             .unionByName(inventor_checks(self.assessed_inventors))
             .unionByName(company_checks(self.assessed_companies))
             .unionByName(relation_checks(self.assessed_relations))
@@ -327,6 +343,15 @@ class CheckedStar(Star):
         return self._stage(rows, "quality_report")
 
 
-def quality_check(star: Star, stage: Stage = lazy) -> CheckedStar:
-    """Check and repair a star. The input tables are left as they are."""
-    return CheckedStar(star, stage)
+def quality_check(
+    star: Star,
+    stage: Stage = lazy,
+    years: Years = VALID_YEARS,
+    unique: Collection[str] = (),
+) -> CheckedStar:
+    """Check and repair a star. The input tables are left as they are.
+
+    Patents of other ``years`` are dropped. ``unique`` names tables that are known to hold each id
+    once (inventors and companies as ``clean`` builds them); they are not grouped again.
+    """
+    return CheckedStar(star, stage, years, unique)

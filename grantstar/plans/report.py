@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantstar.operators.profiling import missing_share, sql_text, to_rows
+from grantstar.operators.ranking import top_k
 from grantstar.plans.analytics import (
     SUBCATEGORIES,
+    company_counts,
     country_share,
     dataset_kpis,
+    inventor_counts,
     subcategory_breakdown,
     top_companies,
     top_inventors,
 )
-from grantstar.plans.quality import COMPANY_GEOCODES, INVENTOR_GEOCODES
+from grantstar.plans.quality import COMPANY_GEOCODES, INVENTOR_GEOCODES, VALID_YEARS, Years
 from grantstar.schemas import Star
 
 
@@ -25,7 +28,10 @@ def _sum_of(report: DataFrame, *check_ids: str) -> Column:
 
 
 def summary_metrics(
-    star: Star, report: DataFrame, growth: tuple[int, int] = (2010, 2020)
+    star: Star,
+    report: DataFrame,
+    growth: tuple[int, int] = (2010, 2020),
+    years: Years = VALID_YEARS,
 ) -> DataFrame:
     """(metric, value): sixteen headline values, all as text."""
 
@@ -33,7 +39,7 @@ def summary_metrics(
         return df.select(column).scalar().alias(name)
 
     inventor, company = top_inventors(star, 1), top_companies(star, 1)
-    row = dataset_kpis(star, growth).select(
+    row = dataset_kpis(star, growth, years).select(
         "*",
         leader(inventor, "name", "top_inventor"),
         leader(inventor, "patent_count", "top_inventor_patents"),
@@ -43,6 +49,7 @@ def summary_metrics(
         leader(country_share(star, "company", 1), "country", "top_company_country"),
         _sum_of(report, "Q09", "Q12").alias("geocodes_fixed"),
     )
+    # The labels of the summary.
     metrics = {
         "Total green transport patents": "total_patents",
         "Year range (from)": "first_year",
@@ -65,10 +72,10 @@ def summary_metrics(
     return to_rows(row, entries, ["metric", "value"])
 
 
-def _ranked_array(top: DataFrame) -> Column:
-    """A top-k list as an array of structs with rank 1..k. The list arrives in rank order."""
-    columns = top.columns
-    rows = top.agg(F.collect_list(F.struct(*columns)).alias("rows"))
+def _ranked_array(top: DataFrame, key: str, columns: list[str]) -> Column:
+    """A top-k list as an array of structs with rank 1..k: the array itself is sorted, by count, then key."""
+    order = [(-F.col("patent_count")).alias("_less"), F.col(key).alias("_key")]
+    rows = top.agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("rows"))
     numbered = F.transform(
         "rows",
         lambda row, i: F.struct(
@@ -102,16 +109,24 @@ def _geocode_errors(report: DataFrame) -> Column:
     return F.array(*entries)
 
 
+# Title and focus of the report, and the note on its subclasses.
+REPORT_TITLE = "Green Transport Patent Intelligence Report"
+REPORT_FOCUS = "CPC Y02T — Climate Change Mitigation in Transportation"
+SUBCATEGORY_NOTE = "patents may appear in multiple subcategories"
+_SHARES = ["country", "patent_count", "pct_share"]
+
+
 def report_json(
     star: Star,
     cpc: DataFrame,
     report: DataFrame,
     subcategories: dict[str, str] | None = None,
     growth: tuple[int, int] = (2010, 2020),
-    title: str = "Green transport patent report",
-    focus: str = "CPC Y02T — Climate Change Mitigation in Transportation",
+    title: str = REPORT_TITLE,
+    focus: str = REPORT_FOCUS,
     generated: str | None = None,
     k: int = 10,
+    years: Years = VALID_YEARS,
 ) -> DataFrame:
     """One nested row: totals, subclasses, top lists and data quality.
 
@@ -125,7 +140,7 @@ def report_json(
     sections = counts.select(
         F.struct(
             *(F.col("counts")[prefix].alias(f"{prefix}_{label}") for prefix, label in names.items()),
-            F.lit("patents may appear in multiple subcategories").alias("note"),
+            F.lit(SUBCATEGORY_NOTE).alias("note"),
         )
     ).scalar()
     inventor_gap = missing_share(star.inventors, "country", "inventors").select("missing_pct")
@@ -151,15 +166,19 @@ def report_json(
         _sum_of(report, "Q01", "Q06", "Q10").alias("duplicate_records"),
         _sum_of(report, "Q14", "Q15", "Q16").alias("orphaned_relations"),
     )
-    return dataset_kpis(star, growth).select(
+    inventors = top_k(inventor_counts(star), k, "inventor_id")
+    companies = top_k(company_counts(star), k, "company_id")
+    by_inventor, by_company = country_share(star, "inventor", k), country_share(star, "company", k)
+    # The names of the sections are fixed values, like the title.
+    return dataset_kpis(star, growth, years).select(
         F.lit(title).alias("report_title"),
         F.lit(focus).alias("focus"),
         now.alias("generated"),
         dataset.alias("dataset"),
-        sections.alias("subcategories"),
-        _ranked_array(top_inventors(star, k)).alias("top_inventors"),
-        _ranked_array(top_companies(star, k)).alias("top_companies"),
-        _ranked_array(country_share(star, "inventor", k)).alias("top_countries_by_inventor"),
-        _ranked_array(country_share(star, "company", k)).alias("top_countries_by_company"),
+        sections.alias("y02t_subcategories"),
+        _ranked_array(inventors, "inventor_id", ["name", "country", "city", "patent_count"]).alias("top_inventors"),
+        _ranked_array(companies, "company_id", ["name", "country", "patent_count"]).alias("top_companies"),
+        _ranked_array(by_inventor, "country", _SHARES).alias("top_countries_by_inventor"),
+        _ranked_array(by_company, "country", _SHARES).alias("top_countries_by_company"),
         quality.alias("data_quality"),
     )

@@ -135,6 +135,7 @@ class Star(Tables):
     inventors: DataFrame
     companies: DataFrame
     relations: DataFrame
+    verified: DataFrame | None = None  # of a stored star: what ``profile.verify_stored`` found
 
     def create_views(self) -> None:
         """Offer the four tables to ``spark.sql`` under their own names."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Container
@@ -12,8 +13,6 @@ from typing import TypeVar
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-from grantstar.schemas import Stage
-
 # Runtime settings every plan here counts on. A key that holds a third of all rows must not end
 # in one task: skewed joins are split even where that costs one more shuffle further down.
 RUNTIME_CONF = {
@@ -29,7 +28,11 @@ START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply ``RUNTIME_CONF`` to a session that somebody else has built."""
+    """Apply ``RUNTIME_CONF`` to a session that somebody else has built.
+
+    The session keeps these settings, the time zone UTC among them: plans are lazy, so they must still
+    hold when a result is fetched later.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
@@ -48,37 +51,78 @@ def build_session(app: str = "grantstar", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. Only a session without one (a test) gets a local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="grantstar-")
+    """The folder all executors see, named in ``spark.checkpoint.dir``.
 
-
-def table_stage(
-    spark: SparkSession, folder: str | None = None, names: Container[str] | None = None
-) -> Stage:
+    A session on one machine may do without and gets a local folder; on a cluster each executor would
+    write that to its own disk, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
+    return tempfile.mkdtemp(prefix="grantstar-")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of the data files at or below a path (or pattern), in order of
+    path. A path that does not exist is an error."""
+    fs, at = _file_system(spark, path)
+    found, roots = [], fs.globStatus(at)
+    if not roots:
+        raise FileNotFoundError(path)
+    for root in roots:
+        listing = fs.listFiles(root.getPath(), True)
+        while listing.hasNext():
+            status = listing.next()
+            if not status.getPath().getName().startswith(("_", ".")):
+                found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(found)
+
+
+class TableStage:
     """A stage that writes each frame as parquet and reads it back.
 
     This cuts the lineage at a table that outlives lost executors, and lets several consumers
     read one result in place of computing it once each. With ``names`` only those frames are
     written and the others stay lazy: a frame with one consumer is better not stored. A name is
-    written once per stage, also when several threads ask for it.
+    written once per stage, also when several threads ask for it. ``close`` removes the tables, once
+    nothing reads them any more.
     """
-    root = folder or f"{shared_folder(spark)}/grantstar-{uuid.uuid4().hex}"
 
-    stored: dict[str, DataFrame] = {}
-    locks: dict[str, Lock] = {}
+    def __init__(self, spark: SparkSession, root: str, names: Container[str] | None = None):
+        self._spark, self.root, self._names = spark, root, names
+        self._stored: dict[str, DataFrame] = {}
+        self._locks: dict[str, Lock] = {}
 
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        if names is not None and name not in names:
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        if self._names is not None and name not in self._names:
             return df
-        with locks.setdefault(name, Lock()):
-            if name not in stored:
-                path = f"{root}/{name}"
+        with self._locks.setdefault(name, Lock()):
+            if name not in self._stored:
+                path = f"{self.root}/{name}"
                 df.write.mode("overwrite").parquet(path)
-                stored[name] = spark.read.schema(df.schema).parquet(path)
-            return stored[name]
+                self._stored[name] = self._spark.read.schema(df.schema).parquet(path)
+            return self._stored[name]
+
+    def close(self) -> None:
+        for name in self._stored:
+            fs, at = _file_system(self._spark, f"{self.root}/{name}")
+            fs.delete(at, True)
+        self._stored.clear()
 
-    return stage
+
+def table_stage(
+    spark: SparkSession, folder: str | None = None, names: Container[str] | None = None
+) -> TableStage:
+    """A writing stage under ``folder``, by default a new one in the shared folder."""
+    return TableStage(spark, folder or f"{shared_folder(spark)}/grantstar-{uuid.uuid4().hex}", names)
 
 
 T = TypeVar("T")

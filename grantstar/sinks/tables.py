@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
-from grantstar.schemas import Star
+from grantstar.schemas import CONTRACT_BY_NAME, Feeds, Star
 from grantstar.session import concurrently
 
 # The columns the queries filter or join on.
@@ -24,19 +25,23 @@ BUCKET_KEYS = {
 }
 
 
-def write_star(star: Star, folder: str, cluster: bool = False) -> None:
-    """Parquet under ``folder/<table>``. The folder must not be one the star is read from.
+def write_star(star: Star, folder: str, cluster: bool = False) -> dict[str, int]:
+    """Parquet under ``folder/<table>``; returns the rows that went into each. The folder must not be
+    one the star is read from.
 
     ``cluster`` range-partitions each table on its keys first, so that file statistics let a scan
     skip files: the counterpart of building indexes after a load.
     """
 
-    def write(name: str, df: DataFrame) -> None:
+    def write(name: str, df: DataFrame) -> tuple[str, int]:
         if cluster:
             df = df.repartitionByRange(*CLUSTER_KEYS[name]).sortWithinPartitions(*CLUSTER_KEYS[name])
+        seen = Observation()
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return name, seen.get["rows"]
 
-    concurrently(*(partial(write, name, df) for name, df in star.items()))
+    return dict(concurrently(*(partial(write, name, df) for name, df in star.items())))
 
 
 def write_star_csv(star: Star, folder: str) -> None:
@@ -47,20 +52,40 @@ def write_star_csv(star: Star, folder: str) -> None:
         )
 
 
+def write_feeds_tsv(feeds: Feeds, folder: str) -> None:
+    """The raw feeds as tab-separated text, under the names ``sources.feeds.feed_paths`` expects."""
+
+    def write(name: str, df: DataFrame) -> None:
+        writer = df.write.mode("overwrite").option("sep", "\t").option("header", True)
+        for side in ("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"):
+            writer = writer.option(side, False)
+        writer.option("escape", '"').csv(f"{folder}/{CONTRACT_BY_NAME[name].file}")
+
+    concurrently(*(partial(write, name, df) for name, df in feeds.items()))
+
+
 def save_tables(star: Star, database: str = "default", buckets: int | None = None) -> None:
-    """Catalog tables, replaced as a whole; with ``buckets`` joins on the ids need no shuffle."""
+    """Catalog tables, replaced as a whole; with ``buckets`` joins on the ids need no shuffle.
+
+    Rows are dealt out by bucket first, so each bucket is one file. Joins without a shuffle cannot be
+    split by the planner: leave the buckets out where one id may hold a large part of a table.
+    """
     for name, df in star.items():
+        if buckets:
+            df = df.repartition(buckets, BUCKET_KEYS[name])
         writer = df.write.mode("overwrite").format("parquet")
         if buckets:
             writer = writer.bucketBy(buckets, BUCKET_KEYS[name]).sortBy(BUCKET_KEYS[name])
         writer.saveAsTable(f"{database}.{name}")
 
 
-def write_result_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with header, for results that are short by construction (a top-k, a report)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_result_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """CSV with header: one file for results that are short by construction (a top-k, a report),
+    a file per partition with ``one_file=False`` for uncapped ones."""
+    df = df.coalesce(1) if one_file else df
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON line per row, nulls written out."""
+    """One JSON line per row, nulls written out; for short results, as it makes one file."""
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)

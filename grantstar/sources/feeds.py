@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import partial, reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grantstar.schemas import CONTRACT_BY_NAME, CONTRACTS, FeedContract, Feeds
-from grantstar.session import concurrently
+from grantstar.session import concurrently, files_below
 
 # The texts pandas reads as missing by default. Not applied unless asked for, since
 # they include a country code (NA) and surnames (Null, None).
@@ -22,67 +24,145 @@ PANDAS_NULL_TOKENS = (
 _CONTRACT_REPORT = "feed string, exists boolean, missing_columns string, ok boolean"
 
 
-def _reader(spark: SparkSession, multiline: bool, mode: str = "PERMISSIVE"):
-    """Tab-separated text with doubled-quote escapes. Without a schema and without inference Spark
-    takes the column names from the header line and reads all columns as text, so feeds may hold
-    more columns than the contract, in any order."""
+def _reader(spark: SparkSession, multiline: bool):
+    """Tab-separated text with doubled-quote escapes and a header line."""
     return (
         spark.read.option("sep", "\t")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
-        .option("mode", mode)
     )
 
 
-def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether any value may run over a line end: some line then holds an odd number of quotes.
+def files_over_lines(spark: SparkSession, path: str | list[str], sep: str = "\t") -> list[str]:
+    """The files in which a value may run over a line end: some line has a field that begins with a quote
+    and an odd number of quotes.
 
     A file read with ``multiLine`` goes through one task as a whole. This look at the plain lines
-    is split like any text scan, and lets all files without such values be split as well.
+    is split like any text scan, and lets all other files be split as well. A quote inside a field
+    that does not begin with one is plain text.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    begins = F.col("value").rlike(f'(^|{sep})"')
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    found = lines.where((quotes % 2 == 1) & begins).select("file").distinct().collect()
+    return sorted(r.file for r in found)
 
 
-def read_feed(
+def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether any value may run over a line end."""
+    return bool(files_over_lines(spark, path))
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    paths = [path] if isinstance(path, str) else path
+    return [file for p in paths for file, size, _ in files_below(spark, p) if size]
+
+
+_MALFORMED = "_malformed_line"
+
+
+def read_lines(
     spark: SparkSession,
     path: str | list[str],
     name: str,
     null_tokens: Sequence[str] = (),
     multiline: bool | None = None,
-    mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """The contract columns of one feed, as text.
+    """The contract columns of one feed as text, and ``_malformed_line``: null, or the text of a row that
+    has more or fewer fields than the header.
 
-    ``path`` may be a file, a folder of part files or a list of paths; all must have the same
-    header. Empty fields are null; ``null_tokens`` adds more texts that count as missing.
-    ``multiline`` says whether values hold line ends; by default the feeds with free text are
-    looked through for such values. ``mode`` is Spark's treatment of malformed rows.
+    Parts with the same header are read together, by name, so parts may order their columns
+    differently. Only files with a value that runs over a line are read as a whole.
     """
     contract = CONTRACT_BY_NAME[name]
+    try:
+        files = _files(spark, path)
+    except FileNotFoundError:
+        files = []
+    if not files:
+        return _reader(spark, False).csv(path).select(*contract.columns)  # raises what is wrong
     if multiline is None:
-        multiline = contract.multiline and spans_lines(spark, path)
-    raw = _reader(spark, multiline, mode).csv(path)
+        found = set(files_over_lines(spark, files)) if contract.multiline else set()
+        whole = {f for f in files if _plain(f) in map(_plain, found)}
+    else:
+        whole = set(files) if multiline else set()
+    groups: dict[tuple, list[str]] = {}
+    for file in files:
+        header = tuple(_reader(spark, file in whole).csv(file).columns)
+        groups.setdefault((file in whole, header), []).append(file)
+    frames = []
+    for (over_lines, header), own in groups.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, _MALFORMED)])
+        reader = _reader(spark, over_lines).schema(schema).option("enforceSchema", False)
+        # A parser that skips columns would not notice fields too many or too few.
+        reader = reader.option("columnNameOfCorruptRecord", _MALFORMED).option("columnPruning", False)
+        raw = reader.csv(own)
+        frames.append(raw.select(*contract.columns, _MALFORMED))
+    raw = reduce(DataFrame.unionByName, frames)
     if not null_tokens:
-        return raw.select(*contract.columns)
+        return raw
     tokens = list(null_tokens)
-    return raw.select(
-        *(F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) for c in contract.columns)
-    )
+    return raw.withColumns({c: F.when(~F.col(c).isin(tokens), F.col(c)) for c in contract.columns})
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme and empty authority, as the two listings spell it differently."""
+    return unquote(re.sub(r"^file:/+", "/", path))
+
+
+def read_feed(
+    spark: SparkSession,
+    path: str | list[str],
+    name: str,
+    null_tokens: Sequence[str] = (),
+    multiline: bool | None = None,
+    skip_malformed: bool = False,
+) -> DataFrame:
+    """The contract columns of one feed, as text.
+
+    ``path`` may be a file, a folder of part files or a list of paths. Empty fields are null;
+    ``null_tokens`` adds more texts that count as missing. ``multiline`` says whether values hold line
+    ends; by default the feeds with free text are looked through for such values. A row with more or
+    fewer fields than the header is an error when it is read, unless ``skip_malformed`` leaves such
+    rows out; ``malformed_rows`` counts them.
+    """
+    lines = read_lines(spark, path, name, null_tokens, multiline)
+    # Spark refuses to read the column of malformed lines alone, so a count must need another one, too.
+    other = F.length(F.coalesce(CONTRACT_BY_NAME[name].columns[0], F.lit(""))) < 0
+    bad = F.col(_MALFORMED).isNotNull() | other
+    if skip_malformed:
+        kept = lines.where(~bad)
+    else:
+        stop = F.raise_error(F.concat(F.lit(f"malformed row in feed {name}: "), F.col(_MALFORMED)))
+        kept = lines.where(F.when(bad, stop.cast("boolean")).otherwise(F.lit(True)))
+    return kept.select(*CONTRACT_BY_NAME[name].columns)
+
+
+def malformed_rows(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(feed, rows, malformed) of all given feeds."""
+    counts = []
+    for name, path in paths.items():
+        lines = read_lines(spark, path, name)
+        bad = F.count_if(F.col(_MALFORMED).isNotNull())
+        # As in ``read_feed``, one more column is needed.
+        whole = F.count(CONTRACT_BY_NAME[name].columns[0])
+        totals = lines.agg(F.count(F.lit(1)).alias("rows"), bad.alias("malformed"), whole.alias("whole"))
+        counts.append(
+            totals.where("whole >= 0").select(F.lit(name).alias("feed"), "rows", "malformed")
+        )
+    return reduce(DataFrame.unionByName, counts)
 
 
 def header_of(spark: SparkSession, path: str) -> list[str] | None:
-    """The column names of a feed, none for a folder without files, None without such a path."""
+    """The column names that every part of a feed has, none for a folder without files, None without
+    such a path."""
     try:
-        return _reader(spark, multiline=False).csv(path).columns
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-            return []
-        raise
+        headers = [_reader(spark, multiline=False).csv(file).columns for file in _files(spark, path)]
+    except FileNotFoundError:
+        return None
+    return [c for c in headers[0] if all(c in h for h in headers)] if headers else []
 
 
 def _verdict(contract: FeedContract, columns: list[str] | None) -> tuple[str, bool, str, bool]:
@@ -96,7 +176,7 @@ def feed_paths(folder: str) -> dict[str, str]:
 
 
 def check_sources(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(feed, exists, missing_columns, ok), read off the header lines alone."""
+    """(feed, exists, missing_columns, ok), read off the header lines of all parts alone."""
     rows = [
         _verdict(c, header_of(spark, paths[c.name]) if c.name in paths else None)
         for c in CONTRACTS
@@ -126,19 +206,33 @@ def read_feeds(spark: SparkSession, paths: dict[str, str], **options) -> Feeds:
 
 
 def convert_feeds(
-    spark: SparkSession, paths: dict[str, str], folder: str, rows_per_file: int = 5_000_000, **options
+    spark: SparkSession,
+    paths: dict[str, str],
+    folder: str,
+    rows_per_file: int = 5_000_000,
+    skip_malformed: bool = False,
+    **options,
 ) -> Feeds:
     """Write the feeds as parquet and read them back.
 
     After this step every scan is split, pruned to the columns it needs and filtered at the source.
+    Malformed rows are counted while the rest is written: they are an error that names the feeds and
+    the counts, unless ``skip_malformed`` is set. ``options`` go to ``read_lines``.
     """
 
-    def convert(name: str) -> None:
-        feed = read_feed(spark, paths[name], name, **options)
+    def convert(name: str) -> tuple[str, int]:
+        seen = Observation()
+        lines = read_lines(spark, paths[name], name, **options)
+        bad = F.count_if(F.col(_MALFORMED).isNotNull()).alias("malformed")
+        feed = lines.observe(seen, bad).where(F.col(_MALFORMED).isNull()).drop(_MALFORMED)
         writer = feed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
         writer.parquet(f"{folder}/{name}")
+        return name, seen.get["malformed"]
 
-    concurrently(*(partial(convert, contract.name) for contract in CONTRACTS))
+    found = dict(concurrently(*(partial(convert, contract.name) for contract in CONTRACTS)))
+    if not skip_malformed and any(found.values()):
+        detail = ", ".join(f"{name}: {n}" for name, n in found.items() if n)
+        raise ValueError(f"malformed rows in the raw feeds ({detail})")
     return read_converted(spark, folder)
 
 

@@ -54,6 +54,8 @@ def _place_id(name: str) -> Column:
 class StandInFeeds(Feeds):
     """The six raw feeds over the benchmark tables, all text."""
 
+    TABLES = "customer documents lineitem nation orders part region supplier".split()
+
     def __init__(self, spark: SparkSession, folder: str):
         self._tables = BenchmarkTables(spark, folder)
 
@@ -93,11 +95,11 @@ class StandInFeeds(Feeds):
     @cached_property
     def assignee(self) -> DataFrame:
         t = self._tables
-        owned = t.orders.where(F.col("o_orderpriority") != "5-LOW")
-        links = owned.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        links = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        owner = F.when(F.col("o_orderpriority") != "5-LOW", _text("c_custkey"))
         return links.select(
             _text("o_orderkey").alias("patent_id"),
-            _text("c_custkey").alias("assignee_id"),
+            owner.alias("assignee_id"),
             _blank_every("c_custkey", 3, F.col("c_name")).alias("disambig_assignee_organization"),
             _blank_every("c_custkey", 6, F.col("c_mktsegment")).alias(
                 "disambig_assignee_individual_name_first"
@@ -172,6 +174,11 @@ def _placed(df: DataFrame, nations: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _lost(rule: Column, key: Column) -> Column:
+    """The key, or where the rule holds one that no entity has."""
+    return F.when(rule, F.concat(F.lit("lost"), key)).otherwise(key)
+
+
 def _twice(df: DataFrame, balance: str) -> DataFrame:
     """Repeat the rows with a negative balance under another name."""
     second = df.where(F.col(balance) < 0).withColumn("name", F.lit("~copy"))
@@ -181,9 +188,9 @@ def _twice(df: DataFrame, balance: str) -> DataFrame:
 class DirtyStar(Star):
     """A star as no cleaning has touched it: repeated ids, blanks, wrong places and orphans.
 
-    Orders without a priority, suppliers of nation 5 and customers in machinery are missing from
-    the entity tables while line items still refer to them. Urgent orders and entities with a
-    negative balance appear twice.
+    Every row of the tables takes part. Links of orders without a priority, and those of some suppliers
+    and customers, carry ids that no entity has. Urgent orders and entities with a negative balance
+    appear twice.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -192,7 +199,7 @@ class DirtyStar(Star):
     @cached_property
     def patents(self) -> DataFrame:
         t = self._tables
-        orders = t.orders.where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
+        orders = t.orders
         misread = F.when(F.col("o_totalprice") > 450000, 100).otherwise(0)
         texts = t.documents.select("doc_id", "text")
         first = orders.join(texts, F.col("o_orderkey") == F.col("doc_id"), "left").select(
@@ -214,8 +221,7 @@ class DirtyStar(Star):
     @cached_property
     def inventors(self) -> DataFrame:
         t = self._tables
-        listed = t.supplier.where(F.col("s_nationkey") != 5)
-        named = _placed(listed, t.nation, "s_nationkey").withColumn(
+        named = _placed(t.supplier, t.nation, "s_nationkey").withColumn(
             "name", _blank_every("s_suppkey", 10, F.col("s_name"))
         )
         return _twice(named, "s_acctbal").select(
@@ -225,8 +231,7 @@ class DirtyStar(Star):
     @cached_property
     def companies(self) -> DataFrame:
         t = self._tables
-        listed = t.customer.where(F.col("c_mktsegment") != "MACHINERY")
-        named = _placed(listed, t.nation, "c_nationkey").withColumn(
+        named = _placed(t.customer, t.nation, "c_nationkey").withColumn(
             "name", _blank_every("c_custkey", 6, F.col("c_name"), F.lit(" "))
         )
         return _twice(named, "c_acctbal").select(
@@ -241,10 +246,10 @@ class DirtyStar(Star):
     @cached_property
     def relations(self) -> DataFrame:
         t = self._tables
-        owner = F.when(F.col("o_orderpriority") != "5-LOW", _text("o_custkey"))
         links = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        owner = _lost(F.col("o_custkey") % 5 == 2, _text("o_custkey"))
         return links.select(
-            _text("l_orderkey").alias("patent_id"),
-            _text("l_suppkey").alias("inventor_id"),
-            owner.alias("company_id"),
+            _lost(F.col("o_orderpriority") == "4-NOT SPECIFIED", _text("l_orderkey")).alias("patent_id"),
+            _lost(F.col("l_suppkey") % 7 == 3, _text("l_suppkey")).alias("inventor_id"),
+            F.when(F.col("o_orderpriority") != "5-LOW", owner).alias("company_id"),
         ).distinct()

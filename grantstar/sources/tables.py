@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from grantstar.schemas import STAR_SCHEMAS, Star
+from grantstar.sources.feeds import files_over_lines
 
 
 def read_star(spark: SparkSession, folder: str) -> Star:
@@ -14,12 +15,17 @@ def read_star(spark: SparkSession, folder: str) -> Star:
     )
 
 
-def read_star_csv(spark: SparkSession, folder: str) -> Star:
-    """A star exported as CSV (header, quoted text), with the declared types."""
+def read_star_csv(spark: SparkSession, folder: str, multiline: bool | None = None) -> Star:
+    """A star exported as CSV (header, quoted text), with the declared types.
+
+    Only tables with a value that runs over a line are read a whole file at a time.
+    """
 
     def load(name: str, schema):
         reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-        return reader.option("escape", '"').option("multiLine", True).csv(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        whole = bool(files_over_lines(spark, path, ",")) if multiline is None else multiline
+        return reader.option("escape", '"').option("multiLine", whole).csv(path)
 
     return Star(**{n: load(n, s) for n, s in STAR_SCHEMAS.items()})
 

@@ -31,13 +31,13 @@ raw_inventor as (
          concat('n', cast(s_nationkey as varchar)) location_id
   from lineitem join supplier on l_suppkey = s_suppkey),
 raw_assignee as (
-  select cast(o_orderkey as varchar) patent_id, cast(c_custkey as varchar) assignee_id,
+  select cast(o_orderkey as varchar) patent_id,
+         case when o_orderpriority <> '5-LOW' then cast(c_custkey as varchar) end assignee_id,
          case when c_custkey % 3 = 0 then null else c_name end organization,
          case when c_custkey % 6 = 0 then null else c_mktsegment end first_name,
          cast(null as varchar) last_name, c_nationkey assignee_type,
          concat('n', cast(c_nationkey as varchar)) location_id
-  from orders join customer on o_custkey = c_custkey
-  where o_orderpriority <> '5-LOW'),
+  from orders join customer on o_custkey = c_custkey),
 green as (select distinct patent_id from raw_cpc where cpc_group like 'Brand#1%'),
 chosen as (
   select p.patent_id, trim(p.patent_title) title, p.patent_date filing_date,
@@ -67,7 +67,7 @@ clean_companies as (
   select distinct r.company_id, r.name, r.assignee_type, l.country, l.city, l.state
   from named_owner r join chosen p on r.patent_id = p.patent_id
   left join raw_location l on r.location_id = l.location_id
-  where r.name is not null),
+  where r.name is not null and r.company_id is not null),
 clean_relations as (
   select i.patent_id, i.inventor_id, a.assignee_id company_id
   from (select distinct r.patent_id, r.inventor_id from raw_inventor r join chosen p on r.patent_id = p.patent_id) i
@@ -147,21 +147,20 @@ place as (
               else concat('City ', cast(n_regionkey as varchar)) end city,
          concat('S', cast(n_regionkey as varchar)) state
   from nation),
-d_orders as (select * from orders where o_orderpriority <> '4-NOT SPECIFIED'),
 d_patents as (
   select cast(o_orderkey as varchar) patent_id,
          case when o_orderkey % 97 = 0 then '  ' else concat(' Order ', o_orderpriority, ' ') end title,
          text abstract,
          case when o_orderkey % 101 = 0 then null else cast(o_orderdate as date) end filing_date,
          year(o_orderdate) + case when o_totalprice > 450000 then 100 else 0 end yr
-  from d_orders left join documents on o_orderkey = doc_id
+  from orders left join documents on o_orderkey = doc_id
   union all
   select cast(o_orderkey as varchar), 'Zweitschrift', null, cast(o_orderdate as date), year(o_orderdate)
-  from d_orders where o_orderpriority = '1-URGENT'),
+  from orders where o_orderpriority = '1-URGENT'),
 d_supplier as (
   select cast(s_suppkey as varchar) inventor_id, case when s_suppkey % 10 = 0 then null else s_name end name,
          country, city, state, s_acctbal
-  from supplier join place on s_nationkey = n_nationkey where s_nationkey <> 5),
+  from supplier join place on s_nationkey = n_nationkey),
 d_inventors as (
   select inventor_id, name, country, city, state from d_supplier
   union all
@@ -169,14 +168,16 @@ d_inventors as (
 d_customer as (
   select cast(c_custkey as varchar) company_id, case when c_custkey % 6 = 0 then ' ' else c_name end name,
          c_nationkey assignee_type, country, city, state, c_acctbal
-  from customer join place on c_nationkey = n_nationkey where c_mktsegment <> 'MACHINERY'),
+  from customer join place on c_nationkey = n_nationkey),
 d_companies as (
   select company_id, name, assignee_type, country, city, state from d_customer
   union all
   select company_id, '~copy', assignee_type, country, city, state from d_customer where c_acctbal < 0),
 d_relations as (
-  select distinct cast(l_orderkey as varchar) patent_id, cast(l_suppkey as varchar) inventor_id,
-         case when o_orderpriority <> '5-LOW' then cast(o_custkey as varchar) end company_id
+  select distinct concat(case when o_orderpriority = '4-NOT SPECIFIED' then 'lost' else '' end, l_orderkey) patent_id,
+         concat(case when l_suppkey % 7 = 3 then 'lost' else '' end, l_suppkey) inventor_id,
+         case when o_orderpriority <> '5-LOW'
+              then concat(case when o_custkey % 5 = 2 then 'lost' else '' end, o_custkey) end company_id
   from lineitem join orders on l_orderkey = o_orderkey),
 tidy_patents as (
   select patent_id, nullif(trim(title), '') title,
@@ -312,6 +313,8 @@ _star(
 where country in ('NATION_3', 'NATION_7', 'NATION_15') order by n desc, inventor_id limit 20""",
 )
 _star("top_companies", "select name, country, n patent_count from top20_companies")
+_star("top_companies_full", "select name, country, n patent_count from company_counts")
+_star("country_share_inventor_full", "select * from inventor_shares")
 _star(
     "country_share_inventor",
     "select * from inventor_shares order by patent_count desc, country limit 30",
@@ -407,6 +410,13 @@ from companies c join relations r on c.company_id = r.company_id
 join patents p on r.patent_id = p.patent_id join inventors i on r.inventor_id = i.inventor_id
 where c.country = 'NATION_5' order by c.company_id, p.patent_id, i.inventor_id limit 10""",
 )
+_star(
+    "suspicious_geocodes_full",
+    """select c.name company, c.country, c.city, p.title, p.yr as year, i.name inventor, i.country inv_country
+from companies c join relations r on c.company_id = r.company_id
+join patents p on r.patent_id = p.patent_id join inventors i on r.inventor_id = i.inventor_id
+where c.country = 'NATION_5'""",
+)
 _star(
     "ranked_companies",
     """select row_number() over (order by n desc, name, country) as rank, name, country, n patent_count
@@ -466,7 +476,7 @@ _WRONG = [("inventors", "UG", "Amuru"), ("inventors", "CM", "Somalomo"), ("compa
 _star(
     "report_json",
     f"""select cast(to_json(struct_pack(
-  report_title := 'Green transport patent report',
+  report_title := 'Green Transport Patent Intelligence Report',
   focus := 'CPC Y02T — Climate Change Mitigation in Transportation',
   generated := '1970-01-01 00:00:00',
   dataset := struct_pack(
@@ -475,7 +485,7 @@ _star(
     unassigned_patents := unassigned_patents,
     peak_year := struct_pack("year" := peak_year, patent_count := peak_patents),
     growth_1996_to_2000_pct := growth_pct),
-  subcategories := struct_pack(
+  y02t_subcategories := struct_pack(
     {", ".join(f'"{p}_brand" := (select count(distinct patent_id) from raw_cpc where cpc_group like {chr(39)}{p}%{chr(39)})' for p in _PREFIXES)},
     note := 'patents may appear in multiple subcategories'),
   top_inventors := {_ranked(_TOP10.format("inventor_id", "inventor_counts"), "name := name, country := country, city := city, patent_count := n")},
@@ -520,7 +530,7 @@ join raw_location l on l.location_id = concat('n', cast(c_nationkey as varchar))
 group by l_suppkey having count(distinct l.country) > 1""",
 )
 
-ORACLES["check_sources"] = _over(
+ORACLES["check_loaded_feeds"] = _over(
     _FEEDS,
     """select 'patent' feed, true as "exists", '' missing_columns, true ok, count(*) as rows from raw_patent
 union all select 'abstract', true, '', true, count(*) from raw_abstract
@@ -529,6 +539,9 @@ union all select 'assignee', true, '', true, count(*) from raw_assignee
 union all select 'location', true, '', true, count(*) from raw_location
 union all select 'cpc', true, '', true, count(*) from raw_cpc""",
 )
+ORACLES["check_sources"] = ORACLES["check_loaded_feeds"].replace(
+    "count(*) as rows", "count(*) as rows, cast(0 as bigint) malformed"
+).replace("count(*) from", "count(*), 0 from")
 ORACLES["subcategory_breakdown"] = _over(
     _FEEDS,
     " union all ".join(
@@ -581,6 +594,8 @@ _PATENT_ROWS = (
 )
 ORACLES["attach_abstracts"] = _over(_CLEAN, f"{_PATENT_ROWS} clean_patents")
 ORACLES["clean_patents"] = _over(_CLEAN, f"{_PATENT_ROWS} clean_patents")
+ORACLES["tsv_patents"] = ORACLES["clean_patents"]
+ORACLES["tsv_relations"] = _over(_CLEAN, "select * from clean_relations")
 ORACLES["clean_inventors"] = _over(_CLEAN, "select * from clean_inventors")
 ORACLES["clean_companies"] = _over(_CLEAN, "select * from clean_companies")
 ORACLES["clean_relations"] = _over(_CLEAN, "select * from clean_relations")
@@ -601,6 +616,9 @@ group by country order by count(*) desc, country limit 5""",
     )
 
 ORACLES["quality_report"] = _over(_DIRTY, "select * from full_report")
+ORACLES["quality_report_other_years"] = _over(
+    _DIRTY.replace("between 1976 and 2025", "between 1996 and 1999"), "select * from full_report"
+)
 ORACLES["orphan_relations"] = _over(
     _DIRTY, """select * from full_report where "table" = 'relations' and found > 0"""
 )

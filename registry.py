@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from threading import Lock
 
@@ -15,10 +16,12 @@ from grantstar.plans import clean as c
 from grantstar.plans import notes as n
 from grantstar.plans import profile as p
 from grantstar.plans import quality as q
+from grantstar.plans.counts import CountedStar
 from grantstar.plans.pipeline import checked_star
 from grantstar.plans.report import report_json, summary_metrics
-from grantstar.session import tune
-from grantstar.sources.feeds import check_feeds
+from grantstar.session import files_below, shared_folder, table_stage, tune
+from grantstar.sinks.tables import write_feeds_tsv
+from grantstar.sources.feeds import check_feeds, check_sources, feed_paths, malformed_rows, read_feeds
 from grantstar.sources.stand_in import (
     CLASS_PREFIX,
     SUBCLASS_PREFIXES,
@@ -60,18 +63,21 @@ def _cleaned(spark: SparkSession, folder: str) -> c.CleanStar:
     return c.clean(StandInFeeds(spark, folder), CLASS_PREFIX)
 
 
-_STARS: dict[tuple[str, str], q.CheckedStar] = {}
+_STARS: dict[tuple[str, str], tuple[tuple, CountedStar]] = {}
 _LOCK = Lock()
 
 
-def _checked(spark: SparkSession, folder: str) -> q.CheckedStar:
-    """The checked star of a folder. Its stages are written to the shared folder when a query
-    first needs them, and all queries of the application read those tables."""
+def _checked(spark: SparkSession, folder: str) -> CountedStar:
+    """The checked star of a folder, with its counts. Its stages are written to the shared folder when a
+    query first needs them, and all queries of the application read those tables, until the files
+    of the folder change."""
     key = (spark.sparkContext.applicationId, folder)
+    files = tuple(f for table in StandInFeeds.TABLES for f in files_below(spark, f"{folder}/{table}.parquet"))
     with _LOCK:
-        if key not in _STARS:
-            _STARS[key] = checked_star(StandInFeeds(spark, folder), CLASS_PREFIX)
-        return _STARS[key]
+        if key not in _STARS or _STARS[key][0] != files:
+            star = checked_star(StandInFeeds(spark, folder), CLASS_PREFIX)
+            _STARS[key] = files, CountedStar(star, table_stage(spark))
+        return _STARS[key][1]
 
 
 def _checked_dirty(spark: SparkSession, folder: str) -> q.CheckedStar:
@@ -116,6 +122,9 @@ over_star("search_patents_full", lambda s: a.search_patents(s, "", 1995, 2025, N
 over_star("top_inventor_countries", a.top_inventor_countries)
 over_star("top_company_countries", a.top_company_countries)
 over_star("country_options", a.country_options)
+over_star("top_companies_full", lambda s: a.top_companies(s, None))
+over_star("country_share_inventor_full", lambda s: a.country_share(s, "inventor", None))
+over_star("suspicious_geocodes_full", lambda s: a.suspicious_geocodes(s, "NATION_5", None))
 over_star("companies_in_country", lambda s: a.companies_in_country(s, "NATION_5"))
 over_star("suspicious_geocodes", lambda s: a.suspicious_geocodes(s, "NATION_5"))
 over_star(
@@ -140,7 +149,7 @@ _register(BenchmarkTables)(
 _register(TravellingFeeds)("inventor_mobility", n.inventor_mobility)
 
 # --- raw feeds and cleaning --------------------------------------------------------------------
-over_feeds("check_sources", check_feeds)
+over_feeds("check_loaded_feeds", check_feeds)
 over_feeds("subcategory_breakdown", lambda f: a.subcategory_breakdown(f.cpc, SUBCLASS_PREFIXES))
 over_feeds("filter_funnel", lambda f: c.filter_funnel(f, CLASS_PREFIX))
 over_feeds("patent_type_counts", p.patent_type_counts)
@@ -176,8 +185,37 @@ over_clean("profile_entities", p.profile_entities)
 over_clean("most_common_inventor_countries", lambda s: p.most_common_countries(s.inventors))
 over_clean("most_common_company_countries", lambda s: p.most_common_countries(s.companies))
 
+# --- the feeds as delimited text: written to the shared folder and read back --------------------
+
+
+def _tsv_paths(spark: SparkSession, folder: str) -> dict[str, str]:
+    raw = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    write_feeds_tsv(StandInFeeds(spark, folder), raw)
+    return feed_paths(raw)
+
+
+def _check_sources(spark: SparkSession, folder: str) -> DataFrame:
+    paths = _tsv_paths(tune(spark), folder)
+    return check_sources(spark, paths).join(malformed_rows(spark, paths), "feed")
+
+
+def _over_tsv(name: str, build: Callable[[c.CleanStar], DataFrame]) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        feeds = read_feeds(tune(spark), _tsv_paths(spark, folder))
+        return _as_text_dates(build(c.clean(feeds, CLASS_PREFIX)))
+
+    QUERIES[name] = run
+
+
+QUERIES["check_sources"] = _check_sources
+_over_tsv("tsv_patents", lambda s: s.patents)
+_over_tsv("tsv_relations", lambda s: s.relations)
+
 # --- checks and repairs ------------------------------------------------------------------------
 over_dirty("quality_report", lambda s: s.report)
+_register(DirtyStar)(
+    "quality_report_other_years", lambda s: q.quality_check(s, years=(1996, 1999)).report
+)
 over_dirty("null_summary", q.star_null_summary)
 over_dirty("repaired_patents", lambda s: s.patents)
 over_dirty("repair_geocodes", lambda s: s.inventors)

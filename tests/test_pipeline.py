@@ -1,16 +1,19 @@
 import csv
 import glob
 import json
+import shutil
 
 import pytest
 
 from conftest import tuples
 from grantstar.plans import analytics as a
-from grantstar.plans.pipeline import run_pipeline
+from grantstar.plans.counts import CountedStar
+from grantstar.plans.pipeline import results, run_pipeline
+from grantstar.plans.profile import verify_stored
 from grantstar.plans.quality import quality_check
 from grantstar.plans.report import report_json, summary_metrics
 from grantstar.schemas import CONTRACTS
-from grantstar.session import shared_folder
+from grantstar.session import shared_folder, table_stage
 from grantstar.sinks.tables import save_tables, write_star, write_star_csv
 from grantstar.sources.tables import read_star, read_star_csv, star_from_catalog
 
@@ -85,10 +88,11 @@ def test_from_raw_files_to_reports(spark, raw_folder, tmp_path):
     assert summary["Unassigned patents"] == "1"
     (path,) = glob.glob(f"{out}/report/*.json")
     report = json.loads(open(path, encoding="utf-8").read())
+    assert report["report_title"] == "Green Transport Patent Intelligence Report"
     assert report["dataset"]["year_range"] == {"from": 2010, "to": 2020}
     assert report["dataset"]["peak_year"] == {"year": 2020, "patent_count": 2}
-    assert report["subcategories"]["Y02T10_road_vehicles"] == 5
-    assert report["subcategories"]["Y02T90_charging_infrastructure"] == 1
+    assert report["y02t_subcategories"]["Y02T10_road_vehicles"] == 5
+    assert report["y02t_subcategories"]["Y02T90_charging_infrastructure"] == 1
     assert [(t["rank"], t["name"]) for t in report["top_companies"]] == [(1, "Aisan"), (2, "Bob Ray")]
     assert report["top_inventors"][0] == {
         "rank": 1, "name": "Shigeo Y", "country": "JP", "city": None, "patent_count": 2,
@@ -99,6 +103,47 @@ def test_from_raw_files_to_reports(spark, raw_folder, tmp_path):
     assert titles['Hybrid "X" drive'] == "two\nlines"
 
 
+def test_malformed_rows_and_other_years(spark, raw_folder, tmp_path):
+    shutil.copytree(raw_folder, tmp_path / "raw")
+    with open(tmp_path / "raw" / "g_patent.tsv", "a", encoding="utf-8") as file:
+        file.write("7\tNext year\t2026-05-06\tutility\t0\n8\tshort row\n")
+    with open(tmp_path / "raw" / "g_cpc_current.tsv", "a", encoding="utf-8") as file:
+        file.write("7\tY02T10/7\n")
+    with pytest.raises(ValueError, match="patent: 1"):
+        run_pipeline(spark, str(tmp_path / "raw"), str(tmp_path / "one"))
+    verified = run_pipeline(
+        spark, str(tmp_path / "raw"), str(tmp_path / "two"), years=(1976, 2026), skip_malformed=True
+    )
+    assert {r.table: r.rows for r in verified.collect()}["patents"] == 4
+    assert read_csv(tmp_path / "two" / "output" / "yearly_trends")[-1]["year"] == "2026"
+
+
+@pytest.mark.parametrize("damage", ["missing", "type", "rows", "gone"])
+def test_damaged_tables_do_not_verify(spark, checked, tmp_path, damage):
+    written = write_star(checked, str(tmp_path))
+    assert all(r.columns_ok and r.rows_ok for r in verify_stored(spark, str(tmp_path), written).collect())
+    table = spark.read.parquet(f"{tmp_path}/patents")
+    if damage == "missing":
+        table.drop("title").write.parquet(f"{tmp_path}/other")
+    elif damage == "type":
+        table.withColumn("year", table.year.cast("string")).write.parquet(f"{tmp_path}/other")
+    elif damage == "rows":
+        table.limit(5).write.parquet(f"{tmp_path}/other")
+    shutil.rmtree(tmp_path / "patents")
+    if damage != "gone":
+        shutil.move(tmp_path / "other", tmp_path / "patents")
+    verdict = {r.table: r for r in verify_stored(spark, str(tmp_path), written).collect()}
+    assert not (verdict["patents"].columns_ok and verdict["patents"].rows_ok)
+    assert verdict["relations"].columns_ok and verdict["relations"].rows_ok
+
+
+def test_results_read_the_bridge_once_for_each_side(spark, checked, feeds, tmp_path):
+    """Counts come from stored tables: no result joins or groups the bridge again."""
+    counted = CountedStar(checked, table_stage(spark, str(tmp_path)))
+    for name in ("top_inventors", "top_companies", "inventor_rankings", "cte_above_average_companies"):
+        assert all("per_" in f or "pairs_" in f for f in results(counted)[name].inputFiles())
+
+
 def test_broken_feeds_stop_the_run(spark, raw_folder, tmp_path):
     with pytest.raises(ValueError, match="cpc"):
         run_pipeline(spark, str(tmp_path / "nothing"), str(tmp_path / "out"))
@@ -159,7 +204,7 @@ def test_summary_and_report_agree(spark, checked, feeds):
     assert summary["Total green transport patents"] == str(row.dataset.total_patents) == "9"
     assert summary["Growth 2010-2020 (%)"] is None and row.dataset.growth_2010_to_2020_pct is None
     assert row.generated == "now"
-    assert row.subcategories.Y02T10_road_vehicles == 1 and row.subcategories.Y02T30_aviation_efficiency == 0
+    assert row.y02t_subcategories.Y02T10_road_vehicles == 1 and row.y02t_subcategories.Y02T30_aviation_efficiency == 0
 
 
 def test_report_lists_stay_in_rank_order(checked, star, feeds):

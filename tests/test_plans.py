@@ -176,3 +176,17 @@ def test_a_hot_inventor_is_split_in_the_checks(spark, small_partitions):
     text = executed._jdf.queryExecution().executedPlan().toString()
     # The hot inventor, and the half of all links that share a null company.
     assert text.split("Initial Plan")[0].count("skew=true") == 2
+
+
+def _shuffles(df) -> int:
+    return len(re.findall(r"\(\d+\) Exchange\n", plan(df)))
+
+
+def test_the_first_rows_of_the_detail_join_cost_less_than_all(stored, no_broadcast):
+    assert _shuffles(a.patent_detail_join(stored)) < _shuffles(a.patent_detail_join(stored, None))
+
+
+def test_no_shuffle_of_the_search_carries_titles(stored, no_broadcast):
+    text = plan(a.search_patents(stored, "urgent", 1996, 2000))
+    shuffled = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning", text)
+    assert shuffled and not any("title" in columns for columns in shuffled)

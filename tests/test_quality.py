@@ -2,7 +2,7 @@ import datetime
 
 from conftest import tuples
 from grantstar.operators.keyed import duplicate_rows, keep_first
-from grantstar.operators.linking import null_unknown, only_known, only_unknown
+from grantstar.operators.linking import only_known, only_unknown
 from grantstar.plans.quality import quality_check, star_null_summary
 from grantstar.session import table_stage
 
@@ -193,8 +193,20 @@ def test_membership_joins_and_null_keys(spark):
     known = spark.createDataFrame([("1",), ("3",)], "id string")
     assert tuples(only_known(df, known, "id")) == [("1", "a")]
     assert sorted(tuples(only_unknown(df, known, "id")), key=str) == [("2", "b"), (None, "c")]
-    assert sorted(tuples(null_unknown(df, known, "id")), key=lambda r: r[1]) == [
-        ("1", "a"),
-        (None, "b"),
-        (None, "c"),
-    ]
+
+
+def test_another_year_window_keeps_other_patents(star):
+    rows = [("a", "A", "", "2026-01-01", "2026"), ("b", "B", "", "1990-01-01", "1990")]
+    assert [r.patent_id for r in quality_check(star(patents=rows)).patents.collect()] == ["b"]
+    wider = quality_check(star(patents=rows), years=(2000, 2026))
+    assert [r.patent_id for r in wider.patents.collect()] == ["a"]
+    invalid = {r.check_id: r.found for r in wider.report.collect()}["Q04"]
+    assert invalid == 1
+
+
+def test_unique_tables_are_not_grouped_again(star):
+    dirty = star(inventors=[("a", " ", "UG", "Amuru", None), ("b", "B", "UG", "Amuru", None)])
+    one, two = quality_check(dirty), quality_check(dirty, unique=("inventors", "companies"))
+    assert sorted(tuples(one.inventors), key=str) == sorted(tuples(two.inventors), key=str)
+    assert sorted(tuples(one.report), key=str) == sorted(tuples(two.report), key=str)
+    assert "Aggregate" not in two.assessed_inventors._jdf.queryExecution().executedPlan().toString()

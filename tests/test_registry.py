@@ -1,12 +1,18 @@
 """The registered queries against their SQL twins, on the smallest tables."""
 
+import os
+import shutil
+
 import pytest
 
+import registry
+
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
+from oracles.sql import ORACLES
+from registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -15,13 +21,13 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    assert compare(spark, con, SF, queries()[name], oracle_sql()[name]) == ""
+    assert compare(spark, con, SF, QUERIES[name], ORACLES[name]) == ""
 
 
 def test_entry(spark):
@@ -38,7 +44,21 @@ def test_known_sizes_of_the_stand_in(spark):
 def test_star_queries_share_one_stored_star(spark):
     """A second query reads tables in the shared folder and no benchmark table."""
     files = queries()["top_companies"](spark, SF).inputFiles()
-    assert files and all("assessed_" in f and SF not in f for f in files)
+    assert files and all(("assessed_" in f or "per_company" in f) and SF not in f for f in files)
+
+
+def test_changed_tables_make_a_new_star(spark, tmp_path):
+    for name in registry.StandInFeeds.TABLES:
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = registry._checked(spark, str(tmp_path))
+    assert registry._checked(spark, str(tmp_path)) is before
+    os.utime(tmp_path / "orders.parquet", (1, 1))
+    assert registry._checked(spark, str(tmp_path)) is not before
+
+
+def test_every_check_finds_something_in_the_dirty_star(spark):
+    found = {r.check_id: r.found for r in QUERIES["quality_report"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(found) == 18 and all(found.values())
 
 
 def test_report_json(spark):

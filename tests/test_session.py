@@ -1,6 +1,6 @@
 import pytest
 
-from grantstar.session import RUNTIME_CONF, concurrently, table_stage, tune
+from grantstar.session import RUNTIME_CONF, concurrently, files_below, shared_folder, table_stage, tune
 
 
 def test_a_stage_writes_each_name_once(spark, tmp_path):
@@ -38,3 +38,29 @@ def test_tune_sets_the_skew_handling(spark):
     spark.conf.set(key, "false")
     tune(spark)
     assert {k: spark.conf.get(k) for k in RUNTIME_CONF} == RUNTIME_CONF
+
+
+def test_a_closed_stage_leaves_no_tables(spark, tmp_path):
+    stage = table_stage(spark, str(tmp_path))
+    stage(spark.range(3), "numbers")
+    assert files_below(spark, str(tmp_path))
+    stage.close()
+    assert files_below(spark, str(tmp_path)) == []
+
+
+class Cluster:
+    """A session as far as the shared folder is concerned."""
+
+    def __init__(self, **settings):
+        self.conf = settings
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster(**{"spark.master": master}))
+    assert shared_folder(Cluster(**{"spark.master": master, "spark.checkpoint.dir": "/x"})) == "/x"
+
+
+def test_one_machine_may_do_without():
+    assert "grantstar-" in shared_folder(Cluster(**{"spark.master": "local[4]"}))

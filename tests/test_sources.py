@@ -8,6 +8,8 @@ from grantstar.sources.feeds import (
     check_sources,
     convert_feeds,
     feed_paths,
+    files_over_lines,
+    malformed_rows,
     read_feed,
     spans_lines,
 )
@@ -120,3 +122,53 @@ def test_conversion_keeps_all_rows(spark, tmp_path):
 def test_missing_path_is_an_error_when_read(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_feed(spark, str(tmp_path / "none.tsv"), "cpc")
+
+
+def test_malformed_rows_stop_the_reader_or_are_counted(spark, tmp_path):
+    path = write(tmp_path / "c.tsv", "patent_id\tcpc_group", "1\tA", "2\tB\tsurplus", "3", "4\tD")
+    with pytest.raises(Exception, match="malformed row in feed cpc"):
+        read_feed(spark, path, "cpc").collect()
+    assert tuples(read_feed(spark, path, "cpc", skip_malformed=True)) == [("1", "A"), ("4", "D")]
+    assert tuples(malformed_rows(spark, {"cpc": path})) == [("cpc", 4, 2)]
+    assert tuples(read_feed(spark, path, "cpc", skip_malformed=True).select("patent_id")) == [("1",), ("4",)]
+    assert read_feed(spark, path, "cpc", skip_malformed=True).count() == 2
+
+
+def test_malformed_rows_stop_the_conversion_unless_skipped(spark, tmp_path):
+    for contract in CONTRACTS:
+        row = ["1" for _ in contract.columns]
+        short = row[:-1] if contract.name == "location" else row
+        write(tmp_path / contract.file, "\t".join(contract.columns), "\t".join(row), "\t".join(short))
+    paths = feed_paths(str(tmp_path))
+    with pytest.raises(ValueError, match=r"malformed rows in the raw feeds \(location: 1\)"):
+        convert_feeds(spark, paths, str(tmp_path / "one"))
+    kept = convert_feeds(spark, paths, str(tmp_path / "two"), skip_malformed=True)
+    assert (kept.location.count(), kept.cpc.count()) == (1, 2)
+
+
+def test_parts_may_order_their_columns_differently(spark, tmp_path):
+    folder = tmp_path / "cpc"
+    folder.mkdir()
+    write(folder / "1.tsv", "patent_id\tcpc_group", "1\tY02T10")
+    write(folder / "2.tsv", "cpc_group\tother\tpatent_id", "Y02T30\tx\t2")
+    assert sorted(tuples(read_feed(spark, str(folder), "cpc"))) == [("1", "Y02T10"), ("2", "Y02T30")]
+
+
+def test_a_column_missing_in_one_part_is_missing(spark, tmp_path):
+    folder = tmp_path / "cpc"
+    folder.mkdir()
+    write(folder / "1.tsv", "patent_id\tcpc_group", "1\tY02T10")
+    write(folder / "2.tsv", "patent_id\tgroup", "2\tY02T30")
+    verdict = {r.feed: r for r in check_sources(spark, {"cpc": str(folder)}).collect()}["cpc"]
+    assert not verdict.ok and verdict.missing_columns == "cpc_group"
+
+
+def test_only_files_that_need_it_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    write(folder / "1.tsv", "patent_id\tpatent_abstract", '1\t"two', 'lines"')
+    write(folder / "2.tsv", "patent_id\tpatent_abstract", '2\tA 5" pipe', "3\tplain")
+    found = files_over_lines(spark, str(folder))
+    assert len(found) == 1 and found[0].endswith("1.tsv")
+    rows = dict(tuples(read_feed(spark, str(folder), "abstract")))
+    assert rows == {"1": "two\nlines", "2": 'A 5" pipe', "3": "plain"}
