@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantstar.schemas import Stage, lazy
+
 
 def nulls_last(*names: str) -> Column:
     """A struct that compares column by column in ascending order with nulls after values."""
@@ -38,6 +40,29 @@ def keep_first(
     return kept.select(*columns, *([copies] if copies else []))
 
 
+def keep_first_wide(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    carry: Sequence[str],
+    copies: str,
+    stage: Stage = lazy,
+) -> DataFrame:
+    """``keep_first`` for tables with long texts whose keys seldom repeat.
+
+    Copies are counted on the key alone. Only rows of keys that do repeat meet in the ordered aggregate;
+    all others pass as they are, and their texts are not shuffled where the list of repeated keys (given
+    to ``stage``) is small enough to be broadcast.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
+    repeated = stage(counts.select(F.col(key).alias("_repeated")), f"repeated_{key}")
+    same = F.col(key).eqNullSafe(F.col("_repeated"))
+    columns = list(dict.fromkeys([key, *order, *carry]))
+    once = df.join(repeated, same, "left_anti").select(*columns, F.lit(1).cast("long").alias(copies))
+    several = keep_first(df.join(repeated, same, "left_semi"), key, order, carry, copies)
+    return once.unionByName(several)
+
+
 def duplicate_rows(df: DataFrame, key: str) -> DataFrame:
     """One row: how many rows repeat a key that an earlier row holds already."""
     per_key = df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("extra"))

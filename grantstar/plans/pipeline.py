@@ -38,9 +38,10 @@ def checked_star(
 ) -> CheckedStar:
     """Clean and check the feeds, storing what more than one later step reads.
 
-    Those are the chosen patents, by which all link feeds are cut, and the assessed tables, from
-    which both the repaired star and the report come. The clean tables between them have one
-    reader each and are not stored.
+    Those are the chosen patents, by which all link feeds are cut, the clean patents with their texts, and
+    the assessed tables, from which both the repaired star and the report come. Assessed patents are a
+    filter over the clean ones, given the stored list of repeated ids. The clean inventors, companies
+    and links have one reader each and are not stored.
     """
     stage = table_stage(feeds.patent.sparkSession, folder, _STORED)
     # Cleaning builds inventors and companies with one row per id.
@@ -49,7 +50,8 @@ def checked_star(
 
 _STORED = (
     "chosen_patents",
-    "assessed_patents",
+    "patents",
+    "repeated_patent_id",
     "assessed_inventors",
     "assessed_companies",
     "assessed_relations",

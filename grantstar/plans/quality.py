@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantstar.functions.text import blank_to_null, to_int
-from grantstar.operators.keyed import keep_first
+from grantstar.operators.keyed import keep_first, keep_first_wide
 from grantstar.operators.profiling import count_if, null_summary, sql_text, to_rows
 from grantstar.schemas import Stage, Star, lazy
 from grantstar.session import concurrently
@@ -54,8 +54,11 @@ def _has_name() -> Column:
     return F.col("name").isNotNull()
 
 
-def assess_patents(patents: DataFrame) -> DataFrame:
-    """Patents by id with ``copies``; blank titles and abstracts are null, so they lose to text."""
+def assess_patents(patents: DataFrame, stage: Stage = lazy) -> DataFrame:
+    """Patents by id with ``copies``; blank titles and abstracts are null, so they lose to text.
+
+    ``stage`` stores the short list of repeated ids.
+    """
     tidy = patents.select(
         "patent_id",
         blank_to_null(F.col("title")).alias("title"),
@@ -63,9 +66,8 @@ def assess_patents(patents: DataFrame) -> DataFrame:
         F.col("filing_date"),
         to_int(F.col("year")).alias("year"),
     )
-    return keep_first(
-        tidy, "patent_id", ["filing_date", "title", "year"], carry=["abstract"], copies="copies"
-    )
+    order = ["filing_date", "title", "year"]
+    return keep_first_wide(tidy, "patent_id", order, ["abstract"], "copies", stage)
 
 
 def _matches(rule: GeocodeRule, country: str | None = None) -> Column:
@@ -288,7 +290,7 @@ class CheckedStar(Star):
 
     @cached_property
     def assessed_patents(self) -> DataFrame:
-        return self._stage(assess_patents(self._star.patents), "assessed_patents")
+        return self._stage(assess_patents(self._star.patents, self._stage), "assessed_patents")
 
     @cached_property
     def assessed_inventors(self) -> DataFrame:

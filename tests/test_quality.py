@@ -1,7 +1,7 @@
 import datetime
 
 from conftest import tuples
-from grantstar.operators.keyed import duplicate_rows, keep_first
+from grantstar.operators.keyed import duplicate_rows, keep_first, keep_first_wide
 from grantstar.operators.linking import only_known, only_unknown
 from grantstar.plans.quality import quality_check, star_null_summary
 from grantstar.session import table_stage
@@ -210,3 +210,12 @@ def test_unique_tables_are_not_grouped_again(star):
     assert sorted(tuples(one.inventors), key=str) == sorted(tuples(two.inventors), key=str)
     assert sorted(tuples(one.report), key=str) == sorted(tuples(two.report), key=str)
     assert "Aggregate" not in two.assessed_inventors._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_tables_keep_the_same_first_rows(spark):
+    rows = [("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", None, None), (None, 5, "n"), (None, 4, "m"), ("c", 3, "long")]
+    df = spark.createDataFrame(rows, "key string, n int, text string")
+    wide = keep_first_wide(df, "key", ["n"], ["text"], "copies")
+    plain = keep_first(df, "key", ["n"], ["text"], "copies")
+    assert sorted(tuples(wide), key=str) == sorted(tuples(plain), key=str)
+    assert wide.columns == plain.columns
