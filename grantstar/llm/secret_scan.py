@@ -64,13 +64,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """(start, string) of key-shaped strings that no fixed pattern touches."""
+    """(start, string) of key-shaped strings that no fixed pattern touches; numbers and rules without a letter
+    are no keys."""
     out, ahead = [], 0
     ends = sorted((s, e) for s, _, e, _ in spans)
     for m in re.finditer(rf"{KEY_CHARACTERS}{{{KEY_LENGTH},}}", text):
         while ahead < len(ends) and ends[ahead][1] <= m.start():
             ahead += 1
-        if not any(s < m.end() and m.start() < e for s, e in ends[ahead:] if s < m.end()):
+        if re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, e in ends[ahead:] if s < m.end()):
             out.append((m.start(), m[0]))
     return out
 
