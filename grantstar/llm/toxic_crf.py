@@ -9,7 +9,7 @@ the score, fitted to the document labels.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from math import log
 
@@ -22,14 +22,14 @@ from pyspark.sql import types as T
 from grantstar.llm.tasks import map_slices
 
 #: The bounded training sample: so many labelled documents of at most so many characters, by a hash of doc_id.
-TRAIN_DOCS = 5000
+TRAIN_DOCS = 2500
 TRAIN_CHARS = 16_000
 #: Documents from this score on are toxic; spans need this marginal.
 DOCUMENT_LIMIT, SPAN_LIMIT = 0.3, 0.5
 #: Features of a word besides the word itself.
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (4,)
 #: Passes over the training tokens, and the penalty on squared weights.
-STEPS, PENALTY = 80, 0.02
+STEPS, PENALTY = 60, 0.02
 
 _REMEMBERED = 400_000
 _BLOCK = 128
@@ -162,45 +162,86 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).select("text", "toxic")
 
 
-def token_labels(documents: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """The features that mark toxic tokens: in four of five cases or more in toxic documents, by a
-    log-likelihood ratio that chance would not give one of all features."""
-    held: list[Counter] = [Counter(), Counter()]
-    for tokens, label in zip(documents, toxic):
-        held[int(label)].update({f for t in set(tokens) for f in features(t)})
-    share = toxic.mean()
-    least = 2 * log(max(2, len(held[0].keys() | held[1].keys())))
-    out = set()
-    for feature, k in held[1].items():
-        n = k + held[0][feature]
-        ratio = 2 * (k * log(k / n / share) + (n - k and (n - k) * log((n - k) / n / (1 - share))))
-        if k >= 0.8 * n and k > n * share and ratio >= least:
-            out.add(feature)
-    return out
+def marking_features(held: np.ndarray, toxic: float, n: int) -> np.ndarray:
+    """Which features mark toxic tokens: those in four of five cases or more in toxic documents, by a
+    log-likelihood ratio that chance would not give one of all features. ``held`` (features, 2): clean and
+    toxic documents with each feature."""
+    share = toxic / n
+    k, of = held[:, 1], held.sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest = np.where(of > k, (of - k) * np.log((of - k) / of / (1 - share)), 0)
+        ratio = 2 * (k * np.log(k / of / share) + rest)
+    return (k >= 0.8 * of) & (k > of * share) & (np.nan_to_num(ratio) >= 2 * log(max(2, len(held))))
+
 
+def _some_shingles(ids: np.ndarray) -> set[int]:
+    """About one in four of the shingles of four words, chosen by their hash."""
+    if len(ids) < 4:
+        return set()
+    mixed = np.zeros(len(ids) - 3, np.uint64)
+    for k in range(4):
+        mixed = (mixed ^ ids[k : len(ids) - 3 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return set(mixed[mixed % np.uint64(4) == 0].tolist())
 
-def fit_chain(documents: list[list[str]], toxic: np.ndarray) -> ToxicModel:
+
+def fit_chain(documents: Iterable[list[str]], toxic: np.ndarray) -> ToxicModel:
     """Train the field on the driver, over the bounded sample. Without both kinds of documents nothing can be
-    learnt: the score is then the smoothed share of toxic ones."""
+    learnt: the score is then the smoothed share of toxic ones. Copies of a document count once, else all
+    words of a copied toxic document would look toxic. Features that only one document has are not used."""
+    words: dict[str, int] = {}
+    names: dict[str, int] = {}
+    features_of: list[np.ndarray] = []
+    numbered: list[np.ndarray] = []
     n_toxic, n = float(toxic.sum()), len(toxic)
     even = log((n_toxic + 0.1) / (n - n_toxic + 1))
-    marks = token_labels(documents, toxic) if 0 < n_toxic < n else set()
-    if not marks:
-        return ToxicModel({}, -25.0, Chain(np.ones((2, 2)), 1.0), (even, 0.0, 0.0))
-    words: dict[str, int] = {}
-    tokens = np.array([words.setdefault(t, len(words)) for d in documents for t in d])
-    lengths = np.array([len(d) for d in documents])
+    flat = ToxicModel({}, -25.0, Chain(np.ones((2, 2)), 1.0), (even, 0.0, 0.0))
+    if not 0 < n_toxic < n:
+        return flat
+    seen_before: set[int] = set()
+    fresh = np.ones(len(toxic), bool)
+    for number, document in enumerate(documents):
+        ids = []
+        for token in document:
+            row = words.setdefault(token, len(words))
+            if row == len(features_of):
+                own = [names.setdefault(f, len(names)) for f in features(token)]
+                features_of.append(np.array(own, np.int32))
+            ids.append(row)
+        own = _some_shingles(np.array(ids, np.int64))
+        fresh[number] = len(own) == 0 or len(own & seen_before) <= 0.5 * len(own)
+        seen_before |= own
+        if fresh[number]:
+            numbered.append(np.array(ids, np.int32))
+    toxic = toxic[fresh]
+    n_toxic, n = float(toxic.sum()), len(toxic)
+    if not 0 < n_toxic < n:
+        return flat
+    del seen_before
+    n_words = len(words)
+    del words
+    held = np.zeros((len(names), 2))
+    for ids, label in zip(numbered, toxic):
+        if len(ids):
+            own = np.unique(np.concatenate([features_of[w] for w in np.unique(ids)]))
+            held[own, int(label)] += 1
+    marks = marking_features(held, n_toxic, n)
+    if not marks.any():
+        return flat
+    used = np.flatnonzero(held.sum(1) > 1)
+    place = np.full(len(names), -1, np.int32)
+    place[used] = np.arange(len(used))
+    kept = dict(zip(used.tolist(), range(len(used))))
+    names = {f: kept[i] for f, i in names.items() if i in kept}
+    rows = np.repeat(np.arange(n_words, dtype=np.int32), [len(f) for f in features_of])
+    columns = np.concatenate([*features_of, np.zeros(0, np.int32)])
+    marked = np.bincount(rows, marks[columns], n_words) > 0
+    columns = place[columns]
+    rows, columns = rows[columns >= 0], columns[columns >= 0]
+    del features_of, held
+    tokens = np.concatenate(numbered)
+    lengths = np.array([len(d) for d in numbered])
     of_document = np.repeat(toxic, lengths)
-    names: dict[str, int] = {}
-    rows, columns = [], []
-    marked = np.zeros(len(words), bool)
-    for word, row in words.items():
-        own = features(word)
-        marked[row] = any(f in marks for f in own)
-        for f in own:
-            rows.append(row)
-            columns.append(names.setdefault(f, len(names)))
-    rows, columns = np.array(rows), np.array(columns)
     y = marked[tokens] & (of_document > 0)
     inside = np.ones(len(tokens), bool)
     inside[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # tokens with one before them
@@ -212,19 +253,19 @@ def fit_chain(documents: list[list[str]], toxic: np.ndarray) -> ToxicModel:
     theta[-4] = -1.0
     squares = np.zeros(len(theta))
     firsts = np.flatnonzero(~inside)
-    seen = np.bincount(columns, np.bincount(tokens[y], minlength=len(words))[rows], len(names))
+    seen = np.bincount(columns, np.bincount(tokens[y], minlength=n_words)[rows], len(names))
     target = np.concatenate([seen, [y.sum(), y[firsts].sum(), *pairs[1:]]])
     for _ in range(STEPS):
         step = np.exp(np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]]))
         chain = Chain(step, float(np.exp(theta[-4])))
-        emission = np.bincount(rows, theta[columns], len(words))[tokens] + theta[-5]
+        emission = np.bincount(rows, theta[columns], n_words)[tokens] + theta[-5]
         r, g, w = chain.passes(emission, lengths)
         p = r / w * g
         p /= 1 + p
         before, later = r[at - 1], g[at]
         joint = np.stack([step[0, 0] + 0 * later, step[0, 1] * later, before * step[1, 0], before * step[1, 1] * later])
         joint /= joint.sum(0)
-        by_word = np.bincount(tokens, p, len(words))
+        by_word = np.bincount(tokens, p, n_words)
         expected = np.concatenate(
             [np.bincount(columns, by_word[rows], len(names)), [p.sum(), p[firsts].sum(), *joint[1:].sum(1)]]
         )
@@ -234,7 +275,7 @@ def fit_chain(documents: list[list[str]], toxic: np.ndarray) -> ToxicModel:
     step = np.exp(np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]]))
     weights = {f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-3}
     model = ToxicModel(weights, float(theta[-5]), Chain(step, float(np.exp(theta[-4]))), (even, 0.0, 0.0))
-    emission = np.bincount(rows, theta[columns], len(words))[tokens] + theta[-5]
+    emission = np.bincount(rows, theta[columns], n_words)[tokens] + theta[-5]
     model.fit = _logistic(summaries(model.chain.marginals(emission, lengths), lengths), toxic)
     return model
 
@@ -253,7 +294,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Labels, lang, source and doc_id are never inputs of a score; labels of other rows are not read."""
     sample = training_sample(docs, labels).toPandas()
-    documents = [(t or "").split() for t in sample["text"]]
+    documents = ((t or "").split() for t in sample["text"])
     return fit_chain(documents, (sample["toxic"].to_numpy() > 0).astype(float))
 
 
