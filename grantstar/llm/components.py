@@ -11,23 +11,31 @@ from grantstar.llm.common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each component, for all nodes of ``edges`` (a, b; longs).
 
-    Each round takes the smallest label among a node and its neighbours, then the label of that label. Every
-    round is a stored table; the driver sees only whether something changed. Labels are looked up by
-    joins that the planner can split, and minima are taken before the shuffle, so a node with very
-    many edges is no hot task.
+    Each round lets every node point to the smallest among itself and its neighbours, follows the pointers
+    a few steps, and contracts the graph: ends of edges become what they point to, edges inside a node go.
+    So edges shrink from round to round. Every round is stored tables; the driver sees only whether edges
+    are left. Ends are looked up by joins that the planner can split, and minima are taken before the
+    shuffle, so a node with very many edges is no hot task.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
-    while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        near = around.select(F.col("a").alias("node"), "near")
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        lower = stored(lower, "lower")
-        jump = lower.select(F.col("node").alias("at"), F.col("low").alias("lowest"))
-        after = lower.join(jump, F.col("low") == F.col("at")).select(
-            "node", F.col("lowest").alias("root"), (F.col("lowest") != F.col("root")).alias("changed")
-        )
-        after = stored(after, "labels")
-        labels = after.select("node", "root")
-        if after.where("changed").isEmpty():
-            return labels
+    left = stored(_tidy(edges), "edges")
+    roots = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    roots = stored(roots.select("node", F.col("node").alias("root")), "roots")
+    while not left.isEmpty():
+        ends = left.select("a", "b").union(left.select("b", "a"))
+        near = ends.groupBy("a").agg(F.min("b").alias("b"))
+        points = stored(near.select(F.col("a").alias("at"), F.least("a", "b").alias("to")), "points")
+        for _ in range(2):
+            further = points.select(F.col("at").alias("on"), F.col("to").alias("further"))
+            points = points.join(further, F.col("to") == F.col("on")).select("at", F.col("further").alias("to"))
+            points = stored(points, "points")
+        roots = roots.join(points, F.col("root") == F.col("at"), "left")
+        roots = stored(roots.select("node", F.coalesce("to", "root").alias("root")), "roots")
+        first = left.join(points, F.col("a") == F.col("at")).select(F.col("to").alias("a"), "b")
+        left = first.join(points, F.col("b") == F.col("at")).select("a", F.col("to").alias("b"))
+        left = stored(_tidy(left), "edges")
+    return roots
+
+
+def _tidy(edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ends.where("a < b").distinct()
