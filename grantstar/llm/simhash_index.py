@@ -102,6 +102,12 @@ def _first_shared(differing: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, first)), bits + 1)
 
 
+def _dealt(prints: DataFrame) -> DataFrame:
+    """Over all shuffle partitions: few bytes now, but each row is about to become many."""
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.repartition(n, "fingerprint")
+
+
 def links(prints: DataFrame, list_length: int = LIST_LENGTH) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints of ``prints`` (fingerprint) as all pairs that differ
     in at most four bits would.
@@ -112,7 +118,7 @@ def links(prints: DataFrame, list_length: int = LIST_LENGTH) -> DataFrame:
     list is a pair of dense fingerprints.
     """
     value = F.col("fingerprint")
-    posts = prints.select(
+    posts = _dealt(prints).select(
         value, F.explode(F.array(*(_posting(value, k) for k in range(len(_SETS))))).alias("post")
     )
     lists = posts.groupBy("post").agg(
@@ -146,7 +152,7 @@ def ball_links(prints: DataFrame) -> DataFrame:
     smallest one under the value.
     """
     bit = lambda n: F.when(n < 64, F.call_function("shiftleft", F.lit(1).cast("long"), n)).otherwise(0)
-    one = prints.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
+    one = _dealt(prints).select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
     # i = 64 flips nothing, alone or as the partner of another bit.
     other = F.explode(F.sequence(F.col("i") + 1, F.greatest(F.lit(64), F.col("i") + 1)))
     two = one.withColumn("j", other)
