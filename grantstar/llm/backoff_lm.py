@@ -30,8 +30,11 @@ WORD_SHARE = 1e-4
 #: n-grams of two and three words are kept from this share of all tokens on: no more than 1 / GRAM_SHARE of
 #: each order.
 GRAM_SHARE = 1e-6
-#: The most frequent words whose counts travel with the tasks; the others are joined.
-HEAD_WORDS = 250_000
+#: Words from this share of all tokens on travel with the tasks, with their counts: no more than
+#: 1 / HEAD_SHARE of them. The others are joined.
+HEAD_SHARE = 1e-6
+#: Words that a task counts before it hands them on; texts numbered at once.
+_FLUSH_WORDS, _SLICE = 200_000, 2048
 
 #: Number of the end of a text among the words of n-grams; a word that is in none has number 0.
 TEXT_END, OTHER = 1, 0
@@ -71,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update(_tokens(text.as_py()))
-                if len(counts) > HEAD_WORDS:
+                if len(counts) > _FLUSH_WORDS:
                     yield out(counts)
                     counts.clear()
         if counts:
@@ -102,13 +105,13 @@ def gram_counts(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        get = numbers.get
         for batch in batches:
-            get = numbers.get
-            texts = [
-                np.array([*(get(w, OTHER) for w in _tokens(text.as_py())), TEXT_END], np.int64)
-                for text in batch.column(0)
-            ]
-            if texts:
+            for at in range(0, batch.num_rows, _SLICE):
+                texts = [
+                    np.array([*(get(w, OTHER) for w in _tokens(text.as_py())), TEXT_END], np.int64)
+                    for text in batch.column(0).slice(at, _SLICE)
+                ]
                 grams, n = packed_grams(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
 
@@ -229,7 +232,7 @@ def learn(docs: DataFrame) -> Corpus:
 def _scored(docs: DataFrame, corpus: Corpus) -> DataFrame:
     """A row for each row of ``docs``: totals over the end and the frequent words, and the other words
     with their numbers."""
-    head = corpus.counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "n").toPandas()
+    head = corpus.counts.where(F.col("n") >= HEAD_SHARE * corpus.tokens).select("word", "n").toPandas()
     # log10 shares: of the base, of the model without history.
     shares = {
         bytes(w): (log10(corpus.base(n)), log10((n - DISCOUNT) / corpus.tokens))

@@ -95,7 +95,7 @@ def test_the_automaton_walks_to_the_smoothed_probabilities(seed):
 
 
 def test_base_scores_and_counts_equal_brute_force(documents, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "HEAD_WORDS", 7)
+    monkeypatch.setattr(backoff_lm, "HEAD_SHARE", 0.03)
     rows = sentences(8, 200) + [(500, "never seen thing"), (501, None), (502, "W1 w1 x")]
     rows += [rows[3], rows[3]]
     train_rows = [t for i, t in rows if not is_held_out(i)]
@@ -115,10 +115,10 @@ def test_base_scores_and_counts_equal_brute_force(documents, monkeypatch):
 def test_scores_do_not_depend_on_where_rare_words_are_looked_up(documents, monkeypatch):
     docs = documents(sentences(9, 150))
     whole = {r.doc_id: r.score for r in scored(docs).collect()}
-    monkeypatch.setattr(backoff_lm, "HEAD_WORDS", 3)
+    monkeypatch.setattr(backoff_lm, "HEAD_SHARE", 0.05)
     monkeypatch.setattr(backoff_lm, "WORD_SHARE", 0.5)
     few = {r.doc_id: r.base_score for r in scored(docs).collect()}
-    monkeypatch.setattr(backoff_lm, "HEAD_WORDS", 10**6)
+    monkeypatch.setattr(backoff_lm, "HEAD_SHARE", 0.0)
     assert {r.doc_id: pytest.approx(r.base_score) for r in scored(docs).collect()} == few
     assert set(whole) == set(few)
 
