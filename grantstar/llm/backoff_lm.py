@@ -1,17 +1,19 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Words are counted over the training corpus, and word n-grams up to three words among the frequent ones. Counts
-are smoothed by absolute discounting. Histories become states, kept n-grams arcs with a weight, and backing off
-failure arcs; one pass over a text from left to right carries the state and adds up log-probabilities. All words
-that training never saw are one event, which gets what the discount sets free.
-
-The automaton has a bounded size and travels with the tasks. The counts of all words do not: they stay a
-table, joined for the rare words only.
+"""Language-model scoring with backed-off word n-grams.
+
+All words of the training corpus are counted, and all its n-grams of two and three words; those that occur twice
+are kept, at every size. Counts are smoothed by absolute discounting: the probability of a word after a history is
+what walking the arcs and failure arcs of ``Automaton`` gives. All words that training never saw are one event,
+which gets what the discount sets free.
+
+The model never is in one place. Texts are packed in blocks of about BLOCK_TOKENS tokens, and a block asks
+for what it needs: the hashes of its words and n-grams, each once, go to buckets by hash, which add up the counts
+and answer each block in the order of its question. A second question gives what the followers of each history
+take. With both answers a block scores its texts by itself. A key goes once from each block, so
+a hot word or history is as short as any other.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log10
@@ -25,16 +27,12 @@ from grantstar.llm.common import stored
 
 ORDER = 3
 DISCOUNT = 0.75
-#: Words that make up at least this share of all tokens are part of n-grams: no more than 1 / WORD_SHARE.
-WORD_SHARE = 1e-4
-#: n-grams of two and three words are kept from this share of all tokens on: no more than 1 / GRAM_SHARE of
-#: each order.
-GRAM_SHARE = 1e-6
-#: Words from this share of all tokens on travel with the tasks, with their counts: no more than
-#: 1 / HEAD_SHARE of them. The others are joined.
-HEAD_SHARE = 1e-6
-#: Words that a task counts before it hands them on; texts numbered at once.
-_FLUSH_WORDS, _SLICE = 200_000, 2048
+#: n-grams of two and three words are kept from this count on, at every size of the corpus.
+LEAST_COUNT = 2
+#: Tokens of a block of texts, and tokens of the corpus for each bucket of keys.
+BLOCK_TOKENS = BUCKET_TOKENS = 1 << 20
+#: Shares that earlier versions cut the model by. Nothing reads them; tests set them.
+WORD_SHARE, HEAD_SHARE = 1e-4, 1e-6
 
 #: Number of the end of a text among the words of n-grams; a word that is in none has number 0.
 TEXT_END, OTHER = 1, 0
@@ -46,43 +44,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(~held_out(F.col("doc_id"))).select("text")
-
-
 def _tokens(text: str | None) -> list[bytes]:
     """Words, A-Z in lower case, parted by ASCII white space."""
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (bytes), n: how often each word occurs in the training documents.
-
-    Words are counted inside the task before they reach the JVM, and again before the shuffle.
-    """
-    schema = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("n", T.LongType(), False)])
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        def out(counts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-            )
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(_tokens(text.as_py()))
-                if len(counts) > _FLUSH_WORDS:
-                    yield out(counts)
-                    counts.clear()
-        if counts:
-            yield out(counts)
-
-    return _training(docs).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def packed_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of two and three word numbers with their counts, packed into one integer each; those with
     another word are left out. A text is an array of numbers, its end the last."""
@@ -98,26 +64,6 @@ def packed_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(grams), return_counts=True)
 
 
-def gram_counts(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
-    """gram (packed), n: n-grams of the training documents among the words of ``numbers``."""
-    schema = T.StructType([T.StructField("gram", T.LongType(), False), T.StructField("n", T.LongType(), False)])
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        get = numbers.get
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                texts = [
-                    np.array([*(get(w, OTHER) for w in _tokens(text.as_py())), TEXT_END], np.int64)
-                    for text in batch.column(0).slice(at, _SLICE)
-                ]
-                grams, n = packed_grams(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
-
-    return _training(docs).mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 @dataclass
 class Automaton:
     """States are numbered, 0 having no history; an arc is found by state and word number. Weights are log10."""
@@ -190,20 +136,188 @@ class Automaton:
         return total
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers, equal bytes of all side by side, compressed."""
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for k in (0xD6E8FEB86659FD93, 0xCF1BBCDCB7A56463):
+        x = (x ^ x >> np.uint64(32)) * np.uint64(k)
+    return x ^ x >> np.uint64(32)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """One row for each block of texts: its number, doc_ids, and packed: which texts are training, the
+    tokens of each, hashes of the distinct words, place of each token among them; totals of the training texts."""
+    schema = T.StructType(
+        [
+            T.StructField("block", T.LongType(), False),
+            T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType), False),
+            *(T.StructField(c, T.BinaryType(), False) for c in ("learnt", "lengths", "words", "tokens")),
+            T.StructField("train_texts", T.LongType(), False),
+            T.StructField("train_tokens", T.LongType(), False),
+        ]
+    )
+    target = BLOCK_TOKENS
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, digest = to_arrow_schema(schema), xxhash.xxh3_64_intdigest
+        number = TaskContext.get().partitionId() << 32
+        ids, learnt, lengths, tokens, places = [], [], [], [], {b"": 0}
+
+        def out():
+            train, sizes = np.array(learnt, np.uint64), np.array(lengths, np.uint64)
+            words = np.array([TEXT_END, *map(digest, list(places)[1:])], np.uint64)
+            row = number, ids, _pack(train), _pack(sizes), _pack(words), _pack(np.array(tokens, np.uint64))
+            row += int(train.sum()), int((train * sizes).sum())
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                doc_id, train, text = (c[at].as_py() for c in batch.columns)
+                words = _tokens(text)
+                tokens.extend([places.setdefault(w, len(places)) for w in words])
+                tokens.append(0)
+                for column, value in zip((ids, learnt, lengths), (doc_id, train, len(words) + 1)):
+                    column.append(value)
+                if len(tokens) >= target:
+                    yield out()
+                    number += 1
+                    ids, learnt, lengths, tokens, places = [], [], [], [], {b"": 0}
+        if ids:
+            yield out()
+
+    train = (~held_out(F.col("doc_id"))).alias("learnt")
+    return docs.select("doc_id", train, "text").mapInArrow(run, schema)
+
+
+class _Block:
+    """The keys of a block, sorted, each once: words are odd, n-grams even. For each token its word, and the n-grams
+    of two and three words that end there (-1: none), as places among the keys; for each n-gram its history."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        lengths = _unpack(row["lengths"]).astype(np.int64)
+        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        hashes, tokens = _unpack(row["words"]), _unpack(row["tokens"]).astype(np.int64)
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        each = hashes[tokens]
+        two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        pairs = np.zeros(len(tokens), np.uint64)
+        pairs[two] = _mix(each[two - 1], each[two])
+        even = ~np.uint64(1)
+        every = [hashes | np.uint64(1), pairs[two] & even, _mix(~pairs[three - 1], each[three]) & even]
+        self.keys, at = np.unique(np.concatenate(every), return_inverse=True)
+        self.grams = np.full((ORDER, len(tokens)), -1)
+        self.grams[0] = at[: len(hashes)][tokens]
+        self.grams[1, two] = at[len(hashes) : len(hashes) + len(two)]
+        self.grams[2, three] = at[len(hashes) + len(two) :]
+        self.history = np.full(len(self.keys), -1)
+        for order, ends in ((1, two), (2, three)):
+            self.history[self.grams[order, ends]] = self.grams[order - 1, ends - 1]
+
+    def counts(self) -> np.ndarray:
+        """How often the training texts of the block hold each key."""
+        learnt = _unpack(self.row["learnt"]).astype(bool)[self.text]
+        return sum(np.bincount(g[learnt & (g >= 0)], minlength=len(self.keys)) for g in self.grams)
+
+    def asks_for(self, n: np.ndarray) -> np.ndarray:
+        """Which keys are histories that may have kept followers."""
+        out = np.zeros(len(self.keys), bool)
+        out[self.history[self.history >= 0]] = True
+        return out & (n >= LEAST_COUNT)
+
+    def followers(self, n: np.ndarray, owned: np.ndarray) -> list[np.ndarray]:
+        """For each key the sum and the number of the kept n-grams after it, of those the block answers for."""
+        of = owned & (n >= LEAST_COUNT) & (self.history >= 0)
+        held = self.history[of]
+        return [np.bincount(held, w, len(self.keys)).astype(np.int64) for w in (n[of], None)]
+
+
+def _answer(row: dict, name: str, parts: int) -> np.ndarray:
+    """The answers of all buckets to a block, in the order of its keys."""
+    got = [_unpack(a["answer"]).astype(np.int64).reshape(parts, -1) for a in row[name] or []]
+    return np.concatenate(got, axis=1) if got else np.zeros((parts, 0), np.int64)
+
+
+def _rows(batches) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
+def _exchange(rows: DataFrame, ask, buckets: int, name: str) -> DataFrame:
+    """block, ``name`` (array of bucket, answer) and kinds: ``ask`` gives the sorted keys of a row with arrays of
+    values; each is answered by the sums over all rows, and by 1 for one row of all that have the key.
+    kinds, added up over all blocks, is the number of distinct words in training."""
+    asked = "bucket int, block long, keys binary, of binary"
+
+    def put(batches) -> Iterator:
+        import pyarrow as pa
+
+        for row in _rows(batches):
+            keys, values = ask(row)
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                a, b = ends[k], ends[k + 1]
+                steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                held = [[k], [row["block"]], [_pack(steps)], [_pack(np.concatenate([v[a:b] for v in values]))]]
+                kinds = pa.int32(), pa.int64(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(held, kinds)], ["bucket", "block", "keys", "of"]
+                )
+
+    def add(table):
+        import pyarrow as pa
+
+        keys = [np.cumsum(_unpack(k), dtype=np.uint64) for k in table["keys"].to_pylist()]
+        values = [_unpack(v).reshape(-1, len(k)) for v, k in zip(table["of"].to_pylist(), keys)]
+        each, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        sums = [np.bincount(at, v, len(each)).astype(np.int64) for v in np.concatenate(values, axis=1)]
+        owned = np.zeros(len(at), np.int64)
+        owned[first] = 1
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        answers = [_pack(np.concatenate(a)) for a in zip(*(np.split(v, ends) for v in (*(s[at] for s in sums), owned)))]
+        kinds = [int(((sums[0] > 0) & (each & np.uint64(1) == 1)).sum()), *[0] * (len(keys) - 1)]
+        columns = [table["block"], table["bucket"], pa.array(answers, pa.binary()), pa.array(kinds, pa.int64())]
+        return pa.Table.from_arrays(columns, ["block", "bucket", "answer", "kinds"])
+
+    answers = rows.mapInArrow(put, asked).groupBy("bucket").applyInArrow(
+        add, "block long, bucket int, answer binary, kinds long"
+    )
+    answer = F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias(name)
+    return stored(answers, name).groupBy("block").agg(answer, F.sum("kinds").alias(f"{name}_kinds"))
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """What the training documents give: the table of word counts, its totals, and the automaton."""
+    """The blocks of all texts, the training counts of their keys, and the totals."""
 
+    blocks: DataFrame
     counts: DataFrame
+    buckets: int
     texts: int
     tokens: int
     kinds: int
-    numbers: dict[bytes, int]
-    automaton: Automaton
-
-    def base(self, n):
-        """Smoothed share of a token that occurs ``n`` times in training (a number or a column)."""
-        return (n + 0.1) / (self.tokens + 0.1 * (self.kinds + 1))
 
     @property
     def unseen(self) -> float:
@@ -212,143 +326,90 @@ class Corpus:
 
 
 def learn(docs: DataFrame) -> Corpus:
-    """The driver gets totals, the frequent words (at most 1 / WORD_SHARE) and the kept n-grams (at most
-    2 / GRAM_SHARE); all training text is counted."""
-    counts = stored(word_counts(docs), "words")
-    words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    texts = _training(docs).count()
-    tokens = words + texts
-    frequent = counts.where(F.col("n") >= max(2.0, WORD_SHARE * tokens)).orderBy("word").toPandas()
-    numbers = {bytes(w): k for k, w in enumerate(frequent["word"], TEXT_END + 1)}
-    by_number = dict(zip(numbers.values(), frequent["n"].tolist()))
-    if texts:
-        by_number[TEXT_END] = texts
-    grams = gram_counts(docs, numbers).where(F.col("n") >= max(2.0, GRAM_SHARE * tokens)).toPandas()
-    kept = dict(zip(grams["gram"].tolist(), grams["n"].tolist()))
-    automaton = Automaton.from_counts(by_number, tokens, kept)
-    return Corpus(counts, texts, tokens, kinds + (texts > 0), numbers, automaton)
-
-
-def _scored(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """A row for each row of ``docs``: totals over the end and the frequent words, and the other words
-    with their numbers."""
-    head = corpus.counts.where(F.col("n") >= HEAD_SHARE * corpus.tokens).select("word", "n").toPandas()
-    # log10 shares: of the base, of the model without history.
-    shares = {
-        bytes(w): (log10(corpus.base(n)), log10((n - DISCOUNT) / corpus.tokens))
-        for w, n in head.itertuples(index=False)
-    }
-    ends = corpus.texts > 0
-    end_base = log10(corpus.base(corpus.texts)) if corpus.tokens else 0.0
-    end_unseen = log10(corpus.unseen)
-    automaton, numbers = corpus.automaton, corpus.numbers
-    tail = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("times", T.LongType(), False)])
+    """The driver gets totals only; all training text is counted."""
+    held = stored(blocks(docs), "blocks")
+    totals = [F.coalesce(F.sum(c), F.lit(0)) for c in ("train_texts", "train_tokens")]
+    texts, tokens, all_tokens = held.agg(
+        *totals, F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))
+    ).first()
+    # A packed token has more than a byte.
+    buckets = max(8, max(tokens, all_tokens) // BUCKET_TOKENS + 1)
+
+    def ask(row):
+        block = _Block(row)
+        return block.keys, [block.counts()]
+
+    counts = _exchange(held, ask, buckets, "counts")
+    kinds = counts.agg(F.coalesce(F.sum("counts_kinds"), F.lit(0))).first()[0]
+    return Corpus(held, counts, buckets, texts, tokens, kinds)
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The model is learnt from the documents that are not held out. base_score adds up smoothed shares of single
+    tokens, score log10 probabilities after the two words before, over the words of the training documents, the
+    end, and one event for all unseen words. A null or empty text is an end only. A null doc_id is not held
+    out. Rows that agree in id and text get the same scores. Without training documents every token is unseen,
+    with probability one. An empty table gives no rows. Only doc_id and text are looked at.
+    """
+    corpus = learn(docs)
+    known = corpus.blocks.join(corpus.counts, "block")
+
+    def ask(row):
+        block = _Block(row)
+        n, owned = _answer(row, "counts", 2)
+        asks = block.asks_for(n)
+        return block.keys[asks], [v[asks] for v in block.followers(n, owned == 1)]
+
+    taken = _exchange(known, ask, corpus.buckets, "taken")
+    tokens, kinds, unseen = corpus.tokens, corpus.kinds, corpus.unseen
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
-            T.StructField("text_key", T.LongType()),
             T.StructField("n_tokens", T.LongType(), False),
-            T.StructField("head_known", T.LongType(), False),
-            T.StructField("head_base", T.DoubleType(), False),
-            T.StructField("head_score", T.DoubleType(), False),
-            T.StructField("tail", T.ArrayType(tail, False), False),
+            T.StructField("n_known", T.LongType(), False),
+            T.StructField("base_score", T.DoubleType(), False),
+            T.StructField("score", T.DoubleType(), False),
         ]
     )
 
-    def score(words: list[bytes]) -> tuple[int, float, float, Counter]:
-        known, base, total, state, rare = 0, 0.0, 0.0, 0, Counter()
-        for word in words:
-            both = shares.get(word)
-            if both is None:
-                rare[word] += 1
-                if state:
-                    total += automaton.to_root(state)
-                    state = 0
-                continue
-            known += 1
-            base += both[0]
-            number = numbers.get(word)
-            if number is None:
-                total += both[1]
-                if state:
-                    total += automaton.to_root(state)
-                    state = 0
-            else:
-                weight, state = automaton.step(state, number)
-                total += weight
-        total += automaton.step(state, TEXT_END)[0] if ends else end_unseen
-        return known + ends, base + end_base, total, rare
-
     def run(batches) -> Iterator:
         import pyarrow as pa
-
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                columns: list[list] = [[], [], [], [], []]
-                for text in part.column(2).to_pylist():
-                    words = _tokens(text)
-                    known, base, total, rare = score(words)
-                    row = len(words) + 1, known, base, total, [{"word": w, "times": n} for w, n in rare.items()]
-                    for column, value in zip(columns, row):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        *(pa.array(c, pa.int64()) for c in columns[:2]),
-                        *(pa.array(c, pa.float64()) for c in columns[2:4]),
-                        pa.array(columns[4], tail_type),
-                    ],
-                    names=schema.names,
-                )
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
-
-
-def scored(docs: DataFrame, corpus: Corpus | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    The model is learnt from the documents that are not held out, unless ``corpus`` is given. base_score
-    adds up smoothed shares of single tokens, score the automaton's log10 probabilities over the words of the
-    training documents, the end, and one event for all unseen words. A null or empty text is an end only.
-    A null doc_id is not held out. Rows that agree in id and text get the same scores. Without training
-    documents every token is unseen, with probability one. An empty table gives no rows. Only doc_id and
-    text are looked at.
-
-    Words too rare to travel with the tasks are joined with the table of counts. None of them is frequent, so
-    no key of that join is hot.
-    """
-    corpus = corpus or learn(docs)
-    rows = stored(_scored(docs, corpus), "scored")
-    rare = rows.select("doc_id", "text_key", F.explode("tail").alias("t")).select("doc_id", "text_key", "t.*")
-    met = rare.join(corpus.counts, "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    share = F.when(n > 0, (n - DISCOUNT) / max(1, corpus.tokens)).otherwise(corpus.unseen)
-    sums = met.groupBy("doc_id", "text_key").agg(
-        F.sum(F.col("times") * F.log10(corpus.base(n) if corpus.tokens else F.lit(1.0))).alias("rare_base"),
-        F.sum(F.col("times") * F.log10(share)).alias("rare_score"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-    )
-    # Rows that agree in the key have the same rare words: the sums are shared evenly.
-    copies = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
-    of = sums.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
-    key = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("text_key").eqNullSafe(F.col("of_key"))
-    each = copies.join(of, key).select(
-        "of_id",
-        "of_key",
-        (F.col("rare_base") / F.col("rows")).alias("rare_base"),
-        (F.col("rare_score") / F.col("rows")).alias("rare_score"),
-        (F.col("rare_known") / F.col("rows")).cast("long").alias("rare_known"),
-    )
-    out = rows.join(each, key, "left")
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for row in _rows(batches):
+            block = _Block(row)
+            n, _ = _answer(row, "counts", 2)
+            asks = block.asks_for(n)
+            free = np.ones(len(n))
+            total, followers, _ = _answer(row, "taken", 3)
+            free[asks] = 1 - (total - DISCOUNT * followers) / n[asks]
+            own = n[block.grams[0]]
+            chance = np.where(own > 0, (own - DISCOUNT) / max(1, tokens), unseen)
+            for grams in block.grams[1:]:
+                ends = np.flatnonzero(grams >= 0)
+                gram = grams[ends]
+                history = block.history[gram]
+                kept = np.where(n[gram] >= LEAST_COUNT, (n[gram] - DISCOUNT) / np.maximum(1, n[history]), 0)
+                chance[ends] = kept + free[history] * chance[ends]
+
+            def by_text(v):
+                return np.bincount(block.text, v, len(row["doc_ids"]))
+
+            shares = np.log10((own + 0.1) / (tokens + 0.1 * (kinds + 1))) if tokens else np.zeros(len(own))
+            columns = [row["doc_ids"], by_text(None), by_text(own > 0).astype(np.int64), by_text(shares)]
+            columns.append(by_text(np.log10(chance)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    out = known.join(taken, "block", "left").drop("counts_kinds", "taken_kinds").mapInArrow(run, schema)
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
-        (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(corpus.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        "n_known",
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
     )

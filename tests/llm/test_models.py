@@ -123,6 +123,33 @@ def test_scores_do_not_depend_on_where_rare_words_are_looked_up(documents, monke
     assert set(whole) == set(few)
 
 
+def test_all_n_grams_that_occur_twice_are_in_the_model(documents, monkeypatch):
+    """Most words here are rarer than one in 10,000 tokens, and still part of n-grams."""
+    monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", 5000)
+    r = random.Random(12)
+    rows = [(i, " ".join(["the"] * 400)) for i in range(120)]
+    pairs = [f"left{k} right{k} after{k}" for k in range(300)]
+    rows += [(1000 + i, " ".join(r.choice(pairs) for _ in range(r.randint(1, 8)))) for i in range(300)]
+    texts = [[*lowered_words(t), None] for i, t in rows if not is_held_out(i)]
+    words = Counter(w for t in texts for w in t)
+    counts = Counter(tuple(t[i : i + k]) for t in texts for k in (2, 3) for i in range(len(t) - k + 1))
+    kept = {g: n for g, n in counts.items() if n >= 2}
+    tokens = sum(words.values())
+    numbers = {w: k for k, w in enumerate((w for w in words if w), TEXT_END + 1)} | {None: TEXT_END}
+    packed = {sum(numbers[w] << 20 * k for k, w in enumerate(reversed(g))): n for g, n in kept.items()}
+    automaton = Automaton.from_counts({numbers[w]: n for w, n in words.items()}, tokens, packed)
+    unseen = log10(DISCOUNT * len(words) / tokens)
+    for row in scored(documents(rows)).collect():
+        total, state = 0.0, 0
+        for w in [*lowered_words(dict(rows)[row.doc_id]), None]:
+            if w in words:
+                weight, state = automaton.step(state, numbers[w])
+            else:
+                weight, state = unseen + automaton.to_root(state), 0
+            total += weight
+        assert row.score == pytest.approx(total)
+
+
 def test_held_out_text_is_likelier_under_n_grams_than_under_single_words(documents):
     r = random.Random(10)
     follow = {k: [r.randint(0, 199) for _ in range(3)] for k in range(200)}
