@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text and cuts wherever its top bits are zero, so a cut depends on the
-last 32 bytes only: after an insertion the chunks fall into step again. Chunks are deduplicated by
-digest; runs of chunks that occur elsewhere too become repeated spans.
+A gear hash rolls over the bytes of a text, and a cut is wherever it is the least of some MOST_BYTES places side by
+side. So a cut depends on the bytes near it only, and there is no way for two texts that share a passage to miss
+each other's cuts inside it. Chunks are deduplicated by digest; runs of chunks that occur elsewhere too become
+repeated spans.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import types as T
 from grantstar.llm.common import stored
 from grantstar.llm.tasks import map_slices
 
-#: A cut needs so many zero bits (one place in 32) and so many bytes since the last one; a chunk without
-#: a cut ends at the largest size.
-CUT_BITS = 5
-LEAST_BYTES, MOST_BYTES = 16, 256
-#: Repeated chunks side by side are a repeated span from so many bytes on.
+#: A cut is the least hash of so many places (a power of two), and no chunk is longer; half of it on average.
+MOST_BYTES = 64
+#: The hash at a cut looks back so many bytes; the digest of a chunk covers them, too, so a short one is no chance match.
+CONTEXT_BYTES = 32
+#: Repeated chunks side by side are a repeated span from so many shared bytes on, the context of the first included.
+#: At most MOST_BYTES - 1 bytes at each end of a shared passage are outside, so any of SPAN_BYTES + 2 * (MOST_BYTES - 1)
+#: bytes is found, unless it repeats its own bytes within MOST_BYTES.
 SPAN_BYTES = 128
 
 #: One random number for each byte value, from a fixed seed.
@@ -41,24 +44,31 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _sliding(of, values: np.ndarray) -> np.ndarray:
+    """The least or largest of each MOST_BYTES values side by side, from those of half as many."""
+    size = 1
+    while size < MOST_BYTES:
+        values = of(values[:-size], values[size:])
+        size *= 2
+    return values
+
+
 def cuts(text: bytes) -> list[int]:
     """Ends of the chunks of a text."""
     data = np.frombuffer(text, np.uint8)
     if not len(data):
         return []
-    places = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - CUT_BITS) == 0) + 1
-    out, last = [], 0
-    for at in places.tolist():
-        while at - last > MOST_BYTES:
-            last += MOST_BYTES
-            out.append(last)
-        if at - last >= LEAST_BYTES:
-            out.append(at)
-            last = at
-    while len(text) - last > MOST_BYTES:
-        last += MOST_BYTES
-        out.append(last)
-    if last < len(text):
+    out, last = [], None
+    if len(data) > MOST_BYTES:
+        h = gear_hashes(data)
+        least = _sliding(np.minimum, h)
+        at = np.flatnonzero(h == _sliding(np.maximum, np.pad(least, MOST_BYTES - 1)))
+        for end, value in zip((at + 1).tolist(), h[at].tolist()):
+            # Of equal hashes, as in a run of one byte, one in MOST_BYTES places is enough.
+            if not out or value != last or end - out[-1] >= MOST_BYTES:
+                out.append(end)
+                last = value
+    if not out or out[-1] < len(text):
         out.append(len(text))
     return out
 
@@ -94,7 +104,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 data = (text or "").encode("utf-8", "replace")
                 last, seen = 0, set()
                 for end in cuts(data):
-                    h = digest(data[last:end])
+                    h = digest(data[max(0, last - CONTEXT_BYTES) : end])
                     hashes.append(h)
                     starts.append(last)
                     ends.append(end)
@@ -122,7 +132,8 @@ def repeated_spans(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """One row for each document with a repeated span: doc_id, n_spans, repeated_bytes, removed_bytes, spans
     (array of start, end) and cuts (array of start, end: what goes, so that one occurrence stays).
 
-    Offsets are bytes of the text in UTF-8. Of the chunks with one digest the first in the document with
+    Offsets are bytes of the text in UTF-8. A span begins and ends at cuts, so it can be shorter than the shared passage
+    by CONTEXT_BYTES + MOST_BYTES at its start and MOST_BYTES at its end. Of the chunks with one digest the first in the document with
     the smallest doc_id stays. A document without repeats, with an empty or a null text, gives no row.
     Rows that share a doc_id count as one document (null included); those that agree in text, too, give one
     row. Only doc_id and text are looked at.
@@ -146,7 +157,8 @@ def repeated_spans(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
     runs = islands(hits, ["doc_id"], "run")
     of_run = Window.partitionBy("doc_id", "run")
     runs = runs.withColumn("from", F.min("start").over(of_run)).withColumn("to", F.max("end").over(of_run))
-    runs = runs.where(F.col("to") - F.col("from") >= span_bytes)
+    shared = F.col("to") - F.greatest(F.lit(0), F.col("from") - CONTEXT_BYTES)
+    runs = runs.where(shared >= span_bytes)
     span = F.struct(F.col("from").alias("start"), F.col("to").alias("end"))
     gone = F.when(F.col("goes"), F.struct("start", "end"))
     out = runs.groupBy("doc_id").agg(

@@ -81,6 +81,21 @@ def test_shared_passages_are_found_and_clean_documents_left_alone(documents):
     assert len(cleaned[3]) == len(rows[3][1]) - got[3].removed_bytes
 
 
+def test_every_shared_passage_of_fifty_words_gives_a_span(documents):
+    r = random.Random(5)
+    shared = [syllables(r, r.randint(50, 60)) for _ in range(500)]
+    shared = [p for p in shared if len(p) >= 256]
+    assert len(shared) > 450
+    around = lambda p: f"{syllables(r, r.randint(20, 60))} {p} {syllables(r, r.randint(20, 60))}"
+    rows = [(2 * i + k, around(p)) for i, p in enumerate(shared) for k in (0, 1)]
+    got = {x.doc_id: x.spans for x in repeated_spans(documents(rows)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, text in rows:
+        at = text.encode().index(shared[i // 2].encode())
+        for span in got[i]:
+            assert at - 16 <= span["start"] and span["end"] <= at + len(shared[i // 2]) + 16
+
+
 def test_edge_cases_of_chunks(edges, empty):
     rows = repeated_spans(edges).collect()
     assert {x.doc_id for x in rows} <= {4, 6} and repeated_spans(empty).collect() == []
