@@ -19,7 +19,8 @@ from grantstar.llm.common import ascii_lower, stored
 BITS_PER_ROW = 16
 #: One bitmap holds so many bits (the size Spark's bitmap functions use).
 BITMAP_BITS = 32768
-#: A filter up to this size is broadcast; a larger one is joined by bitmap, like any table.
+#: The filter is broadcast, so it is never larger than this. Beyond about 8 million rows there are fewer bits for each
+#: row: more unique texts are taken for possible copies and shuffled once, with the same results.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -30,17 +31,11 @@ class RepeatFilter:
     table: DataFrame
     positions: int
 
-    @property
-    def bytes(self) -> int:
-        return self.positions // 4  # two planes of positions / 8 bytes
-
     def tests(self, df: DataFrame, digest: str, flag: str) -> DataFrame:
         """``df`` with ``flag``: false if no other row can have this digest."""
         for plane in (0, 1):
             at, bucket, bits = f"{flag}_at{plane}", f"{flag}_bucket{plane}", f"{flag}_bits{plane}"
-            side = self.table.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
-            if self.bytes <= BROADCAST_BYTES:
-                side = F.broadcast(side)
+            side = F.broadcast(self.table.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
             df = df.withColumn(at, _position(F.col(digest), plane, self.positions))
             df = df.join(side, F.bitmap_bucket_number(F.col(at)) == F.col(bucket), "left")
             df = df.withColumn(f"{flag}{plane}", _bit_is_set(F.col(bits), F.col(at)))
@@ -62,7 +57,9 @@ def _bit_is_set(bits: Column, position: Column) -> Column:
 
 def repeat_filter(digests: DataFrame, digest: str, rows: int) -> RepeatFilter:
     """Pass one: counts of bit positions, added up before the shuffle, then bitmaps of those above one."""
-    positions = max(BITMAP_BITS, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length())
+    # Two planes of positions / 8 bytes.
+    most = 4 * BROADCAST_BYTES
+    positions = max(BITMAP_BITS, min(most, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length()))
     both = F.array(*(_position(F.col(digest), plane, positions) for plane in (0, 1)))
     hits = digests.select(F.explode(both).alias("at")).groupBy("at").count().where("count > 1")
     table = hits.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(

@@ -232,3 +232,13 @@ def test_edge_cases_of_line_rules(edges):
     assert len(rows) == len(EDGES)
     assert [r.kept for r in rows if r.doc_id == 4] == [True]
     assert not any(r.kept for r in rows if r.doc_id in (1, 2, 3))
+
+
+def test_texts_never_shuffle_to_meet_a_large_filter(documents, monkeypatch):
+    monkeypatch.setattr("grantstar.llm.bloom_dedup.BROADCAST_BYTES", 1024)
+    docs = documents([(i, f"text {i % 2500}") for i in range(3000)])
+    kept = bloom_dedup.drop_exact_copies(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(500, 3000))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    outer = [line for line in plan.splitlines() if "LeftOuter" in line]
+    assert outer and all("broadcast" in line for line in outer)
