@@ -128,8 +128,123 @@ select doc_id, size, source_size, round(target, 6) as target, copies, copies * s
 from c"""
 
 
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(acc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {codes}), lambda acc, c: {byte}), 4294967295)"
+
+
+def _counted(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}::varchar, '-')"
+
+
+def _merkle() -> str:
+    def leaf(text: str) -> str:
+        parts = [_counted(c) for c in ("doc_id", "source", "lang", "n_chars")]
+        return f"sha256({' || '.join(parts)} || {_counted(text)})"
+
+    up = """list_transform(range(0, (len(d) + 2) // 3),
+      lambda j: sha256(array_to_string(list_slice(d, 3 * j + 1, 3 * j + 3), '')))"""
+    return f"""
+with recursive leaves as (
+  select doc_id, source, {leaf("text")} as leaf, {leaf("replace(text, chr(10), '')")} as without,
+    {_crc32("doc_id::varchar")} % 2 = 0 as changed
+  from documents
+),
+p as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from leaves
+),
+g as (select source, list(leaf order by i) as d from p group by source),
+t as (
+  select source, 0 as level, d from g
+  union all
+  select source, level + 1, {up} from t where len(d) > 1
+),
+subroots as (select source, level as height, d[1] as subroot from t where len(d) = 1),
+ranked as (select *, row_number() over (order by source nulls first) - 1 as r from subroots),
+u as (
+  select 0 as level, (select list(subroot order by r) from ranked) as d
+  union all
+  select level + 1, {up} from u where len(d) > 1
+),
+steps as (
+  select p.doc_id, p.leaf, p.i, t.level as step, p.i // (3::bigint ** t.level)::bigint as j, t.d
+  from p join t on p.source is not distinct from t.source where len(t.d) > 1
+  union all
+  select p.doc_id, p.leaf, p.i, ranked.height + u.level, ranked.r // (3::bigint ** u.level)::bigint, u.d
+  from p join ranked on p.source is not distinct from ranked.source, u where len(u.d) > 1
+),
+sided as (
+  select doc_id, leaf, i, step, array_to_string(list_slice(d, j // 3 * 3 + 1, j), '') as a,
+    array_to_string(list_slice(d, j + 2, j // 3 * 3 + 3), '') as b
+  from steps
+),
+paths as (
+  select doc_id, leaf, i, list([a, b] order by step) as path from sided group by all
+),
+folded as (
+  select p.*, coalesce(path, []) as path,
+    list_reduce(list_concat([[case when changed then without else p.leaf end]], coalesce(path, [])),
+      lambda x, s: [sha256(s[1] || x[1] || s[2])])[1] as folded_root
+  from p left join paths on p.doc_id is not distinct from paths.doc_id and p.leaf = paths.leaf and p.i = paths.i
+)
+select doc_id, leaf, subroot, (select d[1] from u where len(d) = 1) as root,
+  sha256(array_to_string(flatten(path), '')) as proof_sha256, folded_root,
+  folded_root = (select d[1] from u where len(d) = 1) as verified
+from folded join ranked on folded.source is not distinct from ranked.source"""
+
+
+def _periodic_runs() -> str:
+    return f"""
+with d as (select doc_id, {_WORDS} as w, {_crc32("doc_id::varchar")} as h from documents),
+a as (select *, len(w) as n, h // 10 as g, case when len(w) > 0 then (h // 10) % len(w) end as a from d),
+q as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+x as (
+  select doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end])
+    else w end as w
+  from q
+),
+grams as (
+  select doc_id, n, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as gram
+  from (select doc_id, n, w, unnest(range(0, n - 3)) as i from x)
+),
+pairs as (
+  select l.doc_id, l.i, r.i - l.i as period from grams l join grams r
+  on l.doc_id = r.doc_id and l.gram = r.gram and r.i > l.i and 4 * (r.i - l.i) <= l.n
+),
+islands as (
+  select doc_id, period, min(i) as start, count(*) + 3 + period as length
+  from (select *, i - row_number() over (partition by doc_id, period order by i) as island from pairs)
+  group by doc_id, period, island
+),
+runs as (
+  select doc_id, start, length, min(period) as period from islands
+  where length >= greatest(6, 4 * period) group by doc_id, start, length
+),
+per as (
+  select doc_id, count(*) as n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' order by start, period) as text,
+    list([start + period, start + length]) as gone
+  from runs group by doc_id
+),
+best as (
+  select distinct on (doc_id) doc_id, start, length, period from runs r where not exists (
+    select 1 from runs o where o.doc_id = r.doc_id and o.length * r.period > r.length * o.period
+  ) order by doc_id, start, period
+)
+select x.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(text, '')) as runs_sha256,
+  sha256(array_to_string(case when gone is null then w else list_transform(
+    list_filter(range(0, n), lambda i: len(list_filter(gone, lambda s: i >= s[1] and i < s[2])) = 0),
+    lambda i: w[i + 1]) end, ' ')) as collapsed_sha256
+from x left join per using (doc_id) left join best using (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_frequency": _line_frequency(),
     "op4_bloom_dedup": _BLOOM_DEDUP,
     "op7_curriculum": _curriculum(),
+    "op11_merkle_proofs": _merkle(),
+    "op12_periodic_runs": _periodic_runs(),
 }

@@ -15,6 +15,8 @@ from grantstar.llm.chunk_dedup import repeated_spans
 from grantstar.llm.common import read_table
 from grantstar.llm.curriculum import mixed
 from grantstar.llm.line_quality import line_quality
+from grantstar.llm.merkle_proofs import verified_manifest
+from grantstar.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
 from grantstar.llm.secret_scan import secret_spans, span_digests
 from grantstar.llm.sentencepiece_codec import codec_digests
 from grantstar.llm.simhash_index import near_copies
@@ -85,6 +87,16 @@ def _op9(docs: DataFrame) -> DataFrame:
     return context_limits(length_histogram(docs, RANKS, public_tokenizers.PATTERN))
 
 
+@_over_documents("op11_merkle_proofs")
+def _op11(docs: DataFrame) -> DataFrame:
+    return verified_manifest(docs)
+
+
+@_over_documents("op12_periodic_runs")
+def _op12(docs: DataFrame) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(docs)))
+
+
 def _op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(tune(spark), folder, "documents")
     return scored_documents(docs, read_table(spark, folder, "labels"))
