@@ -17,6 +17,7 @@ from grantstar.llm.curriculum import mixed
 from grantstar.llm.line_quality import line_quality
 from grantstar.llm.merkle_proofs import verified_manifest
 from grantstar.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
+from grantstar.llm.rule_ensemble import scored_quality
 from grantstar.llm.secret_scan import secret_spans, span_digests
 from grantstar.llm.sentencepiece_codec import codec_digests
 from grantstar.llm.simhash_index import near_copies
@@ -103,3 +104,11 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_toxic_crf"] = _op10
+
+
+def _op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(tune(spark), folder, "documents")
+    return scored_quality(docs, read_table(spark, folder, "labels"))
+
+
+QUERIES["op13_rule_ensemble"] = _op13
