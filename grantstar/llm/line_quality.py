@@ -16,16 +16,22 @@ from grantstar.llm.common import WHITE, stored, words
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is boilerplate of its host if more than ``share`` of the host's documents hold it, and at
-    least ``least`` do. A document is depleted if less than ``left_share`` of its words are left, or fewer
-    than ``left_words``."""
+    """A line is boilerplate of its host if more than ``share`` of the host's documents hold it and at
+    least ``least`` do, or if ``most`` do, on a host of any size; and only if at least ``least`` different texts do, so that
+    copies of one document do not make its own lines boilerplate. A document is depleted if less than ``left_share`` of its
+    words are left, or fewer than ``left_words``."""
 
     share: float = 0.05
     least: int = 20
+    most: int = 10_000
     left_share: float = 0.5
     left_words: int = 20
 
 
+#: Limits under which many lines go and some documents with them, also in small tables.
+STRICT = LineLimits(share=0.02, least=3, most=1000, left_share=0.9)
+
+
 def normalised_line(line: Column) -> Column:
     """Lower case, all white space as spaces, none at the ends."""
     for white in WHITE.replace(" ", ""):
@@ -109,32 +115,33 @@ def text_measures(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measures: DataFrame, limits: LineLimits) -> DataFrame:
-    """(source, line) of the lines above the limits.
+    """(source, line, docs, texts) of the lines above the limits: the documents and the different texts that hold it.
 
-    Documents are counted by text, so exact copies count once: they are left to deduplication. Rows are
-    distinct by host, line and text before they are counted, so a line that a third of all documents hold
+    Rows are counted by host, line and text before they are shuffled, so a line that a third of all documents hold
     is spread over all tasks.
     """
-    texts = measures.select("source", "text_hash").distinct().groupBy("source").agg(F.count("*").alias("of"))
+    hosts = measures.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("of"))
     held = measures.select("source", "text_hash", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    counts = held.groupBy("source", "line").agg(F.countDistinct("text_hash").alias("texts"))
+    counts = held.groupBy("source", "line").agg(
+        F.count("*").alias("docs"), F.countDistinct("text_hash").alias("texts")
+    )
     counts = counts.where(F.col("texts") >= limits.least)
-    hosts = texts.select(F.col("source").alias("host"), "of")
     above = counts.join(hosts, F.col("source").eqNullSafe(F.col("host")))
-    return above.where(F.col("texts") > limits.share * F.col("of")).select("source", "line")
+    often = (F.col("docs") > limits.share * F.col("of")) | (F.col("docs") >= limits.most)
+    return above.where(often).select("source", "line", "docs", "texts")
 
 
 def line_quality(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, removed_words.
 
-    The host is the source; null is a host of its own. A null text has no words and fails, like any text
-    below 50 words. Lines without a word are not counted. ``removed_words`` are the words of frequent lines,
+    The host is the source; null is a host of its own. Every row is a document of its host. A null text has no words and
+    fails, like any text below 50 words; a text of any length is measured as a whole. Lines without a word are not counted. ``removed_words`` are the words of frequent lines,
     every occurrence counted; what is left decides if the document is depleted. An empty table gives no rows.
     Rows that agree in id, source and text get the same result. Only doc_id, source and text are looked at.
     """
     measures = stored(text_measures(docs), "measures")
-    frequent = stored(frequent_lines(measures, limits), "frequent").select(
+    frequent = stored(frequent_lines(measures, limits).select("source", "line"), "frequent").select(
         F.col("source").alias("host"), F.col("line").alias("known")
     )
     key = ["doc_id", "source", "text_hash"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from grantstar.llm.curriculum import MAX_REPEATS, SCHEDULES, Schedule, integral
-from grantstar.llm.line_quality import LineLimits
+from grantstar.llm.line_quality import STRICT, LineLimits
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,11 +18,12 @@ l as (
   from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from d)
   where regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
-hosts as (select source, count(distinct text) as of from d group by source),
+hosts as (select source, count(*) as of from d group by source),
 frequent as (
-  select source, norm from (select source, norm, count(distinct text) as texts from l group by source, norm)
+  select source, norm from (
+    select source, norm, count(distinct doc_id) as docs, count(distinct text) as texts from l group by source, norm)
   join hosts using (source)
-  where texts >= {limits.least} and texts > {limits.share} * hosts.of
+  where texts >= {limits.least} and (docs > {limits.share} * hosts.of or docs >= {limits.most})
 ),
 dup as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines from l group by doc_id
@@ -243,6 +244,7 @@ from x left join per using (doc_id) left join best using (doc_id)"""
 
 ORACLES: dict[str, str] = {
     "op1_line_frequency": _line_frequency(),
+    "strict_line_frequency": _line_frequency(STRICT),
     "op4_bloom_dedup": _BLOOM_DEDUP,
     "op7_curriculum": _curriculum(),
     "op11_merkle_proofs": _merkle(),

@@ -14,7 +14,7 @@ from grantstar.llm.bloom_dedup import exact_copies
 from grantstar.llm.chunk_dedup import repeated_spans
 from grantstar.llm.common import read_table
 from grantstar.llm.curriculum import mixed
-from grantstar.llm.line_quality import line_quality
+from grantstar.llm.line_quality import STRICT, line_quality
 from grantstar.llm.merkle_proofs import verified_manifest
 from grantstar.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
 from grantstar.llm.rule_ensemble import scored_quality
@@ -44,6 +44,11 @@ def _op1(docs: DataFrame) -> DataFrame:
     return line_quality(docs)
 
 
+@_over_documents("strict_line_frequency")
+def _op1_strict(docs: DataFrame) -> DataFrame:
+    return line_quality(docs, STRICT)
+
+
 @_over_documents("op2_chunk_dedup")
 def _op2(docs: DataFrame) -> DataFrame:
     found = repeated_spans(docs)

@@ -12,7 +12,7 @@ from grantstar.llm import bloom_dedup
 from grantstar.llm.bloom_dedup import drop_exact_copies, exact_copies, repeat_filter
 from grantstar.llm.common import ascii_lower
 from grantstar.llm.curriculum import SCHEDULES, integral, inverted, mix_documents, mixed, training_order
-from grantstar.llm.line_quality import LineLimits, line_quality
+from grantstar.llm.line_quality import LineLimits, frequent_lines, line_quality, text_measures
 
 from .conftest import EDGES
 
@@ -221,6 +221,20 @@ def test_frequent_lines_of_a_host_are_removed(documents):
     assert got[70].removed_words == 120 and not got[70].kept
 
 
+def test_documents_are_counted_and_a_limit_holds_on_hosts_of_any_size(documents):
+    """A line in many documents of few texts: documents count, as long as enough different texts hold it."""
+    own = [f"{' '.join(f'own{i}x{k}' for k in range(60))}" for i in range(400)]
+    line = "the same long line of this host in very many of its documents"
+    rows = [(i, f"{own[i % 25]}\n{line}") for i in range(200)] + [(1000 + i, t) for i, t in enumerate(own)]
+    docs = documents(rows)
+    found = frequent_lines(text_measures(docs), LineLimits(share=0.3, least=20)).collect()
+    assert [(r.docs, r.texts) for r in found] == [(200, 25)]
+    assert not frequent_lines(text_measures(docs), LineLimits(share=0.3, least=26)).collect()
+    assert not frequent_lines(text_measures(docs), LineLimits(share=0.5, least=20)).collect()
+    by_size = frequent_lines(text_measures(docs), LineLimits(share=0.5, least=20, most=200)).collect()
+    assert [(r.docs, r.texts) for r in by_size] == [(200, 25)]
+
+
 def test_exact_copies_do_not_make_a_line_frequent(documents):
     text = "\n".join(" ".join(f"w{i}{k}" for k in range(20)) for i in range(5))
     rows = [(i, text, "a") for i in range(50)] + [(i, f"other {i} " + text.replace("\n", f" {i}\n"), "a") for i in range(50, 60)]
