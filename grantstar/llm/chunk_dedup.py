@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,8 +75,8 @@ def cuts(text: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id and the chunks of each text in UTF-8: digest, start, end, and whether it is the first
-    with this digest in the text. Null texts have none."""
+    """doc_id, text_key (a hash of the text) and the chunks of each text in UTF-8: digest, start, end, and whether it is
+    the first with this digest in the text. Null texts have none."""
     chunk = T.StructType(
         [
             T.StructField("digest", T.LongType(), False),
@@ -87,12 +88,12 @@ def chunks(docs: DataFrame) -> DataFrame:
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            T.StructField("text_key", T.LongType()),
             T.StructField("chunks", T.ArrayType(chunk, False), False),
         ]
     )
 
     def make():
-        import pyarrow as pa
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
@@ -100,7 +101,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def work(columns):
             sizes, hashes, starts, ends, firsts = [0], [], [], [], []
-            for text in columns[1]:
+            for text in columns[2]:
                 data = (text or "").encode("utf-8", "replace")
                 last, seen = 0, set()
                 for end in cuts(data):
@@ -121,47 +122,38 @@ def chunks(docs: DataFrame) -> DataFrame:
                 ],
                 fields=list(kinds),
             )
-            return [columns[0], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)]
+            return [columns[0], columns[1], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)]
 
         return work
 
-    return map_slices(docs.select("doc_id", "text"), make, schema)
+    return map_slices(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), make, schema)
 
 
-def repeated_spans(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
-    """One row for each document with a repeated span: doc_id, n_spans, repeated_bytes, removed_bytes, spans
-    (array of start, end) and cuts (array of start, end: what goes, so that one occurrence stays).
-
-    Offsets are bytes of the text in UTF-8. A span begins and ends at cuts, so it can be shorter than the shared passage
-    by CONTEXT_BYTES + MOST_BYTES at its start and MOST_BYTES at its end. Of the chunks with one digest the first in the document with
-    the smallest doc_id stays. A document without repeats, with an empty or a null text, gives no row.
-    Rows that share a doc_id count as one document (null included); those that agree in text, too, give one
-    row. Only doc_id and text are looked at.
-
-    Occurrences of a digest are counted before they are shuffled, and the join that finds them again can be
-    split, so a passage that a third of all documents hold is spread over tasks. All chunks of one
-    document are gathered in one place, never those of one digest.
-    """
+def spans_by_text(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
+    """What ``repeated_spans`` gives, with text_key: offsets belong to one text, whatever else has its id."""
     held = stored(chunks(docs), "chunks")
-    each = held.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
-    counts = each.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
-    twice = stored(counts.where("n > 1").drop("n"), "twice")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first")
-    hits = each.join(twice, "digest").select("doc_id", "start", "end", (~stays).alias("goes")).distinct()
+    each = held.select("doc_id", "text_key", F.explode("chunks").alias("c")).select("doc_id", "text_key", "c.*")
+    # The smallest id, any id before none.
+    owner = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    counts = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(owner).alias("keeper"))
+    twice = stored(counts.where("n > 1").select("digest", "keeper"), "twice")
+    stays = owner.eqNullSafe(F.col("keeper")) & F.col("first")
+    key = ["doc_id", "text_key"]
+    hits = each.join(twice, "digest").select(*key, "start", "end", (~stays).alias("goes")).distinct()
 
     def islands(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         by = Window.partitionBy(*keys).orderBy("start", "end")
         new = F.coalesce(F.col("start") > F.lag("end").over(by), F.lit(True)).cast("int")
         return df.withColumn("new", new).withColumn(name, F.sum("new").over(by)).drop("new")
 
-    runs = islands(hits, ["doc_id"], "run")
-    of_run = Window.partitionBy("doc_id", "run")
+    runs = islands(hits, key, "run")
+    of_run = Window.partitionBy(*key, "run")
     runs = runs.withColumn("from", F.min("start").over(of_run)).withColumn("to", F.max("end").over(of_run))
     shared = F.col("to") - F.greatest(F.lit(0), F.col("from") - CONTEXT_BYTES)
     runs = runs.where(shared >= span_bytes)
     span = F.struct(F.col("from").alias("start"), F.col("to").alias("end"))
     gone = F.when(F.col("goes"), F.struct("start", "end"))
-    out = runs.groupBy("doc_id").agg(
+    out = runs.groupBy(*key).agg(
         F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(gone)).alias("cuts")
     )
 
@@ -171,7 +163,7 @@ def repeated_spans(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
         )
 
     return out.select(
-        "doc_id",
+        *key,
         F.size("spans").cast("long").alias("n_spans"),
         total("spans").alias("repeated_bytes"),
         total("cuts").alias("removed_bytes"),
@@ -180,22 +172,47 @@ def repeated_spans(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
     )
 
 
+def repeated_spans(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
+    """One row for each document with a repeated span: doc_id, n_spans, repeated_bytes, removed_bytes, spans
+    (array of start, end) and cuts (array of start, end: what goes, so that one occurrence stays).
+
+    Offsets are bytes of the text in UTF-8. A span begins and ends at cuts, so it can be shorter than the shared passage
+    by CONTEXT_BYTES + MOST_BYTES at its start and MOST_BYTES at its end. Of the chunks with one digest the first in the document with
+    the smallest doc_id stays. A document without repeats, with an empty or a null text, gives no row.
+    Rows that share a doc_id (null included) but not the text are documents of their own, each with its row; rows that
+    agree in both give one. Only doc_id and text are looked at.
+
+    Occurrences of a digest are counted before they are shuffled, and the join that finds them again can be
+    split, so a passage that a third of all documents hold is spread over tasks. All chunks of one
+    document are gathered in one place, never those of one digest; so a very long text is one task's work.
+    """
+    return spans_by_text(docs, span_bytes).drop("text_key")
+
+
 def without_repeats(docs: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """``docs`` with the cuts of ``repeated_spans`` taken out of the texts; all else as it is.
 
-    A cut inside a character takes the whole character.
+    A cut inside a character takes the whole character. Cuts belong to an id and a text: rows that share an id, or have none,
+    lose what their own text repeats and no more. Null and empty texts stay as they are; an empty table gives no
+    rows. Names that begin with ``__cut_`` are reserved.
     """
-    found = repeated_spans(docs, span_bytes).select(F.col("doc_id").alias("cut_id"), F.col("cuts").alias("cut_spans"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
-
-    @F.udf("string")
-    def cut(text, spans):
-        if text is None or not spans:
-            return text
-        data, at, parts = text.encode(), 0, []
-        for span in spans:
-            parts.append(data[at : span["start"]])
-            at = max(at, span["end"])
-        return b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
-
-    return joined.withColumn("text", cut("text", "cut_spans")).select(docs.columns)
+    found = spans_by_text(docs, span_bytes).where(F.size("cuts") > 0)
+    found = found.select(
+        F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_key"), F.col("cuts").alias("__cut_spans")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__cut_id")) & (F.xxhash64("text") == F.col("__cut_key"))
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+            if text is not None and own:
+                data, at, parts = text.encode(), 0, []
+                for span in own:
+                    parts.append(data[at : span["start"]])
+                    at = max(at, span["end"])
+                text = b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    return docs.join(found, same, "left").withColumn("text", cut("text", "__cut_spans")).select(docs.columns)

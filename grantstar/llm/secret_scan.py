@@ -66,12 +66,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
     """(start, string) of key-shaped strings that no fixed pattern touches; numbers and rules without a letter
     are no keys."""
-    out, ahead = [], 0
+    out, ahead, reach = [], 0, 0
     ends = sorted((s, e) for s, _, e, _ in spans)
     for m in re.finditer(rf"{KEY_CHARACTERS}{{{KEY_LENGTH},}}", text):
-        while ahead < len(ends) and ends[ahead][1] <= m.start():
+        # Strings and spans ascend: of the spans that begin before the end of a string only the furthest end counts.
+        while ahead < len(ends) and ends[ahead][0] < m.end():
+            reach = max(reach, ends[ahead][1])
             ahead += 1
-        if re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, e in ends[ahead:] if s < m.end()):
+        if reach <= m.start() and re.search("[A-Za-z]", m[0]):
             out.append((m.start(), m[0]))
     return out
 
@@ -185,7 +187,8 @@ def secret_spans(docs: DataFrame, examples: DataFrame | None = None) -> DataFram
     """One row for each row of ``docs``: doc_id, base and spans (arrays of kind, start, end; code points, end
     exclusive), base from the fixed patterns, spans with those of the models added; by start, then kind.
 
-    A null text is empty and has none. Rows are handled one by one: repeated rows get the same spans. Without
+    A null text is empty and has none; a text of any length is read as a whole, in time that grows with its length. Rows are
+    handled one by one: repeated rows get the same spans. Without
     any labelled string (an empty table) the models are even and add nothing. Only doc_id and text are
     looked at.
     """

@@ -7,7 +7,9 @@ quantiles and truncated totals for every context limit, without a look at the do
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +20,41 @@ from grantstar.llm.tasks import map_slices
 
 #: Lengths summed by one window; blocks of them are summed before.
 BLOCK = 1024
+#: Runs of white space from this length on are cut out of a text: the library looks at one with a stack that
+#: grows with it.
+LONG_RUN = 4096
+
+#: The white space of Unicode.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def token_counter(ranks: dict[bytes, int], pattern: str) -> Callable[[str], int]:
+    """The number of tokens of a text, as the library encodes it.
+
+    The pattern makes a run of white space, its last character aside unless the text ends there, a piece of its own. So a
+    long run is encoded as such a piece, and the text before and after it, that character in front, by itself.
+    """
+    import tiktoken
+
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    piece = tiktoken.Encoding("run", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    long_run = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
+
+    def count(text: str) -> int:
+        at, total = 0, 0
+        for run in long_run.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(encode(text[at : run.start()])) + len(piece(text[run.start() : end]))
+            at = end
+        return total + len(encode(text[at:]))
+
+    return count
 
 
 def length_histogram(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """length, docs: how many rows of ``docs`` encode to so many tokens. Null texts have none.
+    """length, docs: how many rows of ``docs`` encode to so many tokens. Null and empty texts have none; a text of any
+    length is encoded as a whole. Every row counts, repeated ones and those without an id, too; an empty table gives
+    no rows. Only text is looked at.
 
     The rank file of the byte-level BPE vocabulary is read on the driver and travels with the tasks. Slices
     of rows are counted inside the task and added up before the shuffle.
@@ -33,12 +66,10 @@ def length_histogram(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     )
 
     def make():
-        import tiktoken
-
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokens = token_counter(ranks, pattern)
 
         def work(columns):
-            counts = Counter(len(encode(t)) if t else 0 for t in columns[0])
+            counts = Counter(tokens(t) if t else 0 for t in columns[0])
             return [list(counts), list(counts.values())]
 
         return work
@@ -84,12 +115,12 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 def at_limit(limits: DataFrame, limit: int) -> DataFrame:
     """docs_over, tokens_kept for any ``limit``, also one that no document has: from the longest length
-    at most so long. One row; null if every document is longer."""
+    at most so long. One row; none if every document is longer, or there are none."""
     best = limits.where(F.col("length") <= limit).orderBy(F.desc("length")).limit(1)
     kept = F.col("tokens_upto") + F.lit(limit) * F.col("docs_over")
     return best.select(F.lit(limit).alias("limit"), "docs_over", kept.alias("tokens_kept"))
 
 
 def length_quantile(limits: DataFrame, share: float) -> DataFrame:
-    """The smallest length that at least ``share`` of all documents do not exceed. One row."""
+    """The smallest length that at least ``share`` of all documents do not exceed. One row, null without documents."""
     return limits.where(F.col("quantile") >= share).agg(F.min("length").alias("length"))

@@ -48,3 +48,18 @@ def edges(documents):
 @pytest.fixture
 def empty(documents):
     return documents([])
+
+
+#: Texts of one long run: blanks, one letter, line ends, hex digits and keys in turn.
+HUGE = [
+    (1, " " * 2_000_000, "a"),
+    (2, "x" * 2_000_000, "a"),
+    (3, "\n" * 2_000_000, None),
+    (4, "word" + " " * 1_000_000 + "word", "b"),
+    (5, ("0123456789abcdef0123456789 Zq8Yt5Rw2Xp9Lk4Jh7Gf " * 20_000), "b"),
+]
+
+
+@pytest.fixture
+def huge(documents):
+    return documents(HUGE)

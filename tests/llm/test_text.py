@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import public_tokenizers
@@ -20,6 +21,7 @@ from grantstar.llm.secret_scan import (
     KeyModels,
     SIZE,
     base_spans,
+    candidates,
     digest_of,
     secret_spans,
     span_digests,
@@ -32,9 +34,9 @@ from grantstar.llm.sentencepiece_codec import (
     decode_documents,
     encode_documents,
 )
-from grantstar.llm.token_lengths import at_limit, context_limits, length_histogram, length_quantile
+from grantstar.llm.token_lengths import at_limit, context_limits, length_histogram, length_quantile, token_counter
 
-from .conftest import EDGES
+from .conftest import EDGES, HUGE
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -96,6 +98,28 @@ def test_every_shared_passage_of_fifty_words_gives_a_span(documents):
             assert at - 16 <= span["start"] and span["end"] <= at + len(shared[i // 2]) + 16
 
 
+def test_cuts_belong_to_a_text_and_not_to_an_id(documents):
+    """Rows that share an id, or have none, lose what their own text repeats."""
+    r = random.Random(17)
+    passage, lone, other = syllables(r, 90), syllables(r, 200), syllables(r, 150)
+    around = [f"{syllables(r, 40)} {passage} {syllables(r, 40)}" for _ in range(3)]
+    rows = [(1, around[0]), (2, around[1]), (2, lone), (None, around[2]), (None, other)]
+    docs = documents(rows).withColumn("cut_id", F.lit("x")).withColumn("cut_spans", F.lit(1))
+    cleaned = sorted(x.text for x in without_repeats(docs).collect())
+    assert lone in cleaned and other in cleaned and around[0] in cleaned
+    shorter = [t for t in cleaned if t not in (lone, other, around[0])]
+    assert len(shorter) == 2 and all(len(t) < len(around[1]) - 0.6 * len(passage) for t in shorter)
+    spans = repeated_spans(docs).collect()
+    assert sorted(str(x.doc_id) for x in spans) == ["1", "2", "None"]
+
+
+def test_cuts_inside_a_character_take_it_whole(documents):
+    passage = "é漢字" * 200
+    rows = [(1, "x" + passage), (2, "yy" + passage)]
+    cleaned = {x.doc_id: x.text for x in without_repeats(documents(rows)).collect()}
+    assert cleaned[1] == rows[0][1] and len(cleaned[2]) < len(passage) and "\ufffd" not in cleaned[2]
+
+
 def test_edge_cases_of_chunks(edges, empty):
     rows = repeated_spans(edges).collect()
     assert {x.doc_id for x in rows} <= {4, 6} and repeated_spans(empty).collect() == []
@@ -270,6 +294,27 @@ def test_edge_cases_of_secrets(edges, empty, documents):
     assert row.base_sha256 == digest_of(plain_spans(text)) and row.spans.startswith("assign:2:19,hex:20:46")
 
 
+def test_candidates_are_found_in_linear_time():
+    text = "0123456789abcdef0123456789 Zq8Yt5Rw2Xp9Lk4Jh7Gf " * 100_000
+    began = time.monotonic()
+    found = candidates(text, base_spans(text))
+    assert time.monotonic() - began < 20 and len(found) == 100_000
+    assert found[1] == (47 + 27, "Zq8Yt5Rw2Xp9Lk4Jh7Gf")
+
+
+def test_candidates_touch_no_fixed_pattern():
+    r = random.Random(18)
+    for _ in range(300):
+        text = "".join(r.choice(["token=", "Ab3", "0f" * 13, "AKIA", "Z9" * 9, " ", "é", "k-_/" * 5]) for _ in range(20))
+        spans = base_spans(text)
+        brute = [
+            (m.start(), m[0])
+            for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text)
+            if re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in spans)
+        ]
+        assert candidates(text, spans) == brute
+
+
 # --- token lengths -----------------------------------------------------------------------------
 
 
@@ -299,6 +344,33 @@ def test_histogram_answers_every_limit(documents):
         assert length_quantile(limits, share).first().length == k
 
 
+def test_long_runs_of_white_space_are_encoded_as_the_library_does():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    count = token_counter(ranks, public_tokenizers.PATTERN)
+    r = random.Random(19)
+    white = [" ", "\n", "\t", " \n", "\u3000", "\r\n", "\x85"]
+    texts = ["", " " * 5000, "a" + " " * 5000, "a" + " " * 4096 + "b", "\n" * 9000 + ".", " " * 5000 + "'s"]
+    for _ in range(60):
+        parts = [r.choice(["word", "12", "!", " x", "'ll", *(w * r.choice([1, 2, 2100, 5000]) for w in white)]) for _ in range(8)]
+        texts.append("".join(parts))
+    for text in texts:
+        assert count(text) == len(encoding.encode_ordinary(text)), repr(text[:40])
+    assert count(" " * 2_000_000) > 0 and count("x" * 300_000) > 0
+
+
+def test_very_long_runs_pass_every_operator_of_this_file(huge):
+    assert repeated_spans(huge).count() >= 0 and without_repeats(huge).count() == len(HUGE)
+    assert codec_digests(huge, MODEL).count() == len(HUGE)
+    assert span_digests(secret_spans(huge)).count() == len(HUGE)
+    limits = context_limits(length_histogram(huge, RANKS, public_tokenizers.PATTERN))
+    assert limits.agg(F.sum("docs")).first()[0] == len(HUGE)
+
+
 def test_empty_histogram(empty, edges):
     assert context_limits(length_histogram(empty, RANKS, public_tokenizers.PATTERN)).collect() == []
     rows = context_limits(length_histogram(edges, RANKS, public_tokenizers.PATTERN))
