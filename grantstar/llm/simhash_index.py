@@ -189,19 +189,35 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+#: Keys of dropped rows that may be broadcast: 24 bytes each, 24 MB at most.
+BROADCAST_KEYS = 1 << 20
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each component the document with the smallest doc_id stays, all
-    columns as they are. Of rows that share this id one stays, the one with the smallest text hash."""
+    columns as they are. Of rows that share this id one stays, the one with the smallest text hash.
+
+    The keys of the rows that go, which are counted, are taken out of ``docs``. Up to BROADCAST_KEYS of them no text
+    is shuffled. Null and empty texts have fingerprint zero, and are copies of each other. An empty table gives no
+    rows. Names that begin with ``__near_`` are reserved.
+    """
     rows = stored(fingerprints(docs), "fingerprints")
-    found = _with_components(rows)
-    first = found.groupBy("component_id", "doc_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("n"))
-    stays = first.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.select(
-        F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"), F.col("n").alias("__near_n")
+    found = _with_components(rows).groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    best = found.groupBy("component_id", "doc_id").agg(F.min("text_key").alias("best_key"))
+    best = best.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("component_id").alias("of"), "best_key"
+    )
+    joined = found.join(best, F.col("component_id").eqNullSafe(F.col("of")), "left")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_key").eqNullSafe(F.col("best_key"))
+    marked = joined.select(
+        F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"), (stays & (F.col("n") > 1)).alias("tied"),
+        stays.alias("stays"),
     )
-    stays = stored(stays, "stays")
+    gone = stored(marked.where("tied or not stays"), "gone")
+    tied = gone.where("tied").select("__near_id", "__near_key")
+    keys = gone.select("__near_id", "__near_key")
+    few = gone.count() <= BROADCAST_KEYS
     same = F.col("doc_id").eqNullSafe(F.col("__near_id")) & F.xxhash64("text").eqNullSafe(F.col("__near_key"))
-    chosen = docs.join(stays, same)
-    alone = chosen.where("__near_n = 1").select(docs.columns)
-    tied = chosen.where("__near_n > 1").dropDuplicates(["__near_id", "__near_key"])
-    return alone.unionByName(tied.select(docs.columns))
+    alone = docs.join(F.broadcast(keys) if few else keys, same, "left_anti")
+    several = docs.join(F.broadcast(tied) if few else tied, same).dropDuplicates(["__near_id", "__near_key"])
+    return alone.unionByName(several.select(docs.columns))
