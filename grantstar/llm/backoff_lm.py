@@ -1,22 +1,26 @@
-"""Language-model scoring with backed-off word n-grams.
-
-All words of the training corpus are counted, and all its n-grams of two and three words; those that occur twice
-are kept, at every size. Counts are smoothed by absolute discounting: the probability of a word after a history is
-what walking the arcs and failure arcs of ``Automaton`` gives. All words that training never saw are one event,
-which gets what the discount sets free.
-
-The model never is in one place. Texts are packed in blocks of about BLOCK_TOKENS tokens, and a block asks
-for what it needs: the hashes of its words and n-grams, each once, go to buckets by hash, which add up the counts
-and answer each block in the order of its question. A second question gives what the followers of each history
-take. With both answers a block scores its texts by itself. A key goes once from each block, so
-a hot word or history is as short as any other.
+"""Language-model scoring with a weighted backoff automaton.
+
+All words of the training corpus are counted, and its n-grams of two and three words; those that occur twice
+are kept, at every size. Counts are smoothed by absolute discounting. Histories that have kept followers are the states
+of an automaton: an arc carries the log-probability of a word and leads to the longest end of what was
+read that is a state again; a state without an arc for a word passes it on, at the weight of what its discount sets
+free, along its failure arc to the state without the oldest word. A text is scored by one walk from left to right
+that carries the state. All words that training never saw are one event, which gets what the discount of single words
+sets free.
+
+The automaton of a corpus never is in one place. Texts are packed in blocks of about BLOCK_TOKENS tokens, and a block needs
+those states and arcs only that its own texts can meet. It asks for them in two rounds: first for its words and for the
+followers of each, then for the followers of its kept pairs of words. A history goes with its followers to a bucket by
+the hash of the history, where the counts of all blocks are added up; the bucket answers each block in the
+order of its question, with the count and the sums over all kept followers. A trigram is asked for only if
+both its pairs are kept, as it cannot occur twice otherwise. A key goes once from each block, so a hot word or history
+is as short as any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from math import log10
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,18 +29,18 @@ from pyspark.sql import types as T
 
 from grantstar.llm.common import stored
 
-ORDER = 3
 DISCOUNT = 0.75
 #: n-grams of two and three words are kept from this count on, at every size of the corpus.
 LEAST_COUNT = 2
-#: Tokens of a block of texts, and tokens of the corpus for each bucket of keys.
-BLOCK_TOKENS = BUCKET_TOKENS = 1 << 20
-#: Shares that earlier versions cut the model by. Nothing reads them; tests set them.
-WORD_SHARE, HEAD_SHARE = 1e-4, 1e-6
+#: Tokens of a block of texts. A task holds one block and, with it, the arcs its texts can meet.
+BLOCK_TOKENS = 1 << 19
+#: Tokens of the corpus for each bucket of histories. A task holds what all blocks ask of one bucket.
+BUCKET_TOKENS = 1 << 21
 
-#: Number of the end of a text among the words of n-grams; a word that is in none has number 0.
-TEXT_END, OTHER = 1, 0
-_BITS = 20
+#: Hash of the end of a text. It is the least, so the end is word 0 of every block.
+TEXT_END = 0
+#: Followers of one history are told apart by so many bits of their hash.
+_FOLLOWER = (1 << 48) - 1
 
 
 def held_out(doc_id) -> F.Column:
@@ -49,93 +53,6 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def packed_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of two and three word numbers with their counts, packed into one integer each; those with
-    another word are left out. A text is an array of numbers, its end the last."""
-    lengths = np.array([len(t) for t in texts])
-    numbers = np.concatenate(texts).astype(np.int64)
-    place = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    grams, packed, whole = [], numbers, numbers != OTHER
-    for order in range(2, ORDER + 1):
-        older = np.concatenate([np.zeros(order - 1, np.int64), numbers[: len(numbers) - order + 1]])
-        packed = packed | older << _BITS * (order - 1)
-        whole = whole & (older != OTHER) & (place >= order - 1)
-        grams.append(packed[whole])
-    return np.unique(np.concatenate(grams), return_counts=True)
-
-
-@dataclass
-class Automaton:
-    """States are numbered, 0 having no history; an arc is found by state and word number. Weights are log10."""
-
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
-    failure: list[int] = field(default_factory=lambda: [0])
-    backoff: list[float] = field(default_factory=lambda: [0.0])
-
-    @classmethod
-    def from_counts(cls, words: dict[int, int], tokens: int, grams: dict[int, int]) -> Automaton:
-        """``words``: counts by number, of ``tokens`` in all; ``grams``: kept n-grams (packed) with counts, none
-        without the shorter ones it is made of."""
-        mask, out, free = (1 << _BITS) - 1, cls(), {}
-        follow: dict[int, list[int]] = {}
-        for gram in grams:
-            follow.setdefault(gram >> _BITS, []).append(gram & mask)
-        states = {0: 0}
-        for history in sorted(h for h in follow if h & mask != TEXT_END):
-            states[history] = len(states)
-            out.failure.append(0)
-            out.backoff.append(0.0)
-        chance = {w: (n - DISCOUNT) / tokens for w, n in words.items()}
-
-        def shorter(history: int) -> int:
-            """Without its oldest word; histories have one or two."""
-            return history & mask if history > mask else 0
-
-        def after(gram: int) -> int:
-            """The state of the longest end of an n-gram that is a history."""
-            gram &= (1 << _BITS * (ORDER - 1)) - 1
-            while gram not in states:
-                gram = shorter(gram)
-            return states[gram]
-
-        # One word before two: shorter histories are smaller numbers.
-        for history, state in sorted(states.items()):
-            if not history:
-                for word, p in chance.items():
-                    out.arcs[word] = log10(p), after(word) if word != TEXT_END else 0
-                continue
-            of = grams.get(history) or words[history]
-            own = follow[history]
-            free[history] = 1 - sum(grams[history << _BITS | w] - DISCOUNT for w in own) / of
-            out.failure[state], out.backoff[state] = after(shorter(history)), log10(free[history])
-            for word in own:
-                lower = shorter(history)
-                rest = chance.get(lower << _BITS | word) if lower else chance[word]
-                if rest is None:
-                    rest = free.get(lower, 1.0) * chance[word]
-                p = (grams[history << _BITS | word] - DISCOUNT) / of + free[history] * rest
-                chance[history << _BITS | word] = p
-                to = 0 if word == TEXT_END else after(history << _BITS | word)
-                out.arcs[state << _BITS | word] = log10(p), to
-        return out
-
-    def step(self, state: int, word: int) -> tuple[float, int]:
-        """Weight and next state for a numbered word, along failure arcs to the first state that has it."""
-        total = 0.0
-        while (arc := self.arcs.get(state << _BITS | word)) is None:
-            total += self.backoff[state]
-            state = self.failure[state]
-        return total + arc[0], arc[1]
-
-    def to_root(self, state: int) -> float:
-        """The weight of all failure arcs from a state to the one without history."""
-        total = 0.0
-        while state:
-            total += self.backoff[state]
-            state = self.failure[state]
-        return total
-
-
 def _pack(numbers: np.ndarray) -> bytes:
     """Whole numbers, equal bytes of all side by side, compressed."""
     import pyarrow as pa
@@ -161,7 +78,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def blocks(docs: DataFrame) -> DataFrame:
     """One row for each block of texts: its number, doc_ids, and packed: which texts are training, the
-    tokens of each, hashes of the distinct words, place of each token among them; totals of the training texts."""
+    tokens of each, hashes of the distinct words in order, place of each token among them; totals of the
+    training texts."""
     schema = T.StructType(
         [
             T.StructField("block", T.LongType(), False),
@@ -185,8 +103,9 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def out():
             train, sizes = np.array(learnt, np.uint64), np.array(lengths, np.uint64)
-            words = np.array([TEXT_END, *map(digest, list(places)[1:])], np.uint64)
-            row = number, ids, _pack(train), _pack(sizes), _pack(words), _pack(np.array(tokens, np.uint64))
+            hashes = np.array([TEXT_END, *map(digest, list(places)[1:])], np.uint64)
+            words, rank = np.unique(hashes, return_inverse=True)
+            row = number, ids, _pack(train), _pack(sizes), _pack(words), _pack(rank[np.array(tokens, np.int64)])
             row += int(train.sum()), int((train * sizes).sum())
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
@@ -209,53 +128,72 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", train, "text").mapInArrow(run, schema)
 
 
-class _Block:
-    """The keys of a block, sorted, each once: words are odd, n-grams even. For each token its word, and the n-grams
-    of two and three words that end there (-1: none), as places among the keys; for each n-gram its history."""
+@dataclass
+class Followers:
+    """Histories with the words that follow them. ``heads`` are hashes in ascending order; the first ``degree[0]`` of ``tails``
+    follow the first head, and so on. ``n`` and ``m`` count heads and their followers in training texts."""
+
+    heads: np.ndarray
+    n: np.ndarray
+    degree: np.ndarray
+    tails: np.ndarray
+    m: np.ndarray
+
+
+class Block:
+    """The texts of a block as numbers: words by rank of their hash, and the distinct pairs of words that follow each other,
+    by rank of the first, then the second. ``pair`` is the pair that ends at each token, -1 at the head of a text."""
 
     def __init__(self, row: dict):
-        self.row = row
         lengths = _unpack(row["lengths"]).astype(np.int64)
+        self.lengths = lengths
         self.text = np.repeat(np.arange(len(lengths)), lengths)
-        hashes, tokens = _unpack(row["words"]), _unpack(row["tokens"]).astype(np.int64)
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        each = hashes[tokens]
-        two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-        pairs = np.zeros(len(tokens), np.uint64)
-        pairs[two] = _mix(each[two - 1], each[two])
-        even = ~np.uint64(1)
-        every = [hashes | np.uint64(1), pairs[two] & even, _mix(~pairs[three - 1], each[three]) & even]
-        self.keys, at = np.unique(np.concatenate(every), return_inverse=True)
-        self.grams = np.full((ORDER, len(tokens)), -1)
-        self.grams[0] = at[: len(hashes)][tokens]
-        self.grams[1, two] = at[len(hashes) : len(hashes) + len(two)]
-        self.grams[2, three] = at[len(hashes) + len(two) :]
-        self.history = np.full(len(self.keys), -1)
-        for order, ends in ((1, two), (2, three)):
-            self.history[self.grams[order, ends]] = self.grams[order - 1, ends - 1]
-
-    def counts(self) -> np.ndarray:
-        """How often the training texts of the block hold each key."""
-        learnt = _unpack(self.row["learnt"]).astype(bool)[self.text]
-        return sum(np.bincount(g[learnt & (g >= 0)], minlength=len(self.keys)) for g in self.grams)
-
-    def asks_for(self, n: np.ndarray) -> np.ndarray:
-        """Which keys are histories that may have kept followers."""
-        out = np.zeros(len(self.keys), bool)
-        out[self.history[self.history >= 0]] = True
-        return out & (n >= LEAST_COUNT)
-
-    def followers(self, n: np.ndarray, owned: np.ndarray) -> list[np.ndarray]:
-        """For each key the sum and the number of the kept n-grams after it, of those the block answers for."""
-        of = owned & (n >= LEAST_COUNT) & (self.history >= 0)
-        held = self.history[of]
-        return [np.bincount(held, w, len(self.keys)).astype(np.int64) for w in (n[of], None)]
-
-
-def _answer(row: dict, name: str, parts: int) -> np.ndarray:
-    """The answers of all buckets to a block, in the order of its keys."""
-    got = [_unpack(a["answer"]).astype(np.int64).reshape(parts, -1) for a in row[name] or []]
-    return np.concatenate(got, axis=1) if got else np.zeros((parts, 0), np.int64)
+        self.learnt = _unpack(row["learnt"]).astype(bool)[self.text]
+        self.hashes, self.tokens = _unpack(row["words"]), _unpack(row["tokens"]).astype(np.int64)
+        self.size = len(self.hashes)
+        self.first = np.zeros(len(self.tokens), bool)
+        self.first[np.cumsum(lengths) - lengths] = True
+        at = np.flatnonzero(~self.first)
+        self.codes, pair = np.unique(self.tokens[at - 1] * self.size + self.tokens[at], return_inverse=True)
+        self.pair = np.full(len(self.tokens), -1)
+        self.pair[at] = pair
+
+    def words(self) -> Followers:
+        """The question of the first round."""
+        n = np.bincount(self.tokens[self.learnt], minlength=self.size)
+        m = np.bincount(self.pair[self.learnt & (self.pair >= 0)], minlength=len(self.codes))
+        degree = np.bincount(self.codes // self.size, minlength=self.size)
+        return Followers(self.hashes, n, degree, self.hashes[self.codes % self.size], m)
+
+    def triples(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a word follows a pair and both pairs that are part of it are ``kept``: distinct triples as pair
+        and word, and how often training texts hold each."""
+        at = np.flatnonzero(self.pair >= 0)
+        at = at[kept[self.pair[at]] & (self.pair[at - 1] >= 0)]
+        at = at[kept[self.pair[at - 1]]]
+        codes, of = np.unique(self.pair[at - 1] * self.size + self.tokens[at], return_inverse=True)
+        return codes // self.size, codes % self.size, np.bincount(of[self.learnt[at]], minlength=len(codes))
+
+    def pairs(self, kept: np.ndarray) -> tuple[Followers, np.ndarray, np.ndarray, np.ndarray]:
+        """The question of the second round, and for each of its heads the pair, for each tail pair and word.
+
+        Heads are all kept pairs that a word follows: what a pair hands on counts also where no triple of it is here.
+        """
+        pair, word, m = self.triples(kept)
+        at = np.flatnonzero(self.pair >= 0)
+        before = self.pair[at - 1]
+        heads = np.unique(before[(before >= 0) & kept[before]])
+        place = np.searchsorted(heads, pair)
+        degree = np.bincount(place, minlength=len(heads))
+        hashes = _mix(self.hashes[self.codes[heads] // self.size], self.hashes[self.codes[heads] % self.size])
+        order = np.argsort(hashes, kind="stable")
+        # Triples are in order of pair: those of each head move together.
+        rank = np.empty(len(heads), np.int64)
+        rank[order] = np.arange(len(heads))
+        moved = np.argsort(rank[place], kind="stable")
+        none = np.zeros(len(heads), np.int64)
+        asked = Followers(hashes[order], none, degree[order], self.hashes[word[moved]], m[moved])
+        return asked, heads[order], pair[moved], word[moved]
 
 
 def _rows(batches) -> Iterator[dict]:
@@ -264,56 +202,175 @@ def _rows(batches) -> Iterator[dict]:
             yield batch.slice(at, 1).to_pylist()[0]
 
 
-def _exchange(rows: DataFrame, ask, buckets: int, name: str) -> DataFrame:
-    """block, ``name`` (array of bucket, answer) and kinds: ``ask`` gives the sorted keys of a row with arrays of
-    values; each is answered by the sums over all rows, and by 1 for one row of all that have the key.
-    kinds, added up over all blocks, is the number of distinct words in training."""
-    asked = "bucket int, block long, keys binary, of binary"
+_PARTS = ("heads", "n", "degree", "tails", "m")
+
+
+def add_up(questions: list[Followers]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What a bucket answers to each question: for the heads, three numbers each (count, sum of the counts of all kept
+    followers, their number); for the tails the count if it is kept, else 0."""
+    heads = np.concatenate([q.heads for q in questions])
+    each, head = np.unique(heads, return_inverse=True)
+    n = np.bincount(head, np.concatenate([q.n for q in questions]), len(each)).astype(np.int64)
+    of = np.repeat(head, np.concatenate([q.degree for q in questions]))
+    tails = np.concatenate([q.tails for q in questions]) & np.uint64(_FOLLOWER)
+    _, first, tail = np.unique(_mix(each[of], tails), return_index=True, return_inverse=True)
+    m = np.bincount(tail, np.concatenate([q.m for q in questions]), len(first)).astype(np.int64)
+    m[m < LEAST_COUNT] = 0
+    taken = np.bincount(of[first], m, len(each)).astype(np.int64)
+    followers = np.bincount(of[first], m > 0, len(each)).astype(np.int64)
+    ends = np.cumsum([len(q.heads) for q in questions])[:-1]
+    tail_ends = np.cumsum([len(q.tails) for q in questions])[:-1]
+    parts = [np.split(v[head], ends) for v in (n, taken, followers)]
+    return [(np.stack(own), tails) for own, tails in zip(zip(*parts), np.split(m[tail], tail_ends))]
+
+
+def _exchange(rows: DataFrame, ask: Callable[[dict], Followers], buckets: int, name: str) -> DataFrame:
+    """block and ``name`` (array of bucket, heads, tails: the answers in the order of the question), and
+    ``{name}_kinds``, which added up over all blocks is the number of distinct heads in training."""
 
     def put(batches) -> Iterator:
         import pyarrow as pa
 
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * len(_PARTS)]
         for row in _rows(batches):
-            keys, values = ask(row)
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            asked = ask(row)
+            bucket = ((asked.heads >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            tails = np.append(0, np.cumsum(asked.degree))[ends]
             for k in np.flatnonzero(np.diff(ends)).tolist():
-                a, b = ends[k], ends[k + 1]
-                steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                held = [[k], [row["block"]], [_pack(steps)], [_pack(np.concatenate([v[a:b] for v in values]))]]
-                kinds = pa.int32(), pa.int64(), pa.binary(), pa.binary()
+                own, after = slice(ends[k], ends[k + 1]), slice(tails[k], tails[k + 1])
+                steps = np.diff(asked.heads[own], prepend=np.uint64(0))
+                followers = asked.tails[after] & np.uint64(_FOLLOWER)
+                values = steps, asked.n[own], asked.degree[own], followers, asked.m[after]
+                message = [[k], [row["block"]], *([_pack(v)] for v in values)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(held, kinds)], ["bucket", "block", "keys", "of"]
+                    [pa.array(v, t) for v, t in zip(message, kinds)], ["bucket", "block", *_PARTS]
                 )
 
-    def add(table):
+    def answer(table):
         import pyarrow as pa
 
-        keys = [np.cumsum(_unpack(k), dtype=np.uint64) for k in table["keys"].to_pylist()]
-        values = [_unpack(v).reshape(-1, len(k)) for v, k in zip(table["of"].to_pylist(), keys)]
-        each, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        sums = [np.bincount(at, v, len(each)).astype(np.int64) for v in np.concatenate(values, axis=1)]
-        owned = np.zeros(len(at), np.int64)
-        owned[first] = 1
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        answers = [_pack(np.concatenate(a)) for a in zip(*(np.split(v, ends) for v in (*(s[at] for s in sums), owned)))]
-        kinds = [int(((sums[0] > 0) & (each & np.uint64(1) == 1)).sum()), *[0] * (len(keys) - 1)]
-        columns = [table["block"], table["bucket"], pa.array(answers, pa.binary()), pa.array(kinds, pa.int64())]
-        return pa.Table.from_arrays(columns, ["block", "bucket", "answer", "kinds"])
+        questions = []
+        for parts in zip(*(table[c].to_pylist() for c in _PARTS)):
+            heads, n, degree, tails, m = map(_unpack, parts)
+            numbers = (v.astype(np.int64) for v in (n, degree))
+            questions.append(Followers(np.cumsum(heads, dtype=np.uint64), *numbers, tails, m.astype(np.int64)))
+        answers = add_up(questions)
+        known = np.concatenate([q.heads[a[0] > 0] for q, (a, _) in zip(questions, answers)])
+        kinds = [len(np.unique(known)), *[0] * (len(answers) - 1)]
+        columns = [
+            table["block"],
+            table["bucket"],
+            pa.array([_pack(heads.ravel()) for heads, _ in answers], pa.binary()),
+            pa.array([_pack(tails) for _, tails in answers], pa.binary()),
+            pa.array(kinds, pa.int64()),
+        ]
+        return pa.Table.from_arrays(columns, ["block", "bucket", "heads", "tails", "kinds"])
 
+    asked = "bucket int, block long, " + ", ".join(f"{c} binary" for c in _PARTS)
     answers = rows.mapInArrow(put, asked).groupBy("bucket").applyInArrow(
-        add, "block long, bucket int, answer binary, kinds long"
+        answer, "block long, bucket int, heads binary, tails binary, kinds long"
     )
-    answer = F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias(name)
-    return stored(answers, name).groupBy("block").agg(answer, F.sum("kinds").alias(f"{name}_kinds"))
+    gathered = F.sort_array(F.collect_list(F.struct("bucket", "heads", "tails"))).alias(name)
+    return stored(answers, name).groupBy("block").agg(gathered, F.sum("kinds").alias(f"{name}_kinds"))
+
+
+def _answered(row: dict, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Count, sum and number of kept followers for each head of a question, and the counts of the tails."""
+    got = [(_unpack(a["heads"]).astype(np.int64).reshape(3, -1), _unpack(a["tails"])) for a in row[name] or []]
+    if not got:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    heads = np.concatenate([a for a, _ in got], axis=1)
+    return *heads, np.concatenate([b for _, b in got]).astype(np.int64)
+
+
+@dataclass
+class Automaton:
+    """State 0 is the one without a history; it has an arc for every word. Arcs of other states are found by state and word;
+    weights are log10."""
+
+    words: int
+    root: list[float]
+    root_to: list[int]
+    arcs: dict[int, int]
+    weight: list[float]
+    to: list[int]
+    backoff: list[float]
+    failure: list[int]
+
+    @classmethod
+    def build(
+        cls,
+        chance: np.ndarray,
+        words: tuple[np.ndarray, np.ndarray, np.ndarray],
+        codes: np.ndarray,
+        m: np.ndarray,
+        heads: tuple[np.ndarray, np.ndarray, np.ndarray],
+        triples: tuple[np.ndarray, np.ndarray, np.ndarray],
+    ) -> Automaton:
+        """``chance`` of each word by itself; ``words``: count, sum and number of kept followers; pairs as ``codes`` (first
+        times number of words plus second, ascending) with their kept counts ``m``; ``heads``: pairs with sum and number
+        of kept followers; ``triples``: pair, word and kept count."""
+        size = len(chance)
+        n, taken, followers = words
+        first, second = np.divmod(codes, size)
+        state_of_word = np.where(followers > 0, np.cumsum(followers > 0), 0)
+        free = 1 - (taken - DISCOUNT * followers) / np.maximum(1, n)
+        of, own_taken, own_followers = heads
+        states = 1 + (followers > 0).sum()
+        state_of_pair = np.zeros(len(codes), np.int64)
+        live = own_followers > 0
+        state_of_pair[of[live]] = states + np.arange(live.sum())
+        pair_free = np.ones(len(codes))
+        pair_free[of] = 1 - (own_taken - DISCOUNT * own_followers) / np.maximum(1, m[of])
+        after = np.where(state_of_pair > 0, state_of_pair, state_of_word[second])
+        # Arcs of words, of kept pairs, of kept triples.
+        kept = np.flatnonzero(m)
+        pair_chance = np.zeros(len(codes))
+        a, b = first[kept], second[kept]
+        pair_chance[kept] = (m[kept] - DISCOUNT) / n[a] + free[a] * chance[b]
+        pair, word, count = (v[triples[2] > 0] for v in triples)
+        lower = np.searchsorted(codes, second[pair] * size + word)
+        triple_chance = (count - DISCOUNT) / m[pair] + pair_free[pair] * pair_chance[lower]
+        keys = np.concatenate([state_of_word[a] * size + b, state_of_pair[pair] * size + word])
+        live_pairs = of[live]
+        return cls(
+            size,
+            np.log10(chance).tolist(),
+            state_of_word.tolist(),
+            dict(zip(keys.tolist(), range(len(keys)))),
+            np.log10(np.concatenate([pair_chance[kept], triple_chance])).tolist(),
+            np.concatenate([after[kept], after[lower]]).tolist(),
+            [0.0, *np.log10(free[followers > 0]).tolist(), *np.log10(pair_free[live_pairs]).tolist()],
+            [0] * states + state_of_word[second[live_pairs]].tolist(),
+        )
+
+    def walk(self, words: list[int]) -> float:
+        """The log-probability of a text: one pass that carries the state."""
+        size, find, weight, to = self.words, self.arcs.get, self.weight, self.to
+        root, root_to, backoff, failure = self.root, self.root_to, self.backoff, self.failure
+        state, total = 0, 0.0
+        for word in words:
+            while state:
+                arc = find(state * size + word)
+                if arc is not None:
+                    total += weight[arc]
+                    state = to[arc]
+                    break
+                total += backoff[state]
+                state = failure[state]
+            else:
+                total += root[word]
+                state = root_to[word]
+        return total
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """The blocks of all texts, the training counts of their keys, and the totals."""
+    """The blocks of all texts with the counts of their words and pairs, and the totals."""
 
-    blocks: DataFrame
-    counts: DataFrame
+    known: DataFrame
     buckets: int
     texts: int
     tokens: int
@@ -326,7 +383,7 @@ class Corpus:
 
 
 def learn(docs: DataFrame) -> Corpus:
-    """The driver gets totals only; all training text is counted."""
+    """The first round. The driver gets totals only; all training text is counted."""
     held = stored(blocks(docs), "blocks")
     totals = [F.coalesce(F.sum(c), F.lit(0)) for c in ("train_texts", "train_tokens")]
     texts, tokens, all_tokens = held.agg(
@@ -334,14 +391,9 @@ def learn(docs: DataFrame) -> Corpus:
     ).first()
     # A packed token has more than a byte.
     buckets = max(8, max(tokens, all_tokens) // BUCKET_TOKENS + 1)
-
-    def ask(row):
-        block = _Block(row)
-        return block.keys, [block.counts()]
-
-    counts = _exchange(held, ask, buckets, "counts")
+    counts = _exchange(held, lambda row: Block(row).words(), buckets, "counts")
     kinds = counts.agg(F.coalesce(F.sum("counts_kinds"), F.lit(0))).first()[0]
-    return Corpus(held, counts, buckets, texts, tokens, kinds)
+    return Corpus(held.join(counts.drop("counts_kinds"), "block"), buckets, texts, tokens, kinds)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -349,21 +401,18 @@ def scored(docs: DataFrame) -> DataFrame:
 
     The model is learnt from the documents that are not held out. base_score adds up smoothed shares of single
     tokens, score log10 probabilities after the two words before, over the words of the training documents, the
-    end, and one event for all unseen words. A null or empty text is an end only. A null doc_id is not held
+    end, and one event for all unseen words. A null or empty text is an end only; a text of any length is walked as
+    a whole, in a block of its own if it is long. A null doc_id is not held
     out. Rows that agree in id and text get the same scores. Without training documents every token is unseen,
     with probability one. An empty table gives no rows. Only doc_id and text are looked at.
     """
     corpus = learn(docs)
-    known = corpus.blocks.join(corpus.counts, "block")
+    tokens, kinds, unseen = corpus.tokens, corpus.kinds, corpus.unseen
 
     def ask(row):
-        block = _Block(row)
-        n, owned = _answer(row, "counts", 2)
-        asks = block.asks_for(n)
-        return block.keys[asks], [v[asks] for v in block.followers(n, owned == 1)]
+        return Block(row).pairs(_answered(row, "counts")[3] > 0)[0]
 
-    taken = _exchange(known, ask, corpus.buckets, "taken")
-    tokens, kinds, unseen = corpus.tokens, corpus.kinds, corpus.unseen
+    further = _exchange(corpus.known, ask, corpus.buckets, "further").drop("further_kinds")
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
@@ -380,30 +429,23 @@ def scored(docs: DataFrame) -> DataFrame:
 
         arrow = to_arrow_schema(schema)
         for row in _rows(batches):
-            block = _Block(row)
-            n, _ = _answer(row, "counts", 2)
-            asks = block.asks_for(n)
-            free = np.ones(len(n))
-            total, followers, _ = _answer(row, "taken", 3)
-            free[asks] = 1 - (total - DISCOUNT * followers) / n[asks]
-            own = n[block.grams[0]]
-            chance = np.where(own > 0, (own - DISCOUNT) / max(1, tokens), unseen)
-            for grams in block.grams[1:]:
-                ends = np.flatnonzero(grams >= 0)
-                gram = grams[ends]
-                history = block.history[gram]
-                kept = np.where(n[gram] >= LEAST_COUNT, (n[gram] - DISCOUNT) / np.maximum(1, n[history]), 0)
-                chance[ends] = kept + free[history] * chance[ends]
-
-            def by_text(v):
-                return np.bincount(block.text, v, len(row["doc_ids"]))
-
+            block = Block(row)
+            n, taken, followers, m = _answered(row, "counts")
+            _, heads, pair, word = block.pairs(m > 0)
+            _, *sums, count = _answered(row, "further")
+            chance = np.where(n > 0, (n - DISCOUNT) / max(1, tokens), unseen)
+            automaton = Automaton.build(chance, (n, taken, followers), block.codes, m, (heads, *sums), (pair, word, count))
+            ends = np.cumsum(block.lengths).tolist()
+            begins = [0, *ends]
+            scores = [automaton.walk(block.tokens[a:b].tolist()) for a, b in zip(begins, ends)]
+            own = n[block.tokens]
             shares = np.log10((own + 0.1) / (tokens + 0.1 * (kinds + 1))) if tokens else np.zeros(len(own))
-            columns = [row["doc_ids"], by_text(None), by_text(own > 0).astype(np.int64), by_text(shares)]
-            columns.append(by_text(np.log10(chance)))
+            texts = len(block.lengths)
+            known = np.bincount(block.text, own > 0, texts).astype(np.int64)
+            columns = [row["doc_ids"], block.lengths, known, np.bincount(block.text, shares, texts), scores]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    out = known.join(taken, "block", "left").drop("counts_kinds", "taken_kinds").mapInArrow(run, schema)
+    out = corpus.known.join(further, "block", "left").mapInArrow(run, schema)
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

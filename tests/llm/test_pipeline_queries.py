@@ -31,7 +31,8 @@ def con():
 
 
 def test_one_query_for_each_operator_and_the_pipeline():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    own = [n for n in QUERIES if re.match(r"op\d+_", n)]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in own) == list(range(1, 14))
     assert set(queries()) >= {*QUERIES, "pipeline"} and set(oracle_sql()) >= set(ORACLES)
 
 
@@ -40,6 +41,25 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, SF, QUERIES[name], ORACLES[name]) == ""
 
 
+def test_line_rules_reject_documents_at_strict_limits(spark, con):
+    rows = con.sql(f"select * from ({ORACLES['strict_line_frequency']}) where removed_words > 0").fetchall()
+    assert len(rows) > 5
+    got = QUERIES["strict_line_frequency"](spark, SF).where("removed_words > 0")
+    assert got.count() == len(rows) and got.where("not kept and not base_failed").count() > 0
+
+
+def test_registered_spans_and_lengths(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    spans = QUERIES["op2_chunk_dedup"](spark, SF).collect()
+    assert 0 < len(spans) < len(docs) and {r.doc_id for r in spans} <= set(docs)
+    for r in spans:
+        found = [tuple(map(int, s.split(":"))) for s in r.spans.split(",")]
+        assert len(found) == r.n_spans and sum(b - a for a, b in found) == r.repeated_bytes
+        assert all(0 <= a < b <= len(docs[r.doc_id].encode()) for a, b in found)
+    limits = QUERIES["op9_token_lengths"](spark, SF).collect()
+    assert sum(r.docs for r in limits) == len(docs) and max(r.quantile for r in limits) == 1
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op2_chunk_dedup", "op9_token_lengths"}))
 def test_other_queries_give_a_row_for_each_document(spark, name):
     rows = QUERIES[name](spark, SF).collect()
