@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantstar.schemas import Stage, lazy
-
 
 def nulls_last(*names: str) -> Column:
     """A struct that compares column by column in ascending order with nulls after values."""
@@ -40,27 +39,47 @@ def keep_first(
     return kept.select(*columns, *([copies] if copies else []))
 
 
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys that several rows share; null is a key, too."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.where(F.col("_rows") > 1).select(key)
+
+
+@dataclass(frozen=True)
+class KeyFacts:
+    """What is known of a key column of a stored table: the stored list of keys that several rows share, its length,
+    and whether some row has no key. Plans are built by it, so that no reader looks for repeated keys again."""
+
+    repeated: DataFrame
+    repeats: int
+    has_null: bool
+
+    @property
+    def unique(self) -> bool:
+        return not self.repeats
+
+
 def keep_first_wide(
     df: DataFrame,
     key: str,
     order: Sequence[str],
     carry: Sequence[str],
     copies: str,
-    stage: Stage = lazy,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """``keep_first`` for tables with long texts whose keys seldom repeat.
 
-    Copies are counted on the key alone. Only rows of keys that do repeat meet in the ordered aggregate;
-    all others pass as they are, and their texts are not shuffled where the list of repeated keys (given
-    to ``stage``) is small enough to be broadcast.
+    Only rows of keys that do repeat (``repeated``, else they are counted on the key alone) meet in the ordered
+    aggregate; all others pass as they are, and their texts are not shuffled where the list of repeated keys is
+    small enough to be broadcast.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
-    repeated = stage(counts.select(F.col(key).alias("_repeated")), f"repeated_{key}")
+    several = repeated_keys(df, key) if repeated is None else repeated
+    several = several.select(F.col(key).alias("_repeated"))
     same = F.col(key).eqNullSafe(F.col("_repeated"))
     columns = list(dict.fromkeys([key, *order, *carry]))
-    once = df.join(repeated, same, "left_anti").select(*columns, F.lit(1).cast("long").alias(copies))
-    several = keep_first(df.join(repeated, same, "left_semi"), key, order, carry, copies)
-    return once.unionByName(several)
+    once = df.join(several, same, "left_anti").select(*columns, F.lit(1).cast("long").alias(copies))
+    merged = keep_first(df.join(several, same, "left_semi"), key, order, carry, copies)
+    return once.unionByName(merged)
 
 
 def duplicate_rows(df: DataFrame, key: str) -> DataFrame:

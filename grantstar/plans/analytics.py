@@ -16,7 +16,7 @@ from grantstar.operators.counting import row_count, total, value_counts
 from grantstar.operators.linking import only_known
 from grantstar.operators.prefixes import patents_per_prefix
 from grantstar.operators.ranking import rank_all, rank_head, short_list, top_k, with_position
-from grantstar.plans.counts import per_country, per_entity
+from grantstar.plans.counts import newest_linked, per_country, per_entity
 from grantstar.plans.quality import FIRST_YEAR, LAST_YEAR
 from grantstar.schemas import Star
 
@@ -339,8 +339,7 @@ def patent_detail_join(star: Star, k: int | None = 20) -> DataFrame:
     )
     order = [F.desc("year"), "patent_id", "inventor_id", F.asc_nulls_last("company_id")]
     if k is not None:
-        years = patents.select("patent_id", "year")
-        heads = only_known(years, links, "patent_id").orderBy(F.desc("year"), "patent_id").limit(k)
+        heads = newest_linked(star, k)
         links = links.join(short_list(heads, k), "patent_id").orderBy(*order).limit(k).drop("year")
         links = short_list(links, k)
         # An outer join cannot broadcast the side it keeps: the few owners are looked up first.
@@ -387,10 +386,17 @@ def search_patents(
 ) -> DataFrame:
     """Patents whose title holds the term, one row per owner, newest first.
 
-    Patent ids are unique and each match yields at least one row, so the first k matches hold the first k
+    Where the star has a title index, the term is looked up there, and titles are read of candidates only; otherwise,
+    and for terms of one or two characters, all titles of the years are searched. Patent ids are
+    unique and each match yields at least one row, so the first k matches hold the first k
     rows: they are found on ids and years, links and titles are looked up for at most k ids.
     """
-    found = star.patents.where(F.col("year").between(year_from, year_to))
+    in_years = F.col("year").between(year_from, year_to)
+    found, indexed = star.patents, star.title_index if term else None
+    candidates = indexed.candidates(term, in_years) if indexed else None
+    if candidates is not None:
+        found = indexed.texts.join(candidates, ["bucket", "patent_id"], "left_semi")
+    found = found.where(in_years)
     if term:
         found = found.where(contains_ignoring_case(F.col("title"), term))
     heads = found.select("patent_id", "year")

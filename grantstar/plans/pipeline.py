@@ -34,24 +34,28 @@ def results(star: Star, years: Years = VALID_YEARS) -> dict[str, DataFrame]:
 
 
 def checked_star(
-    feeds: Feeds, prefix: str, folder: str | None = None, years: Years = VALID_YEARS
+    feeds: Feeds,
+    prefix: str,
+    folder: str | None = None,
+    years: Years = VALID_YEARS,
+    rules: DataFrame | None = None,
 ) -> CheckedStar:
     """Clean and check the feeds, storing what more than one later step reads.
 
     Those are the chosen patents, by which all link feeds are cut, the clean patents with their texts, and
-    the assessed tables, from which both the repaired star and the report come. Assessed patents are a
-    filter over the clean ones, given the stored list of repeated ids. The clean inventors, companies
-    and links have one reader each and are not stored.
+    the assessed tables, from which both the repaired star and the report come. Where the clean patents have
+    unique ids, which is looked up once, the assessed ones are a projection of them and not stored again. The
+    clean inventors, companies and links have one reader each and are not stored.
     """
     stage = table_stage(feeds.patent.sparkSession, folder, _STORED)
     # Cleaning builds inventors and companies with one row per id.
-    return quality_check(clean(feeds, prefix, stage), stage, years, ("inventors", "companies"))
+    return quality_check(clean(feeds, prefix, stage), stage, years, ("inventors", "companies"), rules)
 
 
 _STORED = (
     "chosen_patents",
     "patents",
-    "repeated_patent_id",
+    "assessed_patents",
     "assessed_inventors",
     "assessed_companies",
     "assessed_relations",
@@ -65,6 +69,7 @@ def build_star(
     prefix: str = GREEN_TRANSPORT,
     cluster: bool = False,
     years: Years = VALID_YEARS,
+    rules: DataFrame | None = None,
 ) -> tuple[Star, DataFrame]:
     """The stored star and the stored quality report.
 
@@ -72,13 +77,13 @@ def build_star(
     an error if the files do not hold what was written.
     """
     spark = feeds.patent.sparkSession
-    checked = checked_star(feeds, prefix, f"{folder}/stages", years)
+    checked = checked_star(feeds, prefix, f"{folder}/stages", years, rules)
     _ = checked.assessed_relations
     written, report = concurrently(
         lambda: write_star(checked, f"{folder}/star", cluster), lambda: checked.report
     )
     verified = verify_stored(spark, f"{folder}/star", written)
-    if bad := verified.where("not (columns_ok and rows_ok)").collect():
+    if bad := verified.where("not (columns_ok and content_ok)").collect():
         raise ValueError(f"stored tables are not what was written: {', '.join(r.table for r in bad)}")
     star = read_star(spark, f"{folder}/star")
     star.verified = verified
@@ -91,6 +96,7 @@ def write_results(
     cpc: DataFrame,
     folder: str,
     years: Years = VALID_YEARS,
+    rules: DataFrame | None = None,
 ) -> None:
     """Result CSVs, the summary CSV and the JSON report. The counts they share are stored once."""
     stage = table_stage(cpc.sparkSession)
@@ -101,7 +107,7 @@ def write_results(
     tables = results(counted, years) | {"pipeline_summary": summary}
     concurrently(
         *(partial(write_result_csv, df, f"{folder}/{name}") for name, df in tables.items()),
-        partial(write_json, report_json(counted, cpc, report, years=years), f"{folder}/report"),
+        partial(write_json, report_json(counted, cpc, report, years=years, rules=rules), f"{folder}/report"),
     )
     stage.close()
 
@@ -112,13 +118,14 @@ def run_pipeline(
     out_folder: str,
     prefix: str = GREEN_TRANSPORT,
     years: Years = VALID_YEARS,
+    rules: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Everything from the delimited feeds to the result files; returns the table verification.
 
     Stops with an error when a feed is missing or lacks a column, when a row is malformed (unless
-    ``skip_malformed=True``), or when the stored tables are not what was written. ``options`` go to
-    ``convert_feeds``.
+    ``skip_malformed=True``), or when the stored tables are not what was written. ``rules`` is a table of
+    wrong places in place of the known ones; ``options`` go to ``convert_feeds``.
     """
     paths = feed_paths(raw_folder)
     broken = check_sources(spark, paths).where("not ok").collect()
@@ -126,6 +133,6 @@ def run_pipeline(
         detail = "; ".join(f"{r.feed}: {r.missing_columns or 'no such path'}" for r in broken)
         raise ValueError(f"raw feeds do not meet their contract: {detail}")
     feeds = convert_feeds(spark, paths, f"{out_folder}/raw", **options)
-    star, report = build_star(feeds, f"{out_folder}/tables", prefix, years=years)
-    write_results(star, report, feeds.cpc, f"{out_folder}/output", years)
+    star, report = build_star(feeds, f"{out_folder}/tables", prefix, years=years, rules=rules)
+    write_results(star, report, feeds.cpc, f"{out_folder}/output", years, rules)
     return star.verified

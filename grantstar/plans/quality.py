@@ -7,15 +7,15 @@ need to know about it. Both the report and the repaired table are read off that
 from __future__ import annotations
 
 from collections.abc import Collection
-from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantstar.functions.text import blank_to_null, to_int
-from grantstar.operators.keyed import keep_first, keep_first_wide
+from grantstar.operators.keyed import KeyFacts, keep_first, keep_first_wide
 from grantstar.operators.profiling import count_if, null_summary, sql_text, to_rows
+from grantstar.plans.geocodes import flag_geocodes, geocode_findings, known_rules, repair_geocodes
 from grantstar.schemas import Stage, Star, lazy
 from grantstar.session import concurrently
 
@@ -24,20 +24,6 @@ FIRST_YEAR = 1976
 LAST_YEAR = 2025
 
 
-@dataclass(frozen=True)
-class GeocodeRule:
-    """A place the source is known to get wrong: (country, city) should be ``corrected_to``."""
-
-    country: str
-    city: str
-    corrected_to: str
-
-
-# Known wrong geocodes, per table.
-INVENTOR_GEOCODES = (GeocodeRule("UG", "Amuru", "JP"), GeocodeRule("CM", "Somalomo", "JP"))
-COMPANY_GEOCODES = (GeocodeRule("UG", "Amuru", "JP"),)
-
-
 Years = tuple[int, int]
 VALID_YEARS: Years = (FIRST_YEAR, LAST_YEAR)
 
@@ -54,10 +40,12 @@ def _has_name() -> Column:
     return F.col("name").isNotNull()
 
 
-def assess_patents(patents: DataFrame, stage: Stage = lazy) -> DataFrame:
+def assess_patents(patents: DataFrame, facts: KeyFacts | None = None, unique: bool = False) -> DataFrame:
     """Patents by id with ``copies``; blank titles and abstracts are null, so they lose to text.
 
-    ``stage`` stores the short list of repeated ids.
+    Ids that are known to be unique need no merging. Where ``facts`` lists the repeated ones, only those meet. Where
+    nothing is known, all rows go through an aggregate: a reader that needs no copies and no abstracts then
+    reads neither.
     """
     tidy = patents.select(
         "patent_id",
@@ -67,38 +55,11 @@ def assess_patents(patents: DataFrame, stage: Stage = lazy) -> DataFrame:
         to_int(F.col("year")).alias("year"),
     )
     order = ["filing_date", "title", "year"]
-    return keep_first_wide(tidy, "patent_id", order, ["abstract"], "copies", stage)
-
-
-def _matches(rule: GeocodeRule, country: str | None = None) -> Column:
-    return (F.col("country") == (country or rule.country)) & (F.col("city") == rule.city)
-
-
-def flag_geocodes(df: DataFrame, rules: tuple[GeocodeRule, ...]) -> DataFrame:
-    """Add ``geocode_rule``: the 1-based number of the rule that finds the row wrong, or null."""
-    found = reduce(
-        lambda rest, item: F.when(_matches(item[1]), F.lit(item[0])).otherwise(rest),
-        reversed(list(enumerate(rules, 1))),
-        F.lit(None).cast("int"),
-    )
-    return df.withColumn("geocode_rule", found)
-
-
-def repair_geocodes(flagged: DataFrame, rules: tuple[GeocodeRule, ...]) -> DataFrame:
-    """Correct the country of flagged rows and clear their city.
-
-    The wrong city is also cleared on rows that have the right country already, but only when the
-    table holds at least one wrong pair of that rule. Which rules apply is one small subquery.
-    """
-    hits = flagged.where(F.col("geocode_rule").isNotNull())
-    applied = hits.agg(F.collect_set("geocode_rule")).scalar()
-    country, city = F.col("country"), F.col("city")
-    for number, rule in enumerate(rules, 1):
-        wrong = F.col("geocode_rule") == number
-        leftover = _matches(rule, rule.corrected_to) & F.array_contains(applied, F.lit(number))
-        country = F.when(wrong, F.lit(rule.corrected_to)).otherwise(country)
-        city = F.when(wrong | leftover, F.lit(None)).otherwise(city)
-    return flagged.withColumns({"country": country, "city": city})
+    if unique or (facts and facts.unique):
+        return _merged(tidy, "patent_id", [*order, "abstract"], True)
+    if facts:
+        return keep_first_wide(tidy, "patent_id", order, ["abstract"], "copies", facts.repeated)
+    return keep_first(tidy, "patent_id", order, ["abstract"], "copies")
 
 
 def _merged(tidy: DataFrame, key: str, order: list[str], unique: bool) -> DataFrame:
@@ -108,18 +69,18 @@ def _merged(tidy: DataFrame, key: str, order: list[str], unique: bool) -> DataFr
     return keep_first(tidy, key, order, copies="copies")
 
 
-def assess_inventors(inventors: DataFrame, unique: bool = False) -> DataFrame:
+def assess_inventors(inventors: DataFrame, rules: DataFrame, unique: bool = False) -> DataFrame:
     tidy = inventors.withColumn("name", blank_to_null(F.col("name")))
     merged = _merged(tidy, "inventor_id", ["name", "country", "city", "state"], unique)
-    return flag_geocodes(merged, INVENTOR_GEOCODES)
+    return flag_geocodes(merged, rules, "inventors")
 
 
-def assess_companies(companies: DataFrame, unique: bool = False) -> DataFrame:
+def assess_companies(companies: DataFrame, rules: DataFrame, unique: bool = False) -> DataFrame:
     tidy = companies.withColumn("name", blank_to_null(F.col("name"))).withColumn(
         "assignee_type", to_int(F.col("assignee_type"))
     )
     order = ["name", "assignee_type", "country", "city", "state"]
-    return flag_geocodes(_merged(tidy, "company_id", order, unique), COMPANY_GEOCODES)
+    return flag_geocodes(_merged(tidy, "company_id", order, unique), rules, "companies")
 
 
 def assess_relations(
@@ -159,13 +120,13 @@ def repaired_patents(assessed: DataFrame, years: Years = VALID_YEARS) -> DataFra
     return kept.select("patent_id", "title", abstract, "filing_date", "year")
 
 
-def repaired_inventors(assessed: DataFrame) -> DataFrame:
-    kept = repair_geocodes(assessed.where(_has_name()), INVENTOR_GEOCODES)
+def repaired_inventors(assessed: DataFrame, rules: DataFrame) -> DataFrame:
+    kept = repair_geocodes(assessed.where(_has_name()), rules, "inventors")
     return kept.select("inventor_id", "name", "country", "city", "state")
 
 
-def repaired_companies(assessed: DataFrame) -> DataFrame:
-    kept = repair_geocodes(assessed.where(_has_name()), COMPANY_GEOCODES)
+def repaired_companies(assessed: DataFrame, rules: DataFrame) -> DataFrame:
+    kept = repair_geocodes(assessed.where(_has_name()), rules, "companies")
     return kept.select("company_id", "name", "assignee_type", "country", "city", "state")
 
 
@@ -216,39 +177,33 @@ def patent_checks(assessed: DataFrame, years: Years = VALID_YEARS) -> DataFrame:
     return _report_rows(assessed, "patents", checks)
 
 
-def _geocode_checks(check_id: str, rules: tuple[GeocodeRule, ...]) -> list:
-    named = _has_name()
-    checks = []
-    for number, rule in enumerate(rules, 1):
-        text = f"wrong geocode {rule.country}/{rule.city}"
-        found = count_if(named & (F.col("geocode_rule") == number))
-        suffix = chr(ord("a") + number - 1) if len(rules) > 1 else ""
-        checks.append((f"{check_id}{suffix}", text, found, _CORRECT))
-    return checks
+def _geocode_checks(assessed: DataFrame, rules: DataFrame, table: str, check_id: str) -> DataFrame:
+    found = geocode_findings(assessed.where(_has_name()), rules, table, check_id)
+    return found.select("*", F.col("found").alias("fixed"), F.lit(_CORRECT).alias("action")).select(*_REPORT)
 
 
-def inventor_checks(assessed: DataFrame) -> DataFrame:
+def inventor_checks(assessed: DataFrame, rules: DataFrame) -> DataFrame:
     named = _has_name()
     no_country = count_if(named & F.col("country").isNull())
     checks = [
         ("Q06", "duplicate inventor_id", F.sum(F.col("copies") - 1), _MERGE),
         ("Q07", "empty inventor name", count_if(~named), _DROP),
         ("Q08", "missing inventor country", no_country, _ONLY_REPORT),
-        *_geocode_checks("Q09", INVENTOR_GEOCODES),
     ]
-    return _report_rows(assessed, "inventors", checks)
+    places = _geocode_checks(assessed, rules, "inventors", "Q09")
+    return _report_rows(assessed, "inventors", checks).unionByName(places)
 
 
-def company_checks(assessed: DataFrame) -> DataFrame:
+def company_checks(assessed: DataFrame, rules: DataFrame) -> DataFrame:
     named = _has_name()
     no_country = count_if(named & F.col("country").isNull())
     checks = [
         ("Q10", "duplicate company_id", F.sum(F.col("copies") - 1), _MERGE),
         ("Q11", "empty company name", count_if(~named), _DROP),
-        *_geocode_checks("Q12", COMPANY_GEOCODES),
         ("Q13", "missing company country", no_country, _ONLY_REPORT),
     ]
-    return _report_rows(assessed, "companies", checks)
+    places = _geocode_checks(assessed, rules, "companies", "Q12")
+    return _report_rows(assessed, "companies", checks).unionByName(places)
 
 
 def relation_checks(assessed: DataFrame) -> DataFrame:
@@ -283,25 +238,44 @@ class CheckedStar(Star):
     """
 
     def __init__(
-        self, star: Star, stage: Stage, years: Years = VALID_YEARS, unique: Collection[str] = ()
+        self,
+        star: Star,
+        stage: Stage,
+        years: Years = VALID_YEARS,
+        unique: Collection[str] = (),
+        rules: DataFrame | None = None,
     ):
         self._star, self._stage, self._unique = star, stage, frozenset(unique)
-        self.years = years
+        self.years, self._rules = years, rules
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        """The rule table of wrong places, by default the known ones."""
+        return known_rules(self._star.inventors.sparkSession) if self._rules is None else self._rules
+
+    def _facts(self, table: str, key: str) -> KeyFacts | None:
+        """What the stage knows of a table it has written; a lazy one knows nothing."""
+        known = getattr(self._stage, "key_facts", None)
+        return known(table, key) if known else None
 
     @cached_property
     def assessed_patents(self) -> DataFrame:
-        return self._stage(assess_patents(self._star.patents, self._stage), "assessed_patents")
+        patents = self._star.patents
+        unique, facts = "patents" in self._unique, self._facts("patents", "patent_id")
+        assessed = assess_patents(patents, facts, unique)
+        # A projection of stored patents is not worth storing; merged ones are.
+        return assessed if unique or (facts and facts.unique) else self._stage(assessed, "assessed_patents")
 
     @cached_property
     def assessed_inventors(self) -> DataFrame:
         return self._stage(
-            assess_inventors(self._star.inventors, "inventors" in self._unique), "assessed_inventors"
+            assess_inventors(self._star.inventors, self.rules, "inventors" in self._unique), "assessed_inventors"
         )
 
     @cached_property
     def assessed_companies(self) -> DataFrame:
         return self._stage(
-            assess_companies(self._star.companies, "companies" in self._unique), "assessed_companies"
+            assess_companies(self._star.companies, self.rules, "companies" in self._unique), "assessed_companies"
         )
 
     @cached_property
@@ -320,11 +294,11 @@ class CheckedStar(Star):
 
     @cached_property
     def inventors(self) -> DataFrame:
-        return repaired_inventors(self.assessed_inventors)
+        return repaired_inventors(self.assessed_inventors, self.rules)
 
     @cached_property
     def companies(self) -> DataFrame:
-        return repaired_companies(self.assessed_companies)
+        return repaired_companies(self.assessed_companies, self.rules)
 
     @cached_property
     def relations(self) -> DataFrame:
@@ -338,8 +312,8 @@ class CheckedStar(Star):
         """
         rows = (
             patent_checks(self.assessed_patents, self.years)
-            .unionByName(inventor_checks(self.assessed_inventors))
-            .unionByName(company_checks(self.assessed_companies))
+            .unionByName(inventor_checks(self.assessed_inventors, self.rules))
+            .unionByName(company_checks(self.assessed_companies, self.rules))
             .unionByName(relation_checks(self.assessed_relations))
         )
         return self._stage(rows, "quality_report")
@@ -350,10 +324,12 @@ def quality_check(
     stage: Stage = lazy,
     years: Years = VALID_YEARS,
     unique: Collection[str] = (),
+    rules: DataFrame | None = None,
 ) -> CheckedStar:
     """Check and repair a star. The input tables are left as they are.
 
     Patents of other ``years`` are dropped. ``unique`` names tables that are known to hold each id
-    once (inventors and companies as ``clean`` builds them); they are not grouped again.
+    once (inventors and companies as ``clean`` builds them); they are not grouped again. ``rules`` is a table of
+    wrong places (``geocodes.read_geocode_rules``) in place of the known ones.
     """
-    return CheckedStar(star, stage, years, unique)
+    return CheckedStar(star, stage, years, unique, rules)

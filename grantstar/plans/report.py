@@ -17,7 +17,8 @@ from grantstar.plans.analytics import (
     top_companies,
     top_inventors,
 )
-from grantstar.plans.quality import COMPANY_GEOCODES, INVENTOR_GEOCODES, VALID_YEARS, Years
+from grantstar.plans.geocodes import known_rules
+from grantstar.plans.quality import VALID_YEARS, Years
 from grantstar.schemas import Star
 
 
@@ -85,28 +86,22 @@ def _ranked_array(top: DataFrame, key: str, columns: list[str]) -> Column:
     return rows.select(numbered).scalar()
 
 
-def _geocode_errors(report: DataFrame) -> Column:
-    """One entry per known wrong place, with the rows it was corrected on."""
-    entries = []
-    for check, table, rules in (
-        ("Q09", "inventors", INVENTOR_GEOCODES),
-        ("Q12", "companies", COMPANY_GEOCODES),
-    ):
-        for rule in rules:
-            hit = report.where(
-                F.col("check_id").startswith(check)
-                & F.col("check").endswith(f"{rule.country}/{rule.city}")
-            )
-            entries.append(
-                F.struct(
-                    F.lit(table).alias("table"),
-                    F.lit(rule.country).alias("wrong_country"),
-                    F.lit(rule.city).alias("wrong_city"),
-                    F.lit(rule.corrected_to).alias("corrected_to"),
-                    hit.select("fixed").scalar().alias("fixed"),
-                )
-            )
-    return F.array(*entries)
+def _geocode_errors(report: DataFrame, rules: DataFrame) -> Column:
+    """One entry per rule, with the rows it was corrected on; inventors first, in order of their numbers."""
+    hits = report.where(F.substring("check_id", 1, 3).isin("Q09", "Q12")).select(
+        F.col("table").alias("of"), "check", "fixed"
+    )
+    text = F.concat(F.lit("wrong geocode "), "country", F.lit("/"), "city")
+    found = rules.join(hits, (F.col("table") == F.col("of")) & (text == F.col("check")), "left")
+    entry = F.struct(
+        "table",
+        F.col("country").alias("wrong_country"),
+        F.col("city").alias("wrong_city"),
+        "corrected_to",
+        "fixed",
+    )
+    ordered = F.struct((F.col("table") == "companies").alias("turn"), "number", entry.alias("entry"))
+    return found.agg(F.array_sort(F.collect_list(ordered))["entry"]).scalar()
 
 
 # Title and focus of the report, and the note on its subclasses.
@@ -127,11 +122,12 @@ def report_json(
     generated: str | None = None,
     k: int = 10,
     years: Years = VALID_YEARS,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """One nested row: totals, subclasses, top lists and data quality.
 
     ``report`` is the quality report; it and the star should be stored tables, since every section
-    reads them.
+    reads them. ``rules`` are the wrong places that the check looked for, if not the known ones.
     """
     names = SUBCATEGORIES if subcategories is None else subcategories
     breakdown = subcategory_breakdown(cpc, tuple(names))
@@ -160,7 +156,7 @@ def report_json(
     )
     quality = F.struct(
         _sum_of(report, "Q09", "Q12").alias("geocoding_errors_fixed"),
-        _geocode_errors(report).alias("errors"),
+        _geocode_errors(report, known_rules(report.sparkSession) if rules is None else rules).alias("errors"),
         inventor_gap.scalar().alias("missing_inventor_country_pct"),
         company_gap.scalar().alias("missing_company_country_pct"),
         _sum_of(report, "Q01", "Q06", "Q10").alias("duplicate_records"),

@@ -136,6 +136,7 @@ class Star(Tables):
     companies: DataFrame
     relations: DataFrame
     verified: DataFrame | None = None  # of a stored star: what ``profile.verify_stored`` found
+    title_index = None  # a ``trigrams.TextIndex`` of the titles, where one is stored
 
     def create_views(self) -> None:
         """Offer the four tables to ``spark.sql`` under their own names."""

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Container
+from collections.abc import Callable, Container, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from grantstar.operators.keyed import KeyFacts, repeated_keys
 
 # Runtime settings every plan here counts on. A key that holds a third of all rows must not end
 # in one task: skewed joins are split even where that costs one more shuffle further down.
@@ -65,6 +69,15 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="grantstar-")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which the file system removes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -86,6 +99,40 @@ def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(found)
 
 
+def first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a text file that is not blank, '' without one."""
+    fs, at = _file_system(spark, file)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(at)
+    stream = fs.open(at)
+    raw = codec.createInputStream(stream) if codec else stream
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(raw, "UTF-8"))
+    try:
+        while (line := reader.readLine()) is not None:
+            if line.strip():
+                return line
+        return ""
+    finally:
+        reader.close()
+
+
+def parquet_schema(spark: SparkSession, file: str) -> StructType:
+    """The schema that the footer of one parquet file declares."""
+    _, at = _file_system(spark, file)
+    source = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, spark._jsc.hadoopConfiguration())
+    reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        written = reader.getFooter().getFileMetaData().getKeyValueMetaData().get(_SPARK_SCHEMA)
+    finally:
+        reader.close()
+    if written is None:  # of another writer
+        return spark.read.parquet(file).schema
+    return StructType.fromJson(json.loads(written))
+
+
+#: Where Spark's own writer keeps the schema in a footer.
+_SPARK_SCHEMA = "org.apache.spark.sql.parquet.row.metadata"
+
+
 class TableStage:
     """A stage that writes each frame as parquet and reads it back.
 
@@ -100,10 +147,14 @@ class TableStage:
         self._spark, self.root, self._names = spark, root, names
         self._stored: dict[str, DataFrame] = {}
         self._locks: dict[str, Lock] = {}
+        self._facts: dict[tuple[str, str], KeyFacts] = {}
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         if self._names is not None and name not in self._names:
             return df
+        return self._store(df, name)
+
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
         with self._locks.setdefault(name, Lock()):
             if name not in self._stored:
                 path = f"{self.root}/{name}"
@@ -111,21 +162,44 @@ class TableStage:
                 self._stored[name] = self._spark.read.schema(df.schema).parquet(path)
             return self._stored[name]
 
+    def key_facts(self, name: str, key: str) -> KeyFacts | None:
+        """What is known of a key of a table that this stage has written, None for any other table. Worked out
+        once, from the key column alone; the list of repeated keys is stored like a table."""
+        table = self._stored.get(name)
+        if table is None:
+            return None
+        repeated = self._store(repeated_keys(table, key), f"{name}_repeated_{key}")
+        with self._locks.setdefault(f"facts of {key} in {name}", Lock()):
+            if (name, key) not in self._facts:
+                has_null = not table.where(table[key].isNull()).select(key).isEmpty()
+                self._facts[name, key] = KeyFacts(repeated, repeated.count(), has_null)
+            return self._facts[name, key]
+
     def close(self) -> None:
         for name in self._stored:
             fs, at = _file_system(self._spark, f"{self.root}/{name}")
             fs.delete(at, True)
         self._stored.clear()
+        self._facts.clear()
 
 
 def table_stage(
     spark: SparkSession, folder: str | None = None, names: Container[str] | None = None
 ) -> TableStage:
-    """A writing stage under ``folder``, by default a new one in the shared folder."""
-    return TableStage(spark, folder or f"{shared_folder(spark)}/grantstar-{uuid.uuid4().hex}", names)
+    """A writing stage under ``folder``, by default a new one in the shared folder, removed when the application ends."""
+    return TableStage(spark, folder or scratch_folder(spark, "grantstar"), names)
+
+
+S, T = TypeVar("S"), TypeVar("T")
+
+#: Small requests to the file system that are under way at once.
+REQUESTS = 16
 
 
-T = TypeVar("T")
+def in_parallel(one: Callable[[S], T], items: Iterable[S]) -> list[T]:
+    """``one`` of each item, in order; for requests to the file system, which wait more than they work."""
+    with ThreadPoolExecutor(REQUESTS) as pool:
+        return list(pool.map(one, items))
 
 
 def concurrently(*tasks: Callable[[], T]) -> list[T]:

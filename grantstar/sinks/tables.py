@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
 
-from grantstar.schemas import CONTRACT_BY_NAME, Feeds, Star
+from grantstar.operators.checksums import Content, content_columns
+from grantstar.schemas import CONTRACT_BY_NAME, STAR_SCHEMAS, Feeds, Star
 from grantstar.session import concurrently
 
 # The columns the queries filter or join on.
@@ -25,21 +25,21 @@ BUCKET_KEYS = {
 }
 
 
-def write_star(star: Star, folder: str, cluster: bool = False) -> dict[str, int]:
-    """Parquet under ``folder/<table>``; returns the rows that went into each. The folder must not be
-    one the star is read from.
+def write_star(star: Star, folder: str, cluster: bool = False) -> dict[str, Content]:
+    """Parquet under ``folder/<table>``; returns what went into each, as observed while it was written. The folder
+    must not be one the star is read from.
 
     ``cluster`` range-partitions each table on its keys first, so that file statistics let a scan
     skip files: the counterpart of building indexes after a load.
     """
 
-    def write(name: str, df: DataFrame) -> tuple[str, int]:
+    def write(name: str, df: DataFrame) -> tuple[str, Content]:
         if cluster:
             df = df.repartitionByRange(*CLUSTER_KEYS[name]).sortWithinPartitions(*CLUSTER_KEYS[name])
         seen = Observation()
-        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        df = df.observe(seen, *content_columns(STAR_SCHEMAS[name].names))
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return name, seen.get["rows"]
+        return name, Content.of(seen.get)
 
     return dict(concurrently(*(partial(write, name, df) for name, df in star.items())))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections import Counter
 from collections.abc import Sequence
 from functools import partial, reduce
 from urllib.parse import unquote
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grantstar.schemas import CONTRACT_BY_NAME, CONTRACTS, FeedContract, Feeds
-from grantstar.session import concurrently, files_below
+from grantstar.session import concurrently, files_below, first_line, in_parallel
+from grantstar.sources.wrapped import ends_open, parsed, records
 
 # The texts pandas reads as missing by default. Not applied unless asked for, since
 # they include a country code (NA) and surnames (Null, None).
@@ -24,45 +27,50 @@ PANDAS_NULL_TOKENS = (
 _CONTRACT_REPORT = "feed string, exists boolean, missing_columns string, ok boolean"
 
 
-def _reader(spark: SparkSession, multiline: bool):
-    """Tab-separated text with doubled-quote escapes and a header line."""
-    return (
-        spark.read.option("sep", "\t")
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-    )
-
-
 def files_over_lines(spark: SparkSession, path: str | list[str], sep: str = "\t") -> list[str]:
-    """The files in which a value may run over a line end: some line has a field that begins with a quote
-    and an odd number of quotes.
+    """The files in which a value runs over a line end.
 
-    A file read with ``multiLine`` goes through one task as a whole. This look at the plain lines
-    is split like any text scan, and lets all other files be split as well. A quote inside a field
-    that does not begin with one is plain text.
+    The first such line of a file stands at the head of a record, as all before it are whole; so a file has one exactly
+    if some line, taken for a record, ends inside a quoted value. This look is split like any text scan.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    begins = F.col("value").rlike(f'(^|{sep})"')
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    found = lines.where((quotes % 2 == 1) & begins).select("file").distinct().collect()
+    found = lines.where(ends_open(F.col("value"), sep)).select("file").distinct().collect()
     return sorted(r.file for r in found)
 
 
-def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether any value may run over a line end."""
-    return bool(files_over_lines(spark, path))
-
-
-def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+def list_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The data files with content at or below a path or several."""
     paths = [path] if isinstance(path, str) else path
     return [file for p in paths for file, size, _ in files_below(spark, p) if size]
 
 
+def _named_columns(line: str, sep: str) -> tuple[str, ...]:
+    """The columns of a header line. Names that are empty or come again get their number, as in Spark's reader."""
+    names = next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), [])
+    seen = Counter(n.lower() for n in names)
+    return tuple(f"_c{i}" if not n else f"{n}{i}" if seen[n.lower()] > 1 else n for i, n in enumerate(names))
+
+
+def headers(spark: SparkSession, files: Sequence[str], sep: str = "\t") -> dict[str, tuple[str, ...]]:
+    """The columns by file. First lines are read side by side as the file listing is, without a job and without
+    looking at the rest of any file."""
+    return dict(zip(files, in_parallel(lambda file: _named_columns(first_line(spark, file), sep), files)))
+
+
 _MALFORMED = "_malformed_line"
 
 
+def by_header(
+    spark: SparkSession, files: list[str], over_lines: Sequence[str], sep: str = "\t"
+) -> list[tuple[tuple[str, ...], bool, list[str]]]:
+    """The files in groups that can be read together: (columns, whether values run over lines, files)."""
+    found = set(map(_plain, over_lines))
+    groups: dict[tuple, list[str]] = {}
+    for file, header in headers(spark, files, sep).items():
+        groups.setdefault((header, _plain(file) in found), []).append(file)
+    return [(header, over, own) for (header, over), own in groups.items()]
+
+
 def read_lines(
     spark: SparkSession,
     path: str | list[str],
@@ -74,31 +82,29 @@ def read_lines(
     has more or fewer fields than the header.
 
     Parts with the same header are read together, by name, so parts may order their columns
-    differently. Only files with a value that runs over a line are read as a whole.
+    differently. Every file is split; one with values that run over lines takes the way through ``wrapped.records``.
     """
     contract = CONTRACT_BY_NAME[name]
     try:
-        files = _files(spark, path)
+        files = list_files(spark, path)
     except FileNotFoundError:
         files = []
     if not files:
-        return _reader(spark, False).csv(path).select(*contract.columns)  # raises what is wrong
+        return spark.read.option("header", True).csv(path).select(*contract.columns)  # raises what is wrong
     if multiline is None:
-        found = set(files_over_lines(spark, files)) if contract.multiline else set()
-        whole = {f for f in files if _plain(f) in map(_plain, found)}
+        wrapped = files_over_lines(spark, files) if contract.multiline else []
     else:
-        whole = set(files) if multiline else set()
-    groups: dict[tuple, list[str]] = {}
-    for file in files:
-        header = tuple(_reader(spark, file in whole).csv(file).columns)
-        groups.setdefault((file in whole, header), []).append(file)
+        wrapped = files if multiline else []
     frames = []
-    for (over_lines, header), own in groups.items():
+    for header, over_lines, own in by_header(spark, files, wrapped):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, _MALFORMED)])
-        reader = _reader(spark, over_lines).schema(schema).option("enforceSchema", False)
-        # A parser that skips columns would not notice fields too many or too few.
-        reader = reader.option("columnNameOfCorruptRecord", _MALFORMED).option("columnPruning", False)
-        raw = reader.csv(own)
+        if over_lines:
+            raw = parsed(records(spark, own), schema.toDDL(), "\t", _MALFORMED)
+        else:
+            # A parser that skips columns would not notice fields too many or too few.
+            reader = spark.read.schema(schema).option("sep", "\t").option("header", True).option("escape", '"')
+            reader = reader.option("enforceSchema", False).option("columnPruning", False)
+            raw = reader.option("columnNameOfCorruptRecord", _MALFORMED).csv(own)
         frames.append(raw.select(*contract.columns, _MALFORMED))
     raw = reduce(DataFrame.unionByName, frames)
     if not null_tokens:
@@ -159,10 +165,30 @@ def header_of(spark: SparkSession, path: str) -> list[str] | None:
     """The column names that every part of a feed has, none for a folder without files, None without
     such a path."""
     try:
-        headers = [_reader(spark, multiline=False).csv(file).columns for file in _files(spark, path)]
+        found = list(headers(spark, list_files(spark, path)).values())
     except FileNotFoundError:
         return None
-    return [c for c in headers[0] if all(c in h for h in headers)] if headers else []
+    return [c for c in found[0] if all(c in h for h in found)] if found else []
+
+
+def check_parts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(feed, part, missing_columns, extra_columns, reordered, ok) of every part file of the given feeds.
+
+    Extra columns are those the contract does not name; ``reordered`` says that the part has its contract columns in another
+    order than the contract. Neither is an error, as parts are read by name.
+    """
+    rows = []
+    for name, path in paths.items():
+        wanted = CONTRACT_BY_NAME[name].columns
+        for file, header in headers(spark, list_files(spark, path)).items():
+            missing = [c for c in wanted if c not in header]
+            extra = [c for c in header if c not in wanted]
+            own = [c for c in header if c in wanted]
+            reordered = own != [c for c in wanted if c in header]
+            rows.append((name, file.rsplit("/", 1)[1], ",".join(missing), ",".join(extra), reordered, not missing))
+    return spark.createDataFrame(
+        rows, "feed string, part string, missing_columns string, extra_columns string, reordered boolean, ok boolean"
+    )
 
 
 def _verdict(contract: FeedContract, columns: list[str] | None) -> tuple[str, bool, str, bool]:

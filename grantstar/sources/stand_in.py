@@ -253,3 +253,22 @@ class DirtyStar(Star):
             _lost(F.col("l_suppkey") % 7 == 3, _text("l_suppkey")).alias("inventor_id"),
             F.when(F.col("o_orderpriority") != "5-LOW", owner).alias("company_id"),
         ).distinct()
+
+
+def damaged_copy(star: Star, folder: str) -> None:
+    """The tables of a star, written with one fault each but the links: one part of the patents has no title, one part of
+    the companies (those with an id of even length) has the type as text, and one inventor has another name."""
+
+    def write(name: str, *parts: DataFrame) -> None:
+        for part in parts:
+            part.write.mode("append").parquet(f"{folder}/{name}")
+
+    odd = F.length("patent_id") % 2 == 1
+    write("patents", star.patents.where(odd), star.patents.where(~odd).drop("title"))
+    odd = F.length("company_id") % 2 == 1
+    retyped = star.companies.where(~odd).withColumn("assignee_type", F.col("assignee_type").cast("string"))
+    write("companies", star.companies.where(odd), retyped)
+    first = F.col("inventor_id") == star.inventors.agg(F.min("inventor_id")).scalar()
+    renamed = F.when(first, F.concat("name", F.lit("~"))).otherwise(F.col("name"))
+    write("inventors", star.inventors.withColumn("name", renamed))
+    write("relations", star.relations)

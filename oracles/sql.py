@@ -385,6 +385,30 @@ _star(
 order by year desc, patent_id, company asc nulls last, company_country asc nulls last limit 200""",
 )
 _star("search_patents_full", "select * from found_rows where year between 1995 and 2025")
+_star(
+    "search_patents_common_term",
+    """select * from found_rows where year between 1995 and 2000 and lower(title) like '% or%'
+order by year desc, patent_id, company nulls last, company_country nulls last limit 50""",
+)
+_star("search_patents_short_term", "select * from found_rows where year between 1995 and 2025 and title like '%1-%'")
+_star(
+    "counts_after_a_second_delivery",
+    """select 'inventor' kind, inventor_id as "key", count(distinct patent_id) patent_count from relations group by inventor_id
+union all select 'company', company_id, count(distinct patent_id) from relations where company_id is not null group by company_id
+union all select 'unassigned', '', count(distinct patent_id) from relations where company_id is null
+union all select 'inventor country', country, n from inventor_countries
+union all select 'company country', country, n from company_countries""",
+)
+_CODES = "(select n_name from nation where n_regionkey <> 1)"
+_star("known_country_companies", f"select * from companies where country in {_CODES}")
+_star("known_country_inventors", f"select * from inventors where country in {_CODES}")
+_star(
+    "unknown_countries",
+    f"""select 'inventors' as "table", country, count(*) as rows from inventors
+where country is null or country not in {_CODES} group by country
+union all
+select 'companies', country, count(*) from companies where country is null or country not in {_CODES} group by country""",
+)
 _star(
     "top_inventor_countries",
     """select country, count(*) inventors from top20_inventors where country is not null group by country""",
@@ -429,6 +453,23 @@ union all select 'inventors', count(*), true from inventors
 union all select 'companies', count(*), true from companies
 union all select 'relations', count(*), true from relations""",
 )
+
+_VERIFIED = "select '{0}' as \"table\", count(*) as rows, {1} columns_ok, {2} rows_ok, {3} content_ok from {0}"
+_star(
+    "verify_stored",
+    " union all ".join(_VERIFIED.format(t, "true", "true", "true") for t in ("patents", "inventors", "companies", "relations")),
+)
+_star(
+    "verify_damaged",
+    " union all ".join(
+        (
+            _VERIFIED.format("patents", "false", "true", "false"),
+            _VERIFIED.format("inventors", "true", "true", "false"),
+            _VERIFIED.format("companies", "false", "false", "false") + " where length(company_id) % 2 = 1",
+            _VERIFIED.format("relations", "true", "true", "true"),
+        )
+    ),
+)
 _star(
     "summary_metrics",
     """select 'Total green transport patents' metric, cast(total_patents as varchar) as value from kpis
@@ -639,3 +680,36 @@ ORACLES["cascade_empty_names"] = _over(_DIRTY, "select * from r_relations")
 ORACLES["duplicate_patent_rows"] = _over(
     _DIRTY, "select count(*) - count(distinct patent_id) duplicates from d_patents"
 )
+
+ORACLES["search_patents_sql"] = ORACLES["search_patents"]
+ORACLES["suspicious_geocodes_sql"] = ORACLES["suspicious_geocodes"]
+
+
+def _ruled(table: str, least: int, columns: str) -> str:
+    """Repair by a rule table: wrong places go to NATION_9; a city there goes if a rule for it was applied."""
+    return f"""rules as (
+  select n_name country, concat('City ', cast(n_regionkey as varchar)) city from nation
+  where n_nationkey >= {least} and n_nationkey <> 9),
+hits as (
+  select e.country, e.city from named_{table} e join rules using (country, city)),
+repaired as (
+  select {columns},
+         case when (country, city) in (select (country, city) from rules) then 'NATION_9' else country end country,
+         case when (country, city) in (select (country, city) from rules) then null
+              when country = 'NATION_9' and city in (select city from hits) then null else city end city,
+         state
+  from named_{table})"""
+
+
+_FINDINGS = """select '{0}' as "table", concat('wrong geocode ', country, '/', city) as "check",
+       (select count(*) from hits h where h.country = r.country and h.city = r.city) found,
+       (select count(*) from hits h where h.country = r.country and h.city = r.city) fixed, 'correct' as action
+from rules r"""
+_INVENTOR_RULES = _DIRTY + ",\n" + _ruled("inventors", 4, "inventor_id, name")
+_COMPANY_RULES = _DIRTY + ",\n" + _ruled("companies", 10, "company_id, trim(name) name, assignee_type")
+ORACLES["rule_table_inventors"] = _over(_INVENTOR_RULES, "select * from repaired")
+ORACLES["rule_table_companies"] = _over(_COMPANY_RULES, "select * from repaired")
+ORACLES["rule_table_findings"] = (
+    f"select * from ({_over(_INVENTOR_RULES, _FINDINGS.format('inventors'))}) "
+    f"union all select * from ({_over(_COMPANY_RULES, _FINDINGS.format('companies'))})"
+)

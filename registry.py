@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +16,15 @@ from grantstar.plans import clean as c
 from grantstar.plans import notes as n
 from grantstar.plans import profile as p
 from grantstar.plans import quality as q
+from grantstar.plans import questions as q_sql
 from grantstar.plans.counts import CountedStar
+from grantstar.plans.deliveries import first_delivery, next_delivery
 from grantstar.plans.pipeline import checked_star
+from grantstar.plans.geocodes import numbered_rules
 from grantstar.plans.report import report_json, summary_metrics
-from grantstar.session import files_below, shared_folder, table_stage, tune
-from grantstar.sinks.tables import write_feeds_tsv
+from grantstar.schemas import Star
+from grantstar.session import files_below, scratch_folder, table_stage, tune
+from grantstar.sinks.tables import write_feeds_tsv, write_star
 from grantstar.sources.feeds import check_feeds, check_sources, feed_paths, malformed_rows, read_feeds
 from grantstar.sources.stand_in import (
     CLASS_PREFIX,
@@ -29,7 +33,9 @@ from grantstar.sources.stand_in import (
     DirtyStar,
     StandInFeeds,
     TravellingFeeds,
+    damaged_copy,
 )
+from grantstar.sources.tables import read_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +125,10 @@ over_star("cutoff_totals", lambda s: a.cutoff_totals(s, CUTOFFS, lo=1996))
 over_star("country_comparison", a.country_comparison)
 over_star("search_patents", lambda s: a.search_patents(s, "uRGEnt", 1996, 2000))
 over_star("search_patents_full", lambda s: a.search_patents(s, "", 1995, 2025, None))
+over_star("search_patents_common_term", lambda s: a.search_patents(s, " or", 1995, 2000, 50))
+over_star("search_patents_short_term", lambda s: a.search_patents(s, "1-", 1995, 2025, None))
+over_star("search_patents_sql", lambda s: q_sql.search_patents_sql(s, "uRGEnt", 1996, 2000))
+over_star("suspicious_geocodes_sql", lambda s: q_sql.suspicious_geocodes_sql(s, "NATION_5"))
 over_star("top_inventor_countries", a.top_inventor_countries)
 over_star("top_company_countries", a.top_company_countries)
 over_star("country_options", a.country_options)
@@ -135,6 +145,53 @@ over_star(
 )
 over_star("verify_tables", p.verify_tables)
 
+
+
+def _stored_copy(spark: SparkSession, folder: str) -> tuple[str, dict]:
+    """The checked star, written once more, and what went into it."""
+    at = scratch_folder(spark, "verify")
+    return at, write_star(_checked(tune(spark), folder), f"{at}/star")
+
+
+def _verify_stored(spark: SparkSession, folder: str) -> DataFrame:
+    at, written = _stored_copy(spark, folder)
+    return p.verify_stored(spark, f"{at}/star", written)
+
+
+def _verify_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    at, written = _stored_copy(spark, folder)
+    damaged_copy(read_star(spark, f"{at}/star"), f"{at}/damaged")
+    return p.verify_stored(spark, f"{at}/damaged", written)
+
+
+QUERIES["verify_stored"] = _verify_stored
+QUERIES["verify_damaged"] = _verify_damaged
+
+
+
+def _delivered(star: CountedStar) -> DataFrame:
+    """Counts after a second delivery: the links of even orders come first, then those of odd ones and, once more, of
+    every third."""
+    stage = table_stage(star.relations.sparkSession)
+    order = F.col("patent_id").cast("long")
+    first = Star(**dict(star.items()) | {"relations": star.relations.where(order % 2 == 0)})
+    second = Star(**dict(star.items()) | {"relations": star.relations.where((order % 2 == 1) | (order % 3 == 0))})
+    held = next_delivery(first_delivery(first, stage), second, stage, 1)
+    counts = [
+        held.per_entity("inventor").select(F.lit("inventor").alias("kind"), F.col("id").alias("key"), "patent_count"),
+        held.per_entity("company").select(F.lit("company").alias("kind"), F.col("id").alias("key"), "patent_count"),
+        held.unassigned().select(
+            F.lit("unassigned").alias("kind"), F.lit("").alias("key"), F.col("unassigned_patents").alias("patent_count")
+        ),
+    ]
+    for side, entities in (("inventor", star.inventors), ("company", star.companies)):
+        per_country = held.per_attribute(entities, side, "country")
+        counts.append(per_country.select(F.lit(f"{side} country").alias("kind"), F.col("value").alias("key"), "patent_count"))
+    return reduce(DataFrame.unionByName, counts)
+
+
+over_star("counts_after_a_second_delivery", _delivered)
+
 # --- described in notes only -------------------------------------------------------------------
 over_star("company_portfolio", n.company_portfolio)
 over_star("company_market_share", n.company_market_share)
@@ -142,6 +199,21 @@ over_star(
     "listed_country_companies",
     lambda s: n.with_listed_country(s.companies, ["NATION_3", "NATION_7", "NATION_15"]),
 )
+
+
+def _nation_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The nations as a code table: those of four regions, so that some countries are not listed."""
+    nations = BenchmarkTables(spark, folder).nation.where("n_regionkey != 1")
+    return n.country_codes(nations.select(F.col("n_name").alias("code"), F.col("n_name").alias("name")))
+
+
+def _over_codes(name: str, build: Callable[[CountedStar, DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, folder: build(_checked(tune(spark), folder), _nation_codes(spark, folder))
+
+
+_over_codes("known_country_companies", lambda s, codes: n.with_known_country(s.companies, codes))
+_over_codes("known_country_inventors", lambda s, codes: n.with_known_country(s.inventors, codes))
+_over_codes("unknown_countries", n.unknown_countries)
 _register(BenchmarkTables)(
     "ascii_texts",
     lambda t: n.with_ascii_titles(t.documents.select("doc_id", F.col("text").alias("title"))),
@@ -189,7 +261,7 @@ over_clean("most_common_company_countries", lambda s: p.most_common_countries(s.
 
 
 def _tsv_paths(spark: SparkSession, folder: str) -> dict[str, str]:
-    raw = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    raw = scratch_folder(spark, "raw")
     write_feeds_tsv(StandInFeeds(spark, folder), raw)
     return feed_paths(raw)
 
@@ -216,6 +288,31 @@ over_dirty("quality_report", lambda s: s.report)
 _register(DirtyStar)(
     "quality_report_other_years", lambda s: q.quality_check(s, years=(1996, 1999)).report
 )
+
+
+def _nation_rules(tables: BenchmarkTables) -> DataFrame:
+    """A rule table with one place of each nation: those from the fourth on are wrong for inventors, those from the
+    tenth on for companies, and belong to NATION_9; two rows are no rules."""
+    nations = tables.nation
+    place = [F.col("n_name").alias("country"), F.concat(F.lit("City "), F.col("n_regionkey").cast("string")).alias("city")]
+    right = F.lit("NATION_9").alias("corrected_to")
+    inventors = nations.where("n_nationkey >= 4 and n_nationkey != 9").select(F.lit("inventors").alias("table"), *place, right)
+    companies = nations.where("n_nationkey >= 10").select(F.lit("companies").alias("table"), *place, right)
+    lacking = nations.where("n_nationkey < 2").select(F.lit("companies").alias("table"), *place, F.lit(None).alias("corrected_to"))
+    return numbered_rules(inventors.unionByName(companies).unionByName(lacking))
+
+
+def _over_rules(name: str, build: Callable[[q.CheckedStar], DataFrame]) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rules = _nation_rules(BenchmarkTables(tune(spark), folder))
+        return build(q.quality_check(DirtyStar(spark, folder), rules=rules))
+
+    QUERIES[name] = run
+
+
+_over_rules("rule_table_findings", lambda s: s.report.where("check like 'wrong geocode%'").drop("check_id"))
+_over_rules("rule_table_inventors", lambda s: s.inventors)
+_over_rules("rule_table_companies", lambda s: s.companies)
 over_dirty("null_summary", q.star_null_summary)
 over_dirty("repaired_patents", lambda s: s.patents)
 over_dirty("repair_geocodes", lambda s: s.inventors)

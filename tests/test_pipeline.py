@@ -1,6 +1,7 @@
 import csv
 import glob
 import json
+import os
 import shutil
 
 import pytest
@@ -9,11 +10,11 @@ from conftest import tuples
 from grantstar.plans import analytics as a
 from grantstar.plans.counts import CountedStar
 from grantstar.plans.pipeline import results, run_pipeline
-from grantstar.plans.profile import verify_stored
+from grantstar.plans.profile import verify_parts, verify_stored
 from grantstar.plans.quality import quality_check
 from grantstar.plans.report import report_json, summary_metrics
 from grantstar.schemas import CONTRACTS
-from grantstar.session import shared_folder, table_stage
+from grantstar.session import scratch_folder, shared_folder, table_stage
 from grantstar.sinks.tables import save_tables, write_star, write_star_csv
 from grantstar.sources.tables import read_star, read_star_csv, star_from_catalog
 
@@ -137,6 +138,58 @@ def test_damaged_tables_do_not_verify(spark, checked, tmp_path, damage):
     assert verdict["relations"].columns_ok and verdict["relations"].rows_ok
 
 
+@pytest.mark.parametrize("damage", ["missing", "type", "extra", "value", "pair", "moved"])
+def test_a_fault_in_one_part_shows(spark, star, tmp_path, damage):
+    """One of several parts is odd; nothing raises, and the part is named."""
+    some = star(
+        patents=[(str(i), f"T{i}", None if i % 2 else "a", "2020-01-01", "2020") for i in range(40)],
+        relations=[(str(i), "a", "x") for i in range(9)],
+    )
+    good = str(tmp_path / "good")
+    written = write_star(some, good)
+    shutil.copytree(good, tmp_path / "bad")
+    shutil.rmtree(tmp_path / "bad" / "patents")
+    table = spark.read.parquet(f"{good}/patents")
+    cut = table.patent_id.cast("int") < 20
+    rest, part = table.where(~cut), table.where(cut)
+    if damage == "missing":
+        part = part.drop("abstract")
+    elif damage == "type":
+        part = part.withColumn("year", part.year.cast("string"))
+    elif damage == "extra":
+        part = part.withColumn("note", part.title)
+    elif damage == "value":
+        part = part.replace({"T3": "T4"}, subset=["title"])
+    elif damage == "pair":  # other rows, as many
+        seven = part.where("patent_id = '7'")
+        part = part.where("patent_id not in ('8', '9')").union(seven).union(seven)
+    else:  # a value moves to a null neighbour
+        part = part.selectExpr("patent_id", "if(abstract is null, null, title) title", "coalesce(abstract, title) abstract", "filing_date", "year")
+    rest.write.parquet(f"{tmp_path}/bad/patents")
+    part.write.mode("append").parquet(f"{tmp_path}/bad/patents")
+    verdict = {r.table: r for r in verify_stored(spark, str(tmp_path / "bad"), written).collect()}
+    bad = verdict.pop("patents")
+    assert all(r.columns_ok and r.rows_ok and r.content_ok for r in verdict.values())
+    assert bad.columns_ok == (damage not in ("missing", "type", "extra")) and bad.rows_ok == (damage != "type")
+    assert bad.content_ok == (damage == "extra")
+    odd = [r for r in verify_parts(spark, str(tmp_path / "bad")).collect() if not r.ok]
+    assert {(r.missing_columns, r.retyped_columns, r.extra_columns) for r in odd} == {
+        "missing": {("abstract", "", "")}, "type": {("", "year", "")}, "extra": {("", "", "note")},
+    }.get(damage, set())
+
+
+def test_contents_do_not_depend_on_files_or_order(spark, checked, tmp_path):
+    one = write_star(checked, str(tmp_path / "one"))
+    other = write_star(checked, str(tmp_path / "two"), cluster=True)
+    assert one == other and one["patents"].rows == 9
+    assert all(r.content_ok for r in verify_stored(spark, str(tmp_path / "two"), one).collect())
+
+
+def test_own_folders_are_marked_to_go_when_the_application_ends(spark):
+    path = scratch_folder(spark, "x")
+    assert path.startswith(shared_folder(spark)) and os.path.isdir(path)
+
+
 def test_results_read_the_bridge_once_for_each_side(spark, checked, feeds, tmp_path):
     """Counts come from stored tables: no result joins or groups the bridge again."""
     counted = CountedStar(checked, table_stage(spark, str(tmp_path)))

@@ -4,10 +4,13 @@ import re
 
 import pytest
 
+from conftest import tuples
 from grantstar.operators.linking import bridge
 from grantstar.plans import analytics as a
 from grantstar.plans.clean import clean
+from grantstar.plans.pipeline import checked_star
 from grantstar.plans.quality import assess_relations, quality_check, repaired_relations
+from grantstar.schemas import Feeds
 from grantstar.sinks.tables import write_star
 from grantstar.sources.stand_in import CLASS_PREFIX, SUBCLASS_PREFIXES, StandInFeeds
 from grantstar.sources.tables import read_star
@@ -56,6 +59,21 @@ def test_counts_never_read_abstracts(lazy_star):
     assert "documents.parquet" not in plan(a.top_companies(lazy_star))
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_a_stored_star_is_never_searched_for_repeated_ids_again(spark, feeds, tmp_path, no_broadcast, copies):
+    """Whether ids repeat is a fact of the stored stage: counting by year shuffles the counts and nothing else."""
+    some = Feeds(**dict(feeds.items()))
+    for _ in range(copies - 1):
+        some.abstract = some.abstract.union(feeds.abstract.limit(20))
+    star = checked_star(some, CLASS_PREFIX, str(tmp_path))
+    trends = a.yearly_trends(star)
+    text = plan(trends)
+    assert text.count("hashpartitioning") == 1 and "Join" not in text and "abstract" not in text
+    assert tuples(trends) == tuples(a.yearly_trends(quality_check(clean(some, CLASS_PREFIX))))
+    facts = star._facts("patents", "patent_id")
+    assert (facts.unique, facts.has_null) == (copies == 1, False)
+
+
 def test_class_prefix_reaches_the_scan(feeds):
     text = plan(a.subcategory_breakdown(feeds.cpc, SUBCLASS_PREFIXES))
     assert "StringStartsWith(p_brand" in text

@@ -1,8 +1,11 @@
 import datetime
 
+import pytest
+
 from conftest import tuples
 from grantstar.operators.keyed import duplicate_rows, keep_first, keep_first_wide
 from grantstar.operators.linking import only_known, only_unknown
+from grantstar.plans.geocodes import known_rules, numbered_rules, read_geocode_rules
 from grantstar.plans.quality import quality_check, star_null_summary
 from grantstar.session import table_stage
 
@@ -109,6 +112,51 @@ def test_right_country_keeps_its_city_without_a_wrong_pair(star):
     assert by_id(checked.inventors) == {"3": ("n", "JP", "Amuru", None)}
 
 
+def test_ten_thousand_rules_run_in_a_plan_of_constant_size(spark, star):
+    """Rules are rows of a table: more of them make no longer plan, and every one is listed with its hits."""
+    people = [(f"i{k}", "n", f"W{k % 50}", f"city {k % 50}", None) for k in range(200)]
+    people += [("right", "n", "R7", "city 7", None), ("other", "n", "R7", "city 9", None), ("unhit", "n", "R70", "city 70", None)]
+    s = star(inventors=people)
+
+    def rules(n):
+        df = spark.range(n).selectExpr(
+            "'inventors' table", "concat('W', id) country", "concat('city ', id) city", "concat('R', id) corrected_to"
+        )
+        return numbered_rules(df)
+
+    def size(checked):
+        return len(checked.inventors._jdf.queryExecution().optimizedPlan().toString())
+
+    many, few = quality_check(s, rules=rules(10_000)), quality_check(s, rules=rules(10))
+    assert abs(size(many) - size(few)) < 50
+    repaired = by_id(many.inventors)
+    assert repaired["i3"] == ("n", "R3", None, None) and repaired["right"] == ("n", "R7", None, None)
+    assert repaired["other"] == ("n", "R7", "city 9", None) and repaired["unhit"] == ("n", "R70", "city 70", None)
+    hits = [r for r in many.report.where("check like 'wrong geocode%' and table = 'inventors'").collect()]
+    assert len(hits) == 10_000 and len({r.check_id for r in hits}) == 10_000
+    assert {r.found for r in hits if r.check.split("/")[0] in ("wrong geocode W3", "wrong geocode W49")} == {4}
+    assert sum(r.found for r in hits) == sum(r.fixed for r in hits) == 200
+
+
+def test_rules_of_a_file(spark, star, tmp_path):
+    (tmp_path / "rules.csv").write_text(
+        'table,country,city,corrected_to,note\ninventors,XX,"A, b",YY,x\ncompanies,XX,"A, b",ZZ,\n'
+        'inventors,XX,"A, b",QQ,later\ninventors,XX,,YY,no city\n',
+        encoding="utf-8",
+    )
+    rules = read_geocode_rules(spark, str(tmp_path / "rules.csv"))
+    assert sorted(tuples(rules)) == [("companies", "XX", "A, b", "ZZ", 1), ("inventors", "XX", "A, b", "QQ", 1)]
+    s = star(inventors=[("1", "n", "XX", "A, b", None)], companies=[("c", "C", None, "XX", "A, b", None)])
+    checked = quality_check(s, rules=rules)
+    assert by_id(checked.inventors)["1"][1:3] == ("QQ", None) and by_id(checked.companies)["c"][2:4] == ("ZZ", None)
+    report = found(checked)
+    assert report["Q09"] == (1, 1) and report["Q12"] == (1, 1) and "Q09a" not in report
+    assert by_id(quality_check(s, rules=known_rules(spark, {})).inventors)["1"][1:3] == ("XX", "A, b")
+    (tmp_path / "bad.csv").write_text("table,country,city\n", encoding="utf-8")
+    with pytest.raises(Exception, match="corrected_to"):
+        read_geocode_rules(spark, str(tmp_path / "bad.csv"))
+
+
 def test_orphans_are_dropped_or_nulled(star):
     s = star(
         patents=[("p", "T", "", DAY, "2020"), ("q", "T", "", DAY, "1900")],

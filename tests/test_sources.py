@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 
 from conftest import tuples
@@ -5,13 +8,14 @@ from grantstar.schemas import CONTRACTS
 from grantstar.sources.feeds import (
     PANDAS_NULL_TOKENS,
     check_feeds,
+    check_parts,
     check_sources,
     convert_feeds,
     feed_paths,
     files_over_lines,
+    headers,
     malformed_rows,
     read_feed,
-    spans_lines,
 )
 
 
@@ -38,14 +42,14 @@ def test_quoted_tabs_newlines_and_quotes_stay_in_one_value(spark, tmp_path):
         'second ""line""\twith tab"',
         "2\tplain",
     )
-    assert spans_lines(spark, path)
+    assert files_over_lines(spark, path)
     rows = dict(tuples(read_feed(spark, path, "abstract")))
     assert rows == {"1": 'first line\nsecond "line"\twith tab', "2": "plain"}
 
 
 def test_balanced_quotes_leave_the_file_splittable(spark, tmp_path):
     path = write(tmp_path / "a.tsv", "patent_id\tpatent_abstract", '1\t"a ""b"" c"', "2\td")
-    assert not spans_lines(spark, path)
+    assert not files_over_lines(spark, path)
     rows = dict(tuples(read_feed(spark, path, "abstract")))
     assert rows == {"1": 'a "b" c', "2": "d"}
 
@@ -163,7 +167,7 @@ def test_a_column_missing_in_one_part_is_missing(spark, tmp_path):
     assert not verdict.ok and verdict.missing_columns == "cpc_group"
 
 
-def test_only_files_that_need_it_are_read_whole(spark, tmp_path):
+def test_only_files_with_wrapped_values_are_searched_for_records(spark, tmp_path):
     folder = tmp_path / "a b"
     folder.mkdir()
     write(folder / "1.tsv", "patent_id\tpatent_abstract", '1\t"two', 'lines"')
@@ -172,3 +176,105 @@ def test_only_files_that_need_it_are_read_whole(spark, tmp_path):
     assert len(found) == 1 and found[0].endswith("1.tsv")
     rows = dict(tuples(read_feed(spark, str(folder), "abstract")))
     assert rows == {"1": "two\nlines", "2": 'A 5" pipe', "3": "plain"}
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few dozen bytes: most records of a test file begin and end in different ones."""
+    conf = {"spark.sql.files.maxPartitionBytes": "48", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key in conf:
+        spark.conf.unset(key)
+
+
+def random_value(rng):
+    text = "".join(rng.choice('ab "\t\n') for _ in range(rng.choice((1, 3, 9, 40))))
+    text = text.strip("\n\t \"") or "x"
+    return text
+
+
+def random_rows(path, rng, rows):
+    """Rows with quoted values of any kind and plain values with stray quotes; what they hold."""
+    expected, lines = [], []
+    for i in range(rows):
+        value = random_value(rng)
+        quoted = "\t" in value or "\n" in value or rng.random() < 0.3
+        expected.append((str(i), value))
+        text = '"' + value.replace('"', '""') + '"' if quoted else value
+        lines.append(f'"{i}"\t{text}' if rng.random() < 0.5 else f"{i}\t{text}")
+    write(path, "patent_id\tpatent_abstract", *lines)
+    return expected
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_wrapped_values_are_read_across_split_borders(spark, tmp_path, small_splits, seed):
+    rng = random.Random(seed)
+    expected = random_rows(tmp_path / "a.tsv", rng, 60)
+    path = str(tmp_path / "a.tsv")
+    with open(path, newline="", encoding="utf-8") as file:
+        assert [tuple(r) for r in csv.reader(file, delimiter="\t")][1:] == expected
+    feed = read_feed(spark, path, "abstract")
+    assert spark.read.text(path).rdd.getNumPartitions() > 10
+    assert sorted(tuples(feed)) == sorted(expected)
+    assert tuples(malformed_rows(spark, {"abstract": path})) == [("abstract", 60, 0)]
+    # The same by splits that hold the whole file.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    assert sorted(tuples(read_feed(spark, path, "abstract"))) == sorted(expected)
+
+
+def test_wrapped_values_beside_stray_quotes(spark, tmp_path, small_splits):
+    header = "location_id\tdisambig_country\tdisambig_city\tdisambig_state"
+    lines = ['1\t5" pipes\t"two', '', 'lines"\tNY', "2\tUS\tX\tY", '', '3\t"a"b\t"c ""d""', 'e"\t']
+    path = write(tmp_path / "l.tsv", "", header, *lines)
+    rows = {r[0]: r[1:] for r in tuples(read_feed(spark, path, "location"))}
+    assert rows["1"] == ('5" pipes', "two\n\nlines", "NY") and rows["2"] == ("US", "X", "Y")
+    assert rows["3"][1:] == ('c "d"\ne', None) and len(rows) == 3
+
+
+def test_malformed_rows_among_wrapped_ones(spark, tmp_path, small_splits):
+    path = write(tmp_path / "a.tsv", "patent_id\tpatent_abstract", '1\t"two', 'lines"', "2\ta\tsurplus", "3", '4\t"x', 'y"\tz', "5\tb")
+    with pytest.raises(Exception, match="malformed row in feed abstract"):
+        read_feed(spark, path, "abstract").collect()
+    kept = read_feed(spark, path, "abstract", skip_malformed=True)
+    assert sorted(tuples(kept)) == [("1", "two\nlines"), ("5", "b")]
+    assert tuples(malformed_rows(spark, {"abstract": path})) == [("abstract", 5, 3)]
+
+
+def test_a_wrapped_file_is_read_by_as_many_tasks_as_splits(spark, tmp_path, small_splits):
+    random_rows(tmp_path / "a.tsv", random.Random(1), 200)
+    feed = read_feed(spark, str(tmp_path / "a.tsv"), "abstract")
+    text = feed._jdf.queryExecution().executedPlan().toString()
+    assert "multiLine" not in text and "SinglePartition" not in text
+    assert "hashpartitioning(file" in text
+
+
+def test_many_parts_are_checked_by_their_first_lines(spark, tmp_path):
+    folder = tmp_path / "cpc"
+    folder.mkdir()
+    for i in range(300):
+        header = "patent_id\tcpc_group"
+        if i == 17:
+            header = "cpc_group\tother\tpatent_id"
+        elif i == 100:
+            header = "patent_id\tgroup"
+        write(folder / f"{i}.tsv", header, "not\tread\tat all")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = headers(spark, [f"{folder}/{i}.tsv" for i in range(300)])
+    assert not tracker.getJobIdsForGroup("headers")
+    assert found[f"{folder}/17.tsv"] == ("cpc_group", "other", "patent_id") and len(found) == 300
+    parts = {r.part: r for r in check_parts(spark, {"cpc": str(folder)}).collect()}
+    assert len(parts) == 300 and sum(p.ok for p in parts.values()) == 299
+    assert parts["17.tsv"].reordered and parts["17.tsv"].extra_columns == "other"
+    assert (parts["100.tsv"].missing_columns, parts["100.tsv"].extra_columns) == ("cpc_group", "group")
+    verdict = {r.feed: r for r in check_sources(spark, {"cpc": str(folder)}).collect()}["cpc"]
+    assert verdict.missing_columns == "cpc_group"
+
+
+def test_headers_name_columns_as_the_reader_does(spark, tmp_path):
+    path = write(tmp_path / "h.tsv", '"a"\t\ta\t"b ""c"""')
+    assert headers(spark, [path])[path] == tuple(
+        spark.read.option("header", True).option("sep", "\t").option("escape", '"').csv(path).columns
+    )
