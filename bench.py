@@ -3,7 +3,9 @@
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the tables, BENCH_CPUS (default 8) the threads.
 ``build_star`` goes from the raw tables to the stored, checked star, ``convert_tsv`` from the feeds as delimited
 text to parquet (``tsv_mb_per_s``), ``write_results`` from the stored star to all result files, its count tables
-included; ``count_tables`` stores the counts that the queries then share. The other entries are queries on
+included; ``count_tables`` stores the counts that the queries then share, ``search_tables`` the title index and
+the linked patents by year. ``pipeline_*`` is one run over BENCH_COPIES (default 10, 0 for none) copies of the feeds and
+not part of the sum. The other entries are queries on
 the stored star or straight on the feeds, with all rows fetched or passed to the noop sink. Each entry is the
 best of three runs (of two for the long ones), ``value`` their sum; ``cold_build_star`` is the first run in the
 new JVM.
@@ -19,13 +21,16 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from grantstar.plans import analytics as a  # noqa: E402
 from grantstar.plans.clean import filter_funnel  # noqa: E402
 from grantstar.plans.counts import CountedStar  # noqa: E402
-from grantstar.plans.pipeline import build_star, write_results  # noqa: E402
+from grantstar.plans.pipeline import build_star, run_pipeline, write_results  # noqa: E402
 from grantstar.plans.profile import profile_entities  # noqa: E402
 from grantstar.plans.quality import star_null_summary  # noqa: E402
 from grantstar.plans.report import report_json, summary_metrics  # noqa: E402
+from grantstar.schemas import Feeds  # noqa: E402
 from grantstar.session import build_session, files_below, shared_folder, table_stage  # noqa: E402
 from grantstar.sinks.tables import write_feeds_tsv  # noqa: E402
 from grantstar.sources.feeds import convert_feeds, feed_paths  # noqa: E402
@@ -35,6 +40,27 @@ from registry import CUTOFFS, GROWTH, MILESTONES  # noqa: E402
 REPEATS = 3
 
 
+def large_run(spark, feeds, out: str, copies: int) -> dict[str, float]:
+    """From delimited text to result files over so many copies of the feeds, where a MB weighs more than a job: each copy has
+    patents of its own, while inventors and owners are the same."""
+
+    def repeated(df):
+        if "patent_id" not in df.columns:
+            return df
+        copy = F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy")
+        own = F.concat("patent_id", F.lit("-"), F.col("copy").cast("string"))
+        return df.select("*", copy).withColumn("patent_id", own).drop("copy")
+
+    if not copies:
+        return {}
+    write_feeds_tsv(Feeds(**{name: repeated(df) for name, df in feeds.items()}), f"{out}/large")
+    mb = sum(size for _, size, _ in files_below(spark, f"{out}/large")) / 1e6
+    start = time.perf_counter()
+    run_pipeline(spark, f"{out}/large", f"{out}/large_out", CLASS_PREFIX)
+    spent = time.perf_counter() - start
+    return {"pipeline_tsv_mb": round(mb), "pipeline_sec": round(spent, 1), "pipeline_mb_per_s": round(mb / spent, 1)}
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -75,6 +101,13 @@ def main() -> None:
 
     star = timed("count_tables", counted, 2)
 
+    def searchable():
+        own = CountedStar(stored, table_stage(spark))
+        _ = own.linked_per_year, own.title_index
+        star.__dict__.update({n: own.__dict__[n] for n in ("linked_patents", "linked_per_year", "title_index")})
+
+    timed("search_tables", searchable, 2)
+
     fetched = {
         "top_inventors": lambda: a.top_inventors(star),
         "top_inventors_by_country_filter": lambda: a.top_inventors(star, 20, ["NATION_3", "NATION_7"]),
@@ -112,6 +145,7 @@ def main() -> None:
     for name, build in counted.items():
         timed(name, lambda build=build: build().write.format("noop").mode("overwrite").save())
 
+    large = large_run(spark, feeds, out, int(os.environ.get("BENCH_COPIES", "10")))
     line = {
         "metric": "star_and_queries_total",
         "value": round(sum(seconds.values()), 3),
@@ -119,6 +153,7 @@ def main() -> None:
         "queries": seconds,
         "cold_build_star": round(first["build_star"], 3),
         "tsv_mb_per_s": round(text_mb / seconds["convert_tsv"], 1),
+        **large,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(line))

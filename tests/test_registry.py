@@ -2,6 +2,8 @@
 
 import os
 import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -63,3 +65,26 @@ def test_every_check_finds_something_in_the_dirty_star(spark):
 
 def test_report_json(spark):
     assert queries()["report_json"](spark, SF).count() == 1
+
+
+_WITHOUT = """
+import sys
+
+class Blocked:
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[0] in ("{blocked}",) or name == "{blocked}":
+            raise ModuleNotFoundError("No module named " + name, name=name)
+
+sys.meta_path.insert(0, Blocked())
+import __spark_entry__ as entry
+from registry import QUERIES
+assert set(QUERIES) == set(entry.queries()) and set(entry.oracle_sql()) == set(QUERIES)
+"""
+
+
+@pytest.mark.parametrize("blocked", ["public_tokenizers", "corpus_pipeline", "grantstar.llm"])
+def test_the_core_does_without_the_other_part(blocked):
+    """Also where only a library of that part is missing."""
+    code = _WITHOUT.replace("{blocked}", blocked)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
