@@ -158,8 +158,8 @@ class RuleEnsemble:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
-        """From rows of STATISTICS and labels 0 or 1. The penalty is the one that does best on every fifth
-        row. Without labels of both kinds there are no rules: the score is the share of label 1, smoothed."""
+        """From rows of STATISTICS and labels 0 or 1. The penalty is the largest one that on every fifth row does as well as
+        the best, up to a standard error. Without labels of both kinds there are no rules: the score is the share of label 1, smoothed."""
         constant = cls((), (), _logit((y.sum() + 1) / (len(y) + 2)))
         test = np.arange(len(y)) % 5 == 0
         if len(y) < 5 * LEAST_ROWS or any(len(set(part)) < 2 for part in (y[test], y[~test])):
@@ -171,15 +171,16 @@ class RuleEnsemble:
         none = np.zeros(held.shape[1])
         none[-1] = _logit(y[~test].mean())
         most = np.abs(held[~test].T @ (y[~test].mean() - y[~test]))[:-1].max() / (~test).sum()
-        best, weights = None, none
+        tried, weights = [], none
         for share in PENALTIES:
             weights = lasso_logistic(held[~test], y[~test], share * most, weights)
             p = np.clip(_sigmoid(held[test] @ weights), 1e-9, 1 - 1e-9)
-            loss = -np.log(np.where(y[test] == 1, p, 1 - p)).mean()
-            if best is None or loss < best[0]:
-                best = loss, weights
-        chosen = [(r, float(w)) for r, w in zip(rules, best[1]) if w]
-        return cls(tuple(r for r, _ in chosen), tuple(w for _, w in chosen), float(best[1][-1]))
+            loss = -np.log(np.where(y[test] == 1, p, 1 - p))
+            tried.append((loss.mean(), loss.std() / len(loss) ** 0.5, weights))
+        least, spread, _ = min(tried, key=lambda x: x[0])
+        weights = next(w for mean, _, w in tried if mean <= least + spread)
+        chosen = [(r, float(w)) for r, w in zip(rules, weights) if w]
+        return cls(tuple(r for r, _ in chosen), tuple(w for _, w in chosen), float(weights[-1]))
 
     def score(self) -> Column:
         """The probability of label 1 as an expression over STATISTICS."""
@@ -209,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("of"), F.col(label).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("of"), "of", "y").limit(rows)
-    own = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "y", "text")
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
     stats = text_statistics(own.withColumn("doc_id", F.struct("doc_id", "y")))
     sample = stats.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.y").alias("y"), *STATISTICS)
     order = [F.xxhash64("doc_id"), "doc_id", "y", *STATISTICS]

@@ -243,7 +243,7 @@ def test_documents_equal_brute_force(documents, monkeypatch):
     got = run_digests(periodic_runs(with_planted_runs(documents(rows, clashing=True)))).collect()
     key = lambda x: tuple(map(str, x))
     assert sorted(map(tuple, got), key=key) == sorted((brute_digests(*r) for r in rows), key=key)
-    assert sum(x.n_runs > 1 for x in got) > 20
+    assert sum(x.n_runs > 1 for x in got) >= 3 and sum(x.n_runs > 0 for x in got) >= 10
 
 
 def test_the_greatest_power_is_compared_exactly(spark):
@@ -297,11 +297,12 @@ def test_tree_paths_are_rules_and_lasso_keeps_few():
     r = np.random.default_rng(3)
     x = r.random((1500, 4))
     y = ((x[:, 0] > 0.6) & (x[:, 2] <= 0.5)).astype(float)
-    rules = tree_rules(x, y)
-    assert len({holds(rule, x).tobytes() for rule in rules}) == len(rules) and max(map(len, rules)) <= 3
+    seen = np.arange(len(y)) % 5 != 0
+    rules = tree_rules(x[seen], y[seen])
+    assert len({holds(rule, x[seen]).tobytes() for rule in rules}) == len(rules) and max(map(len, rules)) <= 3
     model = RuleEnsemble.fit(x, y)
     margin = model.bias + sum(w * holds(rule, x) for rule, w in zip(model.rules, model.weights))
-    assert ((margin > 0) == (y == 1)).mean() > 0.98 and 0 < len(model.rules) < len(rules)
+    assert ((margin > 0) == (y == 1)).mean() > 0.98 and 0 < len(model.rules) < 0.7 * len(rules)
     used = {k for rule in model.rules[:5] for k, *_ in rule}
     assert used & {0, 2}
 
