@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantstar.session import shared_folder
+from grantstar.session import scratch_folder
 
 #: The six ASCII white-space characters; a word is a run of anything else.
 WHITE = " \t\n\x0b\x0c\r"
@@ -18,10 +16,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the folder all executors share, and read again.
 
-    Cuts the lineage at a table that outlives lost executors.
+    Cuts the lineage at a table that outlives lost executors. The table goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    path = f"{scratch_folder(spark, 'llm')}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
