@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from grantstar.llm import backoff_lm
-from grantstar.llm.backoff_lm import DISCOUNT, Automaton, Followers, add_up, learn, scored
+from grantstar.llm.backoff_lm import DISCOUNT, Answer, Automaton, Followers, add_up, learn, scored
 from grantstar.llm.components import connected_components
 from grantstar.llm.simhash_index import ball_links, drop_near_copies, fingerprint, links, near_copies
 from grantstar.llm.toxic_crf import (
@@ -85,7 +85,7 @@ def brute_score(words, grams, text):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_the_walk_adds_up_the_smoothed_probabilities(seed):
+def test_the_walk_adds_up_the_smoothed_probabilities(monkeypatch, seed):
     """An automaton of the whole corpus, its states and arcs from plain counts."""
     r = random.Random(seed)
     texts = [[r.randint(1, 7) for _ in range(r.randint(0, 12))] + [0] for _ in range(60)]
@@ -101,13 +101,27 @@ def test_the_walk_adds_up_the_smoothed_probabilities(seed):
         own = [c for (*h, _), c in kept.items() if tuple(h) == history]
         return sum(own), len(own)
 
-    of_words = np.array([(n[w], *sums((w,))) for w in range(size)]).T
-    heads = np.array([(k, *sums(p)) for k, p in enumerate(pairs) if kept.get(p)]).T
-    triples = np.array([(pairs.index(g[:2]), g[2], c) for g, c in kept.items() if len(g) == 3]).T
-    automaton = Automaton.build(chance, tuple(of_words), codes, m, tuple(heads), tuple(triples))
-    for text in texts:
-        assert automaton.walk(text) == pytest.approx(brute_score(words, kept, text))
+    taken, followers = np.array([sums((w,)) for w in range(size)]).T
+    heads = [k for k, p in enumerate(pairs) if kept.get(p)]
+    triples = sorted({t[i : i + 3] for t in map(tuple, texts) for i in range(len(t) - 2) if kept.get(t[i : i + 2]) and kept.get(t[i + 1 : i + 3])})
+    ends = np.array([(pairs.index(t[:2]), pairs.index(t[1:])) for t in triples]).T
+    count = np.array([kept.get(t, 0) for t in triples])
+    none = np.zeros(0, int)
+    further = Answer(none, *np.array([sums(pairs[k]) for k in heads]).T, count, none)
+    automaton = Automaton.build(chance, Answer(n, taken, followers, m, none), codes, np.array(heads), further, ends)
+
+    def ends_with(known, length):
+        return np.array([known.get(tuple(t[i - length + 1 : i + 1]), -1) if i >= length - 1 else -1 for t in texts for i in range(len(t))])
+
+    word = np.array([w for t in texts for w in t])
+    pair, triple = (ends_with({x: k for k, x in enumerate(known)}, len(known[0])) for known in (pairs, triples))
+    lengths = np.array([len(t) for t in texts])
+    expected = [brute_score(words, kept, text) for text in texts]
+    for side_by_side in (1, 24, 1000):
+        monkeypatch.setattr(backoff_lm, "SIDE_BY_SIDE", side_by_side)
+        assert automaton.scores(lengths, word, pair, triple) == pytest.approx(np.array(expected))
     assert len(automaton.failure) == len(automaton.backoff) > size
+    assert (automaton.failure < np.maximum(1, np.arange(len(automaton.failure)))).all()
     for history in [(), *product(range(1, 8)), *product(range(1, 8), repeat=2)]:
         mass = sum(brute_probability(words, tokens, kept, history, w) for w in words)
         assert mass == pytest.approx(1 - DISCOUNT * len(words) / tokens) if not history else mass <= 1
@@ -129,12 +143,16 @@ def test_buckets_add_up_questions_of_all_blocks():
         degree = np.array([len(t) for t in tails])
         questions.append(Followers(np.array(heads, np.uint64), np.array(own), degree, flat[0].astype(np.uint64), flat[1]))
     kept = {p: c for p, c in m.items() if c >= 2}
-    for q, (heads, tails) in zip(questions, add_up(questions)):
-        of = np.repeat(q.heads, q.degree).tolist()
-        assert tails.tolist() == [kept.get(p, 0) for p in zip(of, q.tails.tolist())]
-        for h, *got in zip(q.heads.tolist(), *heads.tolist()):
+    numbers = {}
+    for q, answer in zip(questions, add_up(questions)):
+        of = list(zip(np.repeat(q.heads, q.degree).tolist(), q.tails.tolist()))
+        assert answer.m.tolist() == [kept.get(p, 0) for p in of]
+        assert [k >= 0 for k in answer.numbers] == [p in kept for p in of]
+        assert all(numbers.setdefault(p, k) == k for p, k in zip(of, answer.numbers.tolist()))
+        for h, *got in zip(q.heads.tolist(), answer.n, answer.taken, answer.followers):
             own = [c for (a, _), c in kept.items() if a == h]
             assert got == [n[h], sum(own), len(own)]
+    assert len({k for k in numbers.values() if k >= 0}) == len({p for p in numbers if p in kept})
 
 
 def test_scores_and_counts_equal_brute_force(documents, monkeypatch):
