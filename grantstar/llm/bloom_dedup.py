@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantstar.llm.common import ascii_lower, stored
+from grantstar.session import scratch_folder
 
 #: Bits of the filter for each row and hash position: a unique text is taken for a possible copy in about
 #: (1 / BITS_PER_ROW) ** 2 of all cases.
 BITS_PER_ROW = 16
 #: One bitmap holds so many bits (the size Spark's bitmap functions use).
 BITMAP_BITS = 32768
-#: The filter is broadcast, so it is never larger than this. Beyond about 8 million rows there are fewer bits for each
-#: row: more unique texts are taken for possible copies and shuffled once, with the same results.
+#: The filter is broadcast, so it is never larger than this. ``exact_copies`` goes through more rows than one filter
+#: can tell apart in slices of the hashes, each with a filter of its own.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -68,6 +69,31 @@ def repeat_filter(digests: DataFrame, digest: str, rows: int) -> RepeatFilter:
     return RepeatFilter(stored(table, "repeats"), positions)
 
 
+def slices_for(rows: int) -> int:
+    """Slices of the hashes, so that a filter within BROADCAST_BYTES has BITS_PER_ROW for each row of a slice and plane."""
+    return max(1, -(-2 * rows * BITS_PER_ROW // (8 * max(1, BROADCAST_BYTES))))
+
+
+def possible_copies(keys: DataFrame) -> DataFrame:
+    """``keys`` (stored; doc_id, digest) with ``maybe``: false where no other row can have the digest.
+
+    At any size fewer than one in 100 unique digests is taken for a possible copy. Many rows are written once more in slices by
+    their hash, without a shuffle, and slice after slice is tested by its own filter.
+    """
+    rows = keys.count()
+    n = slices_for(rows)
+    if n == 1:
+        return repeat_filter(keys, "digest", rows).tests(keys, "digest", "maybe")
+    spark, folder = keys.sparkSession, f"{scratch_folder(keys.sparkSession, 'llm')}/slices"
+    own = keys.withColumn("slice", F.pmod(F.xxhash64("digest", F.lit(2)), F.lit(n)).cast("int"))
+    own.write.partitionBy("slice").parquet(folder)
+    for k in range(n):
+        part = spark.read.schema(keys.schema).parquet(f"{folder}/slice={k}")
+        tested = repeat_filter(part, "digest", part.count()).tests(part, "digest", "maybe")
+        tested.write.mode("append").parquet(f"{folder}-tested")
+    return spark.read.parquet(f"{folder}-tested")
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 of the text with A-Z in lower case; null counts as empty."""
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
@@ -90,11 +116,11 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays, null being the smallest; of rows that agree in
-    id and text exactly one stays. Null and empty texts are equal. An empty table gives no rows. Only the
-    columns doc_id and text are looked at.
+    id and text exactly one stays. Null and empty texts are equal; a text of any length is hashed as a whole. An empty
+    table gives no rows. Only the columns doc_id and text are looked at.
     """
     keys = stored(docs.select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
-    tested = repeat_filter(keys, "digest", keys.count()).tests(keys, "digest", "maybe")
+    tested = possible_copies(keys)
     single = tested.where(~F.col("maybe")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
@@ -121,8 +147,9 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are.
 
-    Same choice as ``exact_copies``. Rows that the filter clears are never shuffled. If several rows agree
-    in id and text, any one of them stays.
+    Same choice as ``exact_copies``. Rows that the filter clears are never shuffled. It is one filter over all rows: beyond
+    about 8 million of them it has fewer bits for each, so more unique texts are taken for possible copies and
+    shuffled, with the same results. If several rows agree in id and text, any one of them stays.
     """
     mark, digest = "__exact_maybe", "__exact_digest"
     keys = stored(docs.select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")

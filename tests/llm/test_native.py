@@ -107,6 +107,27 @@ def test_inversion_gives_back_the_time(spark):
             assert row.back == pytest.approx(row.t, abs=1e-6)
 
 
+def test_many_rows_are_tested_in_slices(spark, documents, monkeypatch):
+    """A small bound: several filters, each within it, and hardly a unique digest taken for a copy."""
+    monkeypatch.setattr(bloom_dedup, "BROADCAST_BYTES", 8192)
+    rows = [(i, f"text {i}") for i in range(6000)] + [(10_000 + i, f"TEXT {i % 40}") for i in range(200)] + [(None, "text 3")]
+    assert bloom_dedup.slices_for(len(rows)) == 4
+    docs = documents(rows)
+    keys = docs.select("doc_id", bloom_dedup.text_digest(F.col("text")).alias("digest"))
+    tested = bloom_dedup.possible_copies(bloom_dedup.stored(keys, "keys")).collect()
+    assert len(tested) == len(rows)
+    digests = Counter(bytes(r.digest) for r in tested)
+    assert all(r.maybe for r in tested if digests[bytes(r.digest)] > 1)
+    unique = [r.maybe for r in tested if digests[bytes(r.digest)] == 1]
+    assert sum(unique) < 0.01 * len(unique)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_copies(docs).collect()}
+    groups = Counter(t.lower() for _, t in rows)
+    best = {}
+    for i, t in rows:
+        best[t.lower()] = max((x for x in (best.get(t.lower()), i) if x is not None), default=None)
+    assert got == {i: (best[t.lower()], groups[t.lower()], i == best[t.lower()]) for i, t in rows}
+
+
 def fixed_targets(sizes, weights=(5, 2, 1), most=3):
     """Shares by weight; those above the limit are held there and the excess dealt again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
