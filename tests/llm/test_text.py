@@ -114,7 +114,8 @@ def test_cuts_belong_to_a_text_and_not_to_an_id(documents):
 
 
 def test_cuts_inside_a_character_take_it_whole(documents):
-    passage = "é漢字" * 200
+    r = random.Random(23)
+    passage = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(400))
     rows = [(1, "x" + passage), (2, "yy" + passage)]
     cleaned = {x.doc_id: x.text for x in without_repeats(documents(rows)).collect()}
     assert cleaned[1] == rows[0][1] and len(cleaned[2]) < len(passage) and "\ufffd" not in cleaned[2]
@@ -299,7 +300,7 @@ def test_candidates_are_found_in_linear_time():
     began = time.monotonic()
     found = candidates(text, base_spans(text))
     assert time.monotonic() - began < 20 and len(found) == 100_000
-    assert found[1] == (47 + 27, "Zq8Yt5Rw2Xp9Lk4Jh7Gf")
+    assert found[1] == (48 + 27, "Zq8Yt5Rw2Xp9Lk4Jh7Gf")
 
 
 def test_candidates_touch_no_fixed_pattern():
