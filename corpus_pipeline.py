@@ -1,4 +1,9 @@
-"""From raw documents to token ids: each stage applies one operator to all that its predecessor kept."""
+"""From raw documents to token ids: each stage applies one operator to all that its predecessor kept.
+
+In every stage null and empty texts are texts like any other, texts of any length are handled whole, ties go by the ids named
+below, an empty table gives an empty one, and columns besides those of documents pass through unless a name is
+reserved (``__exact_``, ``__near_``, ``__mix_``).
+"""
 
 from __future__ import annotations
 
@@ -17,31 +22,36 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field, trained on the labels, scores as toxic go."""
+    """Documents that the field, trained on the labels, scores as toxic go. Null and empty texts score as texts without
+    a toxic word; repeated rows go or stay together; without labels the score is the same for all."""
     tune(spark)
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of equal texts the document with the largest doc_id stays."""
+    """Of each group of equal texts the document with the largest doc_id stays, null being the smallest; of rows that
+    agree in id and text one stays. Null and empty texts are equal."""
     tune(spark)
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays; of rows that share it, the one with the smallest
+    text hash. Texts without words are copies of each other."""
     tune(spark)
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's schedule takes it, in training order."""
+    """Each document as many times as its source's schedule takes it, at most three times, in training order. A null source is a
+    source; documents without words are taken with their source."""
     tune(spark)
     return mix_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with digests of ids, decoded text and byte spans."""
+    """The token ids of each document, with digests of ids, decoded text and byte spans. A null text counts as empty; repeated
+    rows each get a row."""
     tune(spark)
     return codec_digests(docs, PIECES, with_ids=True)
 
