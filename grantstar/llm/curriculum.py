@@ -177,7 +177,8 @@ def position(offset: Column, schedules: Sequence[Schedule] = SCHEDULES) -> Colum
 
 
 def training_order(mix: DataFrame, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
-    """One row for each copy of a document, with its training position."""
+    """One row for each copy of a document, with its training position. Documents that are not taken have none; equal
+    positions are left in any order. An empty mix gives no rows."""
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     copies = mix.where("copies > 0").withColumn("copy", copy)
     at = position(F.col("offset") + F.col("copy") * F.col("source_size"), schedules)

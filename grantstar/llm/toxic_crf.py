@@ -355,7 +355,12 @@ def toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted, n_spans, spans (start:end, joined by
-    commas). The model is trained on ``labels`` of rows that are not held out."""
+    commas). The model is trained on ``labels`` of rows that are not held out.
+
+    Null and empty texts have no spans and the score of a text without any; a text of any length is read whole. Rows with
+    equal texts get equal results, also those without an id, which are not held out. An empty table gives no rows; without
+    labels all scores are equal. Only doc_id, text, and the labels' doc_id and toxic are looked at.
+    """
     found = toxicity(docs, train(docs, labels))
     texts = F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"]))
     return found.select(
