@@ -16,6 +16,8 @@ WIDTH = 3
 BUCKET_ROWS = 50_000
 #: Grams of a term whose lists are intersected: the rarest ones. More would read longer lists to drop few texts.
 GRAMS = 4
+#: A term whose rarest gram is in more than one text of so many is not worth looking up: the scan reads less.
+SELECTIVE = 20
 
 
 def grams(text: Column) -> Column:
@@ -42,7 +44,8 @@ class TextIndex:
         return [(r.gram, r.n) for r in found.orderBy("n", "gram").limit(GRAMS).collect()]
 
     def candidates(self, term: str, condition: Column | None = None) -> DataFrame | None:
-        """(key, bucket) of the texts that hold the rarest grams of a term, None for a term too short to look up.
+        """(key, bucket) of the texts that hold the rarest grams of a term, None for a term too short or too common to
+        look up.
 
         The lists are read by gram, and ``condition`` on the posting's own columns cuts them first. No list is longer than the
         count of its gram, so where the rarest is short the result may be broadcast, and the texts of all other
@@ -51,6 +54,9 @@ class TextIndex:
         wanted = self.rarest(term)
         if not wanted:
             return None
+        fewest = wanted[0][1]
+        if fewest > HINTED_ROWS and fewest * SELECTIVE > self.texts.count():
+            return None
         names = [gram for gram, _ in wanted]
         lists = self.postings.where(F.col("gram").isin(names))
         if condition is not None:
@@ -60,7 +66,6 @@ class TextIndex:
         else:
             held = lists.groupBy(self.key, "bucket").agg(F.count(F.lit(1)).alias("held"))
             found = held.where(F.col("held") == len(names)).select(self.key, "bucket")
-        fewest = wanted[0][1]
         return short_list(found, fewest) if fewest <= HINTED_ROWS else found
 
 

@@ -91,6 +91,15 @@ def test_a_selective_term_opens_the_texts_of_its_candidates_only(spark, tmp_path
     assert re.search(r"PushedFilters: .*In\(gram", lists) and "GreaterThanOrEqual(year,0)" in lists
 
 
+def test_common_terms_take_the_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("grantstar.operators.trigrams.HINTED_ROWS", 5)
+    rows = spark.range(300).selectExpr("cast(id as string) key", "concat('title number ', id) text")
+    write_text_index(rows, str(tmp_path), "key", "text")
+    index = read_text_index(spark, str(tmp_path), "key")
+    assert index.candidates("title") is None and index.candidates("er 1") is None
+    assert index.candidates("ber 15").count() >= 11 and index.candidates("number 159").count() == 1
+
+
 def test_a_hot_gram_is_spread_over_files(spark, tmp_path):
     rows = spark.range(3000).selectExpr("cast(id as string) key", "'same' text")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
