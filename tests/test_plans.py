@@ -11,6 +11,7 @@ from grantstar.plans.clean import clean
 from grantstar.plans.pipeline import checked_star
 from grantstar.plans.quality import assess_relations, quality_check, repaired_relations
 from grantstar.schemas import Feeds
+from grantstar.session import TableStage
 from grantstar.sinks.tables import write_star
 from grantstar.sources.stand_in import CLASS_PREFIX, SUBCLASS_PREFIXES, StandInFeeds
 from grantstar.sources.tables import read_star
@@ -74,6 +75,23 @@ def test_a_stored_star_is_never_searched_for_repeated_ids_again(spark, feeds, tm
     assert (facts.unique, facts.has_null) == (copies == 1, False)
 
 
+def test_no_step_joins_all_the_way_from_the_feeds_to_the_assessed_links(
+    feeds, lazy_star, tmp_path, no_broadcast, monkeypatch
+):
+    """Joins on one key run in one stage, whose tasks hold the sort buffers of all of them: few go into a stored step."""
+    steps, store = {}, TableStage._store
+
+    def seen(stage, df, name):
+        steps.setdefault(name, plan(df))
+        return store(stage, df, name)
+
+    monkeypatch.setattr(TableStage, "_store", seen)
+    star = checked_star(feeds, CLASS_PREFIX, str(tmp_path))
+    assert sorted(map(str, tuples(star.relations))) == sorted(map(str, tuples(lazy_star.relations)))
+    for name in ("inventor_links", "owner_links", "relations", "assessed_relations"):
+        assert len(re.findall(r"^\(\d+\) SortMergeJoin", steps[name], re.M)) in (2, 3), name
+
+
 def test_class_prefix_reaches_the_scan(feeds):
     text = plan(a.subcategory_breakdown(feeds.cpc, SUBCLASS_PREFIXES))
     assert "StringStartsWith(p_brand" in text
