@@ -1,6 +1,15 @@
 import pytest
 
-from grantstar.session import RUNTIME_CONF, concurrently, files_below, shared_folder, table_stage, tune
+from grantstar.session import (
+    RUNTIME_CONF,
+    TASK_SHARE,
+    concurrently,
+    files_below,
+    share_out,
+    shared_folder,
+    table_stage,
+    tune,
+)
 
 
 def test_a_stage_writes_each_name_once(spark, tmp_path):
@@ -40,6 +49,22 @@ def test_tune_sets_the_skew_handling(spark):
     assert {k: spark.conf.get(k) for k in RUNTIME_CONF} == RUNTIME_CONF
 
 
+def test_a_task_gets_no_larger_share_of_a_larger_input(spark):
+    share, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(parts)
+    try:
+        for given, kept in (("64MB", f"{TASK_SHARE}b"), ("64m", f"{TASK_SHARE}b"), ("8m", "8m")):
+            spark.conf.set(share, given)
+            tune(spark)
+            assert spark.conf.get(share) == kept
+        for size, expected in ((0, before), (TASK_SHARE, before), (1000 * TASK_SHARE + 1, "1001"), (TASK_SHARE, "1001")):
+            share_out(spark, size)
+            assert spark.conf.get(parts) == expected
+    finally:
+        spark.conf.set(parts, before)
+        spark.conf.unset(share)
+
+
 def test_a_closed_stage_leaves_no_tables(spark, tmp_path):
     stage = table_stage(spark, str(tmp_path))
     stage(spark.range(3), "numbers")
