@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from grantstar.llm import backoff_lm
 from grantstar.llm.backoff_lm import DISCOUNT, Answer, Automaton, Followers, add_up, learn, scored
+from grantstar.llm.common import stored
 from grantstar.llm.components import connected_components
 from grantstar.llm.simhash_index import ball_links, drop_near_copies, fingerprint, links, near_copies
 from grantstar.llm.toxic_crf import (
@@ -270,6 +271,12 @@ def test_links_connect_what_all_pairs_would(spark, length):
     assert classes(balls, values) == classes(near, values)
 
 
+def test_posts_of_the_ball_index_are_not_broadcast(spark):
+    prints = stored(spark.createDataFrame([(v,) for v in clustered(3)], "fingerprint long"), "prints")
+    plan = ball_links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and "BuildLeft" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 300)] + [(-5, 7), (1000, 999)]
     df = spark.createDataFrame(pairs, "a long, b long")
