@@ -137,7 +137,8 @@ def links(prints: DataFrame, list_length: int = LIST_LENGTH) -> DataFrame:
     lists = stored(lists.where("n > 1"), "lists")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MOST_BITS
     two = lists.where("n = 2").where(near(F.col("a"), F.col("b"))).select("a", "b")
-    more = stored(posts.join(lists.where("n > 2").select("post", "n"), "post"), "members")
+    more = _beside(posts, "post", lists.where("n > 2").select(F.col("post").alias("of"), "n"))
+    more = stored(more.where(F.coalesce("of", F.bitwise_not("post")) == F.col("post")).drop("of"), "members")
     short = more.where(F.col("n") <= list_length)
     left = short.select("post", F.col("fingerprint").alias("a"))
     right = short.select(F.col("post").alias("of"), F.col("fingerprint").alias("b"))

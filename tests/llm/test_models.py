@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from grantstar.llm import backoff_lm
+from grantstar.llm import backoff_lm, simhash_index
 from grantstar.llm.backoff_lm import DISCOUNT, Answer, Automaton, Followers, add_up, learn, scored
 from grantstar.llm.common import stored
 from grantstar.llm.components import connected_components
@@ -277,6 +277,18 @@ def test_posts_of_the_ball_index_are_not_broadcast(spark):
     assert "LeftOuter" in plan and "BuildLeft" not in plan
 
 
+def test_posts_of_the_positions_are_not_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash_index, "stored", noted)
+    links(stored(spark.createDataFrame([(v,) for v in clustered(3)], "fingerprint long"), "prints"))
+    assert "LeftOuter" in plans["members"] and "BuildLeft" not in plans["members"]
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 300)] + [(-5, 7), (1000, 999)]
     df = spark.createDataFrame(pairs, "a long, b long")
